@@ -26,7 +26,7 @@ from .common import SPACE_CLASS, SPACES, let, materialize, split_words
 
 BUCKETS = 1 << 14
 #: Documents whose mean log-likelihood ratio is lower are rejected.
-THRESHOLD = -0.35
+THRESHOLD = -0.15
 #: Up to so many trusted ids are broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
