@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, quality_cnn, quality_rules, sharding, tokens, url_rules
+from . import decontaminate, langid, minhash, mixing, quality_cnn, quality_rules, sharding, tokens, url_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_cnn": op1_quality_cnn,
@@ -62,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op6_mixing": op6_mixing,
         "op8_token_ids": op8_token_ids,
         "op9_url_rules": op9_url_rules,
+        "op10_minhash": op10_minhash,
     }
 
 
