@@ -56,6 +56,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_cnn": op1_quality_cnn,
@@ -67,6 +73,7 @@ def queries() -> dict[str, Query]:
         "op8_token_ids": op8_token_ids,
         "op9_url_rules": op9_url_rules,
         "op10_minhash": op10_minhash,
+        "pipeline": pipeline,
     }
 
 

@@ -23,8 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bounds of what the network is fitted on.
 SAMPLE_DOCS, SAMPLE_BYTES = 3000, 16384
@@ -156,9 +157,8 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
 
 def sample(documents: DataFrame, labels: DataFrame, folds: int, held: int) -> list:
     """(text, quality) of the bounded sample, outside the held-out fold."""
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     one = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold != held))
+        labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold_of(folds) != held))
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     )
@@ -166,8 +166,12 @@ def sample(documents: DataFrame, labels: DataFrame, folds: int, held: int) -> li
     return docs.join(F.broadcast(one), "doc_id").orderBy("doc_id", "text").limit(2 * SAMPLE_DOCS).select("text", "quality").collect()
 
 
-def classify(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
+def fold_of(folds: int) -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def scorer(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1):
+    """A function that adds ``score`` to a frame with column ``text``."""
     rows = sample(documents, labels, folds, held)
     y = np.array([1.0 if r["quality"] == 1 else 0.0 for r in rows])
     net, constant = None, float(y.mean()) if len(y) else 0.5
@@ -175,17 +179,30 @@ def classify(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int
         net = fit([r["text"].encode() for r in rows], y)
     shared = documents.sparkSession.sparkContext.broadcast(net.weights() if net else None)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.full(batch.num_rows, constant)
             if shared.value and batch.num_rows:
                 table, b, v, c = shared.value
-                texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
+                texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
                 out = top(pooled(texts, table, b), v, c)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
+
+    def add_score(docs: DataFrame) -> DataFrame:
+        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+
+    return add_score
 
-    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
-    docs = documents.select("doc_id", (fold == held).alias("held_out"), "text")
-    kind = dict(docs.dtypes)["doc_id"]
-    scored = docs.mapInArrow(score, f"doc_id {kind}, held_out boolean, score double")
+
+def classify(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document."""
+    docs = documents.select("doc_id", (fold_of(folds) == held).alias("held_out"), "text")
+    scored = scorer(documents, labels, folds, held)(docs).drop("text")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def kept(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that the network doesn't reject, all their columns."""
+    own = documents.columns
+    packed = documents.select("text", F.struct(*[F.col(c) for c in own]).alias("row"))
+    return scorer(documents, labels)(packed).where("score >= 0.5").select("row.*")
