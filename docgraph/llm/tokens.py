@@ -20,7 +20,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -39,66 +39,62 @@ END_ID = 1
 #: Frequencies are scaled to 2**SCALE; 32-bit words leave and enter 64-bit states of at least 2**31.
 SCALE, LOW = 20, 31
 #: A block is closed at so many ids; the steps of a block between two checkpoints; most lanes.
-BLOCK_IDS, CHECKPOINT, LANES = 1 << 17, 64, 1024
+BLOCK_IDS, CHECKPOINT, LANES = 1 << 18, 64, 2048
 #: Words whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 1_000_000
 
-LETTERS, MARKS = re.compile(r"[a-zß-öø-ÿ]+"), re.compile(r"[!*#$%&.,;:?]+")
-LATIN_WORD = re.compile(r"([a-zß-öø-ÿ]+)([!*#$%&.,;:?]*)")
-LOWER = {i: i + 32 for i in range(65, 91)}
+#: Stands between words that are encoded in one call; a piece of its own, whose id occurs in no word without it.
+BETWEEN = "~"
+FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+MARKS = "!*#$%&.,;:?"
 
 
 class Encoder:
     """ids of texts, word by word with a bounded memory of words.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words in turn. Words are cut at blanks and newlines only;
-    A-Z are folded first where that can't make a special token.
+    are those of its words in turn. Words are cut at blanks and newlines only.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.closes = np.zeros(1 << 16, bool)
-        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        (self.between,) = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > CACHE:
             self.known = {"": b""}
-        if len(self.parts) > CACHE:
-            self.parts = {}
-        split, new = {}, set()
-        for w in words:
-            folded = w if "<|" in w else w.translate(LOWER)
-            m = LATIN_WORD.fullmatch(folded)
-            split[w] = m.groups() if m else (folded,)
-            new.update(p for p in split[w] if p and p not in self.parts)
-        whole = sorted(p for p in new if LETTERS.fullmatch(p) or MARKS.fullmatch(p))
-        other = sorted(new.difference(whole))
-        # such a part is one piece for the tokenizer, whose last id closes a word: many are encoded in one call
-        for at in range(0, len(whole), 2000):
-            some = whole[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u2")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            for p, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                self.parts[p] = ids[a:b].tobytes()
-        for e, p in zip(self.tokenizer.encode_batch_fast(other, add_special_tokens=False), other, strict=True):
-            self.parts[p] = np.array(e.ids, "<u2").tobytes()
-        for w, ps in split.items():
-            self.known[w] = b"".join(self.parts[p] for p in ps if p)
+        known = self.known
+        plain = [w for w in words if w and BETWEEN not in w and "<|" not in w]
+        folded = "\n".join(plain).encode("utf-8", "surrogatepass").translate(FOLD).decode("utf-8", "surrogatepass").split("\n") if plain else []
+        # letters and the marks after them are pieces of their own
+        heads = [w.rstrip(MARKS) for w in folded]
+        heads = [h if not h or (h.isalpha() and (h.isascii() or max(h) < "\u0100")) else w for h, w in zip(heads, folded, strict=True)]
+        tails = [w[len(h) :] for w, h in zip(folded, heads, strict=True)]
+        fresh = [p for p in {*heads, *tails} if p not in known]
+        for at in range(0, len(fresh), 4000):
+            some = fresh[at : at + 4000]
+            ids = np.array(self.tokenizer.encode(f" {BETWEEN} ".join(some), add_special_tokens=False).ids, "<u2")
+            cuts = np.flatnonzero(ids == self.between)
+            packed, starts, ends = ids.tobytes(), [0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), 2 * len(ids)]
+            known.update(zip(some, map(packed.__getitem__, map(slice, starts, ends)), strict=True))
+        for w, h, t in zip(plain, heads, tails, strict=True):
+            known[w] = known[h] + known[t] if t else known[h]
+        rest = sorted(words.difference(plain))
+        for e, w in zip(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), rest, strict=True):
+            known[w] = np.array(e.ids, "<u2").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for text in texts:  # a document at a time, so that the memory holds at least its words
-            words = (text or "").replace("\n", " ").split(" ")
-            missing = {w for w in words if w not in self.known}
-            if missing:
-                self.learn(missing if len(self.known) + len(missing) <= CACHE else set(words))
-            out.append(b"".join(map(self.known.__getitem__, words)) + END_ID.to_bytes(2, "little"))
-        return out
+        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        every = set().union(*cut)
+        missing = every.difference(self.known)
+        if missing:
+            self.learn(missing if len(self.known) + len(missing) <= CACHE else every)
+        end = END_ID.to_bytes(2, "little")
+        return [b"".join(map(self.known.__getitem__, words)) + end for words in cut]
 
 
 ENCODERS: dict[str, Encoder] = {}
@@ -110,8 +106,8 @@ def tokenize(documents: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ENCODERS.get(vocabulary) or ENCODERS.setdefault(vocabulary, Encoder(vocabulary))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.encode(part.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, ids binary")
