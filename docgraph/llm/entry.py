@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, minhash, mixing, quality_cnn, quality_rules, sharding, tokens, url_rules
+from . import decontaminate, langid, minhash, mixing, quality_cnn, quality_rules, sharding, suffix_dedup, tokens, url_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     if vocabulary is None:
         import public_tokenizers
@@ -70,6 +74,7 @@ def queries() -> dict[str, Query]:
         "op4_quality_rules": op4_quality_rules,
         "op5_decontamination": op5_decontamination,
         "op6_mixing": op6_mixing,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_token_ids": op8_token_ids,
         "op9_url_rules": op9_url_rules,
         "op10_minhash": op10_minhash,
