@@ -75,6 +75,8 @@ def train(documents: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     seen = docs.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(seen) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages: the matrix would be too large to broadcast")
+    if not seen:
+        return [], np.zeros((1 << BITS, 0), np.float32), np.zeros(0)
     langs = sorted(r["lang"] for r in seen)
     per = {r["lang"]: r["count"] for r in seen}
     table = docs.mapInArrow(count_grams, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()

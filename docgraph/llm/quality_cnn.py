@@ -175,7 +175,7 @@ def scorer(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int =
     rows = sample(documents, labels, folds, held)
     y = np.array([1.0 if r["quality"] == 1 else 0.0 for r in rows])
     net, constant = None, float(y.mean()) if len(y) else 0.5
-    if 0 < constant < 1:
+    if len(y) and 0 < constant < 1:
         net = fit([r["text"].encode() for r in rows], y)
     shared = documents.sparkSession.sparkContext.broadcast(net.weights() if net else None)
 

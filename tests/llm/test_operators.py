@@ -1,0 +1,361 @@
+"""Each operator against a plain version on small rows: nulls, empty and long texts, ties, repeated rows, extra columns, empty tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+pytest.importorskip("docgraph.llm")
+from docgraph.llm import bwt_merge, decontaminate, langid, minhash, mixing, quality_cnn, quality_rules, sharding, shingles, suffix_dedup, tokens, url_rules  # noqa: E402
+
+SCHEMA = "doc_id long, text string, lang string, source string, score double, n long"
+WORDS = re.compile("[^\x20\x09-\x0d]+")
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def texts(seed=3, n=60):
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("abcdeé") for _ in range(r.randint(2, 6))) for _ in range(300)]
+    sentence = lambda k: " ".join(r.choice(vocabulary) for _ in range(k))
+    base = [sentence(r.randint(3, 120)) for _ in range(n)]
+    near = []
+    for b in base[:15]:
+        w = b.split(" ")
+        w[r.randrange(len(w))] = "changed"
+        near.append(" ".join(w))
+    return base + near + base[:5] + [None, "", " \t\n ", "One", "one", sentence(6000), "Tab\tand\x0bform\x0cfeed NBSP\u00a0stays", "ÀÉ Éa\nline\nline\n\nline"]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    t = texts()
+    out = [(i, x, ["en", "fr", None][i % 3], None if i % 11 == 0 else f"s{i % 4 if i % 3 else 0}", 0.5, 1) for i, x in enumerate(t)]
+    return out + [out[3], (None, t[4], "en", "s1", 0.1, 2), (7, "another text under an id", None, None, 0.0, 3)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def got(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+# ---- 2 sharding
+
+
+def test_sharding(docs, rows, nothing):
+    out = sharding.assign(docs, shards=5, ranges=16).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == Counter((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in rows)
+    total, largest = sum(r.size for r in out), max(r.size for r in out)
+    for s in range(5):
+        own = [r for r in out if r.shard == s]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        assert abs(sum(r.size for r in own) - total / 5) <= 2 * largest
+    assert got(sharding.assign(docs, 5, 16)) == got(sharding.assign(docs, 5, 16))
+    assert sharding.assign(nothing).count() == 0
+
+
+def test_sharding_of_one_text(spark):
+    """A hot group of copies is spread as evenly as anything else."""
+    d = spark.range(3000).selectExpr("id AS doc_id", "'the same text' AS text")
+    n = Counter(r.shard for r in sharding.assign(d, shards=8, ranges=16).collect())
+    assert max(n.values()) - min(n.values()) <= 1
+
+
+# ---- 4 quality rules
+
+
+def plain_figures(text):
+    t = text or ""
+    w = WORDS.findall(t)
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if WORDS.search(line):
+            dup += line in seen
+            seen.add(line)
+    windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    hit = {j for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(hit)
+
+
+def test_quality_rules(spark, docs, rows, nothing):
+    extra = [(900, "a b c d e f g h " * 4, None, None, 0.0, 0), (901, "x#y $ %|<> " * 9 + "\nq\nq\n q\n", None, None, 0.0, 0)]
+    d = docs.union(spark.createDataFrame(extra, SCHEMA))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(1, 0, 0), (3, 1, 1), (None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
+    out = quality_rules.judge(d, labels).collect()
+    expect = Counter((r[0], *plain_figures(r[1])) for r in rows + extra)
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in out) == expect
+    for r in out:
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
+        assert r.kept == (not r.base_failed and r.llr >= quality_rules.THRESHOLD)
+    assert quality_rules.judge(nothing, labels.limit(0)).count() == 0
+
+
+# ---- 5 decontamination
+
+
+def plain_contamination(doc_rows, items):
+    cut = lambda t: [w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(FOLD)) if w]
+    out = []
+    for r in doc_rows:
+        w, hit, found = cut(r[1]), set(), set()
+        for item, text in items:
+            iw = cut(text)
+            n = min(10, len(iw))
+            wanted = {tuple(iw[i : i + n]) for i in range(len(iw) - n + 1)} if n else set()
+            for i in range(len(w) - n + 1):
+                if n and tuple(w[i : i + n]) in wanted:
+                    hit.update(range(i, i + n))
+                    found.add(str(item))
+        out.append((r[0], len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_ROWS, 0])
+def test_decontamination(spark, docs, rows, nothing, limit, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+    t = [r[1] for r in rows]
+    items = [(1, t[0]), (2, " ".join(t[1].split(" ")[:14]).upper()), (10, "one"), (11, None), (12, "..."), (3, "Line line line"), (4, " ".join(t[2].split(" ")[:3])), (1, t[0]), (5, "nowhere at all is this")]
+    out = decontaminate.contamination(docs, spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, score int"))
+    assert got(out) == plain_contamination(rows, items)
+    if limit:
+        assert decontaminate.contamination(nothing, spark.createDataFrame(items, "item_id long, text string")).count() == 0
+        assert not any(r.contaminated for r in decontaminate.contamination(docs, spark.createDataFrame([], "item_id long, text string")).collect())
+
+
+# ---- 6 mixing
+
+
+def test_mixing(spark, docs, rows, nothing):
+    out = mixing.mix(docs).collect()
+    size = lambda t: len(WORDS.findall(t or ""))
+    assert Counter((r.doc_id, r.source, r.size) for r in out) == Counter((r[0], r[3], size(r[1])) for r in rows)
+    by = Counter()
+    for r in rows:
+        by[r[3]] += size(r[1])
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    weight, open_, target, left = {s: i % 3 + 1 for i, s in enumerate(names)}, set(names), {}, float(sum(by.values()))
+    while True:
+        share = left / sum(weight[s] for s in open_)
+        over = [s for s in open_ if share * weight[s] > 3 * by[s]]
+        if not over:
+            break
+        for s in over:
+            target[s] = 3.0 * by[s]
+            left -= target[s]
+            open_.discard(s)
+    target |= {s: share * weight[s] for s in open_}
+    for s in names:
+        own = [r for r in out if r.source == s]
+        assert own[0].target == pytest.approx(target[s]) and own[0].source_size == by[s]
+        assert abs(sum(r.taken for r in own) - target[s]) <= 1
+        assert all(r.taken <= 3 * r.size for r in own)
+    assert got(mixing.mix(docs)) == got(mixing.mix(docs))
+    assert mixing.mix(nothing).count() == 0
+
+
+# ---- 7 suffix dedup
+
+
+def test_merge_against_counting():
+    r = random.Random(5)
+    for _ in range(60):
+        w = r.choice([3, 8, 16])
+        base = bytes(r.choice(b"ab") for _ in range(60))
+        strings = []
+        for _ in range(r.randint(1, 6)):
+            x = r.randrange(60)
+            strings.append(bytes(r.choice(b"abc") for _ in range(r.randrange(9))) + base[x : r.randrange(x, 61)] * r.choice([1, 2]))
+        k = Counter(s[i : i + w] for s in strings for i in range(len(s) - w + 1))
+        for s, f in zip(strings, bwt_merge.repeated(strings, w), strict=True):
+            assert f.tolist() == [k[s[i : i + w]] > 1 for i in range(len(s) - w + 1)]
+
+
+def plain_removal(doc_rows, width):
+    bs = [(r[1] or "").encode() for r in doc_rows]
+    k = Counter(b[i : i + width] for b in bs for i in range(len(b) - width + 1))
+    out = []
+    for r, b in zip(doc_rows, bs, strict=True):
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - width + 1):
+            if k[b[i : i + width]] > 1:
+                gone[i : i + width] = True
+        left = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        out.append((r[0], len(b), int(gone.sum()), int((np.diff(np.append(0, gone.astype(int))) == 1).sum()), hashlib.sha256(left).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_STRINGS, 1])
+def test_suffix_dedup(spark, docs, rows, nothing, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_STRINGS", hot)
+    extra = [(500, "ab " * 40, None, None, 0.0, 0), (501, "x" + "ab " * 30, None, None, 0.0, 0), (502, "é" * 50, None, None, 0.0, 0)]
+    d = docs.union(spark.createDataFrame(extra, SCHEMA))
+    assert got(suffix_dedup.dedup(d, width=24, gram=8).drop("kept")) == plain_removal(rows + extra, 24)
+    if hot > 1:
+        assert suffix_dedup.dedup(nothing).count() == 0
+
+
+# ---- 8 token ids
+
+
+def vocabulary():
+    return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+
+
+def test_token_ids(docs, rows, nothing):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(vocabulary())
+    plain = sorted(((r[0], [*tk.encode(r[1] or "", add_special_tokens=False).ids, 1]) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, np.array(x[1], "<u2").tobytes()))
+    expect, at = [], 0
+    for doc, ids in plain:
+        expect.append((doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert got(tokens.round_trip(docs, vocabulary())) == sorted(expect, key=str)
+    assert tokens.round_trip(nothing, vocabulary()).count() == 0
+
+
+def test_words_are_encoded_as_in_their_text():
+    e = tokens.Encoder(vocabulary())
+    odd = ["a~b ~ ~~", "It's THE <|endoftext|> x<|ENDOFTEXT|>", "İstanbul ΣΑΣ\tfoo 123 don't!!'s", "", None, "\u0301 \u0300a", "ﬁ Ǆ ß ÷ ª", "x!!y a., B?", "１２"]
+    for t, ids in zip(odd, e.encode(odd), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+
+
+def test_blocks_decode_from_any_checkpoint_and_notice_damage():
+    ids = np.random.default_rng(1).zipf(1.3, 300_000).clip(0, 49_000).astype("<u2")
+    freq = tokens.scaled(np.bincount(ids, minlength=1 << 16))
+    start = np.cumsum(freq, dtype=np.uint64) - freq
+    lookup = np.repeat(np.arange(1 << 16, dtype=np.uint16), freq.astype(np.int64))
+    block = tokens.encode_block(ids, freq, start)
+    for k in range(int.from_bytes(block[12:16], "little")):
+        part = tokens.decode_block(block, freq, start, lookup, k)
+        assert (part == ids[len(ids) - len(part) :]).all()
+    assert len(tokens.decode_block(block, freq, start, lookup)) == len(ids)
+    with pytest.raises(ValueError):
+        tokens.decode_block(block[:-1] + bytes([block[-1] ^ 1]), freq, start, lookup)
+    assert len(tokens.encode_block(ids[:3], freq, start)) > 0
+
+
+# ---- 9 url rules
+
+
+def test_url_rules(spark):
+    urls = ["https://A.example.com/en/1?x", "http://www.example.com/en/#t", "http://example.com", "ftp://fr.net/fr/x", "x.net/fr/", None, "", "http://u.org/fr/z", "http://bexample.com/en/1", "a://b://c/d", "http://EXAMPLE.com/en/"]
+    out = {r.page_id: r for r in url_rules.judge(spark.createDataFrame([(i, u, "h", "n") for i, u in enumerate(urls)], "page_id long, url string, html string, tokens string")).collect()}
+    seen = [(out[i].host, out[i].path, out[i].rule) for i in range(len(urls))]
+    assert seen == [
+        ("a.example.com", "/en/1", "example.com/en/"), ("www.example.com", "/en/", "www.example.com/en/"), ("example.com", "", None), ("fr.net", "/fr/x", "net/fr/"), ("", "", None),
+        ("", "", None), ("", "", None), ("u.org", "/fr/z", None), ("bexample.com", "/en/1", "com/"), ("b:", "//c/d", None), ("example.com", "/en/", "example.com/en/"),
+    ]
+    assert out[0].verdict == "block" and out[1].verdict == "allow" and out[3].verdict == "block"
+    assert url_rules.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_mined_rules_match_by_index(spark):
+    rows = [(i, f"http://spam.net/fr/{i}") for i in range(30)] + [(100 + i, f"http://good.com/fr/{i}") for i in range(30)] + [(200, "http://spam.org/x"), (201, "http://fine.org/fr/")]
+    out = {r.page_id: r for r in url_rules.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert out[200].verdict == "block" and "h:spam" in out[200].mined
+    assert out[201].verdict == "allow" and out[201].mined is None
+
+
+# ---- 10 minhash
+
+
+def plain_components(doc_rows, n):
+    sets = {}
+    for r in doc_rows:
+        w = WORDS.findall((r[1] or "").translate(FOLD))
+        sets[r[0]] = frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+    label = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                k = len(sets[a] & sets[b])
+                if k and 100 * k >= 80 * (len(sets[a]) + len(sets[b]) - k):
+                    label[a] = label[b] = min(label[a], label[b])
+    return {i: (len(sets[i]), label[i], label[i] == i) for i in sets}
+
+
+@pytest.mark.parametrize("block", [minhash.BLOCK_MEMBERS, 2])
+def test_minhash(spark, docs, rows, nothing, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", block)
+    one_each = [r for r in rows[:-2] if rows.index(r) == [x[0] for x in rows].index(r[0])]
+    expect = plain_components(one_each, 2)
+    d = spark.createDataFrame(rows[:-1], SCHEMA)
+    out = minhash.near_duplicates(d, words=2).collect()
+    assert len(out) == len(rows) - 1
+    for r in out:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.n_shingles, r.component_id, r.kept) == expect[r.doc_id]
+    if block > 2:
+        assert minhash.near_duplicates(nothing).count() == 0
+
+
+def test_shingles():
+    t = ["One two  three", "one TWO three", "", None, "one", "éÉ \t é"]
+    b = [x.encode() if x is not None else None for x in t]
+    s = shingles.batch_shingles(b, 2)
+    assert [len(x) for x in s] == [2, 2, 0, 0, 1, 1]
+    assert (s[0] == s[1]).all() and all((x == shingles.shingle_set(y or b"", 2)).all() for x, y in zip(s, b, strict=True))
+
+
+# ---- 1 and 3: trained models
+
+
+def test_language_id(spark, nothing):
+    r = random.Random(2)
+    of = {"en": ["the", "and", "thing", "over", "would"], "de": ["und", "nicht", "schon", "über", "wäre"]}
+    rows = [(i, " ".join(r.choice(of[x]) for _ in range(r.randint(3, 40))), x) for i in range(300) for x in [("en", "de")[i % 2]]]
+    rows += [(500, None, "en"), (501, "123 !! _", "en"), (502, "", None), (503, "the and", None), (None, "und nicht", "de"), (504, "the and " * 200_000, "en")]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    by = {r.doc_id: r for r in out}
+    assert len(out) == len(rows) and all(0 <= x.score <= 1 for x in out)
+    assert [by[i].lang_pred for i in (500, 501, 502, 503, 504)] == ["und", "und", "und", "en", "en"]
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(by[i].held_out == (i in held) for i in range(300))
+    assert sum(by[i].lang_pred == rows[i][2] for i in held) / len(held) > 0.98
+    assert langid.identify(nothing).count() == 0
+
+
+def test_chunks_cover_documents_alike_alone_and_together():
+    net = quality_cnn.Network(3)
+    w = net.weights()
+    r = random.Random(4)
+    some = [bytes(r.randrange(256) for _ in range(n)) for n in (0, 1, 31, 32, 33, 64, 5000, 200_000)]
+    together = quality_cnn.pooled(some, w[0], w[1])
+    for t, m in zip(some, together, strict=True):
+        assert np.allclose(quality_cnn.pooled([t], w[0], w[1])[0], m, atol=1e-5)
+    late = b"a" * 150_000 + b"#&%$" * 40  # what stands at the end counts
+    assert not np.allclose(quality_cnn.pooled([late], w[0], w[1]), quality_cnn.pooled([b"a" * 150_000], w[0], w[1]))
+
+
+def test_quality_network(spark, nothing):
+    r = random.Random(6)
+    good = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    bad = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) + "###" for _ in range(60))
+    rows = [(i, good() if i % 3 else bad()) for i in range(240)]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(240)] + [(None, 1, 0), (1, None, 0)]
+    d = spark.createDataFrame([*rows, (500, None), (501, ""), (None, good())], "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = quality_cnn.classify(d, lab).collect()
+    by = {x.doc_id: x for x in out}
+    held = [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert len(out) == 243 and all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.5) for x in out)
+    assert all(by[i].held_out == (i in held) for i in range(240))
+    assert sum(by[i].predicted == int(i % 3 > 0) for i in held) / len(held) > 0.95
+    assert quality_cnn.classify(nothing, lab).count() == 0
+    assert {x.score for x in quality_cnn.classify(d, lab.limit(0)).collect()} == {0.5}
