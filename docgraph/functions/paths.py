@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Extension to language, for source files.
+#: Extension to language, for source files.
 LANGUAGES = {
     "py": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript",
     "java": "java", "kt": "kotlin", "go": "go", "rs": "rust", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "cs": "csharp",
     "rb": "ruby", "php": "php", "swift": "swift", "scala": "scala", "vue": "vue", "svelte": "svelte",
 }
+#: What makes a path a test's.
 TEST_DIR = r"(?i)(^|/)(test|tests|testing|__tests__|spec|specs)(/|$)"
 TEST_FILE = r"(?i)(^test_|^tests?\.|[._-]tests?\.|\.test\.|\.spec\.)"
 

@@ -15,13 +15,13 @@ def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, text): a document a nation, with meta, a table of its customers and a section for each."""
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     section = F.concat(
-        F.lit("## {{name}} "), k, F.lit(" {#c-"), k, F.lit("}\nBalance "), F.col("c_acctbal"), F.lit(". See [[#c-"), k + 25, F.lit("]], `[[#no]]` and [next](n"), (n + 1) % 25, F.lit(".geml#c-"), k + 1, F.lit(").\n")
+        F.lit("## {{name}} "), k, F.lit(" {#c-"), k, F.lit("}\nBalance "), F.col("c_acctbal"), F.lit(". See [[#c-"), k + 25, F.lit("]], `[[#no]]` and [next](n"), (n + 1) % 25, F.lit(".mk#c-"), k + 1, F.lit(").\n")
     )
     of = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), c.alias("x")))), lambda s: s["x"])
     d = read(spark, sf_dir, "customer").groupBy(n.alias("n")).agg(of(F.concat_ws(",", k, "c_acctbal")).alias("rows"), of(section).alias("sections"))
     head = F.concat(F.lit("=== meta\nname = NATION_"), F.col("n"), F.lit("\n===\n\n# Nation {{name}} {#top}\n\n=== table {#customers format=csv}\nkey,bal\n"))
     return d.select(
-        F.concat(F.lit("n"), F.col("n"), F.lit(".geml")).alias("doc"), F.concat(head, F.array_join("rows", "\n"), F.lit("\n===\n\n"), F.array_join("sections", "\n")).alias("text")
+        F.concat(F.lit("n"), F.col("n"), F.lit(".mk")).alias("doc"), F.concat(head, F.array_join("rows", "\n"), F.lit("\n===\n\n"), F.array_join("sections", "\n")).alias("text")
     )
 
 
@@ -29,7 +29,7 @@ def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_corpus(markup(spark, sf_dir).repartition("doc"))
 
 
-DOC = "'n' || c_nationkey || '.geml'"
+DOC = "'n' || c_nationkey || '.mk'"
 
 
 @query(
@@ -57,7 +57,7 @@ def b6_interpolate(spark, d):
 @query(
     "b8_extract_refs",
     f"""SELECT {DOC} AS doc, 'autoref' AS kind, CAST(NULL AS VARCHAR) AS target, 'c-' || (c_custkey + 25) AS anchor FROM customer
-  UNION ALL SELECT {DOC}, 'cross', 'n' || ((c_nationkey + 1) % 25) || '.geml', 'c-' || (c_custkey + 1) FROM customer""",
+  UNION ALL SELECT {DOC}, 'cross', 'n' || ((c_nationkey + 1) % 25) || '.mk', 'c-' || (c_custkey + 1) FROM customer""",
 )
 def b8_extract_refs(spark, d):
     return corpus.tagged(scanned(spark, d), "ref").select("doc", F.col("ref_kind").alias("kind"), F.col("target_doc").alias("target"), "anchor")
@@ -77,7 +77,7 @@ def b11_list_ids(spark, d):
 )
 def b12_get_block(spark, d):
     m = markup(spark, d)
-    keys = read(spark, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("n"), F.col("c_nationkey"), F.lit(".geml")).alias("doc"), F.concat(F.lit("c-"), F.col("c_custkey")).alias("id"))
+    keys = read(spark, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("n"), F.col("c_nationkey"), F.lit(".mk")).alias("doc"), F.concat(F.lit("c-"), F.col("c_custkey")).alias("id"))
     return corpus.get_blocks(m, scan_corpus(m), keys, head=True).withColumnRenamed("body", "head")
 
 
@@ -100,7 +100,7 @@ def c1_unresolved_autoref(spark, d):
 
 @query(
     "c2_unresolved_cross",
-    f"""SELECT {DOC} AS doc, 'n' || ((c_nationkey + 1) % 25) || '.geml' AS target, 'c-' || (c_custkey + 1) AS anchor, 'unresolved reference' AS reason FROM customer a
+    f"""SELECT {DOC} AS doc, 'n' || ((c_nationkey + 1) % 25) || '.mk' AS target, 'c-' || (c_custkey + 1) AS anchor, 'unresolved reference' AS reason FROM customer a
   WHERE NOT EXISTS (SELECT 1 FROM customer b WHERE b.c_custkey = a.c_custkey + 1 AND b.c_nationkey = (a.c_nationkey + 1) % 25)""",
 )
 def c2_unresolved_cross(spark, d):
@@ -110,8 +110,8 @@ def c2_unresolved_cross(spark, d):
 
 @query(
     "c4_corpus_backlinks",
-    """SELECT 'n' || b.c_nationkey || '.geml' AS target, 'c-' || b.c_custkey AS id, 'n' || a.c_nationkey || '.geml' AS doc FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 25 AND b.c_nationkey = a.c_nationkey
-  UNION ALL SELECT 'n' || b.c_nationkey || '.geml', 'c-' || b.c_custkey, 'n' || a.c_nationkey || '.geml' FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 AND b.c_nationkey = (a.c_nationkey + 1) % 25""",
+    """SELECT 'n' || b.c_nationkey || '.mk' AS target, 'c-' || b.c_custkey AS id, 'n' || a.c_nationkey || '.mk' AS doc FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 25 AND b.c_nationkey = a.c_nationkey
+  UNION ALL SELECT 'n' || b.c_nationkey || '.mk', 'c-' || b.c_custkey, 'n' || a.c_nationkey || '.mk' FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 AND b.c_nationkey = (a.c_nationkey + 1) % 25""",
 )
 def c4_corpus_backlinks(spark, d):
     return corpus.backlinks(scanned(spark, d)).select("target", "id", "doc")
@@ -151,7 +151,7 @@ def b20_export_corpus(spark, d):
 def b22_apply_patches(spark, d):
     m = markup(spark, d)
     p = read(spark, d, "customer").where("c_custkey % 4 = 0").select(
-        F.concat(F.lit("n"), F.col("c_nationkey"), F.lit(".geml")).alias("doc"), F.concat(F.lit("c-"), F.col("c_custkey")).alias("id"), F.concat(F.lit("## new {#c-"), F.col("c_custkey"), F.lit("}\nPatched.\n")).alias("body")
+        F.concat(F.lit("n"), F.col("c_nationkey"), F.lit(".mk")).alias("doc"), F.concat(F.lit("c-"), F.col("c_custkey")).alias("id"), F.concat(F.lit("## new {#c-"), F.col("c_custkey"), F.lit("}\nPatched.\n")).alias("body")
     )
     out = corpus.apply_patches(m, scan_corpus(m), p)
     n = lambda rx: F.size(F.regexp_extract_all("text", F.lit(rx), F.lit(0))).cast(L)
@@ -162,6 +162,6 @@ def b22_apply_patches(spark, d):
 def g4_rejected_patches(spark, d):
     """Patches that leave out their block's id drop it: those documents are refused."""
     m = markup(spark, d)
-    p = read(spark, d, "customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("n"), F.col("c_nationkey"), F.lit(".geml")).alias("doc"), F.concat(F.lit("c-"), F.col("c_custkey")).alias("id"), F.lit("gone\n").alias("body"))
+    p = read(spark, d, "customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("n"), F.col("c_nationkey"), F.lit(".mk")).alias("doc"), F.concat(F.lit("c-"), F.col("c_custkey")).alias("id"), F.lit("gone\n").alias("body"))
     before = scan_corpus(m)
     return corpus.rejected_patches(before, scan_corpus(corpus.apply_patches(m, before, p)))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Relation kinds of an extract and the edge kinds they become; others are dropped.
+#: Relation kinds of an extract and the edge kinds they become; others are dropped.
 KINDS = {"CALLS": "calls", "IMPORTS_FROM": "imports", "INHERITS": "inherits", "IMPLEMENTS": "inherits", "TESTED_BY": "tested-by", "REFERENCES": "references"}
+#: Fixed value: names of accessors.
 ACCESSOR = r"^(get|set|is)(?![a-z])"
 
 

@@ -13,7 +13,7 @@ DOC = """=== meta
 name = X
 ===
 # Title {#top}
-See [[#a]], `[[#no]]`, [x](b.geml#c), \\[[#e]] and [^n] for {{name}}.
+See [[#a]], `[[#no]]`, [x](b.mk#c), \\[[#e]] and [^n] for {{name}}.
 === note {#a .k}
 inside {{gone}}
 ==== code {#deep}
@@ -35,7 +35,7 @@ def test_scan():
         ("block", "meta"), ("heading", None), ("paragraph", None), ("block", "note"), ("paragraph", None), ("block", "code"), ("heading", None), ("list", None), ("footnote", None), ("block", "odd"),
     ]
     assert {r["id"] for r in of("id")} == {"top", "a", "deep", "sub", "fn:n"}
-    assert {(r["ref_kind"], r.get("target_doc"), r["anchor"]) for r in of("ref")} == {("autoref", None, "a"), ("cross", "b.geml", "c"), ("footnote", None, "fn:n")}
+    assert {(r["ref_kind"], r.get("target_doc"), r["anchor"]) for r in of("ref")} == {("autoref", None, "a"), ("cross", "b.mk", "c"), ("footnote", None, "fn:n")}
     assert {r["code"] for r in of("diagnostic")} == {"unknown-key", "unterminated", "unknown-type"}
     assert scan_document("e", "") == [] and scan_document("e", None) == []
 
@@ -46,15 +46,15 @@ def test_references_and_variables():
 
 
 def test_check_and_patches(spark):
-    c = spark.createDataFrame([("a.geml", DOC), ("b.geml", "# C {#c}\ntext\n# C {#c}")], "doc string, text string")
+    c = spark.createDataFrame([("a.mk", DOC), ("b.mk", "# C {#c}\ntext\n# C {#c}")], "doc string, text string")
     from docgraph.sources.scan import scan_corpus
 
     s = scan_corpus(c)
     codes = {(r.doc, r.code) for r in corpus.check_corpus(s, c).collect()}
-    assert ("b.geml", "duplicate-id") in codes and not any(x[1].startswith("unresolved") for x in codes)
-    p = spark.createDataFrame([("b.geml", "c", "# New {#c}")], "doc string, id string, body string")
+    assert ("b.mk", "duplicate-id") in codes and not any(x[1].startswith("unresolved") for x in codes)
+    p = spark.createDataFrame([("b.mk", "c", "# New {#c}")], "doc string, id string, body string")
     new = {r.doc: r.text for r in corpus.apply_patches(c, s, p).collect()}
-    assert new["a.geml"] == DOC and new["b.geml"].startswith("# New {#c}")
+    assert new["a.mk"] == DOC and new["b.mk"].startswith("# New {#c}")
     assert corpus.rejected_patches(s, scan_corpus(corpus.apply_patches(c, s, p))).count() == 0
 
 
