@@ -112,3 +112,35 @@ def j3_need_commit(spark, d):
 
     r = history.revision_log(revisions(spark, d)).withColumn("hash", F.sha2("text", 256))
     return graph.changed_docs(r.where("offset = -1"), r.where("offset = 0")).where("change = 'changed'").select("doc")
+
+
+@query(
+    "j11_parse_history",
+    """SELECT 'h' || conv_id AS doc, 'r' || turn AS rev, 'replace' AS kind, '#k' || turn AS key, 'b' || turn AS blob, CAST(NULL AS VARCHAR) AS anchor, length(replace(text, chr(10), ' ')) AS n FROM conversations
+  UNION ALL SELECT 'h' || conv_id, 'r' || turn, 'insert', NULL, 'b' || turn, CASE WHEN turn = 0 THEN 'at-start' ELSE '#k' || (turn - 1) END, length(replace(text, chr(10), ' ')) FROM conversations""",
+)
+def j11_parse_history(spark, d):
+    """History files written from the conversations and read back: operations with the length of their blob."""
+    from docgraph.sources.scan import scan_corpus
+
+    t = F.col("turn")
+    block = F.concat(
+        F.lit('=== revision {id="r'), t, F.lit('" author="'), "role", F.lit('"}\nreplace #k'), t, F.lit(" <- blob:b"), t, F.lit("\ninsert <- blob:b"), t,
+        F.when(t == 0, F.lit(" at-start")).otherwise(F.concat(F.lit(" after #k"), t - 1)), F.lit("\n===\n=== blob {#b"), t, F.lit("}\n"), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n===\n"),
+    )
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"]), "\n")
+    files = read(spark, d, "conversations").groupBy(F.concat(F.lit("h"), "conv_id").alias("doc")).agg(text.alias("text"))
+    _, ops, blobs, _ = history.parse_history(scan_corpus(files))
+    return ops.join(blobs.select("doc", F.col("id").alias("blob"), F.length("payload").cast(L).alias("n")), ["doc", "blob"]).select("doc", "rev", "kind", "key", "blob", "anchor", "n")
+
+
+@query("j8_revert_blocks", "SELECT CAST(conv_id AS VARCHAR) AS doc, '=== note {#a}' || chr(10) || replace(arg_min(text, turn), chr(10), ' ') || chr(10) || '===' || chr(10) || chr(10) || 'end' AS text FROM conversations GROUP BY 1")
+def j8_revert_blocks(spark, d):
+    """Each document's block put back to its first revision."""
+    from docgraph.sources.scan import scan_corpus
+
+    body = F.concat(F.lit("=== note {#a}\n"), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n===\n\nend"))
+    r = read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("doc"), F.col("turn").alias("rev"), body.alias("text"))
+    now = r.groupBy("doc").agg(F.max_by("text", "rev").alias("text"))
+    keys = r.groupBy("doc").agg(F.min("rev").alias("rev")).withColumn("id", F.lit("a"))
+    return history.revert_blocks(now, scan_corpus(now), history.reconstruct(history.commit_chain(r)), keys)

@@ -196,3 +196,27 @@ def truncate_to(history: DataFrame, keep: DataFrame) -> DataFrame:
 def change_frequency(history: DataFrame) -> DataFrame:
     """(doc, key, revisions): how many revisions touched a unit."""
     return history.where("key IS NOT NULL").groupBy("doc", "key").agg(F.countDistinct("rev").alias("revisions"))
+
+
+def parse_history(scanned: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(revisions, ops, blobs, keyframes) of scanned history files: blocks of those types, one operation a line."""
+    from docgraph.operators.corpus import tagged
+
+    b = tagged(scanned, "block").where("kind = 'block'")
+    attr = lambda k: F.try_element_at("attrs", F.lit(k))
+    revs = b.where("type = 'revision'").select("doc", attr("id").alias("rev"), attr("parent").alias("parent"), attr("author").alias("author"), attr("summary").alias("summary"), attr("hash").alias("hash"), attr("newline").alias("newline"), "text")
+    lines = revs.select("doc", "rev", F.posexplode(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("op_seq", "line"))
+    part = lambda rx: F.nullif(F.regexp_extract("line", rx, 1), F.lit(""))
+    ops = lines.select(
+        "doc", "rev", "op_seq", F.substring_index("line", " ", 1).alias("kind"), part(r"^(?:delete|replace|move)\s+(\S+)").alias("key"), part(r"blob:(\S+)").alias("blob"),
+        F.coalesce(part(r"\safter\s+(\S+)$"), part(r"\s(at-start|at-end)$")).alias("anchor"),
+    )
+    return revs.drop("text"), ops, b.where("type = 'blob'").select("doc", "id", F.col("text").alias("payload")), b.where("type = 'keyframe'").select("doc", attr("id").alias("rev"), F.col("text").alias("content"))
+
+
+def revert_blocks(corpus: DataFrame, scanned: DataFrame, rebuilt: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc, text): the blocks (doc, id) of ``keys`` put back to their text at ``rev``; from rebuilt revisions (doc, rev, text)."""
+    from docgraph.operators.corpus import apply_patches
+
+    units = tile_units(rebuilt).select("doc", "rev", F.substring("key", 2, 1 << 20).alias("id"), F.regexp_replace("full", r"\n+$", "").alias("body"))
+    return apply_patches(corpus, scanned, keys.join(units, ["doc", "rev", "id"]).select("doc", "id", "body"))
