@@ -61,6 +61,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.closes = np.zeros(1 << 16, bool)
+        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         (self.between,) = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {"": b""}
 
@@ -71,16 +73,30 @@ class Encoder:
         plain = [w for w in words if w and BETWEEN not in w and "<|" not in w]
         folded = "\n".join(plain).encode("utf-8", "surrogatepass").translate(FOLD).decode("utf-8", "surrogatepass").split("\n") if plain else []
         # letters and the marks after them are pieces of their own
-        heads = [w.rstrip(MARKS) for w in folded]
-        heads = [h if not h or (h.isalpha() and (h.isascii() or max(h) < "\u0100")) else w for h, w in zip(heads, folded, strict=True)]
-        tails = [w[len(h) :] for w, h in zip(folded, heads, strict=True)]
-        fresh = [p for p in {*heads, *tails} if p not in known]
-        for at in range(0, len(fresh), 4000):
-            some = fresh[at : at + 4000]
-            ids = np.array(self.tokenizer.encode(f" {BETWEEN} ".join(some), add_special_tokens=False).ids, "<u2")
-            cuts = np.flatnonzero(ids == self.between)
-            packed, starts, ends = ids.tobytes(), [0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), 2 * len(ids)]
-            known.update(zip(some, map(packed.__getitem__, map(slice, starts, ends)), strict=True))
+        heads, tails, wordy, others = [], [], set(), set()
+        for w in folded:
+            h = w.rstrip(MARKS)
+            if h and h.isalpha() and (h.isascii() or max(h) < "\u0100"):
+                wordy.add(h)
+            elif h:
+                h = w
+                others.add(w)
+            heads.append(h)
+            tails.append(w[len(h) :])
+        others.update(tails)
+        # letters alone are one piece, whose last id closes a word; other pieces are told apart by a sign between them
+        for pieces, letters, between in ((wordy, True, " "), (others, False, f" {BETWEEN} ")):
+            own = [p for p in pieces if p not in known]
+            for at in range(0, len(own), 4000):
+                some = own[at : at + 4000]
+                ids = np.array(self.tokenizer.encode(between.join(some), add_special_tokens=False).ids, "<u2")
+                if letters:
+                    cuts = 2 * np.flatnonzero(self.closes[ids]) + 2
+                    starts, ends = [0, *cuts[:-1].tolist()], cuts.tolist()
+                else:
+                    cuts = 2 * np.flatnonzero(ids == self.between)
+                    starts, ends = [0, *(cuts + 2).tolist()], [*cuts.tolist(), 2 * len(ids)]
+                known.update(zip(some, map(ids.tobytes().__getitem__, map(slice, starts, ends)), strict=True))
         for w, h, t in zip(plain, heads, tails, strict=True):
             known[w] = known[h] + known[t] if t else known[h]
         rest = sorted(words.difference(plain))
