@@ -1,11 +1,12 @@
 """URL filters by association rules.
 
 A page list of hand-written host and path rules labels the pages it covers.
-Spark's FP-growth mines token combinations of those URLs together with the
-label; rules "tokens -> block" that pass the support, confidence and size
-limits are kept, and of nested ones the shorter. A page the list doesn't cover
-is blocked if a mined rule matches: each rule is indexed under its rarest
-token, so a page meets only rules that share that token.
+Spark's FP-growth mines token combinations of all URLs, with the label on those
+the list blocks; rules "tokens -> block" that pass the support, confidence and
+size limits are kept, and of nested ones the shorter. Pages the list doesn't
+cover count as not blocked, as a list of few hosts shows too little of what
+else has a token. Such a page is blocked if a mined rule matches: each rule is
+indexed under its rarest token, so a page meets only rules that share it.
 
 Nulls and edge cases: a null url, or one without ``://``, has an empty host and
 path, is covered by no rule and has no tokens, so it is allowed; repeated rows
@@ -26,10 +27,12 @@ RULES = (
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
     ("block", "net", "/es/"), ("block", "net", "/fr/"),
 )
-#: A mined rule holds for this share of the labelled pages, and this share of those with its tokens is blocked.
+#: A mined rule holds for this share of all pages, and the list blocks this share of those with its tokens.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.95
-#: Tokens of a rule, and rules that are kept (those of most support): what is broadcast.
-MAX_TOKENS, MAX_RULES = 3, 10_000
+#: Most tokens of a rule.
+MAX_TOKENS = 3
+#: At most so many rules are broadcast; more meet the pages by a shuffle.
+BROADCAST_RULES = 10_000
 BLOCKED = "label=block"
 
 
@@ -58,17 +61,16 @@ def tokens_of(host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(labels, segments), lambda x: F.length(x) > 2))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(rule_id, tokens, confidence, support) from rows of tokens and blocked.
+def mine(pages: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """(rule_id, tokens, confidence, support) from rows of tokens and blocked, one for every page, covered by the list or not.
 
-    Rows come grouped: equal transactions differ only in number, and a token
-    set that is too rare can't reach the support, so tokens are pruned first.
+    A token set that is too rare can't reach the support, so tokens are pruned first.
     """
-    spark = labelled.sparkSession
-    n = labelled.count()
-    frequent = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= max(1.0, min_support * n))
+    spark = pages.sparkSession
+    n = pages.count()
+    frequent = pages.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= max(1.0, min_support * n))
     kept = materialize(
-        labelled.withColumn("row", F.monotonically_increasing_id()).select("row", "blocked", F.explode("tokens").alias("token"))
+        pages.withColumn("row", F.monotonically_increasing_id()).select("row", "blocked", F.explode("tokens").alias("token"))
         .join(frequent.select("token"), "token", "left_semi")
         .groupBy("row", "blocked").agg(F.collect_set("token").alias("items"))
         .select(F.when(F.col("blocked"), F.array_append("items", F.lit(BLOCKED))).otherwise(F.col("items")).alias("items")),
@@ -80,24 +82,27 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, min_support * n / kept.count()), minConfidence=min_confidence).fit(kept)
     rules = (
         model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED) & (F.size("antecedent") <= MAX_TOKENS))
-        .orderBy(F.desc("support"), F.desc("confidence"), F.array_join(F.array_sort("antecedent"), " ")).limit(MAX_RULES)
+        .orderBy(F.desc("support"), F.desc("confidence"), F.array_join(F.array_sort("antecedent"), " "))
         .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     )
     rules = materialize(rules.withColumn("rule_id", F.monotonically_increasing_id()), "url-rules")
-    # a rule that another one's tokens imply adds nothing; rules meet at a shared token, not in pairs of all
-    left = rules.select("rule_id", F.col("tokens").alias("wide"), F.explode("tokens").alias("token"))
-    right = rules.select(F.col("rule_id").alias("other"), F.col("tokens").alias("narrow"), F.col("tokens")[0].alias("token"))
-    implied = left.join(right, "token").where(
-        (F.col("rule_id") != F.col("other")) & (F.size("narrow") < F.size("wide")) & (F.size(F.array_except("narrow", "wide")) == 0)
-    )
+    # a rule that another one's tokens imply adds nothing; a rule looks up its own parts of one and two tokens
+    one = F.transform("tokens", lambda x: F.array(x))
+    two = F.flatten(F.transform("tokens", lambda x: F.transform(F.filter("tokens", lambda y: y > x), lambda y: F.array(x, y))))
+    parts = rules.select("rule_id", F.col("tokens").alias("wide"), F.explode(F.concat(one, two)).alias("tokens")).where(F.size("tokens") < F.size("wide"))
+    implied = parts.join(rules.select("tokens"), "tokens", "left_semi")
     return rules.join(implied.select("rule_id").distinct(), "rule_id", "left_anti")
 
 
-def matched(pages: DataFrame, rules: DataFrame, tokens: DataFrame) -> DataFrame:
+def small(rules: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(rules) if few else rules
+
+
+def matched(pages: DataFrame, rules: DataFrame, tokens: DataFrame, few: bool) -> DataFrame:
     """(page row, rule) by an inverted index: ``pages`` has row and tokens, ``tokens`` how often each occurs."""
     keyed = rules.select("rule_id", "tokens", F.explode("tokens").alias("token")).join(tokens, "token", "left")
     index = keyed.groupBy("rule_id").agg(F.first("tokens").alias("need"), F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-    met = pages.select("row", F.col("tokens").alias("have"), F.explode("tokens").alias("token")).join(F.broadcast(index), "token")
+    met = pages.select("row", F.col("tokens").alias("have"), F.explode("tokens").alias("token")).join(small(index, few), "token")
     return met.where(F.size(F.array_except("need", "have")) == 0).groupBy("row").agg(F.min("rule_id").alias("mined"))
 
 
@@ -106,10 +111,11 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     rows = materialize(
         listed(pages, rules).withColumn("tokens", tokens_of(F.col("host"), F.col("path"))).withColumn("row", F.monotonically_increasing_id()), "url-pages"
     )
-    mined = mine(rows.where("listed IS NOT NULL").select("tokens", (F.col("listed") == "block").alias("blocked")))
+    mined = materialize(mine(rows.select("tokens", F.col("listed").eqNullSafe("block").alias("blocked"))), "url-mined")
+    few = mined.count() <= BROADCAST_RULES
     often = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    hits = matched(rows.where("listed IS NULL").select("row", "tokens"), mined, often)
-    named = hits.join(F.broadcast(mined.select(F.col("rule_id").alias("mined"), F.array_join("tokens", " & ").alias("tokens_of_rule"))), "mined", "left")
+    hits = matched(rows.where("listed IS NULL").select("row", "tokens"), mined, often, few)
+    named = hits.join(small(mined.select(F.col("rule_id").alias("mined"), F.array_join("tokens", " & ").alias("tokens_of_rule")), few), "mined", "left")
     out = rows.join(named.select("row", "tokens_of_rule"), "row", "left")
     verdict = F.coalesce("listed", F.when(F.col("tokens_of_rule").isNotNull(), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("tokens_of_rule").alias("mined"))

@@ -270,6 +270,25 @@ def test_mined_rules_match_by_index(spark):
     assert out[201].verdict == "allow" and out[201].mined is None
 
 
+def test_pages_outside_the_list_count_against_a_rule(spark):
+    rows = [(i, f"http://a{i}.net/es/{i}") for i in range(30)] + [(100 + i, f"http://a{i}.org/en/{i}") for i in range(30)]
+    rows += [(200 + i, f"http://b{i}.net/en/{i}") for i in range(30)] + [(300, "http://www.example.com/en/"), (301, "http://example.com/en/1")]
+    out = {r.page_id: r for r in url_rules.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert {i for i, r in out.items() if r.verdict == "block"} == {*range(30), 301}
+
+
+def test_no_mined_rule_is_dropped(spark, monkeypatch):
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    rows = [(100 * i + k, f"http://{w}.net/fr/x") for i, w in enumerate(words) for k in range(20)] + [(90_000 + i, f"http://{w}.org/x") for i, w in enumerate(words)]
+    rows += [(95_000 + i, "http://u.net/it/x") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    wide = sorted(url_rules.judge(pages).collect())
+    assert {r.page_id for r in wide if r.page_id >= 90_000 and r.verdict == "block"} == {90_000 + i for i in range(100)}
+    monkeypatch.setattr(url_rules, "BROADCAST_RULES", 0, raising=False)
+    monkeypatch.setattr(url_rules, "MAX_RULES", 10, raising=False)
+    assert sorted(url_rules.judge(pages).collect()) == wide
+
+
 # ---- 10 minhash
 
 
