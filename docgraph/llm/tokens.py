@@ -21,6 +21,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -46,6 +47,8 @@ CACHE = 1_000_000
 #: Stands between words that are encoded in one call; a piece of its own, whose id occurs in no word without it.
 BETWEEN = "~"
 FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: The tokenizer composes before it lowers case, and a small letter may compose with a mark where its capital doesn't; no mark is below U+0300.
+MARKED_CAPITAL = re.compile("[A-Z][\u0300-\U0010ffff]")
 MARKS = "!*#$%&.,;:?"
 
 
@@ -71,7 +74,10 @@ class Encoder:
             self.known = {"": b""}
         known = self.known
         plain = [w for w in words if w and BETWEEN not in w and "<|" not in w]
-        folded = "\n".join(plain).encode("utf-8", "surrogatepass").translate(FOLD).decode("utf-8", "surrogatepass").split("\n") if plain else []
+        lines = "\n".join(plain)
+        folded = lines.encode("utf-8", "surrogatepass").translate(FOLD).decode("utf-8", "surrogatepass").split("\n") if plain else []
+        if MARKED_CAPITAL.search(lines):
+            folded = [w if MARKED_CAPITAL.search(w) else f for w, f in zip(plain, folded, strict=True)]
         # letters and the marks after them are pieces of their own
         heads, tails, wordy, others = [], [], set(), set()
         for w in folded:

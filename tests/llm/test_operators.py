@@ -233,6 +233,15 @@ def test_words_are_encoded_as_in_their_text():
         assert np.frombuffer(ids, "<u2").tolist() == [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
 
 
+def test_capitals_with_combining_marks_are_encoded_as_in_their_text():
+    e = tokens.Encoder(vocabulary())
+    pairs = [c + m for c, m in zip("HJTWY", "\u0331\u030c\u0308\u030a\u030a", strict=True)]
+    words = [f(p) for p in pairs for f in (str, str.lower, lambda p: f"a{p}b!", lambda p: f"{p}aB,", lambda p: f"X{p}\u0323")]
+    words += [chr(c) + chr(m) for c in range(65, 91) for m in range(0x300, 0x370)]
+    for t, ids in zip([" ".join(words), *words], e.encode([" ".join(words), *words]), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 1]
+
+
 def test_blocks_decode_from_any_checkpoint_and_notice_damage():
     ids = np.random.default_rng(1).zipf(1.3, 300_000).clip(0, 49_000).astype("<u2")
     freq = tokens.scaled(np.bincount(ids, minlength=1 << 16))
