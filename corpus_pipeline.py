@@ -50,11 +50,16 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix reads it: its taken words over its size, rounded up; documents that it doesn't read go."""
-    plan = mixing.mix(docs)
+    """Each document as often as the mix reads it: its taken words over its size, rounded up; documents that it doesn't read go.
+
+    The rows are numbered first, as an id may be null or repeated.
+    """
+    docs = materialize(docs.withColumn("record", F.monotonically_increasing_id()), "pipeline-records")
+    plan = mixing.mix(docs, keep=("record",))
     times = F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    plan = if_small(plan.where("taken > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(times).alias("times")), "pipeline-plan")
-    return docs.join(plan, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("reading")).select(*docs.columns)
+    plan = if_small(plan.where("taken > 0").select("record", times.alias("times")), "pipeline-plan")
+    columns = [c for c in docs.columns if c != "record"]
+    return docs.join(plan, "record").select(*columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("reading")).select(*columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

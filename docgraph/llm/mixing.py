@@ -136,12 +136,12 @@ def lay_out(docs: DataFrame, rows: int) -> DataFrame:
     )
 
 
-def mix(documents: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = 7) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, first_slot."""
+def mix(documents: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, first_slot, and the columns ``keep`` as they are."""
     docs = materialize(
         documents.select(
             "doc_id", "source", word_count(F.col("text")).alias("size"),
-            F.xxhash64("doc_id", "text", F.lit(seed)).alias("mix"), F.xxhash64("text").alias("text_hash"),
+            F.xxhash64("doc_id", "text", F.lit(seed)).alias("mix"), F.xxhash64("text").alias("text_hash"), *keep,
         ),
         "mix-sizes",
     )
@@ -177,5 +177,5 @@ def mix(documents: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = 7) -> Da
     )
     return placed.join(taken, "row", "left").select(
         "doc_id", "source", "size", "source_size", "target",
-        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot",
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", *keep,
     )

@@ -1,6 +1,7 @@
 """The pipeline's stages: decisions take effect, columns stay, planted cases are caught."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -32,3 +33,18 @@ def test_stages(spark, tmp_path):
     assert quality - near_ == {300, 301} and near_ - bench == {302}
     assert mix <= bench and shards == mix
     assert {x.doc_id for x in pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == shards
+
+
+def test_mix_keeps_rows_without_an_id_of_their_own(spark, tmp_path):
+    from docgraph.llm import mixing
+
+    rows = [(None if i % 5 == 0 else i // 2 if i % 5 == 1 else i, " ".join(["w"] * (i + 1)), "en", f"s{i % 2}", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    expect = Counter()
+    for r in mixing.mix(docs).collect():  # sizes differ, so each tells its row
+        expect[r.doc_id, r.size] += -(-r.taken // r.size)
+    out = pipeline.mixed(spark, docs, str(tmp_path))
+    assert out.columns == pipeline.COLUMNS
+    got = Counter((r.doc_id, len(r.text.split(" "))) for r in out.collect())
+    assert got == +expect and {i for i, _ in got} >= {None}
+    assert len({got[i, n] for i, n in expect}) > 1
