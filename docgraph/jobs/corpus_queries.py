@@ -81,6 +81,14 @@ def b12_get_block(spark, d):
     return corpus.get_blocks(m, scan_corpus(m), keys, head=True).withColumnRenamed("body", "head")
 
 
+@query("b12_get_block_all")
+def b12_get_block_all(spark, d):
+    """Every id; b12_get_block has those of its SQL."""
+    m = markup(spark, d)
+    keys = read(spark, d, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey"), F.lit(".mk")).alias("doc"), F.concat(F.lit("c-"), F.col("c_custkey")).alias("id"))
+    return corpus.get_blocks(m, scan_corpus(m), keys, head=True).withColumnRenamed("body", "head")
+
+
 @query(
     "b13_section_spans",
     f"""WITH c AS (SELECT {DOC} AS doc, c_custkey, count(*) OVER (PARTITION BY c_nationkey) AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS j FROM customer)

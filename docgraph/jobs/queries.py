@@ -581,12 +581,38 @@ def i5_impact(spark, d):
     return walk.impact(edges(spark, d), _roots(spark, d))
 
 
+def _every_root(spark, d):
+    """Entries and uncalled symbols (g5)."""
+    s, e = symbols(spark, d), edges(spark, d)
+    return graph.roots_of(graph.classify(s, e), e).select(F.col("anchor").alias("root"))
+
+
+@query("i1_callees_all")
+def i1_callees_all(spark, d):
+    """From every root, with the walk's own depth and cap; i1_callees has the roots and depth of its SQL."""
+    return walk.walk(edges(spark, d), _every_root(spark, d)).withColumn("depth", F.col("depth").cast(L))
+
+
+@query("i2_callers_all")
+def i2_callers_all(spark, d):
+    """Of every symbol (an uncalled one has no callers), with the operator's own depth and cap; i2_callers has those of its SQL."""
+    return walk.callers(edges(spark, d), symbols(spark, d).select(F.col("anchor").alias("root"))).withColumn("depth", F.col("depth").cast(L))
+
+
+@query("i4_hide_accessors_all")
+def i4_hide_accessors_all(spark, d):
+    """From every root, with the walk's own depth and cap; i4_hide_accessors has the roots and depth of its SQL."""
+    shown = symbols(spark, d).where(~F.col("name").startswith("small")).select(F.col("anchor").alias("to"))
+    return walk.walk(edges(spark, d).join(shown, "to", "left_semi"), _every_root(spark, d)).withColumn("depth", F.col("depth").cast(L))
+
+
 @query("i3_layers")
 def i3_layers(spark, d):
+    """Slices of every root, with the walk's own depth and cap."""
     e = edges(spark, d)
-    n = walk.walk(e, _roots(spark, d), depth=2, cap=500)
-    s = walk.slice_edges(e, n, 2).where("NOT more").select("root", "from", "to").distinct()
-    return walk.layers(s)
+    n = walk.written(walk.walk(e, _every_root(spark, d), depth=6), "slices")
+    s = walk.slice_edges(e, n, 6).where("NOT more").select("root", "from", "to").distinct()
+    return walk.layers(s.join(n.select("root", F.col("node").alias("to")), ["root", "to"], "left_semi"))
 
 
 # ---- references and paths ----------------------------------------------------------------------
