@@ -12,17 +12,20 @@ FOLD[65:91] += 32
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
-_powers = np.ones(1, U)
+def powers_of(base: int, n: int) -> np.ndarray:
+    """base**0 ... base**(n-1), modulo 2**64."""
+    line = np.full(n, U(base))
+    line[:1] = U(1)
+    return np.cumprod(line)
+
+
+#: Kept for words; longer runs are made when they are needed.
+SOME_POWERS = powers_of(int(R), 1 << 12)
 
 
 def powers(n: int) -> np.ndarray:
     """R**0 ... R**(n-1)."""
-    global _powers
-    if len(_powers) < n:
-        grown = np.full(max(n, 64), R, U)
-        grown[0] = U(1)
-        _powers = np.cumprod(grown)
-    return _powers[:n]
+    return SOME_POWERS[:n] if n <= len(SOME_POWERS) else powers_of(int(R), n)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
