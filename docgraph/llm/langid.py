@@ -2,14 +2,16 @@
 
 Counts come from every learnable document: each task adds up its n-grams by
 language and bucket, and Spark sums the rows of all tasks. The smoothed
-log-probability matrix (languages x buckets, size checked) is broadcast, and
-documents are scored in numpy batches as a sparse product: the matrix rows of a
-document's n-grams are gathered and summed.
-
-Nulls and edge cases: a text that is null or has no letter is ``und`` with
-score 0; null languages are not learned from; with nothing to learn from every
-document is ``und``; repeated rows each get a row; ids may be null (their fold
-is that of the empty string); other columns are ignored.
+log-probability matrix (buckets x languages) is broadcast; its size is bounded
+by taking fewer buckets where there are very many languages. Documents are
+scored in batches: the n-grams of a batch are one sparse matrix of counts
+(document, bucket), which is multiplied with the matrix in numpy.
+
+Nulls and edge cases: a text that is null or has no letter (no character of
+Unicode's category L) is ``und`` with score 0; null languages are not learned
+from; with nothing to learn from every document is ``und``; of equally likely
+languages the first by name is taken; repeated rows each get a row; ids may be
+null (their fold is that of the empty string); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,16 +24,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 15
-#: The matrix that is broadcast has at most so many rows of 2**BITS floats: 32 MB.
-MAX_LANGUAGES = 256
-#: Characters hashed at a time.
-CHUNK = 1 << 19
-LETTER = re.compile(r"[^\W\d_]")
+from .common import Batches, frugal, in_pieces
+
+#: Most bits of a bucket, least ones, and cells of the matrix that is broadcast (32 MB of floats).
+BITS, LEAST_BITS, CELLS = 15, 8, 1 << 23
+#: Characters hashed at a time, bytes of text scored at a time, and languages whose counts a task holds.
+CHUNK, SCORED_BYTES, HELD = 1 << 19, 1 << 17, 64
+ALNUM = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
-def buckets(text: str) -> np.ndarray:
+def has_letter(text: str) -> bool:
+    """Whether a character is of category L: what ``\\w`` takes besides are numbers, marks and signs."""
+    return any(m[0].isalpha() for m in ALNUM.finditer(text))
+
+
+def bits_for(languages: int) -> int:
+    """The most bits whose matrix fits."""
+    bits = BITS
+    while bits > LEAST_BITS and languages << bits > CELLS:
+        bits -= 1
+    return bits
+
+
+def buckets(text: str, bits: int = BITS) -> np.ndarray:
     """Buckets of the 2- and 3-grams of a lower-cased piece of text."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     two = c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA77)
@@ -39,7 +55,7 @@ def buckets(text: str) -> np.ndarray:
     h = np.concatenate([two, three])
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
-    return (h >> np.uint32(32 - BITS)).astype(np.intp)
+    return (h >> np.uint32(32 - bits)).astype(np.intp)
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -49,70 +65,102 @@ def pieces(text: str) -> Iterator[str]:
         yield whole[at : at + CHUNK + 2]
 
 
-def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, np.ndarray] = {}
+def grams_by_language(bits: int):
+    def count_grams(batches: Batches) -> Batches:
+        counts: dict[str, np.ndarray] = {}
 
-    def rows() -> Iterator[pa.RecordBatch]:
-        for lang, n in counts.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
-        counts.clear()
+        def rows() -> Batches:
+            for lang, n in counts.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
+            counts.clear()
 
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if lang not in counts:
-                if len(counts) >= MAX_LANGUAGES:
-                    yield from rows()
-                counts[lang] = np.zeros(1 << BITS, np.int64)
-            for p in pieces(text):
-                np.add.at(counts[lang], buckets(p), 1)
-    yield from rows()
+        for batch in in_pieces(batches, 1):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if lang not in counts:
+                    if len(counts) >= HELD:
+                        yield from rows()
+                    counts[lang] = np.zeros(1 << bits, np.int64)
+                for p in pieces(text):
+                    counts[lang] += np.bincount(buckets(p, bits), minlength=1 << bits)
+        yield from rows()
+
+    return frugal(count_grams)
 
 
 def train(documents: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, log-probabilities by bucket and language, log-priors) from (lang, text) rows."""
+    """(languages, log-probabilities by bucket and language, log-priors) from (lang, text) rows.
+
+    A language reaches the driver as one row of packed arrays.
+    """
     docs = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    seen = docs.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(seen) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: the matrix would be too large to broadcast")
+    seen = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     if not seen:
         return [], np.zeros((1 << BITS, 0), np.float32), np.zeros(0)
-    langs = sorted(r["lang"] for r in seen)
-    per = {r["lang"]: r["count"] for r in seen}
-    table = docs.mapInArrow(count_grams, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.ones((1 << BITS, len(langs)))
-    counts[table["bucket"].to_numpy(), np.searchsorted(np.array(langs, dtype=object), table["lang"].to_numpy())] += table["n"].to_numpy()
-    prior = np.log(np.array([per[x] for x in langs], float) / max(1, sum(per.values())))
+    bits = bits_for(len(seen))
+    at = {r["lang"]: i for i, r in enumerate(seen)}
+    per = docs.mapInArrow(grams_by_language(bits), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    packed = per.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))  # at most 2**bits cells a language
+    counts = np.ones((1 << bits, len(seen)))
+    table = packed.select("lang", "cells.bucket", "cells.n").toArrow()
+    for lang, own, n in zip(*(table.column(k) for k in range(3)), strict=True):
+        counts[own.values.to_numpy(), at[lang.as_py()]] += n.values.to_numpy()
+    docs_of = np.array([r["n"] for r in seen], float)
     matrix = np.log(counts / counts.sum(axis=0))
     # what all languages share of a bucket doesn't count; without it, sums of floats stay precise
-    return langs, (matrix - matrix.mean(axis=1, keepdims=True)).astype(np.float32), prior
+    return [r["lang"] for r in seen], (matrix - matrix.mean(axis=1, keepdims=True)).astype(np.float32), np.log(docs_of / docs_of.sum())
+
+
+def sums(texts: list[str], matrix: np.ndarray) -> np.ndarray:
+    """For each text and language, the sum of its n-grams' log-probabilities: a sparse product, in blocks of bounded size."""
+    bits = len(matrix).bit_length() - 1
+    out = np.zeros((len(texts), matrix.shape[1]))
+    held: list[np.ndarray] = []
+    owner: list[int] = []
+
+    def multiply() -> None:
+        sizes = np.array([len(h) for h in held])
+        rows = matrix[np.concatenate(held)]
+        found = np.add.reduceat(rows, np.cumsum(sizes) - sizes, axis=0)
+        np.add.at(out, owner, found)
+        held.clear()
+        owner.clear()
+
+    size = 0
+    for i, text in enumerate(texts):
+        for p in pieces(text):
+            h = buckets(p, bits)
+            if len(h):
+                held.append(h)
+                owner.append(i)
+                size += len(h)
+            if size > SCORED_BYTES:
+                multiply()
+                size = 0
+    if held:
+        multiply()
+    return out
 
 
 def predict(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, held_out, lang_pred, score from rows of doc_id, held_out, text."""
-    langs, matrix, prior = model
-    shared = documents.sparkSession.sparkContext.broadcast((langs, matrix, prior))
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Batches) -> Batches:
         langs, matrix, prior = shared.value
-        for batch in batches:
-            names, scores = [], []
-            for text in batch.column(2).to_pylist():
-                if not langs or text is None or not LETTER.search(text):
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                total = prior.copy()
-                for p in pieces(text):
-                    rows = matrix[buckets(p)]
-                    total += np.ones(len(rows), np.float32) @ rows
-                best = int(total.argmax())
-                names.append(langs[best])
-                scores.append(float(1 / np.exp(total - total[best]).sum()))
+        for batch in in_pieces(batches, 2):
+            texts = batch.column(2).to_pylist()
+            names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+            read = [i for i, t in enumerate(texts) if langs and t is not None and has_letter(t)]
+            if read:
+                total = sums([texts[i] for i in read], matrix) + prior
+                best = total.argmax(axis=1)
+                names[read] = [langs[b] for b in best]
+                scores[read] = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", "held_out", "text").mapInArrow(score, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return documents.select("doc_id", "held_out", "text").mapInArrow(frugal(score), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def identify(documents: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
