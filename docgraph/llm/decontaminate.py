@@ -20,15 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_case, materialize, split_words
+from .common import broadcast_if_small, fold_case, materialize, split_words
 from .quality_rules import chained, leading
 
 #: What separates words once A-Z are folded, and before.
 FOLDED_CLASS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 RAW_CLASS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 WINDOW = 10
-#: Tables of up to so many rows are broadcast; larger ones are joined by shuffles.
-BROADCAST_ROWS = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -36,11 +34,6 @@ def words_of(text: Column) -> Column:
     return split_words(F.when(ascii_only, F.lower(text)).otherwise(fold_case(text)), FOLDED_CLASS)
 
 
-def if_small(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast if its rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def window_minima(df: DataFrame, *keep: str) -> DataFrame:
     """keep, words and ``minima``: for every window of 10 ``words``, the least of its 4-gram hashes."""
 
@@ -82,10 +75,10 @@ def candidates(docs: DataFrame, kept: DataFrame, short: DataFrame) -> DataFrame:
     key = ["doc_id", "text_hash"]
     cut = docs.select(*key, words_of(F.col("text")).alias("words"))
     hashes = window_minima(cut, *key).select(*key, F.explode(F.array_distinct("minima")).alias("fp"))
-    found = hashes.join(if_small(kept), "fp", "left_semi").select(*key)
+    found = hashes.join(broadcast_if_small(kept), "fp", "left_semi").select(*key)
     if short.limit(1).count():
         firsts = cut.select(*key, F.explode(F.array_distinct("words")).alias("first"))
-        found = found.unionByName(firsts.join(if_small(short.select("first").distinct()), "first", "left_semi").select(*key))
+        found = found.unionByName(firsts.join(broadcast_if_small(short.select("first").distinct()), "first", "left_semi").select(*key))
     return materialize(found.distinct().select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")), "bench-candidates")
 
 
@@ -94,10 +87,10 @@ def occurrences(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     spans, kept, short = benchmark_windows(benchmark)
     key = ["doc_id", "text_hash"]
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    some = if_small(candidates(docs, kept, short))
+    some = broadcast_if_small(candidates(docs, kept, short))
     docs = docs.join(some, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left_semi")
     cut = docs.select(*key, words_of(F.col("text")).alias("words"))
-    spans = if_small(spans)
+    spans = broadcast_if_small(spans)
 
     def windows(n: int) -> DataFrame:
         starts = F.sequence(F.lit(0), F.size("words") - n)

@@ -4,7 +4,10 @@ The mix is a sequence of slots of equally many tokens. Slot k draws the
 golden-ratio point frac(k * 0.618...), the cumulative target weights turn the
 point into a source, and the slot's rank within its source names the block of
 that source's shuffled token line which the mix reads there. The line is read
-again from its start when it ends, so a source can be repeated.
+again from its start when it ends, so a source can be repeated. What a document
+gives is what the slots drawn for its source cover of it, no more and no less;
+so a source's sum differs from its target by the few slots that the points'
+discrepancy allows.
 
 Everything is DataFrame code: no Python, pandas or RDD work on rows.
 
@@ -24,11 +27,13 @@ from .common import SPACE_CLASS, materialize, split_words
 
 GOLDEN = 0.6180339887498949
 #: Largest number of tokens in a slot, and the least number of slots a source has on average.
-BLOCK_TOKENS, SLOTS_PER_SOURCE = 1 << 20, 512
+BLOCK_TOKENS, SLOTS_PER_SOURCE = 1 << 20, 4096
 #: Times that a source may be read.
 MAX_EPOCHS = 3
-#: Documents of one source and bucket are laid out by one task.
-ROWS_PER_BUCKET = 50_000
+#: Documents of a bucket, and buckets whose sums are added up together.
+ROWS_PER_BUCKET, BUCKETS_PER_RUN = 2048, 4096
+#: Slots whose ranks are counted together.
+SLOTS_PER_RUN = 65536
 #: Pieces of the unit interval by which points and source intervals meet in an equi-join.
 BINS = 1024
 
@@ -71,78 +76,77 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 def schedule(target: DataFrame, total: int, block: int) -> DataFrame:
     """(slot, nr, rank): what each slot of the mix reads.
 
-    A source whose points fall short of its quota gets its last ranks after
-    the others; ranks beyond the quota are left out.
+    A source that has been read as often as it may be gives nothing to its
+    further slots, so they are left out.
     """
     spark = target.sparkSession
     slots = -(-total // block) if total else 0
-    ends = W.orderBy("nr").rowsBetween(W.unboundedPreceding, 0)
+    by_nr = W.orderBy("nr")
     lines = (
         target.where("target > 0")
-        .withColumn("hi", F.sum("target").over(ends) / F.lit(float(max(total, 1))))
-        .withColumn("lo", F.col("hi") - F.col("target") / F.lit(float(max(total, 1))))
-        .withColumn("quota", F.round("target").cast("long"))
-        .withColumn("ranks", F.ceil(F.col("quota") / F.lit(block)).cast("long"))
-    )
-    spans = lines.select(
-        "nr", "lo", "hi", "ranks",
-        F.explode(F.sequence(F.floor(F.col("lo") * BINS).cast("int"), F.floor(F.least(F.col("hi"), F.lit(1.0)) * BINS).cast("int"))).alias("bin"),
+        .withColumn("end", F.sum("target").over(by_nr.rowsBetween(W.unboundedPreceding, 0)) / F.lit(float(max(total, 1))))
+        .withColumn("lo", F.coalesce(F.lag("end").over(by_nr), F.lit(0.0)))
+        .withColumn("hi", F.when(F.lead("nr").over(by_nr).isNull(), 1.0).otherwise(F.col("end")))  # rounding leaves no gap at the end
     )
+    spans = lines.select("nr", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * BINS).cast("int"), F.floor(F.col("hi") * BINS).cast("int"))).alias("bin"))
     points = spark.range(slots).select(
         F.col("id").alias("slot"), ((F.col("id") * F.lit(GOLDEN)) % F.lit(1.0)).alias("u")
     ).withColumn("bin", F.floor(F.col("u") * BINS).cast("int"))
-    drawn = points.join(spans, "bin").where("u >= lo AND u < hi").select("slot", "nr", "ranks")
+    drawn = points.join(spans, "bin").where("u >= lo AND u < hi").select("slot", "nr", F.floor(F.col("slot") / SLOTS_PER_RUN).alias("run"))
     # rank within the source, by runs of slots, so that a large source isn't ranked in one task
-    run = F.floor(F.col("slot") / 65536)
-    drawn = drawn.withColumn("run", run)
     starts = (
         drawn.groupBy("nr", "run").agg(F.count("*").alias("n"))
         .withColumn("first", F.sum("n").over(W.partitionBy("nr").orderBy("run")) - F.col("n"))
     )
-    ranked = (
+    return (
         drawn.withColumn("at", F.row_number().over(W.partitionBy("nr", "run").orderBy("slot")) - 1)
         .join(starts.select("nr", "run", "first"), ["nr", "run"])
-        .select("slot", "nr", (F.col("first") + F.col("at")).alias("rank"), "ranks")
-        .where("rank < ranks")
-    )
-    have = ranked.groupBy("nr").agg(F.count("*").alias("have"))
-    short = (
-        lines.join(have, "nr", "left").withColumn("have", F.coalesce("have", F.lit(0)))
-        .where("have < ranks")
-        .select(F.lit(slots).cast("long").alias("slot"), "nr", F.explode(F.sequence("have", F.col("ranks") - 1)).alias("rank"))
+        .select("slot", "nr", (F.col("first") + F.col("at")).alias("rank"))
     )
-    return ranked.select("slot", "nr", "rank").unionByName(short)
 
 
 def lay_out(docs: DataFrame, rows: int) -> DataFrame:
     """Adds ``start``: the document's place on its source's shuffled token line.
 
-    The order is that of a hash of the document. Sums by (source, bucket) come
-    first, so no task has to order a whole source.
+    The order is that of a hash of the document, in buckets of few rows whose
+    sums are added up first by runs of buckets. Only rows that repeat one
+    document overfill a bucket; these are interchangeable and dealt to parts.
     """
     buckets = max(1, -(-rows // ROWS_PER_BUCKET))
-    docs = docs.withColumn("bucket", F.pmod("mix", F.lit(buckets)))
-    sums = docs.groupBy("source", "bucket").agg(F.sum("size").alias("tokens"))
-    sums = sums.select(
-        F.col("source").alias("s"), F.col("bucket").alias("b"),
-        (F.sum("tokens").over(W.partitionBy("source").orderBy("bucket")) - F.col("tokens")).alias("base"),
-    )
-    within = W.partitionBy("source", "bucket").orderBy("mix", "doc_id", "text_hash").rowsBetween(W.unboundedPreceding, 0)
+    docs = docs.withColumn("bucket", F.pmod("mix", F.lit(buckets))).withColumn("part", F.lit(0))
+    full = docs.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 2 * ROWS_PER_BUCKET).select("bucket")
+    copies = docs.join(full, "bucket", "left_semi").groupBy("mix").agg(F.count("*").alias("n")).where(F.col("n") > ROWS_PER_BUCKET)
+    copies = materialize(copies.select("mix", F.ceil(F.col("n") / ROWS_PER_BUCKET).alias("parts")), "mix-copies")
+    if copies.limit(1).count():
+        docs = docs.join(copies, "mix", "left").withColumn("part", F.coalesce(1 + F.pmod("row", F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    at = ["source", "run", "bucket", "part"]
+    docs = docs.withColumn("run", F.floor(F.col("bucket") / BUCKETS_PER_RUN))
+    sums = materialize(docs.groupBy(*at).agg(F.sum("size").alias("tokens")), "mix-buckets")
+    runs = sums.groupBy("source", "run").agg(F.sum("tokens").alias("own"))
+    runs = runs.select("source", "run", (F.sum("own").over(W.partitionBy("source").orderBy("run")) - F.col("own")).alias("run_base"))
+    within_run = F.sum("tokens").over(W.partitionBy("source", "run").orderBy("bucket", "part")) - F.col("tokens")
+    base = sums.withColumn("in_run", within_run).alias("b").join(runs.alias("r"), F.col("b.source").eqNullSafe(F.col("r.source")) & (F.col("b.run") == F.col("r.run")))
+    base = base.select(F.col("b.source").alias("s"), F.col("b.bucket").alias("bu"), F.col("b.part").alias("p"), (F.col("run_base") + F.col("in_run")).alias("base"))
+    within = W.partitionBy("source", "bucket", "part").orderBy("mix", "doc_id", "text_hash").rowsBetween(W.unboundedPreceding, 0)
     return (
         docs.withColumn("upto", F.sum("size").over(within))
-        .join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+        .join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("bu")) & (F.col("part") == F.col("p")))
         .withColumn("start", F.col("base") + F.col("upto") - F.col("size"))
-        .drop("s", "b", "base", "upto", "bucket", "mix", "text_hash")
+        .drop("s", "bu", "p", "base", "upto", "bucket", "part", "run", "mix", "text_hash")
     )
 
 
-def mix(documents: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, first_slot, and the columns ``keep`` as they are."""
+def plan(documents: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = 7, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The documents on their sources' token lines, and the readings (row, epoch, slot, words) that the schedule draws.
+
+    A reading is one passage through a document; its slot is the first that
+    reads of it.
+    """
     docs = materialize(
         documents.select(
             "doc_id", "source", word_count(F.col("text")).alias("size"),
             F.xxhash64("doc_id", "text", F.lit(seed)).alias("mix"), F.xxhash64("text").alias("text_hash"), *keep,
-        ),
+        ).withColumn("row", F.monotonically_increasing_id()),
         "mix-sizes",
     )
     head = docs.agg(F.count("*").alias("rows"), F.sum("size").alias("total"), F.countDistinct(F.coalesce("source", F.lit(""))).alias("sources")).first()
@@ -150,32 +154,29 @@ def mix(documents: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = 7, keep:
     block = max(1, min(BLOCK_TOKENS, total // (SLOTS_PER_SOURCE * max(1, head["sources"]))))
 
     goal = materialize(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), max_epochs), "mix-targets")
-    plan = schedule(goal, total, block)
-
-    placed = materialize(
-        lay_out(docs, head["rows"])
-        .join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-        .drop("s", "weight")
-        .withColumn("quota", F.round("target").cast("long"))
-        .withColumn("row", F.monotonically_increasing_id()),
-        "mix-lines",
-    )
-    # every reading of the document that the quota reaches, cut at the block borders
-    first = F.col("start") + F.col("epoch") * F.col("source_size")
-    readings = (
-        placed.where("size > 0 AND quota > 0")
-        .select("row", "nr", "start", "size", "source_size", "quota", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("epoch"))
-        .withColumn("from", first)
-        .where("from < quota")
-        .withColumn("to", F.least(F.col("from") + F.col("size"), F.col("quota")))
-        .select("row", "nr", "from", "to", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))).alias("rank"))
+    slots = materialize(schedule(goal, total, block), "mix-slots")
+    drawn = slots.groupBy("nr").agg(F.count("*").alias("drawn"))  # the ranks drawn are 0 to drawn - 1
+    lines = goal.join(drawn, "nr", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    placed = materialize(lay_out(docs, head["rows"]).join(lines.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "weight"), "mix-lines")
+    # each passage through a document that the drawn slots reach, cut at the block borders
+    reach = F.least(F.col("drawn") * F.lit(block), F.col("source_size") * F.lit(max_epochs))
+    cut = (
+        placed.where("size > 0")
+        .select("row", "nr", "start", "size", "source_size", reach.alias("reach"), F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("epoch"))
+        .withColumn("from", F.col("start") + F.col("epoch") * F.col("source_size"))
+        .where("from < reach")
+        .withColumn("to", F.least(F.col("from") + F.col("size"), F.col("reach")))
+        .select("row", "nr", "epoch", "from", "to", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))).alias("rank"))
         .withColumn("words", F.least("to", (F.col("rank") + 1) * block) - F.greatest("from", F.col("rank") * block))
     )
-    taken = (
-        readings.join(plan, ["nr", "rank"])
-        .groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
-    )
+    readings = cut.join(slots, ["nr", "rank"]).groupBy("row", "epoch").agg(F.min("slot").alias("slot"), F.sum("words").alias("words"))
+    return placed, readings
+
+
+def mix(documents: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = 7) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, start (its place on the source's line), first_slot."""
+    placed, readings = plan(documents, max_epochs, seed)
+    taken = readings.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     return placed.join(taken, "row", "left").select(
-        "doc_id", "source", "size", "source_size", "target",
-        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", *keep,
+        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "start", "first_slot"
     )
