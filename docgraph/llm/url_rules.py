@@ -2,11 +2,13 @@
 
 A page list of hand-written host and path rules labels the pages it covers.
 Spark's FP-growth mines token combinations of all URLs, with the label on those
-the list blocks; rules "tokens -> block" that pass the support, confidence and
-size limits are kept, and of nested ones the shorter. Pages the list doesn't
-cover count as not blocked, as a list of few hosts shows too little of what
-else has a token. Such a page is blocked if a mined rule matches: each rule is
-indexed under its rarest token, so a page meets only rules that share it.
+the list blocks; rules "tokens -> block" that pass the support, confidence, lift
+and size limits and hold on several hosts are kept, and of nested ones the
+shorter. Pages the list doesn't cover count as not blocked, as a list of few
+hosts shows too little of what else has a token. Such a page is blocked if a
+mined rule matches: each rule is indexed under its rarest token, so a page meets
+only rules that share it. ``held_out`` measures the rules on hosts that they
+weren't mined from.
 
 Nulls and edge cases: a null url, or one without ``://``, has an empty host and
 path, is covered by no rule and has no tokens, so it is allowed; repeated rows
@@ -20,7 +22,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_case, materialize
+from .common import broadcast_if_small, fold_case, materialize
 
 #: (verdict, host, path): fits the host and its subdomains where the url's path starts with the path.
 RULES = (
@@ -29,10 +31,10 @@ RULES = (
 )
 #: A mined rule holds for this share of all pages, and the list blocks this share of those with its tokens.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.95
+#: Times that this share is of the blocked pages' share of all, and hosts whose blocked pages a rule matches, at least.
+MIN_LIFT, MIN_HOSTS = 1.5, 3
 #: Most tokens of a rule.
 MAX_TOKENS = 3
-#: At most so many rules are broadcast; more meet the pages by a shuffle.
-BROADCAST_RULES = 10_000
 BLOCKED = "label=block"
 
 
@@ -61,8 +63,8 @@ def tokens_of(host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(labels, segments), lambda x: F.length(x) > 2))
 
 
-def mine(pages: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(rule_id, tokens, confidence, support) from rows of tokens and blocked, one for every page, covered by the list or not.
+def mine(pages: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_hosts: int = MIN_HOSTS) -> DataFrame:
+    """(rule_id, tokens, confidence, support, lift, hosts) from rows of row, host, tokens and blocked, one for every page, covered by the list or not.
 
     A token set that is too rare can't reach the support, so tokens are pruned first.
     """
@@ -70,22 +72,28 @@ def mine(pages: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: flo
     n = pages.count()
     frequent = pages.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= max(1.0, min_support * n))
     kept = materialize(
-        pages.withColumn("row", F.monotonically_increasing_id()).select("row", "blocked", F.explode("tokens").alias("token"))
+        pages.select("row", "blocked", F.explode("tokens").alias("token"))
         .join(frequent.select("token"), "token", "left_semi")
         .groupBy("row", "blocked").agg(F.collect_set("token").alias("items"))
         .select(F.when(F.col("blocked"), F.array_append("items", F.lit(BLOCKED))).otherwise(F.col("items")).alias("items")),
         "url-transactions",
     )
     if not kept.limit(1).count():
-        return spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
+        return spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double, lift double, hosts long")
     # pages whose tokens are all rare are left out of the transactions, not of the support
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, min_support * n / kept.count()), minConfidence=min_confidence).fit(kept)
+    to_block = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED) & (F.size("antecedent") <= MAX_TOKENS))
+    base = pages.agg(F.avg(F.col("blocked").cast("int"))).first()[0]
     rules = (
-        model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED) & (F.size("antecedent") <= MAX_TOKENS))
-        .orderBy(F.desc("support"), F.desc("confidence"), F.array_join(F.array_sort("antecedent"), " "))
-        .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+        to_block.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support", (F.col("confidence") / F.lit(max(base or 0.0, 1e-12))).alias("lift"))
+        .where(F.col("lift") >= min_lift)
+        .orderBy(F.desc("support"), F.desc("confidence"), F.array_join("tokens", " "))
     )
     rules = materialize(rules.withColumn("rule_id", F.monotonically_increasing_id()), "url-rules")
+    # what is blocked on few hosts says more of the host than of the tokens
+    blocked = pages.where("blocked").select("row", "host", "tokens")
+    met = matches(blocked, rules, token_counts(pages)).join(blocked.select("row", "host"), "row").groupBy("rule_id").agg(F.countDistinct("host").alias("hosts"))
+    rules = materialize(rules.join(met.where(F.col("hosts") >= min_hosts), "rule_id"), "url-rules-of-hosts")
     # a rule that another one's tokens imply adds nothing; a rule looks up its own parts of one and two tokens
     one = F.transform("tokens", lambda x: F.array(x))
     two = F.flatten(F.transform("tokens", lambda x: F.transform(F.filter("tokens", lambda y: y > x), lambda y: F.array(x, y))))
@@ -94,28 +102,51 @@ def mine(pages: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: flo
     return rules.join(implied.select("rule_id").distinct(), "rule_id", "left_anti")
 
 
-def small(rules: DataFrame, few: bool) -> DataFrame:
-    return F.broadcast(rules) if few else rules
+def token_counts(pages: DataFrame) -> DataFrame:
+    return pages.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-def matched(pages: DataFrame, rules: DataFrame, tokens: DataFrame, few: bool) -> DataFrame:
-    """(page row, rule) by an inverted index: ``pages`` has row and tokens, ``tokens`` how often each occurs."""
-    keyed = rules.select("rule_id", "tokens", F.explode("tokens").alias("token")).join(tokens, "token", "left")
+def matches(pages: DataFrame, rules: DataFrame, often: DataFrame) -> DataFrame:
+    """(row, rule_id) of all rules that fit, by an inverted index: ``pages`` has row and tokens, ``often`` how many pages have a token."""
+    keyed = rules.select("rule_id", "tokens", F.explode("tokens").alias("token")).join(often, "token", "left")
     index = keyed.groupBy("rule_id").agg(F.first("tokens").alias("need"), F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-    met = pages.select("row", F.col("tokens").alias("have"), F.explode("tokens").alias("token")).join(small(index, few), "token")
-    return met.where(F.size(F.array_except("need", "have")) == 0).groupBy("row").agg(F.min("rule_id").alias("mined"))
+    met = pages.select("row", F.col("tokens").alias("have"), F.explode("tokens").alias("token")).join(broadcast_if_small(materialize(index, "url-index")), "token")
+    return met.where(F.size(F.array_except("need", "have")) == 0).select("row", "rule_id")
 
 
-def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, mined (the tokens of the mined rule that blocked it)."""
-    rows = materialize(
+def prepared(pages: DataFrame, rules: tuple) -> DataFrame:
+    """page_id, host, path, rule, listed, tokens and row."""
+    return materialize(
         listed(pages, rules).withColumn("tokens", tokens_of(F.col("host"), F.col("path"))).withColumn("row", F.monotonically_increasing_id()), "url-pages"
     )
-    mined = materialize(mine(rows.select("tokens", F.col("listed").eqNullSafe("block").alias("blocked"))), "url-mined")
-    few = mined.count() <= BROADCAST_RULES
-    often = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    hits = matched(rows.where("listed IS NULL").select("row", "tokens"), mined, often, few)
-    named = hits.join(small(mined.select(F.col("rule_id").alias("mined"), F.array_join("tokens", " & ").alias("tokens_of_rule")), few), "mined", "left")
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    return rows.select("row", "host", "tokens", F.col("listed").eqNullSafe("block").alias("blocked"))
+
+
+def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict, mined (the tokens of the mined rule that blocked it)."""
+    rows = prepared(pages, rules)
+    mined = materialize(mine(labelled(rows)), "url-mined")
+    hits = matches(rows.where("listed IS NULL").select("row", "tokens"), mined, token_counts(rows)).groupBy("row").agg(F.min("rule_id").alias("rule_id"))
+    names = mined.select("rule_id", F.array_join("tokens", " & ").alias("tokens_of_rule"))
+    named = hits.join(broadcast_if_small(materialize(names, "url-names")), "rule_id", "left")
     out = rows.join(named.select("row", "tokens_of_rule"), "row", "left")
     verdict = F.coalesce("listed", F.when(F.col("tokens_of_rule").isNotNull(), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("tokens_of_rule").alias("mined"))
+
+
+def held_out(pages: DataFrame, rules: tuple = RULES, folds: int = 3, held: int = 0) -> DataFrame:
+    """One row (blocked, right, missed): how the rules mined without a fold of the hosts do on that fold's listed pages.
+
+    ``blocked`` pages match a mined rule, ``right`` ones of them are blocked by
+    the list too, ``missed`` ones only by the list.
+    """
+    rows = prepared(pages, rules).withColumn("out", F.pmod(F.xxhash64("host"), F.lit(folds)) == held)
+    mined = materialize(mine(labelled(rows.where(~F.col("out")))), "url-mined")
+    test = rows.where(F.col("out") & F.col("listed").isNotNull())
+    hit = matches(test.select("row", "tokens"), mined, token_counts(rows)).select("row").distinct().withColumn("hit", F.lit(True))
+    one = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    said, meant = F.coalesce("hit", F.lit(False)), F.col("listed") == "block"
+    return test.join(hit, "row", "left").agg(one(said).alias("blocked"), one(said & meant).alias("right"), one(~said & meant).alias("missed"))
