@@ -3,60 +3,53 @@
 A document is the set of its word shingles. Of each of 200 hash functions the
 least value over the set is taken: groups of 5 whole minima are band keys, the
 low 8 bits of all are packed as the signature. Documents with equal sets form a
-class; class representatives that share a band key are candidates. Candidates
-that hang together through shared keys form a region; a region's members are
-compared in blocks: the share of equal signature bytes, corrected for chance
-collisions, estimates the similarity, and pairs that may reach the threshold
-are confirmed on the full sets, unless already known to be connected. Links and
-classes give the components.
+class, and one of its documents represents it.
+
+1. Representatives that share a band key are in one bucket. Each is compared
+   with its buckets' pivots: bits that differ between two signatures are
+   counted, and the share of equal 8-bit values, corrected for chance
+   collisions, estimates the similarity. Pairs that may reach the threshold
+   make regions.
+2. Buckets that still hold several regions are compared throughout, but only
+   across regions.
+3. Inside a region pairs are confirmed on the full sets, unless they are known
+   to be connected already. Links and classes give the components.
+
+Buckets and regions are compared in blocks of few members. Of a large group
+only what isn't in its main part yet is compared with everything, so a group of
+m near copies costs about m comparisons' blocks and not their square.
 
 A pair at similarity 0.8 shares a band but for a chance of 1.3e-7; an estimate
 falls below ``SCREEN`` for it with a chance of about 1e-6.
 
 Nulls and edge cases: a null or blank text has an empty set and is linked with
-nothing; a null id can't be a link's end, so such a document is kept and has no
-component; rows with one id are one node; repeated rows each get a row; an
-empty table gives an empty result; other columns are ignored.
+nothing, so its component is its own id; a null id can't be a link's end, so
+such a document is kept and has no component; rows with one id are one node,
+which has the links of all of them; repeated rows each get a row; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Batches, frugal, in_pieces, join_by_key, materialize
 from .components import components
 from .shingles import U, batch_shingles, mixed
 
 ROWS, BANDS = 5, 40
 HASHES = ROWS * BANDS
 THRESHOLD_PERCENT, SCREEN = 80, 0.67
-#: Members and shingles of a block (two blocks are compared in one task), and bytes of text hashed at a time.
-BLOCK_MEMBERS, BLOCK_SHINGLES, GROUP_BYTES = 1024, 2_000_000, 1 << 20
-#: Up to so many member ids are broadcast to fetch texts; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Members of one side of a block.
+BLOCK_MEMBERS = 512
 
 _random = np.random.default_rng(20)
 FACTORS, SHIFTS = _random.integers(1, 1 << 63, HASHES, dtype=np.uint64) | U(1), _random.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
 
-def grouped(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
-    group, size = [], 0
-    for t in texts:
-        if group and size + len(t or b"") > GROUP_BYTES:
-            yield group
-            group, size = [], 0
-        group.append(t)
-        size += len(t or b"")
-    if group:
-        yield group
-
-
 def minima(sets: list[np.ndarray]) -> np.ndarray:
     """32-bit minima, a row a set; rows of empty sets mean nothing."""
     full = [s if len(s) else np.zeros(1, U) for s in sets]
@@ -68,50 +61,80 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def totals(sets: list[np.ndarray], f) -> np.ndarray:
+    return np.array([f(s).sum(dtype=U) for s in sets], U).view(np.int64)
+
+
 def profile(documents: DataFrame, words: int) -> DataFrame:
     """doc_id, n (set size), s1, s2 (a 128-bit sum that tells sets apart), signature, bands."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for texts in grouped(batch.column(1).cast(pa.binary()).to_pylist()):
-                sets = batch_shingles(texts, words)
-                low = minima(sets)
-                keys = np.zeros((len(sets), BANDS), U)
-                for r in range(ROWS):
-                    keys = mixed(keys * U(0x9E3779B97F4A7C15) + low[:, r::ROWS].astype(U) + U(1))
-                n = np.array([len(s) for s in sets])
-                total = lambda f: np.array([f(s).sum(dtype=U) for s in sets], U).view(np.int64)  # noqa: B023, E731
-                bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(sets)), pa.array(n, pa.int64()), pa.array(total(mixed)), pa.array(total(lambda s: mixed(s ^ U(0x5851F42D4C957F2D)))),
-                     pa.array([r.tobytes() for r in low.astype(np.uint8)], pa.binary()), bands],
-                    ["doc_id", "n", "s1", "s2", "signature", "bands"],
-                )
-                at += len(sets)
-
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, n long, s1 long, s2 long, signature binary, bands array<long>")
-
-
-def star_edges(reps: DataFrame) -> DataFrame:
-    """(u, v): every representative beside its bucket's pivot, its least member."""
-    keyed = reps.select(F.col("doc_id").alias("u"), F.posexplode("bands").alias("band", "key"))
-    pivots = keyed.groupBy("band", "key").agg(F.min("u").alias("v"), F.count("*").alias("members")).where("members > 1").drop("members")
-    return keyed.join(pivots, ["band", "key"]).where("u <> v").select("u", "v").distinct()
-
-
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarities of signatures a (m x HASHES bytes) with b: share of equal bytes, less what chance makes equal."""
-    same = np.empty((len(a), len(b)), np.float32)
-    for i, row in enumerate(a):
-        same[i] = np.count_nonzero(b == row, axis=1)
+    def run(batches: Batches) -> Batches:
+        for batch in in_pieces(batches, 1):
+            sets = batch_shingles(batch.column(1).cast(pa.binary()).to_pylist(), words)
+            low = minima(sets)
+            keys = np.zeros((len(sets), BANDS), U)
+            for r in range(ROWS):
+                keys = mixed(keys * U(0x9E3779B97F4A7C15) + low[:, r::ROWS].astype(U) + U(1))
+            n = np.array([len(s) for s in sets])
+            bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(totals(sets, mixed)), pa.array(totals(sets, lambda s: mixed(s ^ U(0x5851F42D4C957F2D)))),
+                 pa.array([r.tobytes() for r in low.astype(np.uint8)], pa.binary()), bands],
+                ["doc_id", "n", "s1", "s2", "signature", "bands"],
+            )
+
+    return documents.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {dict(documents.dtypes)['doc_id']}, n long, s1 long, s2 long, signature binary, bands array<long>")
+
+
+def shingle_sets(documents: DataFrame, words: int) -> DataFrame:
+    """(doc_id, s1, members): the sets themselves."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in in_pieces(batches, 1):
+            sets = batch_shingles(batch.column(1).cast(pa.binary()).to_pylist(), words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals(sets, mixed)), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "s1", "members"])
+
+    return documents.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {dict(documents.dtypes)['doc_id']}, s1 long, members binary")
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimates from signatures as rows of 64-bit words: the bits that differ are folded to one a value and counted."""
+    x = a ^ b
+    x |= x >> U(4)
+    x |= x >> U(2)
+    x |= x >> U(1)
+    x &= U(0x0101010101010101)
+    same = 1 - np.bitwise_count(x).sum(axis=-1, dtype=np.int32) / HASHES
     chance = 1 / 256
-    return (same / HASHES - chance) / (1 - chance)
+    return (same - chance) / (1 - chance)
+
+
+def signature_words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), U).reshape(-1, HASHES // 8)
+
+
+def near_enough(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can reach the threshold."""
+    return 100 * np.minimum(n, m) >= THRESHOLD_PERCENT * np.maximum(n, m)
+
+
+def screened(pairs: DataFrame) -> DataFrame:
+    """(u, v) of the pairs (u, v, n, m, a, b) whose signatures a and b may belong to linked sets of sizes n and m."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in in_pieces(batches, 4):
+            n, m = (batch.column(k).to_numpy() for k in (2, 3))
+            good = near_enough(n, m) & (similarity(signature_words(batch.column(4)), signature_words(batch.column(5))) >= SCREEN)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good))
+
+    kind = dict(pairs.dtypes)["u"]
+    return pairs.select("u", "v", "n", "m", "a", "b").mapInArrow(frugal(run), f"u {kind}, v {kind}")
 
 
 class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+    def __init__(self, labels: list):
+        first: dict = {}
+        self.up = [first.setdefault(x, i) for i, x in enumerate(labels)]
 
     def top(self, i: int) -> int:
         while self.up[i] != i:
@@ -123,105 +146,146 @@ class Forest:
         self.up[self.top(i)] = self.top(j)
 
 
-def links_within(ids: list, signatures: np.ndarray, sets: list[np.ndarray], second: np.ndarray) -> Iterator[tuple]:
-    """Links that connect what is linked between (or, if nothing is marked, among) the members."""
-    left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if second.any() else (np.arange(len(ids)),) * 2
-    n = np.array([len(s) for s in sets])
-    est = estimate(signatures[left], signatures[right])
-    near = 100 * np.minimum(n[left][:, None], n[right]) >= THRESHOLD_PERCENT * np.maximum(n[left][:, None], n[right])
-    x, y = np.nonzero((est >= SCREEN) & near & (left[:, None] != right))
-    if not second.any():
-        x, y = x[x < y], y[x < y]
-    order = np.argsort(-est[x, y], kind="stable")
-    forest = Forest(len(ids))
-    for i, j in zip(left[x[order]].tolist(), right[y[order]].tolist(), strict=True):
+def links_within(ids: list, labels: list, n: np.ndarray, signatures: np.ndarray, sets: list[np.ndarray] | None, left: np.ndarray) -> list[tuple]:
+    """Links that connect what is linked between the left and the other members, or among all if none is left; equal labels are connected already.
+
+    Without sets the estimate alone decides.
+    """
+    forest, out = Forest(labels), []
+    own = np.array([forest.top(i) for i in range(len(ids))])
+    a, b = (np.flatnonzero(left), np.flatnonzero(~left)) if left.any() else (np.arange(len(ids)),) * 2
+    found = []
+    for i in a.tolist():
+        other = b[(own[b] != own[i]) & near_enough(n[b], n[i])]
+        if not left.any():
+            other = other[other > i]
+        if len(other):
+            est = similarity(signatures[other], signatures[i])
+            good = est >= SCREEN
+            found += zip(est[good].tolist(), [i] * int(good.sum()), other[good].tolist(), strict=True)
+    for _, i, j in sorted(found, key=lambda f: -f[0]):
         if forest.top(i) == forest.top(j):
             continue
-        both = len(sets[i]) + len(sets[j]) - len(np.unique(np.concatenate([sets[i], sets[j]])))
-        if 100 * both >= THRESHOLD_PERCENT * (len(sets[i]) + len(sets[j]) - both):
-            forest.join(i, j)
-            yield ids[i], ids[j]
+        if sets is not None:
+            both = len(sets[i]) + len(sets[j]) - len(np.unique(np.concatenate([sets[i], sets[j]])))
+            if 100 * both < THRESHOLD_PERCENT * (len(sets[i]) + len(sets[j]) - both):
+                continue
+        forest.join(i, j)
+        out.append((ids[i], ids[j]))
+    return out
 
 
 def compared(blocks: DataFrame) -> DataFrame:
-    """(u, v): confirmed links, from rows of region, i, j, second, doc_id, signature, members, sorted by block."""
-    kind = dict(blocks.dtypes)["doc_id"]
+    """(u, v): links from rows of g, i, j, left, node, label, n, signature and perhaps members; a block is what has equal g, i, j."""
+    kind = dict(blocks.dtypes)["node"]
+    names = ["g", "i", "j", "left", "node", "label", "n", "signature"]
+    exact = "members" in blocks.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         own, now = [], None
-        type_ = None
 
-        def close() -> Iterator[pa.RecordBatch]:
+        def close(type_: pa.DataType) -> Batches:
             if len(own) > 1:
-                found = list(links_within([r[0] for r in own], np.array([np.frombuffer(r[1], np.uint8) for r in own]), [np.frombuffer(r[2], U) for r in own], np.array([r[3] for r in own])))
+                _, _, _, left, ids, labels, n, signatures, *sets = zip(*own, strict=True)
+                members = [np.frombuffer(x, U) for x in sets[0]] if exact else None
+                found = links_within(ids, labels, np.array(n), np.frombuffer(b"".join(signatures), U).reshape(len(own), -1), members, np.array(left))
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], type_), pa.array([b for _, b in found], type_)], ["u", "v"])
             own.clear()
 
-        for batch in batches:
+        for batch in in_pieces(batches, 8 if exact else 7):
             type_ = batch.schema.field(4).type
-            cols = [c.to_pylist() for c in batch.columns]
-            for region, i, j, second, doc, sig, members in zip(*cols, strict=True):
-                if (region, i, j) != now:
-                    yield from close()
-                    now = (region, i, j)
-                own.append((doc, sig, members, second))
-        yield from close()
-
-    return blocks.select("region", "i", "j", "second", "doc_id", "signature", "members").mapInArrow(run, f"u {kind}, v {kind}")
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != now:
+                    yield from close(type_)
+                    now = row[:3]
+                own.append(row)
+        if own:
+            yield from close(type_)
+
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks.select(*names, *(["members"] if exact else [])).repartition(parts, "g", "i", "j").sortWithinPartitions("g", "i", "j")
+    return dealt.mapInArrow(frugal(run), f"u {kind}, v {kind}")
+
+
+def across_labels(members: DataFrame) -> DataFrame:
+    """(g, i, j, left, node, label): blocks that compare all members (g, node, label) of unlike labels, for groups of several labels.
+
+    What isn't of the group's main label stands on the left of a block for
+    every part of the group; a group of one block is compared among itself.
+    """
+    per = members.groupBy("g", "label").agg(F.count("*").alias("c"))
+    groups = per.groupBy("g").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    size = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK_MEMBERS)).cast("int")
+    groups = materialize(groups.select("g", F.col("main.label").alias("main"), size(F.col("m")).alias("parts"), size(F.col("m") - F.col("main.c")).alias("others")), "near-groups")
+    met = materialize(join_by_key(members, groups, ["g"]), "near-grouped")
+    part = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    right = met.select("g", every("others").alias("i"), part("right", "parts").alias("j"), F.lit(False).alias("left"), "node", "label")
+    left = met.where("parts > 1 AND label <> main").select("g", part("left", "others").alias("i"), every("parts").alias("j"), F.lit(True).alias("left"), "node", "label")
+    return right.unionByName(left)
+
+
+def labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds ``label`` to members (g, node): the component, or the node itself."""
+    return members.join(found, "node", "left").select("g", "node", F.coalesce("component", "node").alias("label"))
+
+
+def regions(reps: DataFrame) -> DataFrame:
+    """(node, component): representatives that hang together through shared bands and near signatures."""
+    keyed = reps.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "key"))
+    pivots = keyed.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1").drop("members")
+    buckets = materialize(keyed.join(pivots, ["band", "key"]).select(F.xxhash64("band", "key").alias("g"), "node", "pivot"), "near-buckets")
+    side = lambda node, n, sig: reps.select(F.col("doc_id").alias(node), F.col("n").alias(n), F.col("signature").alias(sig))
+    star = materialize(buckets.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct().join(side("u", "n", "a"), "u"), "near-stars")
+    near = materialize(screened(join_by_key(star, side("v", "m", "b"), ["v"])), "near-pairs")
+    found = components(near)
+    # buckets of several regions, each set of members once
+    members = materialize(labelled(buckets.select("g", "node"), found), "near-bucket-members")
+    mixed_ = members.groupBy("g").agg(F.count("*").alias("m"), F.min("label").alias("a"), F.max("label").alias("z"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("a <> z")
+    once = materialize(mixed_.groupBy("m", "who").agg(F.min("g").alias("g")).select("g"), "near-mixed-buckets")
+    if not once.limit(1).count():
+        return found
+    rows = across_labels(materialize(join_by_key(members, once, ["g"]), "near-mixed-members"))
+    more = compared(rows.join(side("node", "n", "signature"), "node"))
+    return components(near.unionByName(materialize(more, "near-pairs")))
 
 
 def links(documents: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     """(u, v): links between representatives that connect all linked ones."""
-    spark = documents.sparkSession
-    region = materialize(components(star_edges(reps)), "near-regions")
-    sizes = region.join(reps.select(F.col("doc_id").alias("node"), "n"), "node").groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
-    parts = F.ceil(F.greatest(F.col("m") / BLOCK_MEMBERS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    member = (
-        region.join(sizes.select("component", parts.alias("parts")), "component")
-        .join(reps.select(F.col("doc_id").alias("node"), "signature", F.col("s1"), F.col("s2"), F.col("n")), "node")
-        .withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int"))
-    )
-    member = materialize(member, "near-members")
-    ids = member.select(F.col("node").alias("doc_id"))
-    if member.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    kind = dict(documents.dtypes)["doc_id"]
-
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for texts in grouped(batch.column(1).cast(pa.binary()).to_pylist()):
-                sets = batch_shingles(texts, words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "members"])
-                at += len(sets)
-
-    texts = documents.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    sets = texts.mapInArrow(to_sets, f"doc_id {kind}, members binary").withColumnRenamed("doc_id", "node")
-    whole = member.join(sets, "node").where(F.octet_length("members") == 8 * F.col("n"))
-    # block (i, j) compares part i with part j of a region; part p stands in the blocks of row or column p
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    spread = whole.select(
-        F.col("component").alias("region"), F.col("node").alias("doc_id"), "signature", "members", "part", F.explode(every).alias("q")
-    ).select(
-        "region", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), (F.col("part") > F.col("q")).alias("second"), "doc_id", "signature", "members"
-    )
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return compared(spread.repartition(n, "region", "i", "j").sortWithinPartitions("region", "i", "j"))
+    region = materialize(regions(reps), "near-regions")
+    nodes = region.select(F.col("node").alias("doc_id"))
+    texts = documents.select("doc_id", "text").join(nodes, "doc_id", "left_semi")
+    sets = shingle_sets(texts, words).withColumnRenamed("doc_id", "node")
+    one = reps.select(F.col("doc_id").alias("node"), "s1", "n", "signature")
+    whole = materialize(one.join(sets, ["node", "s1"]).dropDuplicates(["node", "s1", "n"]).drop("s1"), "near-sets")
+    # parts of a region overlap, so that its bulk hangs together at once
+    sizes = region.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("parts"))
+    placed = materialize(join_by_key(region, sizes, ["component"]), "near-placed")
+    q = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int")
+    both = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array(q, F.pmod(q + 1, F.col("parts"))))
+    first = placed.select(F.col("component").alias("g"), F.explode(both).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("left"), "node", F.col("node").alias("label"))
+    found = materialize(compared(first.join(whole, "node")), "near-links")
+    large = placed.where("parts > 3")  # up to three parts, the overlaps hold every pair
+    if not large.limit(1).count():
+        return found
+    rest = across_labels(materialize(labelled(large.select(F.col("component").alias("g"), "node"), components(found)), "near-region-members"))
+    return found.unionByName(materialize(compared(rest.join(whole, "node")), "near-links"))
 
 
 def near_duplicates(documents: DataFrame, words: int = 5) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     rows = materialize(profile(documents, words), "near-profiles")
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(classes, "near-classes")
-    reps = (
-        rows.join(classes.select("rep", F.col("n").alias("cn"), F.col("s1").alias("c1"), F.col("s2").alias("c2")), (F.col("doc_id") == F.col("rep")) & (F.col("n") == F.col("cn")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")))
-        .drop("rep", "cn", "c1", "c2").dropDuplicates(["doc_id", "n", "s1", "s2"])
-    )
+    same = ["n", "s1", "s2"]
+    classes = materialize(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep")), "near-classes")
+    reps = rows.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *same]).dropDuplicates(["doc_id", *same])
     reps = materialize(reps, "near-representatives")
-    found = components(links(documents, reps, words))
-    label = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("label"))
-    label = label.groupBy("n", "s1", "s2").agg(F.min("label").alias("label"))
-    out = rows.select("doc_id", "n", "s1", "s2").join(label, ["n", "s1", "s2"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("label", "doc_id"))
+    # an id with several texts joins their classes
+    small = materialize(rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", *same), "near-keys")
+    of = materialize(join_by_key(small, classes, same).select("doc_id", "rep").distinct(), "near-ids")
+    several = of.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("z")).where("v <> z").select("doc_id", "v")
+    bound = of.join(several, "doc_id").select(F.col("rep").alias("u"), "v").where("u <> v")
+    found = components(links(documents, reps, words).unionByName(bound))
+    label = of.join(found.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("label"))
+    out = rows.select("doc_id", "n").join(label, "doc_id", "left")
+    component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
