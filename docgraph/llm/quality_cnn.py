@@ -19,14 +19,14 @@ without any); repeated rows each get a row; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import Batches, frugal, in_pieces, texts_of
+
 #: Bounds of what the network is fitted on.
 SAMPLE_DOCS, SAMPLE_BYTES = 3000, 16384
 #: A filter sees WIDTH bytes and moves by STEP; a chunk holds 2 hops of HOP steps, and chunks overlap by a hop.
@@ -34,8 +34,8 @@ WIDTH, STEP, HOP = 8, 4, 8
 EMBED, FILTERS, EPOCHS, BATCH, RATE = 8, 16, 8, 32, 0.01
 #: Label 0 is the rarer; its rows count so many times.
 WEIGHT_0 = 2.0
-#: Steps whose responses are in memory at a time, and bytes of text in a group of documents (one longer document is a group).
-BLOCK, GROUP_BYTES = 1 << 15, 1 << 22
+#: Steps whose responses are in memory at a time, and bytes of text in a piece of a batch.
+BLOCK, GROUP_BYTES = 1 << 15, 1 << 20
 
 
 def to_cells(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,16 +80,8 @@ def chunks(cells: np.ndarray, hops: np.ndarray, table: np.ndarray, bias: np.ndar
 
 def pooled(texts: list[bytes], table: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Largest chunk value by document and filter."""
-    out, at = np.empty((len(texts), len(bias)), np.float32), 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) <= GROUP_BYTES):
-            size += len(texts[to])
-            to += 1
-        cells, hops = to_cells(texts[at:to])
-        out[at:to] = np.maximum.reduceat(chunks(cells, hops, table, bias), np.cumsum(hops) - hops, axis=0)
-        at = to
-    return out
+    cells, hops = to_cells(texts)
+    return np.maximum.reduceat(chunks(cells, hops, table, bias), np.cumsum(hops) - hops, axis=0)
 
 
 def top(m: np.ndarray, v: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -179,17 +171,18 @@ def scorer(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int =
         net = fit([r["text"].encode() for r in rows], y)
     shared = documents.sparkSession.sparkContext.broadcast(net.weights() if net else None)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.full(batch.num_rows, constant)
-            if shared.value and batch.num_rows:
-                table, b, v, c = shared.value
-                texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-                out = top(pooled(texts, table, b), v, c)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
-
     def add_score(docs: DataFrame) -> DataFrame:
-        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+        at = docs.columns.index("text")
+
+        def run(batches: Batches) -> Batches:
+            for batch in in_pieces(batches, at, GROUP_BYTES):
+                out = np.full(batch.num_rows, constant)
+                if shared.value:
+                    table, b, v, c = shared.value
+                    out = top(pooled(texts_of(batch.column(at)), table, b), v, c)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
+
+        return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
     return add_score
 

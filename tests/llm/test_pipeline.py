@@ -35,11 +35,14 @@ def test_stages(spark, tmp_path):
     assert {x.doc_id for x in pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == shards
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
 def test_mix_keeps_rows_without_an_id_of_their_own(spark, tmp_path):
     from docgraph.llm import mixing
 
     rows = [(None if i % 5 == 0 else i // 2 if i % 5 == 1 else i, " ".join(["w"] * (i + 1)), "en", f"s{i % 2}", 0) for i in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(rows, SCHEMA)
     expect = Counter()
     for r in mixing.mix(docs).collect():  # sizes differ, so each tells its row
         expect[r.doc_id, r.size] += -(-r.taken // r.size)
@@ -48,3 +51,51 @@ def test_mix_keeps_rows_without_an_id_of_their_own(spark, tmp_path):
     got = Counter((r.doc_id, len(r.text.split(" "))) for r in out.collect())
     assert got == +expect and {i for i, _ in got} >= {None}
     assert len({got[i, n] for i, n in expect}) > 1
+
+
+def test_mix_is_in_the_order_of_the_schedule(spark, tmp_path):
+    rows = [(i, " ".join(["w"] * 50), "en", f"s{i % 3}", 0) for i in range(600)]
+    out = pipeline.mixed(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()
+    where = {s: [k for k, r in enumerate(out) if r.source == s] for s in ("s0", "s1", "s2")}
+    for own in where.values():  # each source is spread over the whole mix
+        assert max(b - a for a, b in zip([-1, *own], [*own, len(out)], strict=True)) < 30
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    d = tmp_path_factory.mktemp("tables")
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    labels = [(i, int(i % 3 > 0), 0) for i in range(300, 480)]
+    texts = {i: " ".join(word() + ("" if q else "###") for _ in range(80)) for i, q, _ in labels}
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(word() for _ in range(12)))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return str(d), texts, word
+
+
+def test_stages_on_odd_rows(spark, folder):
+    """Null ids and texts, repeated rows, ids with several texts, ties: no clean row goes but copies and what the mix leaves out."""
+    d, texts, word = folder
+    good = [t for t in texts.values() if "#" not in t]
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts.items()]
+    odd = [(None, good[0] + " own words here", None, None, None), (None, None, "en", None, 0), (1, "", "en", "s", 0), (2, " ".join(word() for _ in range(90)), None, "t", 0)]
+    odd += [odd[3], odd[3], (2, " ".join(word() for _ in range(90)), None, None, 0), (3, " ".join(word() for _ in range(60_000)), "en", "s", 0)]
+    docs = spark.createDataFrame(rows + odd, SCHEMA)
+    stage = lambda name, x: dict(pipeline.STAGES)[name](spark, x, d)
+    q = stage("quality classifier", docs).collect()
+    ids = Counter(r.doc_id for r in q)
+    assert ids[2] == 4 and ids[3] == 1 and not any("###" in (r.text or "") for r in q)
+    n = stage("minhash near-dedup", docs).collect()
+    assert Counter(r.doc_id for r in n)[None] == 2 and Counter(r.doc_id for r in n)[2] == 4
+    item = spark.read.parquet(f"{d}/benchmark.parquet").first().text
+    hit = spark.createDataFrame([(None, f"{item} x", "en", "s", 0), (None, "free", "en", "s", 0), (5, item.upper(), "en", "s", 0), (5, "free", "en", "s", 0), (None, None, None, None, None)], SCHEMA)
+    assert Counter((r.doc_id, r.text) for r in stage("benchmark decontamination", hit).collect()) == Counter([(None, "free"), (5, "free"), (None, None)])
+    s = stage("sharding", docs).collect()
+    assert len(s) == len(rows + odd) and Counter(r.doc_id for r in s)[None] == 2
+
+
+def test_stages_on_empty_tables(spark, folder):
+    nothing = spark.createDataFrame([], SCHEMA)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, nothing, folder[0])
+        assert out.count() == 0 and (name == "sharding" or out.columns == pipeline.COLUMNS)

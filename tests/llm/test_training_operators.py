@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("docgraph.llm")
-from docgraph.llm import bwt_merge, decontaminate, langid, minhash, mixing, quality_cnn, quality_rules, sharding, shingles, suffix_dedup, tokens, url_rules  # noqa: E402
+from docgraph.llm import bwt_merge, common, decontaminate, langid, minhash, mixing, quality_cnn, quality_rules, sharding, shingles, suffix_dedup, tokens, url_rules  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, score double, n long"
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -73,6 +73,24 @@ def test_sharding_of_one_text(spark):
     assert max(n.values()) - min(n.values()) <= 1
 
 
+def test_sharding_of_one_repeated_row(spark):
+    d = spark.range(5000).selectExpr("if(id < 4000, 1, id) AS doc_id", "'the same text' AS text")
+    out = sharding.assign(d, shards=8, ranges=16).collect()
+    assert len({r.copy_part for r in out}) > 1
+    for s in range(8):
+        own = [r for r in out if r.shard == s]
+        assert sorted(r.slot for r in own) == list(range(len(own))) and abs(len(own) - 625) <= 1
+
+
+def test_shards_are_written_in_order(spark, docs, rows, tmp_path):
+    sharding.write_shards(docs, f"{tmp_path}/shards", 3)
+    back = spark.read.parquet(f"{tmp_path}/shards").collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter((r[0], r[1]) for r in rows)
+    for s in range(3):
+        own = [r.slot for r in back if r.shard == s]
+        assert sorted(own) == list(range(len(own)))
+
+
 # ---- 4 quality rules
 
 
@@ -122,9 +140,9 @@ def plain_contamination(doc_rows, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_ROWS, 0])
+@pytest.mark.parametrize("limit", [common.BROADCAST_BYTES, 0])
 def test_decontamination(spark, docs, rows, nothing, limit, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
     t = [r[1] for r in rows]
     items = [(1, t[0]), (2, " ".join(t[1].split(" ")[:14]).upper()), (10, "one"), (11, None), (12, "..."), (3, "Line line line"), (4, " ".join(t[2].split(" ")[:3])), (1, t[0]), (5, "nowhere at all is this")]
     out = decontaminate.contamination(docs, spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, score int"))
@@ -137,34 +155,80 @@ def test_decontamination(spark, docs, rows, nothing, limit, monkeypatch):
 # ---- 6 mixing
 
 
-def test_mixing(spark, docs, rows, nothing):
-    out = mixing.mix(docs).collect()
-    size = lambda t: len(WORDS.findall(t or ""))
-    assert Counter((r.doc_id, r.source, r.size) for r in out) == Counter((r[0], r[3], size(r[1])) for r in rows)
-    by = Counter()
-    for r in rows:
-        by[r[3]] += size(r[1])
+def plain_targets(by):
     names = sorted(by, key=lambda s: (s is None, s or ""))
     weight, open_, target, left = {s: i % 3 + 1 for i, s in enumerate(names)}, set(names), {}, float(sum(by.values()))
-    while True:
+    while open_:
         share = left / sum(weight[s] for s in open_)
         over = [s for s in open_ if share * weight[s] > 3 * by[s]]
         if not over:
-            break
+            return names, target | {s: share * weight[s] for s in open_}
         for s in over:
             target[s] = 3.0 * by[s]
             left -= target[s]
             open_.discard(s)
-    target |= {s: share * weight[s] for s in open_}
+    return names, target
+
+
+def plain_taken(names, target, total, block, lines):
+    """What the slots read of each document; lines: source to (start, size) of its documents."""
+    drawn, k = Counter(), 0
+    while k * block < total:
+        u, end = k * mixing.GOLDEN % 1.0, 0.0
+        for s in names:
+            end += target[s] / total
+            if u < end or s == names[-1]:
+                drawn[s] += 1
+                break
+        k += 1
+    out = Counter()
     for s in names:
+        size = sum(n for _, n in lines[s])
+        reach = min(drawn[s] * block, 3 * size)
+        for start, n in lines[s]:
+            out[s, start, n] += sum(max(0, min(start + e * size + n, reach) - (start + e * size)) for e in range(3))
+    return out
+
+
+@pytest.mark.parametrize(("slots", "bucket"), [(mixing.SLOTS_PER_SOURCE, mixing.ROWS_PER_BUCKET), (20, 3), (600, 10)])
+def test_mixing(docs, rows, nothing, slots, bucket, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS_PER_SOURCE", slots)
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", bucket)
+    monkeypatch.setattr(mixing, "BUCKETS_PER_RUN", 2)
+    out = mixing.mix(docs).collect()
+    size = lambda t: len(WORDS.findall(t or ""))
+    assert Counter((r.doc_id, r.source, r.size) for r in out) == Counter((r[0], r[3], size(r[1])) for r in rows)
+    by = Counter()
+    for r in rows:
+        by[r[3]] += size(r[1])
+    names, target = plain_targets(by)
+    total = sum(by.values())
+    block = max(1, total // (slots * len(names)))
+    lines = {s: sorted((r.start, r.size) for r in out if r.source == s) for s in names}
+    for s in names:  # the documents lie end to end on their source's line
+        at = 0
+        for start, n in lines[s]:
+            assert start == at
+            at += n
         own = [r for r in out if r.source == s]
-        assert own[0].target == pytest.approx(target[s]) and own[0].source_size == by[s]
-        assert abs(sum(r.taken for r in own) - target[s]) <= 1
+        assert own[0].target == pytest.approx(target[s]) and own[0].source_size == by[s] == at
+        assert abs(sum(r.taken for r in own) - target[s]) <= 4 * block
         assert all(r.taken <= 3 * r.size for r in own)
+    expect = plain_taken(names, target, total, block, lines)
+    got_ = Counter()
+    for r in out:
+        got_[r.source, r.start, r.size] += r.taken
+    assert got_ == expect
     assert got(mixing.mix(docs)) == got(mixing.mix(docs))
     assert mixing.mix(nothing).count() == 0
 
 
+def test_mixing_of_one_repeated_row(spark):
+    d = spark.range(9000).selectExpr("if(id < 7000, 1, id) AS doc_id", "'three words here' AS text", "'s' AS source")
+    out = mixing.mix(d).collect()
+    assert len(out) == 9000 and len({r.start for r in out}) == 9000 and {r.taken for r in out} == {3}
+
+
 # ---- 7 suffix dedup
 
 
@@ -178,7 +242,7 @@ def test_merge_against_counting():
             x = r.randrange(60)
             strings.append(bytes(r.choice(b"abc") for _ in range(r.randrange(9))) + base[x : r.randrange(x, 61)] * r.choice([1, 2]))
         k = Counter(s[i : i + w] for s in strings for i in range(len(s) - w + 1))
-        for s, f in zip(strings, bwt_merge.repeated(strings, w), strict=True):
+        for s, f in zip(strings, bwt_merge.repeated(strings, w, r.choice([1, 2, 4, 7])), strict=True):
             assert f.tolist() == [k[s[i : i + w]] > 1 for i in range(len(s) - w + 1)]
 
 
@@ -196,9 +260,10 @@ def plain_removal(doc_rows, width):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT_STRINGS, 1])
-def test_suffix_dedup(spark, docs, rows, nothing, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "segment"), [(suffix_dedup.HOT_STRINGS, suffix_dedup.SEGMENT), (1, 50)])
+def test_suffix_dedup(spark, docs, rows, nothing, hot, segment, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_STRINGS", hot)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
     extra = [(500, "ab " * 40, None, None, 0.0, 0), (501, "x" + "ab " * 30, None, None, 0.0, 0), (502, "é" * 50, None, None, 0.0, 0)]
     d = docs.union(spark.createDataFrame(extra, SCHEMA))
     assert got(suffix_dedup.dedup(d, width=24, gram=8).drop("kept")) == plain_removal(rows + extra, 24)
@@ -206,6 +271,24 @@ def test_suffix_dedup(spark, docs, rows, nothing, hot, monkeypatch):
         assert suffix_dedup.dedup(nothing).count() == 0
 
 
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_STRINGS, 4])
+def test_suffix_dedup_at_its_width(spark, hot, monkeypatch):
+    """Passages of 199, 200 and 201 bytes, copies, one template with many fillings, a period, and a very long text."""
+    monkeypatch.setattr(suffix_dedup, "HOT_STRINGS", hot)
+    r = random.Random(8)
+    line = lambda n: "".join(r.choice("abcdefghij klmnop") for _ in range(n))
+    t = [line(r.randint(0, 900)) for _ in range(20)]
+    for n in (199, 200, 201, 260):
+        p = line(n)
+        t += [line(50) + p + line(70), p, line(9) + "#" + p]
+    template = line(150)
+    t += [template + line(90) for _ in range(12)] + [line(60) + template[:120] + line(r.randint(70, 200)) for _ in range(12)]
+    t += ["xyz" * 150, "yzx" * 90 + "!", line(300_000) + t[0] + "xyz" * 70, None, "", t[3], t[3], "é" * 101 + "z", "ü" + "é" * 99]
+    rows_ = [(i if i % 9 else None, x) for i, x in enumerate(t)]
+    out = suffix_dedup.dedup(spark.createDataFrame(rows_, "doc_id long, text string").repartition(3))
+    assert got(out.drop("kept")) == plain_removal(rows_, 200)
+
+
 # ---- 8 token ids
 
 
@@ -272,11 +355,52 @@ def test_url_rules(spark):
     assert url_rules.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def pages_of(spark, urls):
+    return spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+
+
+def mined_plainly(urls, listed):
+    """Sets of up to three tokens that pass the limits, without those that another one implies."""
+    from itertools import combinations
+
+    tokens = []
+    for u in urls:
+        host, path = re.fullmatch(r"\w+://([^/]*)(/.*)?", u).groups()
+        own = [f"h:{x}" for x in host.split(".")] + [f"p:{re.sub('[0-9]+', '0', x)}" for x in (path or "").split("/")]
+        tokens.append((host, {x for x in own if len(x) > 2}))
+    n, found = len(urls), set()
+    base = sum(x == "block" for x in listed) / n
+    for k in (1, 2, 3):
+        for c in {c for _, t in tokens for c in combinations(sorted(t), k)}:
+            have = [i for i, (_, t) in enumerate(tokens) if t.issuperset(c)]
+            blocked = [i for i in have if listed[i] == "block"]
+            if len(blocked) >= url_rules.MIN_SUPPORT * n and len(blocked) >= url_rules.MIN_CONFIDENCE * len(have):
+                if len(blocked) / len(have) >= url_rules.MIN_LIFT * base and len({tokens[i][0] for i in blocked}) >= url_rules.MIN_HOSTS:
+                    found.add(c)
+    found = {c for c in found if not any(set(d) < set(c) for d in found)}
+    return [any(t.issuperset(c) for c in found) for _, t in tokens]
+
+
+def test_mined_verdicts_against_all_token_sets(spark):
+    r = random.Random(4)
+    urls = [f"http://{r.choice(['a', 'b', 'c', 'd'])}{r.randrange(6)}.{r.choice(['ads', 'shop', 'news'])}.{r.choice(['net', 'org', 'com'])}/{r.choice(['fr', 'es', 'en'])}/{r.choice(['x', 'promo', 'y'])}{r.randrange(50)}" for _ in range(600)]
+    urls += [u.replace(".net", ".org") for u in urls[:150] if "ads" in u]
+    urls += [f"http://q{i % 7}.deals.net/fr/offer{i}" for i in range(150)] + [f"http://q1.deals.org/fr/offer{i}" for i in range(4)]
+    out = {x.page_id: x for x in url_rules.judge(pages_of(spark, urls)).collect()}
+    listed = [out[i].verdict if out[i].rule else None for i in range(len(urls))]
+    hit = mined_plainly(urls, listed)
+    assert sum(h for h, x in zip(hit, listed, strict=True) if x is None) == 4
+    for i, (h, x) in enumerate(zip(hit, listed, strict=True)):
+        assert out[i].verdict == (x or ("block" if h else "allow")) and (out[i].mined is not None) == (x is None and h)
+
+
 def test_mined_rules_match_by_index(spark):
-    rows = [(i, f"http://spam.net/fr/{i}") for i in range(30)] + [(100 + i, f"http://good.com/fr/{i}") for i in range(30)] + [(200, "http://spam.org/x"), (201, "http://fine.org/fr/")]
-    out = {r.page_id: r for r in url_rules.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
-    assert out[200].verdict == "block" and "h:spam" in out[200].mined
-    assert out[201].verdict == "allow" and out[201].mined is None
+    urls = [f"http://s{i % 5}.spam.net/fr/{i}" for i in range(60)] + [f"http://good.com/fr/{i}" for i in range(60)] + ["http://spam.org/x", "http://fine.org/fr/"]
+    out = {r.page_id: r for r in url_rules.judge(pages_of(spark, urls)).collect()}
+    assert out[120].verdict == "block" and "h:spam" in out[120].mined
+    assert out[121].verdict == "allow" and out[121].mined is None
+    one_host = [u.replace(f"s{i % 5}.", "") for i, u in enumerate(urls)]
+    assert {r.mined for r in url_rules.judge(pages_of(spark, one_host)).collect()} == {None}
 
 
 def test_pages_outside_the_list_count_against_a_rule(spark):
@@ -286,16 +410,24 @@ def test_pages_outside_the_list_count_against_a_rule(spark):
     assert {i for i, r in out.items() if r.verdict == "block"} == {*range(30), 301}
 
 
-def test_no_mined_rule_is_dropped(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [common.BROADCAST_BYTES, 0])
+def test_no_mined_rule_is_dropped(spark, limit, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
     words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
-    rows = [(100 * i + k, f"http://{w}.net/fr/x") for i, w in enumerate(words) for k in range(20)] + [(90_000 + i, f"http://{w}.org/x") for i, w in enumerate(words)]
-    rows += [(95_000 + i, "http://u.net/it/x") for i in range(200)]
-    pages = spark.createDataFrame(rows, "page_id long, url string")
-    wide = sorted(url_rules.judge(pages).collect())
-    assert {r.page_id for r in wide if r.page_id >= 90_000 and r.verdict == "block"} == {90_000 + i for i in range(100)}
-    monkeypatch.setattr(url_rules, "BROADCAST_RULES", 0, raising=False)
-    monkeypatch.setattr(url_rules, "MAX_RULES", 10, raising=False)
-    assert sorted(url_rules.judge(pages).collect()) == wide
+    rows = [(100 * i + k, f"http://u{k % 4}.{w}.net/fr/x") for i, w in enumerate(words) for k in range(40)] + [(90_000 + i, f"http://{w}.org/x") for i, w in enumerate(words)]
+    rows += [(95_000 + i, "http://u.net/it/x") for i in range(4000)]
+    out = url_rules.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert {r.page_id for r in out if 90_000 <= r.page_id < 95_000 and r.verdict == "block"} == {90_000 + i for i in range(100)}
+
+
+def test_url_rules_edges(spark):
+    long = "http://a.net/fr/" + "x/" * 50_000
+    d = spark.createDataFrame([(1, long, "v", "m", 0), (1, long, "v", "m", 0), (2, None, "v", "m", 0), (None, "http://a.net/es/", "v", "m", 0)], "page_id long, url string, verdict string, mined string, row int")
+    out = url_rules.judge(d).collect()
+    assert sorted((str(r.page_id), r.verdict) for r in out) == [("1", "block"), ("1", "block"), ("2", "allow"), ("None", "block")]
+    h = url_rules.held_out(pages_of(spark, [f"http://h{i}.net/fr/{k}" for i in range(40) for k in range(3)] + [f"http://h{i}.com/fr/{k}" for i in range(40) for k in range(6)])).first()
+    assert h.right == h.blocked > 0 and h.missed == 0
+    assert url_rules.held_out(pages_of(spark, [None])).first() == (0, 0, 0)
 
 
 # ---- 10 minhash
@@ -317,22 +449,59 @@ def plain_components(doc_rows, n):
 
 
 @pytest.mark.parametrize("block", [minhash.BLOCK_MEMBERS, 2])
-def test_minhash(spark, docs, rows, nothing, block, monkeypatch):
+def test_minhash(spark, rows, nothing, block, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_MEMBERS", block)
-    one_each = [r for r in rows[:-2] if rows.index(r) == [x[0] for x in rows].index(r[0])]
+    r = random.Random(9)
+    base = rows[0][1].split(" ") * 2
+    drift = []
+    for i in range(30):  # a chain of copies that change step by step
+        base[r.randrange(len(base))] = f"w{i}"
+        drift.append((1000 - i, " ".join(base), "en", "s", 0.0, 0))
+    one_each = [x for x in rows[:-2] if rows.index(x) == [y[0] for y in rows].index(x[0])] + drift
     expect = plain_components(one_each, 2)
-    d = spark.createDataFrame(rows[:-1], SCHEMA)
+    d = spark.createDataFrame(rows[:-1] + drift, SCHEMA)
     out = minhash.near_duplicates(d, words=2).collect()
-    assert len(out) == len(rows) - 1
-    for r in out:
-        if r.doc_id is None:
-            assert r.component_id is None and r.kept
+    assert len(out) == len(rows) - 1 + len(drift)
+    for x in out:
+        if x.doc_id is None:
+            assert x.component_id is None and x.kept
         else:
-            assert (r.n_shingles, r.component_id, r.kept) == expect[r.doc_id]
+            assert (x.n_shingles, x.component_id, x.kept) == expect[x.doc_id]
     if block > 2:
         assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_rows_of_one_id_are_one_node(spark):
+    t = [" ".join(f"{a}{i}" for i in range(40)) for a in "abc"]
+    rows_ = [(1, t[0]), (9, t[0] + " more"), (9, t[1]), (2, t[1] + " more"), (3, t[2]), (9, ""), (4, None), (4, t[2])]
+    out = minhash.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string"), words=2).collect()
+    assert Counter((x.doc_id, x.component_id, x.kept) for x in out) == Counter(
+        [(1, 1, True), (9, 1, False), (9, 1, False), (2, 1, False), (3, 3, True), (9, 9, True), (4, 4, True), (4, 3, False)]
+    )
+
+
+def test_buckets_of_many_regions_are_compared_throughout(spark, monkeypatch):
+    """Documents that share half of their words meet in buckets whose pivot is like none of them, but pairs among them are alike."""
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 8)
+    r = random.Random(3)
+    common_ = [f"c{i}" for i in range(110)]
+    rows_ = []
+    for k in range(40):
+        own = [f"k{k}x{i}" for i in range(60)]
+        rows_ += [(2 * k + 5000 * (k % 2), " ".join(common_ + own)), (2 * k + 1 + 5000 * (k % 3), " ".join(common_ + own[:-3] + [f"z{r.random()}"]))]
+    expect = plain_components([(i, t) for i, t in rows_], 2)
+    out = minhash.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string"), words=2).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in out} == expect
+
+
+def test_similarity_counts_unequal_values():
+    r = np.random.default_rng(1)
+    a, b = (r.integers(0, 3, (50, minhash.HASHES)).astype(np.uint8) for _ in range(2))
+    same = (a == b).mean(axis=1)
+    words = lambda x: np.ascontiguousarray(x).view(np.uint64)
+    assert np.allclose(minhash.similarity(words(a), words(b)), (same - 1 / 256) / (1 - 1 / 256))
+
+
 def test_shingles():
     t = ["One two  three", "one TWO three", "", None, "one", "éÉ \t é"]
     b = [x.encode() if x is not None else None for x in t]
@@ -359,6 +528,45 @@ def test_language_id(spark, nothing):
     assert langid.identify(nothing).count() == 0
 
 
+def plain_bayes(learn, text, bits=langid.BITS):
+    """Log-probabilities (language to sum) of multinomial naive Bayes over the same buckets, one n-gram after the other."""
+    counts, docs_ = {}, Counter()
+    for t, lang in learn:
+        if t is None or lang is None:
+            continue
+        docs_[lang] += 1
+        c = counts.setdefault(lang, np.ones(1 << bits))
+        for b in langid.buckets(f" {t.lower()} ", bits):
+            c[b] += 1
+    return {x: np.log(docs_[x] / sum(docs_.values())) + sum(np.log(c[b] / c.sum()) for b in langid.buckets(f" {text.lower()} ", bits)) for x, c in counts.items()}
+
+
+@pytest.mark.parametrize("cells", [langid.CELLS, 3 << 10])
+def test_language_id_against_plain_bayes(spark, cells, monkeypatch):
+    monkeypatch.setattr(langid, "CELLS", cells)
+    monkeypatch.setattr(langid, "SCORED_BYTES", 300)
+    r = random.Random(12)
+    of = {"en": "the and thing over would", "de": "und nicht schon über wäre", "fr": "les des une dans été"}
+    rows_ = [(i, " ".join(r.choice(of[x].split()) for _ in range(r.randint(1, 30))), x) for i in range(120) for x in [r.choice([*of])]]
+    rows_ += [(900, "½ ² ①", "de"), (901, "Ⅷ ½", "fr"), (902, "１２ _", "en"), (903, "½ ª", None), rows_[3], rows_[3], (904, "日本", None), (None, "nicht", None)]
+    d = spark.createDataFrame([(*x, "s", 1, True) for x in rows_], "doc_id long, text string, lang string, lang_pred string, score int, held_out boolean")
+    out = langid.identify(d).collect()
+    learn = [(t, x) for i, t, x in rows_ if zlib.crc32(("" if i is None else str(i)).encode()) % 4 != 2]
+    bits = langid.bits_for(3)
+    assert bits == (langid.BITS if cells > 1 << 20 else 10)
+    by = Counter((x.doc_id, x.lang_pred, round(x.score, 4)) for x in out)
+    expect = Counter()
+    for i, t, _ in rows_:
+        if not any(c.isalpha() for c in t):
+            expect[i, "und", 0.0] += 1
+            continue
+        p = plain_bayes(learn, t, bits)
+        best = max(sorted(p), key=p.get)
+        expect[i, best, round(float(1 / sum(np.exp(v - p[best]) for v in p.values())), 4)] += 1
+    assert by == expect
+    assert {x.lang_pred for x in out if x.doc_id in (900, 901, 902)} == {"und"}
+
+
 def test_chunks_cover_documents_alike_alone_and_together():
     net = quality_cnn.Network(3)
     w = net.weights()
@@ -371,6 +579,38 @@ def test_chunks_cover_documents_alike_alone_and_together():
     assert not np.allclose(quality_cnn.pooled([late], w[0], w[1]), quality_cnn.pooled([b"a" * 150_000], w[0], w[1]))
 
 
+def plain_score(text, weights):
+    """The network's value chunk by chunk and filter by filter."""
+    table, bias, v, c = weights
+    hop, step, width = quality_cnn.HOP * quality_cnn.STEP, quality_cnn.STEP, quality_cnn.WIDTH
+    hops = max(2, -(-len(text) // hop))
+    cells = [b + 1 for b in text] + [0] * (hops * hop - len(text))
+    value = lambda at: np.maximum(sum(table[w][cells[at + w]] for w in range(width)) + bias, 0) if at + width <= len(cells) else 0 * bias
+    chunks = [sum(value(k * hop + s * step) for s in range(2 * quality_cnn.HOP)) / (2 * quality_cnn.HOP) for k in range(hops - 1)]
+    return 1 / (1 + np.exp(-(np.max(chunks, axis=0) @ v + c[0])))
+
+
+def test_quality_scores_against_a_plain_network(spark):
+    r = random.Random(3)
+    some = [None, "", "a", "é" * 40, "x" * 63, "y" * 64, "z" * 65, "".join(r.choice("abc #$\n") for _ in range(700)), "long " * 300_000]
+    rows_ = [(i, t) for i, t in enumerate(some)] + [(7, some[7]), (7, some[7]), (None, "no id")]
+    d = spark.createDataFrame([(*x, 0.5, True, 3, "r") for x in rows_], "doc_id long, text string, score double, held_out boolean, predicted int, row string")
+    learn = sorted((i, t) for i, t in rows_[:-1] if t is not None and len(t.encode()) <= quality_cnn.SAMPLE_BYTES and zlib.crc32(str(i).encode()) % 3 != 1)
+    mark = {i: k % 2 for k, i in enumerate(sorted({i for i, _ in learn}))}
+    assert set(mark.values()) == {0, 1}
+    labels = spark.createDataFrame([(i, mark.get(i, 0), 0) for i in range(9)], "doc_id long, quality int, toxic int")
+    out = quality_cnn.classify(d, labels).collect()
+    net = quality_cnn.fit([t.encode() for _, t in learn], np.array([float(mark[i]) for i, _ in learn]))
+    expect = Counter()
+    for i, t in rows_:
+        if t is None or len(t) < 10_000:
+            expect[i, round(float(plain_score((t or "").encode(), net.weights())), 4)] += 1
+    assert Counter((x.doc_id, round(x.score, 4)) for x in out if x.doc_id != 8) == expect
+    assert len(out) == len(rows_) and all(0 <= x.score <= 1 for x in out)
+    kept = quality_cnn.kept(d, labels)
+    assert kept.columns == d.columns and Counter(x.doc_id for x in kept.collect()) == Counter(x.doc_id for x in out if x.predicted)
+
+
 def test_quality_network(spark, nothing):
     r = random.Random(6)
     good = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60))
