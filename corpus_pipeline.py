@@ -12,23 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgraph.llm import decontaminate, minhash, mixing, quality_cnn, sharding
-from docgraph.llm.common import materialize, shared_dir, table
+from docgraph.llm.common import broadcast_if_small, materialize, shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-#: Ids of at most so many documents are broadcast (32 MB); more are joined by a shuffle of the texts.
-BROADCAST_IDS = 2_000_000
-
-
-def if_small(ids: DataFrame, name: str) -> DataFrame:
-    ids = materialize(ids, name)
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id isn't in ``ids``."""
-    return docs.join(if_small(ids, "pipeline-gone"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(broadcast_if_small(materialize(ids, "pipeline-gone")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,21 +36,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share a window of words with a benchmark item go."""
     hits = decontaminate.occurrences(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
-    hits = if_small(hits, "pipeline-hits")
+    hits = broadcast_if_small(materialize(hits, "pipeline-hits"))
     return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t")), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix reads it: its taken words over its size, rounded up; documents that it doesn't read go.
+    """A record for each passage of the mix through a document, in the order of the schedule's slots; documents that it doesn't read go.
 
-    The rows are numbered first, as an id may be null or repeated.
+    A passage that the schedule breaks off is a whole record. Rows are numbered
+    first, as an id may be null or repeated.
     """
+    own = docs.columns
     docs = materialize(docs.withColumn("record", F.monotonically_increasing_id()), "pipeline-records")
-    plan = mixing.mix(docs, keep=("record",))
-    times = F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    plan = if_small(plan.where("taken > 0").select("record", times.alias("times")), "pipeline-plan")
-    columns = [c for c in docs.columns if c != "record"]
-    return docs.join(plan, "record").select(*columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("reading")).select(*columns)
+    placed, readings = mixing.plan(docs, keep=("record",))
+    slots = materialize(readings.join(placed.select("row", "record"), "row").select("record", "slot"), "pipeline-slots")
+    return docs.join(broadcast_if_small(slots), "record").repartitionByRange("slot").sortWithinPartitions("slot").select(*own)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
