@@ -24,16 +24,16 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import Batches, frugal, in_pieces, materialize, shared_dir
 
 MAGIC = b"TKR1"
 END_ID = 1
@@ -41,22 +41,25 @@ END_ID = 1
 SCALE, LOW = 20, 31
 #: A block is closed at so many ids; the steps of a block between two checkpoints; most lanes.
 BLOCK_IDS, CHECKPOINT, LANES = 1 << 18, 64, 2048
-#: Words whose ids a worker remembers.
-CACHE = 1_000_000
+#: Bytes of text tokenized together, and pieces whose ids a worker remembers.
+BATCH_BYTES, CACHE = 8 << 20, 500_000
 
-#: Stands between words that are encoded in one call; a piece of its own, whose id occurs in no word without it.
+#: Stands between pieces that are encoded in one call; one itself, whose id occurs in none without it.
 BETWEEN = "~"
-FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: The tokenizer composes before it lowers case, and a small letter may compose with a mark where its capital doesn't; no mark is below U+0300.
-MARKED_CAPITAL = re.compile("[A-Z][\u0300-\U0010ffff]")
-MARKS = "!*#$%&.,;:?"
+MARKED_CAPITAL = r"[A-Z][\x{0300}-\x{10FFFF}]"
+#: Letters below U+0100, which form one piece, and marks that are pieces of their own at a word's end.
+LETTERS, MARKS = "^[A-Za-zªµºÀ-ÖØ-öø-ÿ]+$", "!*#$%&.,;:?"
+#: Pieces encoded in one call.
+CALL = 4000
 
 
 class Encoder:
-    """ids of texts, word by word with a bounded memory of words.
+    """ids of texts, piece by piece with a bounded memory of pieces.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words in turn. Words are cut at blanks and newlines only.
+    are those of its words in turn. Words are cut at blanks and newlines only;
+    a word is one piece, or letters and the marks after them.
     """
 
     def __init__(self, path: str):
@@ -67,56 +70,93 @@ class Encoder:
         self.closes = np.zeros(1 << 16, bool)
         self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         (self.between,) = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {"": b""}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHE:
-            self.known = {"": b""}
-        known = self.known
-        plain = [w for w in words if w and BETWEEN not in w and "<|" not in w]
-        lines = "\n".join(plain)
-        folded = lines.encode("utf-8", "surrogatepass").translate(FOLD).decode("utf-8", "surrogatepass").split("\n") if plain else []
-        if MARKED_CAPITAL.search(lines):
-            folded = [w if MARKED_CAPITAL.search(w) else f for w, f in zip(plain, folded, strict=True)]
-        # letters and the marks after them are pieces of their own
-        heads, tails, wordy, others = [], [], set(), set()
-        for w in folded:
-            h = w.rstrip(MARKS)
-            if h and h.isalpha() and (h.isascii() or max(h) < "\u0100"):
-                wordy.add(h)
-            elif h:
-                h = w
-                others.add(w)
-            heads.append(h)
-            tails.append(w[len(h) :])
-        others.update(tails)
-        # letters alone are one piece, whose last id closes a word; other pieces are told apart by a sign between them
-        for pieces, letters, between in ((wordy, True, " "), (others, False, f" {BETWEEN} ")):
-            own = [p for p in pieces if p not in known]
-            for at in range(0, len(own), 4000):
-                some = own[at : at + 4000]
-                ids = np.array(self.tokenizer.encode(between.join(some), add_special_tokens=False).ids, "<u2")
-                if letters:
-                    cuts = 2 * np.flatnonzero(self.closes[ids]) + 2
-                    starts, ends = [0, *cuts[:-1].tolist()], cuts.tolist()
-                else:
-                    cuts = 2 * np.flatnonzero(ids == self.between)
-                    starts, ends = [0, *(cuts + 2).tolist()], [*cuts.tolist(), 2 * len(ids)]
-                known.update(zip(some, map(ids.tobytes().__getitem__, map(slice, starts, ends)), strict=True))
-        for w, h, t in zip(plain, heads, tails, strict=True):
-            known[w] = known[h] + known[t] if t else known[h]
-        rest = sorted(words.difference(plain))
-        for e, w in zip(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), rest, strict=True):
-            known[w] = np.array(e.ids, "<u2").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        every = set().union(*cut)
-        missing = every.difference(self.known)
-        if missing:
-            self.learn(missing if len(self.known) + len(missing) <= CACHE else every)
-        end = END_ID.to_bytes(2, "little")
-        return [b"".join(map(self.known.__getitem__, words)) + end for words in cut]
+        self.forget()
+
+    def forget(self) -> None:
+        """Piece 0 is the empty one, piece 1 the end id."""
+        self.known: dict[str, int] = {"": 0}
+        self.sizes, self.ids = [np.array([0, 1], np.int32)], [np.array([END_ID], "<u2")]
+        self.count = 2
+
+    def remember(self, pieces: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.known.update(zip(pieces, range(self.count, self.count + len(pieces)), strict=True))
+        self.count += len(pieces)
+        self.sizes.append(sizes.astype(np.int32))
+        self.ids.append(ids)
+
+    def learn(self, pieces: list[str], letters: bool) -> None:
+        """Letters alone are one piece, whose last id closes a word; other pieces are told apart by a sign between them."""
+        for at in range(0, len(pieces), CALL):
+            some = pieces[at : at + CALL]
+            text = (" " if letters else f" {BETWEEN} ").join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+            ends = np.flatnonzero(self.closes[ids] if letters else ids == self.between) + 1
+            if not letters:
+                ends = np.append(ends, len(ids) + 1) - np.arange(1, len(ends) + 2)
+                ids = ids[ids != self.between]
+            self.remember(some, np.diff(ends, prepend=0), ids)
+
+    def numbered(self, pieces: pa.Array, how: str) -> np.ndarray:
+        """Numbers of the pieces, which are learned where they are new."""
+        own = pieces.dictionary_encode()
+        values = own.dictionary.to_pylist()
+        at = list(map(self.known.get, values))
+        new = [p for p, k in zip(values, at, strict=True) if k is None]
+        if new and how == "whole":  # what looks like one of the tokenizer's own signs
+            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+            self.remember(new, np.array([len(e.ids) for e in found]), np.concatenate([np.array(e.ids, "<u2") for e in found]))
+        elif new:
+            self.learn(new, how == "letters")
+        if new:
+            at = [self.known[p] if k is None else k for p, k in zip(values, at, strict=True)]
+        return np.array(at, np.int32)[own.indices.to_numpy()]
+
+    def pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the two pieces of each distinct word."""
+        special = pc.or_(pc.match_substring(words, BETWEEN), pc.match_substring(words, "<|"))
+        folded = pc.if_else(pc.match_substring_regex(words, MARKED_CAPITAL), words, pc.ascii_lower(words))
+        head = pc.ascii_rtrim(folded, MARKS)
+        letters = pc.match_substring_regex(head, LETTERS)
+        cut = pc.or_(letters, pc.equal(head, ""))
+        head = pc.if_else(cut, head, folded)
+        kinds = np.where(special.to_numpy(zero_copy_only=False), 2, np.where(letters.to_numpy(zero_copy_only=False), 0, 1))
+        first, second = np.zeros(len(words), np.int32), np.zeros(len(words), np.int32)
+        for k, how in enumerate(("letters", "between", "whole")):
+            own = np.flatnonzero(kinds == k)
+            first[own] = self.numbered((words if k == 2 else head).take(pa.array(own)), how)
+        short = np.flatnonzero((kinds == 0) & (pc.binary_length(head).to_numpy() < pc.binary_length(folded).to_numpy()))
+        tails = pc.replace_substring_regex(folded.take(pa.array(short)), "^[^" + re.escape(MARKS) + "]+", "")
+        second[short] = self.numbered(tails, "between")
+        marks = np.flatnonzero((kinds == 1) & (pc.binary_length(head).to_numpy() == 0) & (pc.binary_length(folded).to_numpy() > 0))
+        first[marks] = self.numbered(folded.take(pa.array(marks)), "between")
+        return first, second
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Each text's ids as little-endian 16-bit numbers, the end id last."""
+        if self.count > CACHE:
+            self.forget()
+        plain = pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), "\n", " ")
+        cut = pc.split_pattern(plain, " ")
+        words = cut.flatten().dictionary_encode()
+        first, second = self.pieces(words.dictionary)
+        at = words.indices.to_numpy()
+        per_text = pc.list_value_length(cut).to_numpy()
+        # two pieces a word, and the end after each text
+        ends = np.cumsum(per_text)
+        seq = np.empty(2 * len(at) + len(ends), np.int32)
+        stop = np.zeros(len(seq), bool)
+        stop[2 * ends + np.arange(len(ends))] = True
+        seq[stop] = 1
+        seq[~stop] = np.stack([first[at], second[at]], axis=1).ravel()
+        self.sizes, self.ids = [np.concatenate(self.sizes)], [np.concatenate(self.ids)]
+        sizes, ids = self.sizes[0], self.ids[0]
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        n = sizes[seq]
+        total = np.cumsum(n, dtype=np.int64)
+        # the k-th id of a piece stands k places after the piece's start
+        out = ids[np.repeat(starts[seq] - (total - n), n) + np.arange(total[-1] if len(total) else 0)]
+        offsets = np.append(0, 2 * total[stop])
+        return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out.tobytes())])
 
 
 ENCODERS: dict[str, Encoder] = {}
@@ -125,28 +165,25 @@ ENCODERS: dict[str, Encoder] = {}
 def tokenize(documents: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, ids): 16-bit ids, the end id last."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         own = ENCODERS.get(vocabulary) or ENCODERS.setdefault(vocabulary, Encoder(vocabulary))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.encode(part.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
+        for batch in in_pieces(batches, 1, BATCH_BYTES):
+            yield pa.RecordBatch.from_arrays([batch.column(0), own.encode(batch.column(1))], ["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, ids binary")
+    return documents.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {dict(documents.dtypes)['doc_id']}, ids binary")
 
 
 def count_ids(tokens: DataFrame) -> np.ndarray:
     """How often each of the 65536 possible ids occurs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         n = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                np.add.at(n, np.frombuffer(ids, "<u2"), 1)
+        for batch in in_pieces(batches, 0):
+            n += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=1 << 16)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["id", "n"])
 
-    table = tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    table = tokens.select("ids").mapInArrow(frugal(run), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(1 << 16, np.int64)
     counts[table["id"].to_numpy()] = table["n"].to_numpy()
     return counts
@@ -219,7 +256,7 @@ def write_ids(tokens: DataFrame, path: str) -> None:
     spark.createDataFrame([(int(i), int(freq[i])) for i in used], "id int, freq int").coalesce(1).write.parquet(f"{path}/frequencies")
     shared = spark.sparkContext.broadcast(freq)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         freq = shared.value
         start = np.cumsum(freq, dtype=np.uint64) - freq
         file, before, nr = TaskContext.get().partitionId(), 0, 0
@@ -240,7 +277,7 @@ def write_ids(tokens: DataFrame, path: str) -> None:
             return pa.RecordBatch.from_pydict(row, schema=schema)
 
         pending = 0
-        for batch in batches:
+        for batch in in_pieces(batches, 1):
             kind = batch.schema.field(0).type
             schema = pa.schema([("file", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(kind)), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())])
             for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -257,7 +294,7 @@ def write_ids(tokens: DataFrame, path: str) -> None:
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
         tokens.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
-        .mapInArrow(run, f"file int, block int, before long, n_ids long, doc_ids array<{kind}>, sizes array<long>, data binary")
+        .mapInArrow(frugal(run), f"file int, block int, before long, n_ids long, doc_ids array<{kind}>, sizes array<long>, data binary")
         .write.option("compression", "none").parquet(f"{path}/blocks")
     )
 
@@ -273,7 +310,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     files = files.select("file", (F.sum("n").over(W.orderBy("file")) - F.col("n")).alias("file_start"))  # a row a file
     kind = dict(blocks.dtypes)["doc_ids"].removeprefix("array<")[:-1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         freq = shared.value
         start = np.cumsum(freq, dtype=np.uint64) - freq
         lookup = np.repeat(np.arange(1 << 16, dtype=np.uint16), freq.astype(np.int64))
@@ -287,19 +324,19 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([docs, pa.array(at + ends - sizes, pa.int64()), pa.array(own, pa.binary())], ["doc_id", "start", "ids"])
 
     joined = blocks.join(F.broadcast(files), "file").select((F.col("file_start") + F.col("before")).alias("at"), "doc_ids", "sizes", "data")
-    return joined.mapInArrow(run, f"doc_id {kind}, start long, ids binary")
+    return joined.mapInArrow(frugal(run), f"doc_id {kind}, start long, ids binary")
 
 
 def digest(decoded: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (of the ids as 32-bit numbers)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(batches: Batches) -> Batches:
+        for batch in in_pieces(batches, 2):
             ids = batch.column(2).to_pylist()
             crc = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return decoded.mapInArrow(run, f"doc_id {dict(decoded.dtypes)['doc_id']}, start long, n_tokens long, ids_crc32 long")
+    return decoded.mapInArrow(frugal(run), f"doc_id {dict(decoded.dtypes)['doc_id']}, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(documents: DataFrame, vocabulary: str, path: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("docgraph.llm")
@@ -312,16 +313,28 @@ def test_token_ids(docs, rows, nothing):
 def test_words_are_encoded_as_in_their_text():
     e = tokens.Encoder(vocabulary())
     odd = ["a~b ~ ~~", "It's THE <|endoftext|> x<|ENDOFTEXT|>", "İstanbul ΣΑΣ\tfoo 123 don't!!'s", "", None, "\u0301 \u0300a", "ﬁ Ǆ ß ÷ ª", "x!!y a., B?", "１２"]
-    for t, ids in zip(odd, e.encode(odd), strict=True):
+    for t, ids in zip(odd, e.encode(pa.array(odd)).to_pylist(), strict=True):
         assert np.frombuffer(ids, "<u2").tolist() == [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
 
 
+def test_random_strings_are_encoded_as_the_tokenizer_does(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 3000)
+    monkeypatch.setattr(tokens, "CALL", 50)
+    e, r = tokens.Encoder(vocabulary()), random.Random(7)
+    signs = [*"abzAZ09 \n\t.,!?#*$%&:;~<|>'-_éÉßöÖñçµªº×÷ÿĀőЖλ中あ", "\u0301", "\u0300", "\u00a0", "ﬁ", "<|", "|>", "🙂", "\u200d"]
+    some = ["".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(6000)]
+    for at in range(0, len(some), 1000):
+        part = some[at : at + 1000]
+        for t, ids in zip(part, e.encode(pa.array(part)).to_pylist(), strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 1], t
+
+
 def test_capitals_with_combining_marks_are_encoded_as_in_their_text():
     e = tokens.Encoder(vocabulary())
     pairs = [c + m for c, m in zip("HJTWY", "\u0331\u030c\u0308\u030a\u030a", strict=True)]
     words = [f(p) for p in pairs for f in (str, str.lower, lambda p: f"a{p}b!", lambda p: f"{p}aB,", lambda p: f"X{p}\u0323")]
     words += [chr(c) + chr(m) for c in range(65, 91) for m in range(0x300, 0x370)]
-    for t, ids in zip([" ".join(words), *words], e.encode([" ".join(words), *words]), strict=True):
+    for t, ids in zip([" ".join(words), *words], e.encode(pa.array([" ".join(words), *words])).to_pylist(), strict=True):
         assert np.frombuffer(ids, "<u2").tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 1]
 
 
