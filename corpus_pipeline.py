@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before
 kept; its result is written as Parquet and read again as the next one's docs.
+
+Nulls and edge cases, in every stage: a row is a document of its own, whatever
+its id; null ids, texts, languages and sources stay null; a null text counts as
+an empty one; repeated rows are kept or dropped together, but for what each
+stage says; an empty table gives an empty result; columns besides those of
+``COLUMNS`` are carried along by all stages but the last.
 """
 
 from __future__ import annotations
@@ -23,18 +29,22 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network rejects go; no text is moved, as the score is made beside the row."""
+    """Documents that the network rejects go; no text is moved, as the score is made beside the row. A score of exactly 0.5 stays; without labels all do."""
     return quality_cnn.kept(docs, table(spark, sf_dir, "labels")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8. (Rows that share an id stand or fall together.)"""
+    """One document of each group of near copies stays, that of the least id: five-word shingles, similarity 0.8.
+
+    Rows that share an id are one document and stand or fall together; rows
+    without an id or without words stay.
+    """
     gone = minhash.near_duplicates(docs, words=5).where(~F.col("kept")).select("doc_id").distinct()
     return without(docs, gone)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share a window of words with a benchmark item go."""
+    """Documents that share a window of words with a benchmark item go, each by its own text where an id has several."""
     hits = decontaminate.occurrences(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
     hits = broadcast_if_small(materialize(hits, "pipeline-hits"))
     return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t")), "left_anti")
@@ -54,7 +64,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each record of the mix goes: shard and slot."""
+    """Where each record of the mix goes: shard and slot. Of equal records, which gets which slot isn't fixed."""
     return sharding.assign(docs)
 
 
