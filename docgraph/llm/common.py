@@ -117,9 +117,11 @@ def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "
     """
     if sizes is None:
         sizes = rows.groupBy(*keys).agg(F.count("*").alias("key_rows"))
-    hot = materialize(sizes.where(F.col("key_rows") > max(1000.0, HOT_SHARE * rows.count())).select(*keys), "hot-keys")
-    if not hot.limit(1).count():
+    head = sizes.agg(F.max("key_rows").alias("most"), F.sum("key_rows").alias("total")).first()
+    limit = max(1000.0, HOT_SHARE * (head["total"] or 0))
+    if (head["most"] or 0) <= limit:
         return rows.join(table, keys, how)
+    hot = materialize(sizes.where(F.col("key_rows") > limit).select(*keys), "hot-keys")
     hot = F.broadcast(hot)
     some = F.broadcast(materialize(table.join(hot, keys, "left_semi"), "hot-table"))
     return rows.join(hot, keys, "left_anti").join(table, keys, how).unionByName(rows.join(hot, keys, "left_semi").join(some, keys, how))

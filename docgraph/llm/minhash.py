@@ -10,8 +10,7 @@ class, and one of its documents represents it.
    counted, and the share of equal 8-bit values, corrected for chance
    collisions, estimates the similarity. Pairs that may reach the threshold
    make regions.
-2. Buckets that still hold several regions are compared throughout, but only
-   across regions.
+2. Members of a bucket that aren't like its pivot are compared with all others.
 3. Inside a region pairs are confirmed on the full sets, unless they are known
    to be connected already. Links and classes give the components.
 
@@ -225,29 +224,24 @@ def across_labels(members: DataFrame) -> DataFrame:
     return right.unionByName(left)
 
 
-def labelled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Adds ``label`` to members (g, node): the component, or the node itself."""
-    return members.join(found, "node", "left").select("g", "node", F.coalesce("component", "node").alias("label"))
-
-
 def regions(reps: DataFrame) -> DataFrame:
     """(node, component): representatives that hang together through shared bands and near signatures."""
     keyed = reps.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "key"))
-    pivots = keyed.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1").drop("members")
-    buckets = materialize(keyed.join(pivots, ["band", "key"]).select(F.xxhash64("band", "key").alias("g"), "node", "pivot"), "near-buckets")
+    pivots = keyed.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
+    buckets = materialize(keyed.join(pivots, ["band", "key"]).select(F.xxhash64("band", "key").alias("g"), "node", "pivot", "members"), "near-buckets")
     side = lambda node, n, sig: reps.select(F.col("doc_id").alias(node), F.col("n").alias(n), F.col("signature").alias(sig))
     star = materialize(buckets.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct().join(side("u", "n", "a"), "u"), "near-stars")
     near = materialize(screened(join_by_key(star, side("v", "m", "b"), ["v"])), "near-pairs")
-    found = components(near)
-    # buckets of several regions, each set of members once
-    members = materialize(labelled(buckets.select("g", "node"), found), "near-bucket-members")
-    mixed_ = members.groupBy("g").agg(F.count("*").alias("m"), F.min("label").alias("a"), F.max("label").alias("z"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("a <> z")
-    once = materialize(mixed_.groupBy("m", "who").agg(F.min("g").alias("g")).select("g"), "near-mixed-buckets")
-    if not once.limit(1).count():
-        return found
-    rows = across_labels(materialize(join_by_key(members, once, ["g"]), "near-mixed-members"))
-    more = compared(rows.join(side("node", "n", "signature"), "node"))
-    return components(near.unionByName(materialize(more, "near-pairs")))
+    # buckets of more than a pair where not all are like the pivot, each set of members once
+    large = materialize(buckets.where("members > 2").select("g", F.col("node").alias("u"), F.col("pivot").alias("v")).join(near.withColumn("like", F.lit(True)), ["u", "v"], "left"), "near-large-buckets")
+    alone = F.col("like").isNull() & (F.col("u") != F.col("v"))
+    open_ = large.groupBy("g").agg(F.count("*").alias("m"), F.max(alone.cast("int")).alias("alone"), F.sum(F.xxhash64("u", alone).cast("decimal(38,0)")).alias("who")).where("alone = 1")
+    once = materialize(open_.groupBy("m", "who").agg(F.min("g").alias("g")).select("g"), "near-open-buckets")
+    if once.limit(1).count():
+        members = join_by_key(large, once, ["g"]).select("g", F.col("u").alias("node"), F.when(alone, F.col("u")).otherwise(F.col("v")).alias("label"))
+        more = compared(across_labels(materialize(members, "near-open-members")).join(side("node", "n", "signature"), "node"))
+        near = near.unionByName(materialize(more, "near-pairs"))
+    return components(near)
 
 
 def links(documents: DataFrame, reps: DataFrame, words: int) -> DataFrame:
@@ -268,7 +262,8 @@ def links(documents: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     large = placed.where("parts > 3")  # up to three parts, the overlaps hold every pair
     if not large.limit(1).count():
         return found
-    rest = across_labels(materialize(labelled(large.select(F.col("component").alias("g"), "node"), components(found)), "near-region-members"))
+    label = large.select(F.col("component").alias("g"), "node").join(components(found), "node", "left").select("g", "node", F.coalesce("component", "node").alias("label"))
+    rest = across_labels(materialize(label, "near-region-members"))
     return found.unionByName(materialize(compared(rest.join(whole, "node")), "near-links"))
 
 
