@@ -12,11 +12,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 AGGREGATES = ("sum", "avg", "min", "max", "count")
-TOKEN = re.compile(r"\s*(?:(?P<num>[\d.]+)|'(?P<quoted>[^']*)'|(?P<name>[^\W\d]\w*)|(?P<op>[-+*/()]))")
+TOKEN = re.compile(r"\s*(?:(?P<num>[\d.]+)|'(?P<quoted>[^']*)'?|(?P<op>[-+*/(),])|(?P<name>[^\s+\-*/(),]+))")
 HEAD = re.compile(r"^(?P<name>.*?)\s*(?:\[(?P<fmt>[^\]]*)\])?$")
 
 
@@ -50,7 +51,11 @@ def aggregate(fn: str, column: Column, over=lambda c: c) -> Column:
 
 
 class Translator:
-    """Recursive descent over one expression; ``over`` wraps an aggregate (a window for row formulas)."""
+    """Recursive descent over one expression; ``over`` wraps an aggregate (a window for row formulas).
+
+    What a name, a number, a quotient and an aggregate give is left to methods,
+    so that the same grammar also evaluates.
+    """
 
     def __init__(self, text: str, columns: list[str], over=lambda c: c):
         self.columns, self.over, self.at = columns, over, 0
@@ -58,12 +63,31 @@ class Translator:
         text = text.rstrip()
         while pos < len(text):
             m = TOKEN.match(text, pos)
-            if not m:
-                raise FormulaError(f"unexpected character in formula: {text[pos:]}")
             self.tokens.append((m.lastgroup, m[m.lastgroup]))
             pos = m.end()
         self.aggregates = self.bare = False
 
+    def place(self, word: str) -> int:
+        """Column of a header, or else of a letter; -1 where there is none."""
+        if word in self.columns:
+            return self.columns.index(word)
+        return ord(word) - 65 if re.fullmatch("[A-Z]", word) and ord(word) - 65 < len(self.columns) else -1
+
+    def name(self, word: str):
+        at = self.place(word)
+        if at < 0:
+            raise FormulaError(f"unknown column `{word}`")
+        return F.col(f"`{self.columns[at]}`")
+
+    def number(self, word: str):
+        return F.lit(float(re.match(r"\d*\.?\d*", word)[0] or 0))
+
+    def quotient(self, a, b):
+        return F.when(b != 0, a / F.when(b != 0, b))
+
+    def reduced(self, fn: str, word: str):
+        return aggregate(fn, self.name(word), self.over)
+
     def peek(self) -> tuple[str | None, str | None]:
         return self.tokens[self.at] if self.at < len(self.tokens) else (None, None)
 
@@ -71,20 +95,13 @@ class Translator:
         self.at += 1
         return self.tokens[self.at - 1] if self.at <= len(self.tokens) else (None, None)
 
-    def name(self, word: str) -> Column:
-        if word in self.columns:
-            return F.col(f"`{word}`")
-        if re.fullmatch("[A-Z]", word) and ord(word) - 65 < len(self.columns):
-            return F.col(f"`{self.columns[ord(word) - 65]}`")
-        raise FormulaError(f"unknown column: {word}")
-
-    def parse(self) -> Column:
+    def parse(self):
         out = self.sum()
         if self.at < len(self.tokens):
-            raise FormulaError("trailing text in formula")
+            raise FormulaError("trailing tokens in formula")
         return out
 
-    def sum(self) -> Column:
+    def sum(self):
         out = self.product()
         while self.peek() in (("op", "+"), ("op", "-")):
             op = self.take()[1]
@@ -92,15 +109,15 @@ class Translator:
             out = out + right if op == "+" else out - right
         return out
 
-    def product(self) -> Column:
+    def product(self):
         out = self.factor()
         while self.peek() in (("op", "*"), ("op", "/")):
             op = self.take()[1]
             right = self.factor()
-            out = out * right if op == "*" else F.when(right != 0, out / F.when(right != 0, right))
+            out = out * right if op == "*" else self.quotient(out, right)
         return out
 
-    def factor(self) -> Column:
+    def factor(self):
         kind, word = self.take()
         if (kind, word) == ("op", "-"):
             return -self.factor()
@@ -110,18 +127,55 @@ class Translator:
                 raise FormulaError("missing )")
             return out
         if kind == "num":
-            return F.lit(float(re.match(r"\d*\.?\d*", word)[0] or 0))
-        if kind == "name" and word in AGGREGATES and self.peek() == ("op", "("):
+            return self.number(word)
+        if kind == "name" and word.lower() in AGGREGATES and self.peek() == ("op", "("):
             self.take()
             inner_kind, inner = self.take()
-            if inner_kind not in ("name", "quoted") or self.take() != ("op", ")"):
-                raise FormulaError(f"bad argument of {word}")
+            if inner_kind not in ("name", "quoted"):
+                raise FormulaError(f"bad argument to {word}()")
+            if self.take() != ("op", ")"):
+                raise FormulaError("missing )")
             self.aggregates = True
-            return aggregate(word, self.name(inner), self.over)
+            return self.reduced(word.lower(), inner)
         if kind in ("name", "quoted"):
             self.bare = True
             return self.name(word)
-        raise FormulaError("unexpected end of formula" if kind is None else f"unexpected {word}")
+        raise FormulaError("unexpected end of formula" if kind is None else f"unexpected token `{word}`")
+
+
+class Evaluator(Translator):
+    """The same over arrays of cells (NaN where a cell is no number): ``failed`` is the first row that lacks one, and its column.
+
+    Without ``rows`` there are only aggregates, as in a summary row.
+    """
+
+    def __init__(self, text: str, columns: list[str], cells: list[np.ndarray], rows: bool = True):
+        super().__init__(text, columns)
+        self.cells, self.rows, self.failed = cells, rows, None
+
+    def name(self, word: str):
+        at = self.place(word)
+        if at < 0 or not self.rows:
+            raise FormulaError(f"unknown column `{word}`")
+        lacking = np.flatnonzero(np.isnan(self.cells[at]))
+        if len(lacking) and (self.failed is None or lacking[0] < self.failed[0]):
+            self.failed = int(lacking[0]), word
+        return self.cells[at]
+
+    def number(self, word: str):
+        return float(re.match(r"\d*\.?\d*", word)[0] or 0)
+
+    def quotient(self, a, b):
+        return np.true_divide(a, b)
+
+    def reduced(self, fn: str, word: str):
+        at = self.place(word)
+        if at < 0:
+            raise FormulaError(f"unknown column `{word}`")
+        own = self.cells[at][~np.isnan(self.cells[at])]
+        if fn == "count":
+            return float(len(own))
+        return float({"sum": np.sum, "avg": np.mean, "min": np.min, "max": np.max}[fn](own)) if len(own) else 0.0
 
 
 def translate(text: str, columns: list[str], over=lambda c: c) -> list[Formula]:

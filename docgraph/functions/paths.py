@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Extension to language, for source files.
@@ -128,5 +127,5 @@ def display_paths(df: DataFrame, prefixes: list[str], roots: list[tuple[str, str
     parts = F.concat_ws("/", F.when(F.col("kind") == "test", F.lit("test")), F.when(F.col("module") != "", F.col("module")), F.when(F.col("tail") != "", F.col("tail")))
     folded = F.when(parts == "", F.lit("(root)")).otherwise(parts)
     d = d.withColumn("folded", folded)
-    clash = F.size(F.collect_set("path").over(W.partitionBy("folded"))) > 1
-    return d.withColumn("display", F.when(clash, F.col("path")).otherwise(F.col("folded"))).drop("tail", "folded")
+    clashes = d.groupBy("folded").agg(F.countDistinct("path").alias("n")).where("n > 1").select("folded", F.lit(True).alias("clash"))
+    return d.join(clashes, "folded", "left").withColumn("display", F.when(F.col("clash"), F.col("path")).otherwise(F.col("folded"))).drop("tail", "folded", "clash")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from decimal import ROUND_FLOOR, ROUND_HALF_UP, Decimal
 
 import pandas as pd
@@ -138,13 +139,19 @@ def qualified_name(full: Column) -> Column:
     return F.when(cut == "", named).otherwise(F.concat_ws(".", cut, named))
 
 
+#: Buckets of diagnostics and what their messages have, in the order they are tried.
+CATEGORIES = (
+    ("unterminated", "unterminated fence (nesting)"), ("unknown metadata reference", "unknown {{meta}} key"), ("unresolved reference|unresolved footnote", "unresolved ref/footnote"),
+    ("duplicate id", "duplicate id"), ("compute|summary|aggregate|cannot lex|formula", "table formula (compute/summary)"), ("span", "table span"),
+    ("-chart|chart:", "chart binding"), ("cannot resolve document", "cross-doc ref"),
+)
+
+
 def error_category(message: Column) -> Column:
-    """First bucket whose pattern the message has."""
-    out = F.lit("other")
-    for pattern, name in reversed(
-        (("unterminated", "unterminated"), ("unresolved|cannot resolve", "reference"), ("duplicate", "duplicate id"), ("column|formula|compute|summary", "table"), ("chart", "chart"), ("unknown", "unknown name"))
-    ):
-        out = F.when(F.lower(message).rlike(pattern), name).otherwise(out)
+    """First bucket whose pattern the message has, or ``other:`` and its beginning."""
+    out = F.concat(F.lit("other: "), F.substring(message, 1, 40))
+    for pattern, name in reversed(CATEGORIES):
+        out = F.when(message.rlike(pattern), name).otherwise(out)
     return out
 
 
@@ -152,32 +159,49 @@ def trimmed_lines(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.rtrim(x)), "\n")
 
 
-def _printf(fmt: str, v: float | None) -> str | None:
-    import re
+PRINTF = re.compile(r"%%|%[-+ 0]*\d*(?:\.(\d+))?([fFeEgGd])")
+
 
-    if v is None or v != v or v in (float("inf"), float("-inf")):
-        return None
-    exact = Decimal(v)
+def _fixed(v: float, digits: int) -> str:
+    """v with so many digits: its exact binary value, ties away from zero."""
+    scaled = v * 10.0**digits * 2
+    if scaled == int(scaled) and int(scaled) % 2:  # only such values can be ties, which "%f" rounds to even
+        return str(Decimal(v).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+    return f"{v:.{digits}f}"
 
-    def one(m: re.Match) -> str:
-        if m[2] == "%":
-            return "%"
-        if m[2] == "d":
-            return str(int((exact + Decimal("0.5")).to_integral_value(ROUND_FLOOR)))
-        p = int(m[1][1:]) if m[1] else 6
-        if m[2] == "f":
-            return str(exact.quantize(Decimal(1).scaleb(-p), ROUND_HALF_UP))
-        return f"%.{p}{m[2]}" % v
 
-    return re.sub(r"%[-+ 0#]*\d*(\.\d+)?([dfeg%])", one, fmt)
+def _piece(m: re.Match):
+    """What a conversion makes of a number."""
+    if m[2] is None:
+        return lambda v: "%"
+    digits = int(m[1]) if m[1] is not None else None
+    if m[2] == "d":
+        return lambda v: str(int((Decimal(v) + Decimal("0.5")).to_integral_value(ROUND_FLOOR)))
+    if m[2] in "fF":
+        return lambda v: _fixed(v, 6 if digits is None else digits)
+    return (lambda v: f"{v:.{6 if digits is None else digits}e}") if m[2] in "eE" else (lambda v: f"{v:.{6 if digits is None else digits}g}")
 
 
 def printf(fmt: str, value: Column) -> Column:
-    """Formatted number: rounds the exact binary value, ties away from zero; %d rounds half up. (Spark's format_string rounds the shortest decimal.)"""
+    """Formatted number: rounds the exact binary value, ties away from zero; %d rounds half up. (Spark's format_string rounds the shortest decimal.)
+
+    The format is taken apart once; each distinct number of a batch is formatted once.
+    """
+    found = list(PRINTF.finditer(fmt))
+    ends = [0, *(m.end() for m in found)]
+    between = [fmt[a : m.start()] for a, m in zip(ends, found, strict=False)] + [fmt[ends[-1] :]]
+    pieces = [_piece(m) for m in found]
 
     @F.pandas_udf("string")
     def run(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: _printf(fmt, x), na_action="ignore")
+        def text(x: float) -> str | None:
+            if x != x or x in (float("inf"), float("-inf")):
+                return None
+            return between[0] + "".join(p(x) + b for p, b in zip(pieces, between[1:], strict=True))
+
+        codes, own = pd.factorize(v)
+        made = [text(float(x)) for x in own]
+        return pd.Series([made[c] if c >= 0 else None for c in codes], dtype=object)
 
     return run(value.cast("double"))
 
@@ -191,6 +215,8 @@ def number_text(value: Column) -> Column:
             y = float(f"{x:.12g}")
             return str(int(y)) if y == int(y) and abs(y) < 1e21 else repr(y)
 
-        return v.map(text, na_action="ignore")
+        codes, own = pd.factorize(v)
+        made = [text(float(x)) for x in own]
+        return pd.Series([made[c] if c >= 0 else None for c in codes], dtype=object)
 
     return run(value.cast("double"))

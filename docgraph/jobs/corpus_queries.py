@@ -8,134 +8,222 @@ from pyspark.sql import functions as F
 from docgraph.jobs.inputs import read
 from docgraph.jobs.queries import L, query
 from docgraph.operators import corpus, tables
+from docgraph.sources.canonical import canonicalize
 from docgraph.sources.scan import scan_corpus
+from docgraph.storage import written
 
 
-def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc, text): a document a nation, with meta, a table of its customers and a section for each."""
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, n, doc and what a customer's document names."""
     k, n = F.col("c_custkey"), F.col("c_nationkey")
-    section = F.concat(
-        F.lit("## {{name}} "), k, F.lit(" {#c-"), k, F.lit("}\nBalance "), F.col("c_acctbal"), F.lit(". See [[#c-"), k + 25, F.lit("]], `[[#no]]` and [next](n"), (n + 1) % 25, F.lit(".mk#c-"), k + 1, F.lit(").\n")
+    return read(spark, sf_dir, "customer").select(
+        k.alias("k"), n.alias("n"), F.concat(F.lit("c"), k, F.lit(".mk")).alias("doc"), F.round(F.col("c_acctbal") * 100).cast("long").alias("bal"),
+        (k - k % 2).alias("near"), (k + 1).alias("next"), (k + F.when(k % 5 == 0, 2).otherwise(1)).alias("far"),
     )
-    of = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), c.alias("x")))), lambda s: s["x"])
-    d = read(spark, sf_dir, "customer").groupBy(n.alias("n")).agg(of(F.concat_ws(",", k, "c_acctbal")).alias("rows"), of(section).alias("sections"))
-    head = F.concat(F.lit("=== meta\nname = NATION_"), F.col("n"), F.lit("\n===\n\n# Nation {{name}} {#top}\n\n=== table {#customers format=csv}\nkey,bal\n"))
-    return d.select(
-        F.concat(F.lit("n"), F.col("n"), F.lit(".mk")).alias("doc"), F.concat(head, F.array_join("rows", "\n"), F.lit("\n===\n\n"), F.array_join("sections", "\n")).alias("text")
+
+
+def text(*parts) -> F.Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, text): a document a customer, with meta, a table, sections, a list and references; some of these lead nowhere."""
+    k, c = F.col("k"), F.col
+    body = text(
+        "=== meta\nname = NATION_", c("n"), "\n===\n\n# Nation {{name}} {#top}\n\n=== table {#customers format=csv}\nkey,bal\n", k, ",", c("bal"), "\n===\n\n## {{name}} ", k, " {#c-", k,
+        "}\nBalance ", c("bal"), ". See [[#c-", c("near"), "]], `[[#no]]` and [next](c", c("next"), ".mk#c-", c("far"), ").\n\n## Notes {#notes}\n- [x] done ", k, "\n- open {{name}}\n",
     )
+    return customers(spark, sf_dir).select("doc", body.alias("text"))
 
 
 def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_corpus(markup(spark, sf_dir).repartition("doc"))
+    return scan_corpus(markup(spark, sf_dir))
 
 
-DOC = "'n' || c_nationkey || '.mk'"
+#: The same as SQL.
+C = """c AS (SELECT c_custkey AS k, c_nationkey AS n, 'c' || c_custkey || '.mk' AS doc, CAST(round(c_acctbal * 100) AS BIGINT) AS bal, c_custkey - c_custkey % 2 AS near, c_custkey + 1 AS next,
+  c_custkey + CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS far FROM customer)"""
+NL = "chr(10)"
+SENTENCE = "'Balance ' || bal || '. See [[#c-' || near || ']], `[[#no]]` and [next](c' || next || '.mk#c-' || far || ').'"
+SECTION = f"'## {{{{name}}}} ' || k || ' {{#c-' || k || '}}' || {NL} || {SENTENCE} || {NL}"
+TABLE = f"'key,bal' || {NL} || k || ',' || bal"
+TABLE_BLOCK = f"'=== table {{#customers format=csv}}' || {NL} || {TABLE} || {NL} || '==='"
+HEAD = f"'=== meta' || {NL} || 'name = NATION_' || n || {NL} || '===' || {NL} || {NL} || '# Nation {{{{name}}}} {{#top}}' || {NL} || {NL} || {TABLE_BLOCK} || {NL} || {NL}"
+NOTES = f"'## Notes {{#notes}}' || {NL} || '- [x] done ' || k || {NL} || '- open {{{{name}}}}' || {NL}"
 
 
 @query(
     "b1_scan_blocks",
-    f"""SELECT {DOC} AS doc, 'heading' AS kind, count(*) + 1 AS n FROM customer GROUP BY 1 UNION ALL SELECT {DOC}, 'paragraph', count(*) FROM customer GROUP BY 1
-  UNION ALL SELECT DISTINCT {DOC}, 'meta', 1 FROM customer UNION ALL SELECT DISTINCT {DOC}, 'table', 1 FROM customer""",
+    f"""WITH {C} SELECT doc, 1 AS seq, 'meta' AS kind, 1 AS line, 3 AS end_line, CAST(NULL AS VARCHAR) AS id, 'name = NATION_' || n AS text FROM c
+  UNION ALL SELECT doc, 2, 'heading', 5, 5, 'top', 'Nation NATION_' || n FROM c UNION ALL SELECT doc, 3, 'table', 7, 10, 'customers', {TABLE} FROM c
+  UNION ALL SELECT doc, 4, 'heading', 12, 12, 'c-' || k, 'NATION_' || n || ' ' || k FROM c UNION ALL SELECT doc, 5, 'paragraph', 13, 13, NULL, {SENTENCE} FROM c
+  UNION ALL SELECT doc, 6, 'heading', 15, 15, 'notes', 'Notes' FROM c UNION ALL SELECT doc, 7, 'list', 16, 17, NULL, '[x] done ' || k || {NL} || 'open NATION_' || n FROM c""",
 )
 def b1_scan_blocks(spark, d):
-    b = corpus.tagged(scanned(spark, d), "block")
-    return b.groupBy("doc", F.coalesce("type", "kind").alias("kind")).agg(F.count("*").alias("n"))
+    return corpus.tagged(scanned(spark, d), "block").select("doc", "seq", F.coalesce("type", "kind").alias("kind"), "line", "end_line", "id", "text")
 
 
 @query(
     "b6_interpolate",
-    f"SELECT {DOC} AS doc, 'name' AS key, 'NATION_' || c_nationkey AS value, count(*) AS used FROM customer GROUP BY ALL",
+    f"""WITH {C} SELECT doc, 'name' AS key, 'NATION_' || n AS value, 5 AS line, 'Nation NATION_' || n AS text FROM c UNION ALL SELECT doc, 'name', 'NATION_' || n, 12, 'NATION_' || n || ' ' || k FROM c
+  UNION ALL SELECT doc, 'name', 'NATION_' || n, 17, 'open NATION_' || n FROM c""",
 )
 def b6_interpolate(spark, d):
-    """Every heading names the nation through its key; no key is unknown."""
+    """Headings and list items that name the nation through its key, with the value in their place."""
     s = scanned(spark, d)
-    used = corpus.tagged(s, "block").where("kind = 'heading' AND level = 2").groupBy("doc").agg(F.count("*").alias("used"))
-    bad = corpus.tagged(s, "diagnostic").select("doc").distinct()
-    return corpus.doc_meta(s).join(used, "doc").join(bad, "doc", "left_anti").select("doc", "key", "value", "used")
+    heads = corpus.tagged(s, "block").where("kind = 'heading' AND line < 15").select("doc", "line", "text")
+    items = corpus.tagged(s, "item").where("line = 17").select("doc", "line", "text")
+    return corpus.doc_meta(s).join(heads.unionByName(items), "doc").select("doc", "key", "value", "line", "text")
 
 
 @query(
     "b8_extract_refs",
-    f"""SELECT {DOC} AS doc, 'autoref' AS kind, CAST(NULL AS VARCHAR) AS target, 'c-' || (c_custkey + 25) AS anchor FROM customer
-  UNION ALL SELECT {DOC}, 'cross', 'n' || ((c_nationkey + 1) % 25) || '.mk', 'c-' || (c_custkey + 1) FROM customer""",
+    f"""WITH {C} SELECT doc, 13 AS line, 'autoref' AS kind, CAST(NULL AS VARCHAR) AS target, 'c-' || near AS anchor FROM c UNION ALL SELECT doc, 13, 'cross', 'c' || next || '.mk', 'c-' || far FROM c""",
 )
 def b8_extract_refs(spark, d):
-    return corpus.tagged(scanned(spark, d), "ref").select("doc", F.col("ref_kind").alias("kind"), F.col("target_doc").alias("target"), "anchor")
+    return corpus.tagged(scanned(spark, d), "ref").select("doc", "line", F.col("ref_kind").alias("kind"), F.col("target_doc").alias("target"), "anchor")
 
 
 @query(
     "b11_list_ids",
-    f"SELECT {DOC} AS doc, 'c-' || c_custkey AS id, 'heading' AS kind FROM customer UNION SELECT {DOC}, 'top', 'heading' FROM customer UNION SELECT {DOC}, 'customers', 'table' FROM customer",
+    f"""WITH {C} SELECT doc, 'c-' || k AS id, 'heading' AS kind, 12 AS line FROM c UNION ALL SELECT doc, 'top', 'heading', 5 FROM c UNION ALL SELECT doc, 'customers', 'table', 7 FROM c UNION ALL SELECT doc, 'notes', 'heading', 15 FROM c""",
 )
 def b11_list_ids(spark, d):
-    return corpus.list_ids(scanned(spark, d)).select("doc", "id", "kind")
+    return corpus.list_ids(scanned(spark, d)).select("doc", "id", "kind", "line")
 
 
-@query(
-    "b12_get_block",
-    f"""SELECT {DOC} AS doc, 'c-' || c_custkey AS id, '## {{{{name}}}} ' || c_custkey || ' {{#c-' || c_custkey || '}}' AS head FROM customer WHERE c_custkey % 3 = 0""",
-)
-def b12_get_block(spark, d):
+def blocks_of(spark, d, ids, head):
     m = markup(spark, d)
-    keys = read(spark, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("n"), F.col("c_nationkey"), F.lit(".mk")).alias("doc"), F.concat(F.lit("c-"), F.col("c_custkey")).alias("id"))
-    return corpus.get_blocks(m, scan_corpus(m), keys, head=True).withColumnRenamed("body", "head")
+    keys = customers(spark, d).select("doc", F.explode(ids).alias("id"))
+    return corpus.get_blocks(m, scan_corpus(m), keys, head)
+
+
+@query("b12_get_block", f"WITH {C} SELECT doc, 'c-' || k AS id, {SECTION} AS body FROM c UNION ALL SELECT doc, 'customers', {TABLE_BLOCK} FROM c UNION ALL SELECT doc, 'notes', {NOTES} FROM c")
+def b12_get_block(spark, d):
+    """Whole sections and blocks of every document."""
+    return blocks_of(spark, d, F.array(text("c-", F.col("k")), F.lit("customers"), F.lit("notes")), False)
 
 
-@query("b12_get_block_all")
+@query("b12_get_block_all", f"WITH {C} SELECT doc, 'c-' || k AS id, '## {{{{name}}}} ' || k || ' {{#c-' || k || '}}' AS head FROM c UNION ALL SELECT doc, 'top', '# Nation {{{{name}}}} {{#top}}' FROM c UNION ALL SELECT doc, 'customers', '=== table {{#customers format=csv}}' FROM c UNION ALL SELECT doc, 'notes', '## Notes {{#notes}}' FROM c")
 def b12_get_block_all(spark, d):
-    """Every id; b12_get_block has those of its SQL."""
-    m = markup(spark, d)
-    keys = read(spark, d, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey"), F.lit(".mk")).alias("doc"), F.concat(F.lit("c-"), F.col("c_custkey")).alias("id"))
-    return corpus.get_blocks(m, scan_corpus(m), keys, head=True).withColumnRenamed("body", "head")
+    """The first line of every id's block."""
+    return blocks_of(spark, d, F.array(text("c-", F.col("k")), F.lit("top"), F.lit("customers"), F.lit("notes")), True).withColumnRenamed("body", "head")
 
 
-@query(
-    "b13_section_spans",
-    f"""WITH c AS (SELECT {DOC} AS doc, c_custkey, count(*) OVER (PARTITION BY c_nationkey) AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS j FROM customer)
-  SELECT doc, 'c-' || c_custkey AS id, 11 + n + 3 * j AS start, CASE WHEN j < n - 1 THEN 14 + n + 3 * j END AS stop FROM c UNION SELECT doc, 'top', 5, NULL FROM c""",
-)
+@query("b13_section_spans", f"WITH {C} SELECT doc, 'c-' || k AS id, 12 AS start, 15 AS stop FROM c UNION ALL SELECT doc, 'top', 5, NULL FROM c UNION ALL SELECT doc, 'notes', 15, NULL FROM c")
 def b13_section_spans(spark, d):
-    return corpus.section_spans(scanned(spark, d)).select("doc", "id", F.col("start").cast(L).alias("start"), F.col("stop").cast(L).alias("stop"))
+    return corpus.section_spans(scanned(spark, d)).select("doc", "id", "start", "stop")
 
 
-@query(
-    "c1_unresolved_autoref",
-    f"""SELECT {DOC} AS doc, 'c-' || (c_custkey + 25) AS anchor FROM customer a WHERE NOT EXISTS (SELECT 1 FROM customer b WHERE b.c_custkey = a.c_custkey + 25 AND b.c_nationkey = a.c_nationkey)""",
-)
+UNRESOLVED = f"{C} SELECT doc, 13 AS line, 'c-' || near AS anchor FROM c WHERE near <> k"
+CROSS = f"""{C} SELECT doc, 13 AS line, 'c' || next || '.mk' AS target, 'c-' || far AS anchor, CASE WHEN far = next OR NOT EXISTS (SELECT 1 FROM c b WHERE b.k = a.next) THEN 'cannot resolve document' ELSE 'unresolved reference' END AS reason
+  FROM c a WHERE far <> next OR NOT EXISTS (SELECT 1 FROM c b WHERE b.k = a.next)"""
+
+
+@query("c1_unresolved_autoref", f"WITH {UNRESOLVED}")
 def c1_unresolved_autoref(spark, d):
-    return corpus.unresolved_internal(scanned(spark, d)).select("doc", "anchor")
+    return corpus.unresolved_internal(scanned(spark, d)).select("doc", "line", "anchor")
 
 
-@query(
-    "c2_unresolved_cross",
-    f"""SELECT {DOC} AS doc, 'n' || ((c_nationkey + 1) % 25) || '.mk' AS target, 'c-' || (c_custkey + 1) AS anchor, 'unresolved reference' AS reason FROM customer a
-  WHERE NOT EXISTS (SELECT 1 FROM customer b WHERE b.c_custkey = a.c_custkey + 1 AND b.c_nationkey = (a.c_nationkey + 1) % 25)""",
-)
+@query("c2_unresolved_cross", f"WITH {CROSS}")
 def c2_unresolved_cross(spark, d):
     m = markup(spark, d)
-    return corpus.unresolved_cross(scan_corpus(m), m).select("doc", "target", "anchor", "reason")
+    return corpus.unresolved_cross(scan_corpus(m), m).select("doc", "line", "target", "anchor", "reason")
 
 
 @query(
     "c4_corpus_backlinks",
-    """SELECT 'n' || b.c_nationkey || '.mk' AS target, 'c-' || b.c_custkey AS id, 'n' || a.c_nationkey || '.mk' AS doc FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 25 AND b.c_nationkey = a.c_nationkey
-  UNION ALL SELECT 'n' || b.c_nationkey || '.mk', 'c-' || b.c_custkey, 'n' || a.c_nationkey || '.mk' FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 AND b.c_nationkey = (a.c_nationkey + 1) % 25""",
+    f"""WITH {C} SELECT doc AS target, 'c-' || k AS id, doc, 13 AS line FROM c WHERE near = k UNION ALL SELECT b.doc, 'c-' || b.k, a.doc, 13 FROM c a JOIN c b ON b.k = a.next WHERE a.far = a.next""",
 )
 def c4_corpus_backlinks(spark, d):
-    return corpus.backlinks(scanned(spark, d)).select("target", "id", "doc")
+    return corpus.backlinks(scanned(spark, d)).select("target", "id", "doc", "line")
 
 
 @query(
     "m_check_corpus",
-    f"""SELECT {DOC} AS doc, 'unresolved' AS code, count(*) AS n FROM customer a WHERE NOT EXISTS (SELECT 1 FROM customer b WHERE b.c_custkey = a.c_custkey + 25 AND b.c_nationkey = a.c_nationkey) GROUP BY 1
-  UNION ALL SELECT {DOC}, 'unresolved-cross', count(*) FROM customer a WHERE NOT EXISTS (SELECT 1 FROM customer b WHERE b.c_custkey = a.c_custkey + 1 AND b.c_nationkey = (a.c_nationkey + 1) % 25) GROUP BY 1""",
+    f"""WITH u AS (WITH {UNRESOLVED}), x AS (WITH {CROSS}) SELECT doc, line, 'error' AS severity, 'unresolved' AS code, 'unresolved reference `#' || anchor || '`' AS message FROM u
+  UNION ALL SELECT doc, line, 'error', 'unresolved-cross', CASE WHEN reason = 'cannot resolve document' THEN 'cannot resolve document `' || target || '`' ELSE 'unresolved reference `' || target || '#' || anchor || '`' END FROM x""",
 )
 def m_check_corpus(spark, d):
     m = markup(spark, d)
-    return corpus.check_corpus(scan_corpus(m), m).groupBy("doc", "code").agg(F.count("*").alias("n"))
+    return corpus.check_corpus(written(scan_corpus(m), "scan"), m)
+
+
+T = "=== table {#t format=csv%s}\na,b\n1,x\n2,3\n===\n"
+CHARTED = "=== table {#t format=csv}\na,b\n1,5\n2,n\n===\n=== diagram {format=x-chart data=#t%s}\n===\n"
+#: (document, line, severity, code, message) with one case for each rule, and for the parts of some.
+RULES = [
+    ("# A {#a}\n# B {#a}", 2, "error", "duplicate-id", "duplicate id `#a` (first defined at line 1)"),
+    ("see [[#a]]", 1, "error", "unresolved", "unresolved reference `#a`"),
+    ("see [^f]", 1, "error", "unresolved", "unresolved footnote `[^f]`"),
+    ("see [x](gone.mk#a)", 1, "error", "unresolved-cross", "cannot resolve document `gone.mk`"),
+    ("see [x](base.mk#zz)", 1, "error", "unresolved-cross", "unresolved reference `base.mk#zz`"),
+    ("a {{b}} `{{c}}`", 1, "error", "unknown-key", "unknown metadata reference `{{b}}`"),
+    ("=== note {#n}\nx", 1, "error", "unterminated", "unterminated `note` block (no matching === or `=== #n`)"),
+    ("=== aside\nx\n===", 1, "warning", "unknown-type", "unknown block type `aside`; body kept as raw"),
+    ("".join("=" * (400 - i) + " note\n" for i in range(258)) + "".join("=" * (400 - i) + "\n" for i in reversed(range(258))), 257, "error", "too-deep", "block nesting too deep (max 256); body kept as raw"),
+    ("\n".join(" " * i + "- x" for i in range(258)), 257, "error", "too-deep", "list nesting too deep (max 256)"),
+    ("=== diagram {format=odd}\n===", 1, "warning", "diagram-format", "no registered renderer for diagram format `odd`; body kept raw"),
+    ("=== table {#t}\n| a | b |\n|---|---|\n| 1 | 2 |\n===\n=== diagram {format=x-chart data=#t type=bar x=a y=b}\nz\n===", 6, "warning", "chart-body", "x-chart body is ignored; the chart spec lives in attributes"),
+    ("=== diagram {format=x-code-graph}\n===", 1, "warning", "graph-src", "x-code-graph: missing `src=` (nothing to render)"),
+    ("=== diagram {format=x-code-graph src=gone.mk}\n===", 1, "warning", "graph-src", "code graph: cannot resolve document `gone.mk`"),
+    ("=== diagram {format=x-code-graph src=base.mk}\nz\n===", 1, "warning", "graph-body", "x-code-graph body is ignored; the embed is configured by `src=` alone"),
+    ("=== table {src=a.csv}\n1\n===", 1, "error", "table-source", "table has both `src` and an inline body; provide one, not both"),
+    ("=== table {format=odd}\n| a |\n===", 1, "warning", "table-format", "unknown table format `odd`; parsed as visual grid"),
+    (T % ' compute="= a"', 1, "error", "compute", "bad compute formula `= a` (want `Name = expr`)"),
+    (T % ' compute="c = a + b"', 1, "error", "compute", "compute `c`: unknown column `b`"),
+    (T % ' compute="c = zz * 2"', 1, "error", "compute", "compute `c`: unknown column `zz`"),
+    (T % ' compute="c = (a + 1"', 1, "error", "compute", "compute `c`: missing )"),
+    (T % ' compute="c = a a"', 1, "error", "compute", "compute `c`: trailing tokens in formula"),
+    (T % ' compute="c = sum(1)"', 1, "error", "compute", "compute `c`: bad argument to sum()"),
+    (T % ' compute="c = 1 +"', 1, "error", "compute", "compute `c`: unexpected end of formula"),
+    (T % ' summary="a"', 1, "error", "summary", "bad summary `a` (want `Cell = value`)"),
+    (T % ' summary="zz = sum(a)"', 1, "error", "summary", "summary targets unknown column `zz`"),
+    (T % ' summary="a = a"', 1, "error", "summary", "summary `a`: column `a` must be reduced by an aggregate (e.g. sum(a))"),
+    (T % ' span="x"', 1, "error", "span", "bad span `x` (want `rNcM:RxC`)"),
+    (T % ' span="r9c1:1x1"', 1, "warning", "span", "span `r9c1:1x1` targets a cell outside the table"),
+    (CHARTED % "", 6, "error", "chart", "chart: missing `type`"),
+    (CHARTED % " type=radar", 6, "error", "chart", "chart: unknown type `radar` (supported: bar, line, area, pie, scatter; use format=vega-lite for others)"),
+    (CHARTED % " type=bar rows=odd", 6, "error", "chart", "chart: unknown rows scope `odd` (data|all|summary)"),
+    (CHARTED % " type=bar x=a", 6, "error", "chart", "chart: missing required channel `y`"),
+    (CHARTED % " type=bar y=a", 6, "error", "chart", "chart: missing required channel `x`"),
+    (CHARTED % " type=bar x=a y=zz", 6, "error", "chart", "chart: column `zz` not found in table"),
+    (CHARTED % " type=bar x=a y=b", 6, "error", "chart", "chart: non-numeric value in a y column"),
+    (CHARTED % " type=bar x=b y=a rows=summary", 6, "error", "chart", "chart: rows=summary but the table has no summary row"),
+    (CHARTED % " type=bar x=b y=a rows=all", 6, "warning", "chart", "chart: rows=all but the table has no summary row; using data rows"),
+    (CHARTED % " type=bar x=b y=a size=a", 6, "warning", "chart", "chart: `size` is ignored for type `bar`"),
+    (CHARTED % ' type=pie x=b y="a,b"', 6, "warning", "chart", "chart: pie uses a single `y`; extra columns ignored"),
+    ("=== diagram {format=x-chart}\n===", 1, "error", "chart-data", "x-chart: missing `data=#id`"),
+    ("# A {#a}\n=== diagram {format=x-chart data=#a}\n===", 2, "error", "chart-data", "x-chart: data target `#a` is not a table"),
+    ("=== diagram {format=x-chart data=#a}\n===", 1, "error", "chart-data", "x-chart: unresolved reference `#a`"),
+    ("# Fine {#a}\n\nsee [[#a]] and [x](base.mk#a)", None, None, None, None),
+]
+quoted = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+
+
+@query(
+    "m_rules",
+    "WITH r(j, line, severity, code, message) AS (VALUES "
+    + ", ".join(f"({j}, {quoted(r[1])}, {quoted(r[2])}, {quoted(r[3])}, {quoted(r[4])})" for j, r in enumerate(RULES) if r[1])
+    + f") SELECT 'r' || c_custkey || '.mk' AS doc, line, severity, code, message FROM customer JOIN r ON r.j = c_custkey % {len(RULES)}",
+)
+def m_rules(spark, d):
+    """Every customer's document breaks one rule, or none: base.mk is one of the corpus' names."""
+    cases = F.array(*[F.lit(r[0]) for r in RULES])
+    k = F.col("c_custkey")
+    docs = read(spark, d, "customer").select(text("r", k, ".mk").alias("doc"), F.get(cases, (k % len(RULES)).cast("int")).alias("text"))
+    named = docs.unionByName(spark.createDataFrame([("base.mk", "# A {#a}")], "doc string, text string"))
+    found = corpus.check_corpus(written(scan_corpus(named), "scan"), named)
+    return found.where("doc <> 'base.mk'")
+
 
+@query("m_unchecked_cross", f"WITH {C} SELECT doc, 13 AS line, 'warning' AS severity, 'cross-document reference `c' || next || '.mk#c-' || far || '` not checked (no document resolver)' AS message FROM c")
+def m_unchecked_cross(spark, d):
+    """Without a corpus to look in, cross references are only warned of."""
+    return corpus.check_corpus(written(scanned(spark, d), "scan")).where("code = 'unchecked-cross'").drop("code")
 
-@query("a2_scanned_tables", f"SELECT {DOC} AS doc, CAST(c_custkey AS DOUBLE) AS \"key\", c_acctbal AS bal FROM customer")
+
+@query("a2_scanned_tables", f"WITH {C} SELECT doc, CAST(k AS DOUBLE) AS \"key\", CAST(bal AS DOUBLE) AS bal FROM c")
 def a2_scanned_tables(spark, d):
     """The table blocks of the corpus, read back into numbers."""
     t = corpus.tagged(scanned(spark, d), "block").where("type = 'table'").select("doc", F.col("id").alias("table_id"), F.col("text").alias("body"))
@@ -144,32 +232,39 @@ def a2_scanned_tables(spark, d):
 
 @query(
     "b20_export_corpus",
-    f"""SELECT {DOC} AS doc, count(*) AS sections, count(*) + 1 AS headings FROM customer GROUP BY 1""",
+    f"""WITH {C} SELECT doc, '---' || {NL} || 'name: NATION_' || n || {NL} || '---' || {NL} || {NL} || '# Nation NATION_' || n || {NL} || {NL} || '| key | bal |' || {NL} || '| --- | --- |' || {NL} || '| ' || k || ' | ' || bal || ' |' || {NL} || {NL}
+  || '## NATION_' || n || ' ' || k || {NL} || {NL} || {SENTENCE} || {NL} || {NL} || '## Notes' || {NL} || {NL} || '- [x] done ' || k || {NL} || '- open NATION_' || n || {NL} AS text,
+  'heading id/attributes dropped (Markdown has no attribute syntax)' AS notes FROM c""",
 )
 def b20_export_corpus(spark, d):
-    out = corpus.export_markdown(scanned(spark, d))
-    n = lambda rx: F.size(F.regexp_extract_all("text", F.lit(rx), F.lit(0))).cast(L)
-    return out.select("doc", n(r"(?m)^Balance ").alias("sections"), n(r"(?m)^#+ ").alias("headings"))
+    return corpus.export_markdown(scanned(spark, d)).select("doc", "text", F.array_join("notes", ";").alias("notes"))
+
+
+@query(
+    "b21_canonicalize",
+    f"""WITH {C} SELECT doc, '=== meta' || {NL} || 'name = NATION_' || n || {NL} || '===' || {NL} || {NL} || '# Nation NATION_' || n || ' {{#top}}' || {NL} || {NL} || '=== table {{#customers format="csv"}}' || {NL} || {TABLE} || {NL} || '===' || {NL} || {NL}
+  || '## NATION_' || n || ' ' || k || ' {{#c-' || k || '}}' || {NL} || {NL} || {SENTENCE} || {NL} || {NL} || '## Notes {{#notes}}' || {NL} || {NL} || '- [x] done ' || k || {NL} || '- open NATION_' || n || {NL} AS text, true AS same FROM c""".replace("{{#", "{#").replace("}}'", "}'"),
+)
+def b21_canonicalize(spark, d):
+    """The normal form, and that it is its own one."""
+    once = canonicalize(markup(spark, d)).select("doc", "text")
+    return canonicalize(once)
 
 
 @query(
     "b22_apply_patches",
-    f"SELECT {DOC} AS doc, count(*) FILTER (c_custkey % 4 = 0) AS patched, count(*) FILTER (c_custkey % 4 <> 0) AS kept FROM customer GROUP BY 1",
+    f"""WITH {C} SELECT doc, {HEAD} || CASE WHEN k % 4 = 0 THEN '## new {{#c-' || k || '}}' || {NL} || 'Patched.' || {NL} ELSE {SECTION} END || {NL} || {NOTES} AS text FROM c""",
 )
 def b22_apply_patches(spark, d):
     m = markup(spark, d)
-    p = read(spark, d, "customer").where("c_custkey % 4 = 0").select(
-        F.concat(F.lit("n"), F.col("c_nationkey"), F.lit(".mk")).alias("doc"), F.concat(F.lit("c-"), F.col("c_custkey")).alias("id"), F.concat(F.lit("## new {#c-"), F.col("c_custkey"), F.lit("}\nPatched.\n")).alias("body")
-    )
-    out = corpus.apply_patches(m, scan_corpus(m), p)
-    n = lambda rx: F.size(F.regexp_extract_all("text", F.lit(rx), F.lit(0))).cast(L)
-    return out.select("doc", n(r"(?m)^Patched\.").alias("patched"), n(r"(?m)^Balance ").alias("kept"))
+    p = customers(spark, d).where("k % 4 = 0").select("doc", text("c-", F.col("k")).alias("id"), text("## new {#c-", F.col("k"), "}\nPatched.\n").alias("body"))
+    return corpus.apply_patches(m, scan_corpus(m), p)
 
 
-@query("g4_rejected_patches", f"SELECT {DOC} AS doc, 'c-' || c_custkey AS id FROM customer WHERE c_custkey % 10 = 0")
+@query("g4_rejected_patches", f"WITH {C} SELECT doc, 'c-' || k AS id FROM c WHERE k % 10 = 0")
 def g4_rejected_patches(spark, d):
     """Patches that leave out their block's id drop it: those documents are refused."""
     m = markup(spark, d)
-    p = read(spark, d, "customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("n"), F.col("c_nationkey"), F.lit(".mk")).alias("doc"), F.concat(F.lit("c-"), F.col("c_custkey")).alias("id"), F.lit("gone\n").alias("body"))
-    before = scan_corpus(m)
+    p = customers(spark, d).where("k % 10 = 0").select("doc", text("c-", F.col("k")).alias("id"), F.lit("gone\n").alias("body"))
+    before = written(scan_corpus(m), "scan")
     return corpus.rejected_patches(before, scan_corpus(corpus.apply_patches(m, before, p)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docgraph.jobs.inputs import read
 from docgraph.jobs.queries import L, query
 from docgraph.operators import history
+from docgraph.storage import written
 
 REVS = """revs AS (SELECT a.conv_id AS doc, a.turn AS rev, string_agg(b.text, chr(10) || chr(10) ORDER BY b.turn) AS text FROM (SELECT DISTINCT conv_id, turn FROM conversations) a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn <= a.turn GROUP BY 1, 2)"""
 
@@ -39,6 +40,47 @@ def j2_diff_revisions(spark, d):
     return history.commit_chain(revisions(spark, d)).drop("payload")
 
 
+@query(
+    "j2_moved_units",
+    f"""SELECT conv_id AS doc, turn AS rev, 'C.' || chr(10) || chr(10) || 'A ' || turn || '.' || chr(10) || chr(10) || 'B.' || chr(10) || chr(10) || 'end' AS text FROM conversations""",
+)
+def j2_moved_units(spark, d):
+    """Operations as history files have them: a move to the start, an insert at the end without a key, a delete and a replacement."""
+    t = F.col("turn")
+    base = read(spark, d, "conversations").select(F.concat_ws(".", "conv_id", "turn", "role").alias("doc"), "conv_id", "turn", F.concat(F.lit("=== note {#a}\nA\n===\n\nB.\n\nC.\n\nD.\n\n")).alias("text"))
+    key = lambda x: F.concat(F.lit("@"), F.substring(F.sha2(F.lit(x), 256), 1, 8))
+    op = lambda i, kind, key, anchor, payload: F.struct(F.lit(i).alias("op_seq"), F.lit(kind).alias("kind"), key.alias("key"), anchor.alias("anchor"), payload.alias("payload"))
+    none = F.lit(None).cast("string")
+    ops = F.array(
+        op(0, "replace", F.lit("#a"), none, F.concat(F.lit("A "), t, F.lit(".\n\n"))), op(1, "delete", key("D."), none, none),
+        op(2, "move", key("C."), F.lit("at-start"), none), op(3, "insert", none, F.lit("at-end"), F.lit("end")),
+    )
+    tip = base.select("doc", F.lit(1).cast(L).alias("rev"), F.lit("").alias("hash"), F.lit(0).alias("op_seq"), F.lit("tip").alias("kind"), none.alias("key"), none.alias("anchor"), F.col("text").alias("payload"))
+    rest = base.select("doc", F.lit(0).cast(L).alias("rev"), F.lit("").alias("hash"), F.inline(ops))
+    out = history.reconstruct(tip.unionByName(rest)).where("rev = 0")
+    return out.join(base.drop("text"), "doc").select(F.col("conv_id").alias("doc"), F.col("turn").alias("rev"), "text")
+
+
+@query("j3_commit", f"WITH {REVS} SELECT CAST(doc AS VARCHAR) AS doc, rev, sha256(text) AS hash, true AS ok FROM revs")
+def j3_commit(spark, d):
+    """All revisions but the newest committed at once, then the newest: every revision is rebuilt."""
+    r = history.revision_log(revisions(spark, d))
+    before = written(history.commit_chain(r.where("offset < 0"), keyframes=2), "history")
+    h = written(history.commit(before, r.where("offset = 0")), "history")
+    return history.reconstruct(h).select("doc", "rev", F.sha2("text", 256).alias("hash"), "ok")
+
+
+@query(
+    "j3_numbered_blobs",
+    """WITH t AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nr FROM conversations) SELECT CAST(conv_id AS VARCHAR) AS doc, turn AS rev, 'b' || nr AS blob, role AS payload FROM t""",
+)
+def j3_numbered_blobs(spark, d):
+    """Blob numbers follow the revisions of a document."""
+    c = read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("doc"), F.col("turn").alias("rev"), F.lit("").alias("hash"), F.lit(0).alias("op_seq"), F.lit("insert").alias("kind"), F.lit("k").alias("key"), F.lit("at-end").alias("anchor"), F.col("role").alias("payload"))
+    ops, blobs = history.numbered_blobs(c)
+    return ops.join(blobs, ["doc", "blob"]).select("doc", "rev", "blob", "payload")
+
+
 @query("j1_tile_units", f"WITH {REVS} SELECT CAST(doc AS VARCHAR) AS doc, rev, sha256(text) AS hash FROM revs")
 def j1_tile_units(spark, d):
     """Units joined in order are the text."""
@@ -49,18 +91,19 @@ def j1_tile_units(spark, d):
 
 @query(
     "e7_unit_keys",
-    """WITH u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-  k AS (SELECT doc_id, pos, '@' || substr(sha256(line), 1, 8) AS base, row_number() OVER (PARTITION BY doc_id, substr(sha256(line), 1, 8) ORDER BY pos) - 1 AS n FROM u WHERE trim(line, ' ' || chr(9) || chr(13)) <> '')
-  SELECT doc_id, CASE WHEN n = 0 THEN base ELSE base || '~' || n END AS key FROM k""",
+    """WITH u AS (SELECT conv_id AS doc, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM conversations),
+  l AS (SELECT doc, line, row_number() OVER (PARTITION BY doc ORDER BY turn, pos) AS pos FROM u WHERE trim(line, ' ' || chr(9) || chr(13)) <> '' AND NOT regexp_matches(line, '^={3,}') AND NOT regexp_matches(line, '#')),
+  k AS (SELECT doc, pos, '@' || substr(sha256(line), 1, 8) AS base, row_number() OVER (PARTITION BY doc, substr(sha256(line), 1, 8) ORDER BY pos) - 1 AS n FROM l)
+  SELECT CAST(doc AS VARCHAR) AS doc, pos - 1 AS pos, CASE WHEN n = 0 THEN base ELSE base || '~' || n END AS key FROM k""",
 )
 def e7_unit_keys(spark, d):
-    """Lines as units: their keys, numbered where one repeats."""
-    from pyspark.sql import Window as W
-
-    u = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim(F.translate("line", "\t\r", "  ")) != "")
-    base = F.concat(F.lit("@"), F.substring(F.sha2("line", 256), 1, 8))
-    n = F.row_number().over(W.partitionBy("doc_id", "base").orderBy("pos")) - 1
-    return u.withColumn("base", base).withColumn("n", n).select("doc_id", F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat("base", F.lit("~"), "n")).alias("key"))
+    """Conversations as documents whose lines are paragraphs: the keys of their units, numbered where one repeats."""
+    c = read(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    c = c.where((F.trim(F.translate("line", "\t\r", "  ")) != "") & ~F.col("line").rlike("^={3,}") & ~F.col("line").contains("#"))
+    lines = F.array_sort(F.collect_list(F.struct("turn", "pos", "line")))  # a conversation has a handful of turns
+    text = F.array_join(F.transform(lines, lambda x: x["line"]), "\n\n")
+    docs = c.groupBy(F.col("conv_id").alias("doc")).agg(text.alias("text")).withColumn("rev", F.lit(0))
+    return history.tile_units(docs).select("doc", "pos", "key")
 
 
 @query("e6_revision_log", f"WITH {REVS} SELECT doc, rev, rev - max(rev) OVER (PARTITION BY doc) AS \"offset\", rev = max(rev) OVER (PARTITION BY doc) AS current FROM revs")

@@ -6,10 +6,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docgraph.jobs.inputs import EDGES, SYMBOLS, edges, read, symbols
-from docgraph.jobs.queries import L, ROOTS, query
-from docgraph.operators import graph, walk
+from docgraph.jobs.queries import ALL_ROOTS, L, _every_root, _levels, query
+from docgraph.operators import graph, search, walk
 from docgraph.sources import exchange
 from docgraph.sources.markdown import convert_corpus
+from docgraph.storage import shared_dir, written
 
 
 @query(
@@ -48,8 +49,22 @@ def a7_from_method_calls(spark, d):
     return exchange.from_method_calls(methods, calls)[1].groupBy("from", "to", "to_text").agg(F.count("*").alias("n"))
 
 
-@query("a9_write_changed", "SELECT p_partkey AS doc, p_name FROM part WHERE p_size % 3 = 0 OR p_size % 5 = 0")
+@query("a9_write_changed", "SELECT p_brand AS doc, count(*) AS n, sum(CASE WHEN p_brand LIKE '%1' THEN length(p_name) + 1 ELSE length(p_name) END) AS chars, count(DISTINCT p_brand) * 0 + (SELECT count(DISTINCT p_brand) FROM part WHERE p_brand LIKE '%1') AS written FROM part GROUP BY 1")
 def a9_write_changed(spark, d):
+    """A table of a folder a brand, written twice: the second time some brands' rows changed, and only their folders are written."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/changed-{uuid.uuid4().hex}"
+    t = read(spark, d, "part").select(F.col("p_brand").alias("doc"), "p_partkey", "p_name")
+    exchange.write_changed(t, path)
+    new = t.withColumn("p_name", F.when(F.col("doc").endswith("1"), F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")))
+    wrote, _ = exchange.write_changed(new, path)
+    back = spark.read.schema(t.schema).parquet(path)
+    return back.groupBy("doc").agg(F.count("*").alias("n"), F.sum(F.length("p_name")).alias("chars")).withColumn("written", F.lit(wrote).cast(L))
+
+
+@query("a9_changed_rows", "SELECT p_partkey AS doc, p_name FROM part WHERE p_size % 3 = 0 OR p_size % 5 = 0")
+def a9_changed_rows(spark, d):
     """Rows to write again: a third changed, a fifth new."""
     cur = read(spark, d, "part").select(F.col("p_partkey").alias("doc"), "p_name", "p_size")
     prior = cur.where("p_size % 5 <> 0").withColumn("p_name", F.when(F.col("p_size") % 3 == 0, F.lit("old")).otherwise(F.col("p_name")))
@@ -61,56 +76,121 @@ def a10_container_tables(spark, d):
     """Container tables written to the shared folder by container, and counted from there."""
     import uuid
 
-    path = f"{walk.shared_dir(spark)}/containers-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/containers-{uuid.uuid4().hex}"
     exchange.write_container_tables(edges(spark, d), symbols(spark, d), path)
     n = lambda t: spark.read.parquet(f"{path}/{t}").groupBy("container").agg(F.count("*").alias(t))
     j = n("calls").join(n("unresolved"), "container", "full_outer")
     return j.select("container", F.coalesce("calls", F.lit(0)).cast(L).alias("calls"), F.coalesce("unresolved", F.lit(0)).cast(L).alias("unresolved"))
 
 
-@query("b19_convert_corpus", "SELECT 'd' || o_orderkey AS doc, CASE o_orderkey % 4 WHEN 0 THEN '=== code {lang=sql}' WHEN 1 THEN '=== note' WHEN 2 THEN '=== table' ELSE '# Title' END AS first, CASE WHEN o_orderkey % 5 = 0 THEN 'html' ELSE '' END AS notes FROM orders")
+@query(
+    "b19_convert_corpus",
+    """SELECT 'd' || o_orderkey AS doc, CASE o_orderkey % 4 WHEN 0 THEN '=== code {#code-1 lang=sql}' || chr(10) || 'select ' || o_orderkey || chr(10) || '===' WHEN 1 THEN '=== note {#note-1}' || chr(10) || o_orderpriority || chr(10) || '==='
+    WHEN 2 THEN '=== table {#table-1}' || chr(10) || '| a |' || chr(10) || '|---|' || chr(10) || '| ' || o_orderkey || ' |' || chr(10) || '===' ELSE '# Title' END || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || chr(10) || '<div>' || chr(10) ELSE chr(10) END AS text,
+    CASE o_orderkey % 5 WHEN 0 THEN 'raw HTML kept as text at line ' || n || ': <div>' WHEN 1 THEN 'dropped thematic break at line ' || n ELSE '' END AS notes FROM (SELECT *, CASE o_orderkey % 4 WHEN 0 THEN 5 WHEN 1 THEN 3 WHEN 2 THEN 5 ELSE 4 END AS n FROM orders)""",
+)
 def b19_convert_corpus(spark, d):
     k = F.col("o_orderkey") % 4
-    body = F.when(k == 0, F.concat(F.lit("```sql\nselect "), "o_orderkey", F.lit("\n```"))).when(k == 1, F.concat(F.lit("> "), "o_orderpriority")).when(k == 2, F.concat(F.lit("| a |\n|---|\n| "), "o_totalprice", F.lit(" |"))).otherwise(F.lit("Title\n====="))
-    text = F.concat(body, F.when(F.col("o_orderkey") % 5 == 0, F.lit("\n\n<div>")).otherwise(F.lit("")))
+    body = F.when(k == 0, F.concat(F.lit("```sql\nselect "), "o_orderkey", F.lit("\n```"))).when(k == 1, F.concat(F.lit("> "), "o_orderpriority")).when(k == 2, F.concat(F.lit("| a |\n|---|\n| "), "o_orderkey", F.lit(" |"))).otherwise(F.lit("Title\n====="))
+    text = F.concat(body, F.when(F.col("o_orderkey") % 5 == 0, F.lit("\n\n<div>")).when(F.col("o_orderkey") % 5 == 1, F.lit("\n\n***")).otherwise(F.lit("")))
     out = convert_corpus(read(spark, d, "orders").select(F.concat(F.lit("d"), F.col("o_orderkey")).alias("doc"), text.alias("text")))
-    return out.select("doc", F.substring_index("text", "\n", 1).alias("first"), F.array_join("notes", ",").alias("notes"))
+    return out.select("doc", "text", F.array_join("notes", ",").alias("notes"))
+
+
+@query(
+    "a8_from_occurrences",
+    """WITH o AS (SELECT p_partkey AS k, p_type AS file, p_size AS a, p_size + p_partkey % 20 AS z, 'pkg/' || replace(p_brand, '#', '') || '#m' || p_partkey || '().' AS symbol FROM part),
+  r AS (SELECT DISTINCT p.p_type AS file, l.l_linenumber * 8 AS line, CASE WHEN q.p_partkey IS NULL THEN 'ext/Lib#f' || (l.l_orderkey % 9) || '().' ELSE 'pkg/' || replace(q.p_brand, '#', '') || '#m' || q.p_partkey || '().' END AS ref
+    FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey LEFT JOIN part q ON q.p_partkey = l.l_orderkey),
+  c AS (SELECT r.*, o.symbol AS caller, row_number() OVER (PARTITION BY r.file, r.line, r.ref ORDER BY o.z - o.a, o.a DESC, o.symbol) AS nr FROM r JOIN o ON o.file = r.file AND r.line BETWEEN o.a AND o.z),
+  i AS (SELECT b.symbol AS target, a.symbol AS impl FROM o a JOIN o b ON b.k = a.k + 1 WHERE a.k % 10 = 0)
+  SELECT c.file, c.line, c.caller AS "from", t.symbol AS "to", CASE WHEN t.symbol IS NULL THEN regexp_extract(c.ref, '/(.*)[(]', 1).replace('#', '.') END AS to_text,
+    CASE WHEN t.symbol IS NULL THEN 'low' WHEN i.impl IS NULL THEN 'high' ELSE 'medium' END AS confidence, i.impl AS candidates, CASE WHEN i.impl IS NOT NULL THEN 'dispatch, 2 candidates' END AS note
+  FROM c LEFT JOIN o t ON t.symbol = c.ref LEFT JOIN i ON i.target = c.ref WHERE nr = 1 AND c.caller <> c.ref""",
+)
+def a8_from_occurrences(spark, d):
+    """Parts as methods of the file of their type, line items as references: edges by caller, with candidates where a method is implemented."""
+    return _occurrences(spark, d)[1].select(F.col("site.file").alias("file"), F.col("site.line").alias("line"), "from", "to", "to_text", "confidence", F.array_join("candidates", ",").alias("candidates"), "note")
+
+
+def _occurrences(spark, d):
+    p = read(spark, d, "part")
+    method = F.concat(F.lit("pkg/"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("#m"), "p_partkey", F.lit("()."))
+    own = p.select("p_partkey", F.col("p_type").alias("file"), method.alias("symbol"), F.col("p_size").alias("start"), (F.col("p_size") + F.col("p_partkey") % 20).alias("end"))
+    defs = own.select("file", "symbol", F.lit("definition").alias("role"), F.col("start").alias("line"), "start", "end")
+    li = read(spark, d, "lineitem").select("l_partkey", "l_orderkey", (F.col("l_linenumber") * 8).alias("line"))
+    li = li.join(own.select(F.col("p_partkey").alias("l_partkey"), "file"), "l_partkey").join(own.select(F.col("p_partkey").alias("l_orderkey"), "symbol"), "l_orderkey", "left")
+    outside = F.concat(F.lit("ext/Lib#f"), F.col("l_orderkey") % 9, F.lit("()."))
+    refs = li.select("file", F.coalesce("symbol", outside).alias("symbol"), F.lit("reference").alias("role"), "line", F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end"))
+    rels = own.where("p_partkey % 10 = 0").select(F.col("symbol"), (F.col("p_partkey") + 1).alias("k")).join(own.select(F.col("p_partkey").alias("k"), F.col("symbol").alias("target")), "k").select("symbol", "target")
+    return exchange.from_occurrences(defs.unionByName(refs), rels)
+
+
+@query(
+    "a8_symbols_of_occurrences",
+    """SELECT 'pkg/' || replace(p_brand, '#', '') || '#m' || p_partkey || '().' AS anchor, 'Function' AS kind, replace(p_brand, '#', '') || '.m' || p_partkey AS name, p_type AS file, p_size AS line_start, p_size + p_partkey % 20 AS line_end FROM part
+  UNION ALL SELECT DISTINCT 'file:' || p_type, 'File', p_type, p_type, NULL, NULL FROM part""",
+)
+def a8_symbols_of_occurrences(spark, d):
+    return _occurrences(spark, d)[0].select("anchor", "kind", "name", "file", "line_start", "line_end")
+
 
+@query("a5_read_exchange", f"WITH {EDGES} SELECT e.kind, e.\"from\", e.\"to\", e.to_text, s.name, count(*) AS n FROM edges e JOIN symbols s ON s.anchor = e.\"from\" GROUP BY ALL")
+def a5_read_exchange(spark, d):
+    """Symbols and edges written as JSON lines, read back with their schema, and joined."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/exchange-{uuid.uuid4().hex}"
+    symbols(spark, d).select("anchor", "kind", "name", "file", "line_start", "line_end").write.json(f"{path}/symbols")
+    edges(spark, d).write.json(f"{path}/edges")
+    s, e = exchange.read_symbols(spark, f"{path}/symbols"), exchange.read_edges(spark, f"{path}/edges")
+    return e.join(s.select(F.col("anchor").alias("from"), "name"), "from").groupBy("kind", "from", "to", "to_text", "name").agg(F.count("*").alias("n"))
+
+
+@query("a1_read_corpus", "SELECT c_custkey AS k, c_name AS name, c_mktsegment AS segment FROM customer")
+def a1_read_corpus(spark, d):
+    """A folder of text files written by Spark, read as whole documents with their line ends made one kind."""
+    import uuid
 
-@query("b21_canonicalize", "SELECT 'd' || o_orderkey AS doc, o_orderkey % 3 = 0 AS heading FROM orders")
-def b21_canonicalize(spark, d):
-    """Converting what was converted changes nothing."""
-    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("# T"), "o_orderkey")).otherwise(F.concat(F.lit("p "), "o_orderpriority"))
-    once = convert_corpus(read(spark, d, "orders").select(F.concat(F.lit("d"), F.col("o_orderkey")).alias("doc"), text.alias("text")))
-    twice = convert_corpus(once.select("doc", "text")).select("doc", F.col("text").alias("again"))
-    return once.join(twice, "doc").where("text = again").select("doc", F.col("text").startswith("#").alias("heading"))
+    from docgraph.operators.corpus import read_corpus
 
+    path = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    c = read(spark, d, "customer")
+    c.select(F.concat_ws("\r\n", "c_custkey", "c_name", "c_mktsegment").alias("value")).write.text(path)
+    # a file has the documents of a task; each line end is one newline, so documents are three lines
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    docs = read_corpus(spark, path).select(lines.alias("lines")).where(F.size("lines") > 0)
+    each = docs.select(F.explode(F.sequence(F.lit(0), (F.size("lines") / 3 - 1).cast("int"))).alias("i"), "lines")
+    at = lambda k: F.get("lines", F.col("i") * 3 + k)
+    return each.select(at(0).cast("bigint").alias("k"), at(1).alias("name"), at(2).alias("segment"))
 
-@query("d8b_app_entries", f"WITH {SYMBOLS} SELECT anchor, file FROM symbols WHERE name LIKE 'red.%' ORDER BY file, anchor")
-def d8b_app_entries(spark, d):
-    """Program starts: symbols whose name a hint (every first part 'red') marks, ordered for the index."""
-    return symbols(spark, d).where(F.substring_index("name", ".", 1) == "red").select("anchor", "file").orderBy("file", "anchor")
+
+@query("a11_search_index", f"WITH {SYMBOLS} SELECT name, container AS doc, anchor AS id FROM symbols UNION SELECT substr(name, instr(name, '.') + 1), container, anchor FROM symbols WHERE contains(name, '.')")
+def a11_search_index(spark, d):
+    """The flat index written as JSON lines and read back."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    s = symbols(spark, d)
+    lookup = search.name_lookup(s).join(s.select("anchor", F.col("container").alias("doc")), "anchor").withColumnRenamed("anchor", "id")
+    exchange.write_search_index(lookup, path)
+    return spark.read.schema("name string, doc string, id string").json(path)
 
 
 @query("f5_order_exchange", f"WITH {SYMBOLS} SELECT anchor, row_number() OVER (ORDER BY anchor) AS place FROM symbols")
 def f5_order_exchange(spark, d):
     """Place in the written order: by range of anchors, then within the range."""
     s = exchange.ordered(symbols(spark, d), edges(spark, d))[0].select("anchor", F.spark_partition_id().alias("part"))
-    s = walk.written(s, "order")
+    s = written(s, "order")
     n = s.groupBy("part").agg(F.count("*").alias("n"))
     first = n.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # a row a partition
     return s.join(F.broadcast(first), "part").select("anchor", (F.col("before") + F.row_number().over(W.partitionBy("part").orderBy("anchor"))).cast(L).alias("place"))
 
 
-@query(
-    "f6_cap_slice",
-    f"""WITH RECURSIVE {EDGES}, {ROOTS}, w AS (SELECT root, root AS node, 0 AS depth FROM roots UNION SELECT w.root, e."to", w.depth + 1 FROM w JOIN edges e ON e."from" = w.node WHERE w.depth < 2 AND e."to" IS NOT NULL),
-  m AS (SELECT root, node, min(depth) AS depth FROM w GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS nr FROM m) SELECT root, node, CAST(depth AS BIGINT) AS depth FROM r WHERE nr <= 5""",
-)
+@query("f6_cap_slice", f"WITH {EDGES}, {ALL_ROOTS}, {_levels(6, 5)}")
 def f6_cap_slice(spark, d):
     """Slices of at most five nodes: the cap is the feature."""
-    roots = read(spark, d, "part").where("p_size = 7").select(F.concat(F.lit("p:"), F.col("p_partkey")).alias("root"))
-    return walk.walk(edges(spark, d), roots, depth=2, cap=5).withColumn("depth", F.col("depth").cast(L))
+    return walk.walk(edges(spark, d), _every_root(spark, d), cap=5).withColumn("depth", F.col("depth").cast(L))
 
 
 @query("g2_module_roots", "SELECT DISTINCT p_type || '/' || p_brand AS root FROM part UNION SELECT DISTINCT n_name FROM nation UNION SELECT r_name FROM region")
@@ -125,20 +205,45 @@ def g7_compare_models(spark, d):
     return graph.diff_edges(s.where("id % 9 <> 0").select("anchor"), s.where("id % 9 <> 1").select("anchor"))
 
 
-@query("h18s_source_markers", "SELECT 'a/' || p_partkey || '.py' AS file, CASE p_size % 3 WHEN 0 THEN '__main__' ELSE 'web app' END AS via FROM part WHERE p_size % 3 <> 2")
-def h18s_source_markers(spark, d):
-    k = F.col("p_size") % 3
-    content = F.when(k == 0, F.lit("x = 1\nif __name__ == '__main__':\n")).when(k == 1, F.lit("app = FastAPI()\n")).otherwise(F.lit("# FastAPI( in text\n"))
-    return exchange.source_markers(read(spark, d, "part").select(F.concat(F.lit("a/"), "p_partkey", F.lit(".py")).alias("path"), content.alias("content")))
+#: (files of a repository with their content, the starts they show), one case for each convention.
+STARTS = [
+    ({"Cargo.toml": '[[bin]]\nname = "x"\npath = "tools/x.rs"\n', "src/main.rs": "fn main() {}", "src/bin/a.rs": "", "tools/x.rs": "", "other/src/bin/b.rs": ""}, [("src/main.rs", "cargo-bin", "main"), ("src/bin/a.rs", "cargo-bin", "main"), ("tools/x.rs", "cargo-bin", "main")]),
+    ({"w/Cargo.toml": "", "w/src/lib.rs": "#[event(fetch, respond)]\npub async fn handle(a: B) {}\n#[event(scheduled)]\nfn tick() {}"}, [("w/src/lib.rs", "worker-fetch", "handle"), ("w/src/lib.rs", "worker-scheduled", "tick")]),
+    ({"package.json": '{"bin": {"a": "./cli.js", "b": "gone.js"}}', "cli.js": ""}, [("cli.js", "pkg-bin", None)]),
+    ({"p/package.json": '{"bin": "run.mjs"}', "p/run.mjs": "", "p/wrangler.toml": 'main = "./src/w.ts"', "p/src/w.ts": ""}, [("p/run.mjs", "pkg-bin", None), ("p/src/w.ts", "worker-fetch", None)]),
+    ({"package.json": '{"dependencies": {"nuxt": "3"}}', "pages/index.vue": "", "pages/b.vue": ""}, [("pages/index.vue", "nuxt-page", None)]),
+    ({"package.json": "{}", "nuxt.config.ts": "", "app.vue": "", "pages/index.vue": ""}, [("app.vue", "nuxt-app", None)]),
+    ({"package.json": '{"devDependencies": {"next": "1"}}', "src/app/page.tsx": "", "pages/index.tsx": ""}, [("src/app/page.tsx", "next-page", None)]),
+    ({"package.json": '{"devDependencies": {"@sveltejs/kit": "1"}}', "src/routes/+page.svelte": ""}, [("src/routes/+page.svelte", "kit-route", None)]),
+    ({"package.json": "{}", "src/main.ts": "createApp(App).mount('#a')", "server.js": "app.listen (80)", "lib/server.js": "app.listen(80)"}, [("src/main.ts", "vue-mount", None), ("server.js", "server-listen", None)]),
+    ({"package.json": "{}", "src/index.tsx": "createRoot(x).render()", "index.js": "export default {\n  async fetch(r) {} }"}, [("src/index.tsx", "react-mount", None), ("index.js", "worker-fetch", None)]),
+    ({"package.json": '{"devDependencies": {"svelte": "4"}}', "src/main.js": "new App({ target: x })"}, [("src/main.js", "svelte-mount", None)]),
+    ({"manage.py": "", "pkg/__main__.py": "", "app.py": "app = FastAPI()", "main.py": "pass", "x.py": "Flask()"}, [("manage.py", "django-manage", None), ("pkg/__main__.py", "py-main", None), ("app.py", "wsgi-app", None)]),
+    ({"a/MyApplication.java": "@SpringBootApplication\nclass A {}", "a/B.java": "@SpringBootApplication"}, [("a/MyApplication.java", "spring-boot", "main")]),
+]
+_sql = lambda x: "NULL" if x is None else "'" + x + "'"
 
 
 @query(
-    "i4_hide_accessors",
-    f"""WITH RECURSIVE {EDGES}, {ROOTS}, ok AS (SELECT e."from", e."to" FROM edges e JOIN symbols s ON s.anchor = e."to" WHERE s.name NOT LIKE 'small%'), w AS (SELECT root, root AS node, 0 AS depth FROM roots UNION SELECT w.root, e."to", w.depth + 1 FROM w JOIN ok e ON e."from" = w.node WHERE w.depth < 3)
-  SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY 1, 2""",
+    "h18s_source_markers",
+    "WITH s(j, file, via, name) AS (VALUES " + ", ".join(f"({j}, {_sql(f)}, {_sql(v)}, {_sql(n)})" for j, (_, found) in enumerate(STARTS) for f, v, n in found)
+    + f") SELECT 'r' || p_partkey AS repo, file, via, name FROM part JOIN s ON s.j = p_partkey % {len(STARTS)}",
 )
+def h18s_source_markers(spark, d):
+    """A repository a part, of one convention each."""
+    cases = F.array(*[F.array(*[F.struct(F.lit(p).alias("path"), F.lit(c).alias("content")) for p, c in files.items()]) for files, _ in STARTS])
+    own = read(spark, d, "part").select(F.concat(F.lit("r"), "p_partkey").alias("repo"), F.inline(F.get(cases, (F.col("p_partkey") % len(STARTS)).cast("int"))))
+    return exchange.source_markers(written(own, "sources"))
+
+
+@query("i4_hide_accessors", f"WITH {EDGES}, {ALL_ROOTS}, ok AS (SELECT e.* FROM e JOIN symbols s ON s.anchor = e.\"to\" WHERE s.name NOT LIKE 'small%'), {_levels(6, 4000, 'ok')}")
 def i4_hide_accessors(spark, d):
-    """A walk that doesn't cross hidden symbols (here those named small...)."""
-    shown = symbols(spark, d).where(~F.col("name").startswith("small")).select(F.col("anchor").alias("to"))
-    roots = read(spark, d, "part").where("p_size = 7").select(F.concat(F.lit("p:"), F.col("p_partkey")).alias("root"))
-    return walk.walk(edges(spark, d).join(shown, "to", "left_semi"), roots, depth=3, cap=None).withColumn("depth", F.col("depth").cast(L))
+    """A walk from every root that doesn't cross hidden symbols (here those named small...)."""
+    shown, _ = walk.hide_accessors(edges(spark, d), symbols(spark, d).where(F.col("name").startswith("small")))
+    return walk.walk(shown, _every_root(spark, d)).withColumn("depth", F.col("depth").cast(L))
+
+
+@query("i4_hidden_counts", f"WITH {EDGES} SELECT e.\"from\", count(*) AS hidden FROM edges e JOIN symbols s ON s.anchor = e.\"to\" WHERE s.name LIKE 'small%' GROUP BY 1")
+def i4_hidden_counts(spark, d):
+    """How many edges each caller has to hidden symbols."""
+    return walk.hide_accessors(edges(spark, d), symbols(spark, d).where(F.col("name").startswith("small")))[1]

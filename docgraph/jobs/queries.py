@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from docgraph.functions import paths, values
 from docgraph.jobs.inputs import EDGES, LINKS, SYMBOLS, edges, links, read, symbols
-from docgraph.operators import charts, graph, intervals, search, tables, walk
+from docgraph.operators import charts, corpus, graph, intervals, search, tables, walk
+from docgraph.storage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,13 +133,7 @@ def f1_sort_table(spark, d):
     """Place of each row: range-partitioned sort, then numbered across partitions."""
     cell = F.when(F.col("p_size") % 3 == 0, F.col("p_type")).otherwise(F.col("p_size").cast("string"))
     t = read(spark, d, "part").select("p_partkey", cell.alias("cell"))
-    num = values.cell_number(F.col("cell"))
-    kinds = t.withColumn("num", num).groupBy(F.col("num").isNull().alias("text"), "num", F.when(F.col("num").isNull(), F.col("cell")).alias("word")).agg(F.count("*").alias("n"))
-    first = kinds.withColumn("before", F.sum("n").over(W.orderBy("text", "num", "word")) - F.col("n")).drop("n")  # a row for each distinct cell
-    own = t.withColumn("num", num).withColumn("text", F.col("num").isNull()).withColumn("word", F.when(F.col("num").isNull(), F.col("cell")))
-    j = own.alias("o").join(first.alias("f"), (F.col("o.text") == F.col("f.text")) & F.col("o.num").eqNullSafe(F.col("f.num")) & F.col("o.word").eqNullSafe(F.col("f.word")))
-    nr = F.row_number().over(W.partitionBy("o.text", "o.num", "o.word").orderBy("o.cell", "p_partkey"))
-    return j.select("p_partkey", "cell", (F.col("f.before") + nr).cast(L).alias("place"))
+    return tables.places(t, "cell", ["p_partkey"]).select("p_partkey", "cell", F.col("place").cast(L).alias("place"))
 
 
 @query(
@@ -382,7 +377,7 @@ def e10_extension_share(spark, d):
 def d15_detect_languages(spark, d):
     """Languages by share, and those a manifest (every fiftieth document) names."""
     docs = read(spark, d, "documents").select(F.col("source").alias("repo"), "lang", "doc_id")
-    return graph.language_shares(docs, 0.2).select("repo", "lang").union(docs.where("doc_id % 50 = 0").select("repo", "lang")).distinct()
+    return graph.detect_languages(docs, docs.where("doc_id % 50 = 0"), 0.2)
 
 
 @query(
@@ -412,8 +407,8 @@ def g3_diff_edges(spark, d):
 
 @query("g4_dropped_ids", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
 def g4_dropped_ids(spark, d):
-    li = read(spark, d, "lineitem")
-    return li.where("l_returnflag = 'A'").select("l_partkey").distinct().join(li.where("l_returnflag = 'R'"), "l_partkey", "left_anti")
+    li = read(spark, d, "lineitem").select(F.lit("id").alias("tag"), F.lit("d").alias("doc"), F.col("l_partkey").alias("id"), "l_returnflag")
+    return corpus.rejected_patches(li.where("l_returnflag = 'A'"), li.where("l_returnflag = 'R'")).select(F.col("id").alias("l_partkey"))
 
 
 @query(
@@ -441,15 +436,34 @@ def c9_verify_edges(spark, d):
     return graph.verify_edges(refs, ids, docs).groupBy("cell", "reason").agg(F.count("*").alias("n"))
 
 
+HINTS = """hints AS (SELECT DISTINCT file, 'widget' AS hint, 'bin' AS via FROM symbols UNION SELECT DISTINCT file, CAST(NULL AS VARCHAR), 'page' FROM symbols UNION SELECT DISTINCT file || 'x', NULL, 'mount' FROM symbols),
+lone AS (SELECT file, min(anchor) AS anchor FROM symbols GROUP BY 1 HAVING count(*) = 1),
+hit AS (SELECT h.file, h.hint, h.via, CASE WHEN h.hint IS NULL THEN (SELECT o.anchor FROM lone o WHERE o.file = h.file) ELSE (SELECT arg_min(s.anchor, (s.line_start, s.anchor)) FROM symbols s WHERE s.file = h.file AND (s.name = h.hint OR s.name LIKE '%.' || h.hint OR s.name LIKE '%::' || h.hint)) END AS anchor FROM hints h)"""
+
+
+def _hints(s):
+    """A named hint and an unnamed one for each file, and one for a file without methods."""
+    files = s.select("file").distinct()
+    hint = lambda file, name, via: files.select(file.alias("file"), F.lit(name).cast("string").alias("hint"), F.lit(via).alias("via"))
+    return hint(F.col("file"), "widget", "bin").unionByName(hint(F.col("file"), None, "page")).unionByName(hint(F.concat("file", F.lit("x")), None, "mount"))
+
+
+@query("c12_entry_hints", f"WITH {SYMBOLS}, {HINTS} SELECT file, hint, via, anchor FROM hit")
+def c12_entry_hints(spark, d):
+    s = symbols(spark, d)
+    return graph.entry_hints(s, _hints(s))
+
+
 @query(
-    "c12_entry_hints",
-    f"""WITH {SYMBOLS}, m AS (SELECT file, count(*) AS methods FROM symbols GROUP BY 1), h AS (SELECT DISTINCT file, 'widget' AS hint FROM symbols)
-  SELECT h.file, min(s.anchor) AS anchor FROM h LEFT JOIN symbols s ON s.file = h.file AND (s.name = 'widget' OR s.name LIKE '%.widget' OR s.name LIKE '%::widget') GROUP BY 1""",
+    "d8b_app_entries",
+    f"""WITH {SYMBOLS}, {HINTS}, m AS (SELECT file, anchor, via FROM hit WHERE anchor IS NOT NULL) SELECT file, anchor, min(via) AS via FROM m GROUP BY 1, 2
+  UNION ALL SELECT DISTINCT file, NULL, via FROM hit WHERE anchor IS NULL""",
 )
-def c12_entry_hints(spark, d):
+def d8b_app_entries(spark, d):
+    """Program starts: methods that hints mark, with the convention that did, and files without such a method."""
     s = symbols(spark, d)
-    hints = s.select("file", F.lit("widget").alias("hint"), F.lit("bin").alias("via")).distinct()
-    return graph.entry_hints(s, hints).select("file", "anchor")
+    entries, files = graph.app_entries(s, _hints(s))
+    return entries.unionByName(files, allowMissingColumns=True)
 
 
 @query(
@@ -496,13 +510,20 @@ def f2_search_names(spark, d):
 
 @query("f3_find_names", f"WITH {SYMBOLS} SELECT name, anchor, file FROM symbols WHERE contains(lower(name), 'gear')")
 def f3_find_names(spark, d):
-    return symbols(spark, d).where(F.lower("name").contains("gear")).select("name", "anchor", "file").orderBy("name")
+    return search.find_names(symbols(spark, d), " GEAR")
 
 
 @query("f4_top_modules", f"WITH {EDGES}, {MODULE_EDGES} SELECT a, b, calls FROM medges ORDER BY calls DESC, a, b LIMIT 20")
 def f4_top_modules(spark, d):
     """The twenty heaviest module edges: a top-k report."""
-    return graph.module_edges(edges(spark, d), symbols(spark, d)).orderBy(F.desc("calls"), "a", "b").limit(20)
+    return graph.top_module_edges(graph.module_edges(edges(spark, d), symbols(spark, d)))
+
+
+@query("f4_top_methods", f"WITH {EDGES} SELECT container, count(*) AS methods, count(*) FILTER (entry) AS entries, count(*) FILTER (test) AS tests FROM classified GROUP BY 1 ORDER BY methods DESC, container LIMIT 20")
+def f4_top_methods(spark, d):
+    """The twenty containers with most methods: a top-k report."""
+    s, e = symbols(spark, d), edges(spark, d)
+    return graph.top_modules(graph.module_index(graph.classify(s, e)))
 
 
 # ---- intervals ---------------------------------------------------------------------------------
@@ -540,13 +561,15 @@ def c6_attribute_calls_asof(spark, d):
 
 @query(
     "c5b_remap_lines",
-    """SELECT 'b' || (p_size % 7) AS file, p_size + 100 AS line, count(*) AS n FROM part WHERE p_size % 2 = 0 GROUP BY 1, 2""",
+    """SELECT 'b' || (p_size % 7) AS file, p_size + 100 AS line, CASE WHEN p_size % 7 < 3 AND p_size BETWEEN 10 AND 30 THEN 'tpl' || (p_size % 7) END AS symbol, count(*) AS n FROM part WHERE p_size % 2 = 0 GROUP BY 1, 2, 3""",
 )
 def c5b_remap_lines(spark, d):
+    """Occurrences moved to their original lines; some of these lie in a template."""
     p = read(spark, d, "part")
     occ = p.select(F.lit("gen").alias("file"), F.col("p_size").alias("line"), F.col("p_name").alias("ref"))
     m = p.select("p_size").distinct().where("p_size % 2 = 0").select(F.lit("gen").alias("file"), F.col("p_size").alias("line"), F.concat(F.lit("b"), F.col("p_size") % 7).alias("orig_file"), (F.col("p_size") + 100).alias("orig_line"))
-    return intervals.remap_lines(occ, m).groupBy("file", "line").agg(F.count("*").alias("n"))
+    regions = spark.range(3).select(F.concat(F.lit("b"), "id").alias("file"), F.lit(110).alias("start"), F.lit(130).alias("end"), F.concat(F.lit("tpl"), "id").alias("symbol"))
+    return intervals.remap_lines(occ, m, regions).groupBy("file", "line", "symbol").agg(F.count("*").alias("n"))
 
 
 # ---- walks -------------------------------------------------------------------------------------
@@ -558,19 +581,29 @@ def _roots(spark, d):
     return read(spark, d, "part").where("p_size = 7").select(F.concat(F.lit("p:"), F.col("p_partkey")).alias("root"))
 
 
-def _reach(a: str, b: str, depth: int) -> str:
-    return f"""WITH RECURSIVE {EDGES}, {ROOTS}, w AS (SELECT root, root AS node, 0 AS depth FROM roots UNION SELECT w.root, e."{b}", w.depth + 1 FROM w JOIN edges e ON e."{a}" = w.node WHERE w.depth < {depth} AND e."{b}" IS NOT NULL)
-  SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY 1, 2"""
+ALL_ROOTS = """calledc AS (SELECT DISTINCT "to" AS anchor FROM edges WHERE kind = 'calls' AND "to" IS NOT NULL), candidates AS (SELECT c.* FROM classified c LEFT JOIN calledc t USING (anchor) WHERE c.entry OR t.anchor IS NULL),
+every AS (SELECT *, bool_and(leaf) OVER (PARTITION BY container) AS all_leaves FROM candidates), roots AS (SELECT anchor AS root FROM every WHERE NOT leaf OR all_leaves), e AS (SELECT DISTINCT "from", "to" FROM edges WHERE "to" IS NOT NULL)"""
+
+
+def _levels(depth: int, cap: int, e: str = "e") -> str:
+    """What each root reaches, level by level, and the first ``cap`` nodes of it."""
+    out = ["w0 AS (SELECT root, root AS node, 0 AS depth FROM roots)"]
+    for k in range(1, depth + 1):
+        out.append(f'''l{k} AS (SELECT DISTINCT w.root, e."to" AS node FROM w{k - 1} w JOIN {e} e ON e."from" = w.node WHERE w.depth = {k - 1}),
+  w{k} AS (SELECT root, node, depth FROM w{k - 1} UNION ALL SELECT l.root, l.node, {k} FROM l{k} l ANTI JOIN w{k - 1} w ON w.root = l.root AND w.node = l.node)''')
+    return ", ".join(out) + f""", r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS nr FROM w{depth}) SELECT root, node, CAST(depth AS BIGINT) AS depth FROM r WHERE nr <= {cap}"""
 
 
-@query("i1_callees", _reach("from", "to", 3))
+@query("i1_callees", f"WITH {EDGES}, {ALL_ROOTS}, {_levels(6, 4000)}")
 def i1_callees(spark, d):
-    return walk.walk(edges(spark, d), _roots(spark, d), depth=3, cap=None).withColumn("depth", F.col("depth").cast(L))
+    """From every root, with the walk's own depth and cap."""
+    return walk.walk(edges(spark, d), _every_root(spark, d)).withColumn("depth", F.col("depth").cast(L))
 
 
-@query("i2_callers", _reach("to", "from", 2))
+@query("i2_callers")
 def i2_callers(spark, d):
-    return walk.callers(edges(spark, d), _roots(spark, d), depth=2, cap=None).withColumn("depth", F.col("depth").cast(L))
+    """Of every symbol (an uncalled one has no callers), with the operator's own depth and cap."""
+    return walk.callers(edges(spark, d), symbols(spark, d).select(F.col("anchor").alias("root"))).withColumn("depth", F.col("depth").cast(L))
 
 
 @query(
@@ -587,30 +620,11 @@ def _every_root(spark, d):
     return graph.roots_of(graph.classify(s, e), e).select(F.col("anchor").alias("root"))
 
 
-@query("i1_callees_all")
-def i1_callees_all(spark, d):
-    """From every root, with the walk's own depth and cap; i1_callees has the roots and depth of its SQL."""
-    return walk.walk(edges(spark, d), _every_root(spark, d)).withColumn("depth", F.col("depth").cast(L))
-
-
-@query("i2_callers_all")
-def i2_callers_all(spark, d):
-    """Of every symbol (an uncalled one has no callers), with the operator's own depth and cap; i2_callers has those of its SQL."""
-    return walk.callers(edges(spark, d), symbols(spark, d).select(F.col("anchor").alias("root"))).withColumn("depth", F.col("depth").cast(L))
-
-
-@query("i4_hide_accessors_all")
-def i4_hide_accessors_all(spark, d):
-    """From every root, with the walk's own depth and cap; i4_hide_accessors has the roots and depth of its SQL."""
-    shown = symbols(spark, d).where(~F.col("name").startswith("small")).select(F.col("anchor").alias("to"))
-    return walk.walk(edges(spark, d).join(shown, "to", "left_semi"), _every_root(spark, d)).withColumn("depth", F.col("depth").cast(L))
-
-
 @query("i3_layers")
 def i3_layers(spark, d):
     """Slices of every root, with the walk's own depth and cap."""
     e = edges(spark, d)
-    n = walk.written(walk.walk(e, _every_root(spark, d), depth=6), "slices")
+    n = written(walk.walk(e, _every_root(spark, d), depth=6), "slices")
     s = walk.slice_edges(e, n, 6).where("NOT more").select("root", "from", "to").distinct()
     return walk.layers(s.join(n.select("root", F.col("node").alias("to")), ["root", "to"], "left_semi"))
 
@@ -633,7 +647,9 @@ def c4_backlinks(spark, d):
 
 @query("c3_duplicate_ids", f"WITH {LINKS} SELECT doc, href, count(*) - 1 AS extra FROM links GROUP BY 1, 2 HAVING count(*) > 1")
 def c3_duplicate_ids(spark, d):
-    return links(spark, d).groupBy("doc", "href").agg((F.count("*") - 1).alias("extra")).where("extra > 0")
+    """A page's links as definitions: what it names again."""
+    ids = links(spark, d).select("doc", F.lit("id").alias("tag"), F.col("href").alias("id"), F.col("pos").alias("line"))
+    return corpus.duplicate_ids(ids).groupBy("doc", F.col("id").alias("href")).agg(F.count("*").alias("extra"))
 
 
 PATHS = "p AS (SELECT page_id, regexp_extract(url, '://[^/?#]*/?([^?#]*)', 1) AS path FROM pages)"
@@ -740,7 +756,8 @@ def b4_parse_data(spark, d):
 @query("b5_doc_meta", "SELECT conv_id AS doc, role AS key, arg_max(length(text), turn) AS value FROM conversations GROUP BY 1, 2")
 def b5_doc_meta(spark, d):
     """Later entries of a document win."""
-    return read(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc"), F.col("role").alias("key")).agg(F.max_by(F.length("text"), "turn").cast(L).alias("value"))
+    rows = read(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.lit("meta").alias("tag"), F.col("role").alias("id"), F.length("text").cast(L).alias("text"), F.col("turn").alias("line"))
+    return corpus.doc_meta(rows)
 
 
 @query("b7_slug", "SELECT p_partkey, lower(replace(p_name, ' ', '-')) || '-' || p_size AS slug, lower(replace(p_name, ' ', '-')) || '--x_-' || p_size AS gh FROM part")
@@ -797,10 +814,22 @@ def h15s_lookup_names(spark, d):
     return search.name_lookup(symbols(spark, d))
 
 
-@query("h16s_error_category", "SELECT CASE p_size % 3 WHEN 0 THEN 'reference' WHEN 1 THEN 'duplicate id' ELSE 'other' END AS category, count(*) AS n FROM part GROUP BY 1")
+#: (message, its bucket), one of each.
+MESSAGES = [
+    ("unterminated `note` block (no matching ===)", "unterminated fence (nesting)"), ("unknown metadata reference `{{a}}`", "unknown {{meta}} key"), ("unresolved reference `#a`", "unresolved ref/footnote"),
+    ("unresolved footnote `[^a]`", "unresolved ref/footnote"), ("duplicate id `#a` (first defined at line 1)", "duplicate id"), ("compute `c`: missing )", "table formula (compute/summary)"), ("bad span `x`", "table span"),
+    ("chart: missing `type`", "chart binding"), ("x-chart body is ignored; the chart spec lives in attributes", "chart binding"), ("cannot resolve document `b.mk`", "cross-doc ref"),
+    ("no registered renderer for diagram format `odd`; body kept raw", "other: no registered renderer for diagram format"),
+]
+
+
+@query(
+    "h16s_error_category",
+    "WITH m(j, category) AS (VALUES " + ", ".join(f"({j}, '{c[:47]}')" for j, (_, c) in enumerate(MESSAGES)) + f") SELECT category, count(*) AS n FROM part JOIN m ON m.j = p_partkey % {len(MESSAGES)} GROUP BY 1",
+)
 def h16s_error_category(spark, d):
-    m = F.element_at(F.array(F.lit("Unresolved reference #"), F.lit("duplicate id "), F.lit("bad ")), (F.col("p_size") % 3 + 1).cast("int"))
-    return read(spark, d, "part").select(values.error_category(F.concat(m, "p_name")).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+    m = F.get(F.array(*[F.lit(x) for x, _ in MESSAGES]), (F.col("p_partkey") % len(MESSAGES)).cast("int"))
+    return read(spark, d, "part").select(values.error_category(m).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
 
 
 @query("h17s_lines", "SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x, ' ')) = 0)) AS blank FROM documents")

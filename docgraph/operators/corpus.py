@@ -33,7 +33,7 @@ def duplicate_ids(scanned: DataFrame) -> DataFrame:
 
 def unresolved_internal(scanned: DataFrame) -> DataFrame:
     ids = tagged(scanned, "id").select("doc", F.col("id").alias("anchor")).distinct()
-    refs = tagged(scanned, "ref").where("target_doc IS NULL").select("doc", "line", "ref_kind", "anchor")
+    refs = tagged(scanned, "ref").where("target_doc IS NULL AND anchor IS NOT NULL").select("doc", "line", "ref_kind", "anchor")
     return refs.join(ids, ["doc", "anchor"], "left_anti")
 
 
@@ -43,12 +43,14 @@ def relative_target(doc: Column, target: Column) -> Column:
 
 
 def unresolved_cross(scanned: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc, line, target, anchor, reason): a missing document, or an anchor it doesn't have; a reference without anchor asks for the document alone."""
+    """(doc, line, ref_kind, written, target, anchor, reason): a missing document, or an anchor it doesn't have; a reference without anchor asks for the document alone."""
     ids = tagged(scanned, "id").select(F.col("doc").alias("target"), F.col("id").alias("anchor"), F.lit(True).alias("has_id")).distinct()
     known = docs.select(F.col("doc").alias("target"), F.lit(True).alias("has_doc")).distinct()
-    refs = tagged(scanned, "ref").where("target_doc IS NOT NULL").select("doc", "line", relative_target(F.col("doc"), F.col("target_doc")).alias("target"), "anchor")
+    refs = tagged(scanned, "ref").where("target_doc IS NOT NULL").select(
+        "doc", "line", "ref_kind", F.col("target_doc").alias("written"), relative_target(F.col("doc"), F.col("target_doc")).alias("target"), "anchor"
+    )
     reason = F.when(F.col("has_doc").isNull(), "cannot resolve document").when(F.col("anchor").isNotNull() & F.col("has_id").isNull(), "unresolved reference")
-    return refs.join(known, "target", "left").join(ids, ["target", "anchor"], "left").select("doc", "line", "target", "anchor", reason.alias("reason")).where("reason IS NOT NULL")
+    return refs.join(known, "target", "left").join(ids, ["target", "anchor"], "left").select("doc", "line", "ref_kind", "written", "target", "anchor", reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def backlinks(scanned: DataFrame) -> DataFrame:
@@ -83,32 +85,85 @@ def get_blocks(corpus: DataFrame, scanned: DataFrame, keys: DataFrame, head: boo
     return keys.join(spans, ["doc", "id"]).join(corpus, "doc").select("doc", "id", F.array_join(F.slice(lines, F.col("start"), n), "\n").alias("body"))
 
 
-def check_corpus(scanned: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc, line, severity, code, message): every rule's rows."""
-    s = tagged(scanned, "diagnostic").select("doc", "line", "severity", "code", F.col("text").alias("message"))
-    row = lambda d, code, message: d.select("doc", "line", F.lit("error").alias("severity"), F.lit(code).alias("code"), message.alias("message"))
-    return (
-        s.unionByName(row(duplicate_ids(scanned), "duplicate-id", F.concat(F.col("id"), F.lit(" first on line "), F.col("first_line"))))
-        .unionByName(row(unresolved_internal(scanned), "unresolved", F.col("anchor")))
-        .unionByName(row(unresolved_cross(scanned, docs), "unresolved-cross", F.concat_ws("#", "target", "anchor")))
-    )
+def check_corpus(scanned: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """(doc, line, severity, code, message): every rule's rows. Without ``docs``, the corpus to look in, cross references are only warned of.
+
+    ``scanned`` is read once for each rule, so it should be written.
+    """
+    from docgraph.operators import checks
+
+    row = lambda d, severity, code, message: d.select("doc", "line", F.lit(severity).alias("severity"), F.lit(code).alias("code"), message.alias("message"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    c = F.col
+    found = tagged(scanned, "diagnostic").select("doc", "line", "severity", "code", c("text").alias("message"))
+    found = found.unionByName(row(duplicate_ids(scanned), "error", "duplicate-id", text("duplicate id `#", c("id"), "` (first defined at line ", c("first_line"), ")")))
+    what = F.when(c("ref_kind") == "footnote", text("footnote `[^", c("anchor"), "]`")).otherwise(text("reference `#", c("anchor"), "`"))
+    found = found.unionByName(row(unresolved_internal(scanned), "error", "unresolved", text("unresolved ", what)))
+    if docs is None:
+        cross = tagged(scanned, "ref").where("target_doc IS NOT NULL AND ref_kind <> 'embed'")
+        message = text("cross-document reference `", F.concat_ws("#", "target_doc", "anchor"), "` not checked (no document resolver)")
+        found = found.unionByName(row(cross, "warning", "unchecked-cross", message))
+    else:
+        cross = unresolved_cross(scanned, docs)
+        gone = text("cannot resolve document `", c("written"), "`")
+        message = F.when(c("reason") == "cannot resolve document", gone).otherwise(text("unresolved reference `", c("written"), "#", c("anchor"), "`"))
+        found = found.unionByName(row(cross.where("ref_kind <> 'embed'"), "error", "unresolved-cross", message))
+        found = found.unionByName(row(cross.where("ref_kind = 'embed'"), "warning", "graph-src", text("code graph: ", gone)))
+    return found.unionByName(checks.table_findings(scanned)).unionByName(checks.chart_checks(scanned))
+
+
+def pipe_table(body: Column, sep: Column) -> Column:
+    """A delimited body as a pipe table."""
+    cells = lambda x: F.transform(F.split(x, sep), lambda c: F.trim(c))
+    line = lambda parts: F.concat(F.lit("| "), F.array_join(parts, " | "), F.lit(" |"))
+    lines = F.filter(F.split(body, "\n"), lambda x: F.trim(x) != "")
+    rule = lambda x: line(F.transform(cells(x), lambda _: F.lit("---")))
+    drawn = F.transform(lines, lambda x, i: F.when(i == 0, F.concat(line(cells(x)), F.lit("\n"), rule(x))).otherwise(line(cells(x))))
+    return F.array_join(drawn, "\n")
 
 
 def export_markdown(scanned: DataFrame) -> DataFrame:
-    """(doc, text): blocks as Markdown in order; hidden lines and ids are lost, charts become a code block."""
+    """(doc, text, notes): blocks as Markdown in order, meta as front matter, and notes of what is lost."""
     b = tagged(scanned, "block").where("parent = 0")
     fence = lambda lang, body: F.concat(F.lit("```"), lang, F.lit("\n"), body, F.lit("\n```"))
     attr = lambda k: F.coalesce(F.try_element_at("attrs", F.lit(k)), F.lit(""))
+    typed, kind = F.col("type"), F.col("kind")
+    hidden = (attr("hidden") == "true") & kind.isin("block", "heading")
+    chart = (typed == "diagram") & attr("format").endswith("-chart")
+    known = typed.isin("note", "text", "meta", "code", "diagram", "math", "table", "output")
+    described = F.array_join(F.filter(F.transform(F.array(*[F.lit(k) for k in ("type", "data", "x", "y", "series")]), lambda k: F.concat(k, F.lit("="), F.try_element_at("attrs", k))), lambda x: x.isNotNull()), " ")
+    delimited = attr("format").isin("csv", "tsv")
     body = (
-        F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), "text"))
-        .when(F.col("kind") == "footnote", F.concat(F.lit("[^"), F.substring("id", 4, 1 << 20), F.lit("]: "), "text"))
-        .when(F.col("kind") == "hidden", None).when(F.col("type") == "meta", None)
-        .when(F.col("type") == "code", fence(attr("lang"), F.col("text"))).when(F.col("type") == "math", F.concat(F.lit("$$\n"), "text", F.lit("\n$$")))
-        .when(F.col("type").isin(*sorted(("note", "quote", "aside"))), F.regexp_replace("text", "(?m)^", "> "))
-        .when(F.col("kind") == "block", fence(F.col("type"), F.col("text"))).otherwise(F.col("text"))
+        F.when(hidden | (kind == "hidden") | ((kind == "block") & (typed == "meta")), None)
+        .when(kind == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), "text"))
+        .when(kind == "footnote", F.concat(F.lit("[^"), "id", F.lit("]: "), "text"))
+        .when(kind == "list", None)
+        .when(kind != "block", F.col("text"))
+        .when(typed == "code", fence(attr("lang"), F.col("text"))).when(typed == "math", F.concat(F.lit("$$\n"), "text", F.lit("\n$$"))).when(typed == "output", fence(F.lit(""), F.col("text")))
+        .when(chart, fence(attr("format"), described)).when(typed == "diagram", fence(attr("format"), F.col("text")))
+        .when((typed == "table") & delimited, pipe_table(F.col("text"), F.when(attr("format") == "tsv", "\t").otherwise(","))).when(typed.isin("table", "text"), F.col("text"))
+        .when(typed == "note", F.regexp_replace(F.regexp_replace("text", "(?m)^", "> "), "(?m)^> $", ">"))
+        .otherwise(fence(typed, F.col("text")))
     )
-    parts = F.array_sort(F.collect_list(F.when(body.isNotNull(), F.struct("seq", body.alias("body")))))
-    return b.groupBy("doc").agg(F.array_join(F.transform(parts, lambda x: x["body"]), "\n\n").alias("text"))
+    note = lambda when, message: F.when(when, message)
+    lost = F.array_compact(F.array(
+        note(hidden & (kind == "block"), F.lit("`{hidden}` block(s) dropped (not part of the rendered output)")), note(hidden & (kind == "heading"), F.lit("hidden heading dropped")),
+        note(~hidden & (kind == "heading") & F.col("id").isNotNull(), F.lit("heading id/attributes dropped (Markdown has no attribute syntax)")),
+        note(~hidden & chart, F.concat(F.lit("`"), attr("format"), F.lit("` block(s) cannot render in Markdown; emitted a descriptor"))),
+        note(~hidden & (typed == "table") & (attr("src") != ""), F.concat(F.lit("table from external source `"), attr("src"), F.lit("` is not inlined; emitted header only"))),
+        note(~hidden & (kind == "block") & ~known, F.concat(F.lit("unknown block type `"), typed, F.lit("` emitted as a fenced code block"))),
+    ))
+    items = tagged(scanned, "item").groupBy("doc", "seq").agg(F.array_sort(F.collect_list(F.struct("line", "depth", "kind", "text"))).alias("items"))
+    box = lambda x: F.when(x["kind"] == "done", "[x] ").when(x["kind"] == "open", "[ ] ").otherwise("")
+    listed = F.array_join(F.transform("items", lambda x: F.concat(F.repeat(F.lit("  "), x["depth"]), F.lit("- "), box(x), x["text"])), "\n")
+    b = b.select("doc", "seq", "kind", body.alias("body"), lost.alias("lost")).join(items, ["doc", "seq"], "left")
+    b = b.withColumn("body", F.when(F.col("kind") == "list", listed).otherwise(F.col("body")))
+    parts = F.array_sort(F.collect_list(F.when(F.col("body").isNotNull() & (F.col("body") != ""), F.struct("seq", "body"))))
+    out = b.groupBy("doc").agg(F.array_join(F.transform(parts, lambda x: x["body"]), "\n\n").alias("body"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("lost")))).alias("notes"))
+    value = F.when(F.col("value").rlike(r"^[\w .,/@-]+$"), F.col("value")).otherwise(F.concat(F.lit('"'), F.replace("value", F.lit('"'), F.lit('\\"')), F.lit('"')))
+    meta = doc_meta(scanned).groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", value.alias("value")))), lambda x: F.concat(x["key"], F.lit(": "), x["value"])), "\n").alias("front"))
+    front = F.when(F.col("front").isNotNull(), F.concat(F.lit("---\n"), "front", F.lit("\n---\n\n"))).otherwise("")
+    return out.join(meta, "doc", "left").select("doc", F.concat(front, "body", F.lit("\n")).alias("text"), "notes")
 
 
 def apply_patches(corpus: DataFrame, scanned: DataFrame, patches: DataFrame) -> DataFrame:

@@ -155,15 +155,20 @@ def verify_edges(refs: DataFrame, ids: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def block_ids(symbols: DataFrame) -> DataFrame:
-    """Adds ``block_id``: the slug where it is its container's only one; else the slug and the first 6, 8, ... digits of the anchor's SHA-256 that tell the whole group apart."""
-    w = W.partitionBy("container", "slug")
-    s = symbols.withColumn("digest", F.sha2("anchor", 256)).withColumn("members", F.count("*").over(w))
-    lengths = list(range(6, 65, 2))
-    distinct = [F.size(F.collect_set(F.substring("digest", 1, n)).over(w)) for n in lengths[:4]]  # 12 digits part all but equal anchors
-    n = F.lit(64)
-    for size, d in reversed(list(zip(lengths[:4], distinct, strict=True))):
-        n = F.when(d == F.col("members"), F.lit(size)).otherwise(n)
-    return s.withColumn("block_id", F.when(F.col("members") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.substring(F.col("digest"), F.lit(1), n)))).drop("digest", "members")
+    """Adds ``block_id``: the slug where it is its container's only one; else the slug and the first 6, 8, ... digits of the anchor's SHA-256 that tell the whole group apart.
+
+    Groups are counted first and joined back, so a common slug isn't gathered.
+    """
+    lengths = (6, 8, 10, 12)  # 12 digits part all but equal anchors
+    s = symbols.withColumn("digest", F.sha2("anchor", 256))
+    groups = s.groupBy("container", "slug").agg(F.count("*").alias("members"), *[F.countDistinct(F.substring("digest", 1, n)).alias(f"at{n}") for n in lengths])
+    digits = F.lit(64)
+    for n in reversed(lengths):
+        digits = F.when(F.col(f"at{n}") == F.col("members"), F.lit(n)).otherwise(digits)
+    several = groups.where("members > 1").select(F.col("container").alias("c"), F.col("slug").alias("g"), digits.alias("digits"))
+    met = s.join(several, F.col("container").eqNullSafe(F.col("c")) & F.col("slug").eqNullSafe(F.col("g")), "left")
+    suffix = F.concat("slug", F.lit("-"), F.substring(F.col("digest"), F.lit(1), F.col("digits")))
+    return met.withColumn("block_id", F.coalesce(suffix, "slug")).drop("digest", "c", "g", "digits")
 
 
 def doc_names(containers: DataFrame) -> DataFrame:
@@ -193,12 +198,33 @@ def diff_edges(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def entry_hints(symbols: DataFrame, hints: DataFrame) -> DataFrame:
-    """(file, hint, via, anchor): a named hint marks the file's first symbol of that name or suffix, an unnamed one the file's only method; else anchor is null."""
-    s = symbols.select("file", "anchor", "name", F.count("*").over(W.partitionBy("file")).alias("methods"))
+    """(file, hint, via, anchor): a named hint marks the file's first method (by line, then anchor) of that name or suffix, an unnamed one the file's only method; else anchor is null."""
+    s = symbols.select("file", "anchor", "name", "line_start")
+    only = s.groupBy("file").agg(F.count("*").alias("methods"), F.min("anchor").alias("anchor")).where("methods = 1")
     h, n = F.col("hint"), F.col("name")
-    fits = F.when(h.isNull(), F.col("methods") == 1).otherwise((n == h) | n.endswith(F.concat(F.lit("::"), h)) | n.endswith(F.concat(F.lit("."), h)))
-    found = hints.join(s, "file").where(fits).groupBy("file", "hint", "via").agg(F.min("anchor").alias("anchor"))
-    return hints.alias("h").join(found.alias("f"), (F.col("h.file") == F.col("f.file")) & F.col("h.hint").eqNullSafe(F.col("f.hint")) & (F.col("h.via") == F.col("f.via")), "left").select("h.file", "h.hint", "h.via", "f.anchor")
+    fits = (n == h) | n.endswith(F.concat(F.lit("::"), h)) | n.endswith(F.concat(F.lit("."), h))
+    key = ["file", "hint", "via"]
+    each = hints.select(*key).distinct()
+    named = each.where("hint IS NOT NULL").join(s, "file").where(fits).groupBy(*key).agg(F.min_by("anchor", F.struct("line_start", "anchor")).alias("anchor"))
+    bare = each.where("hint IS NULL").join(only, "file").select(*key, "anchor")
+    found = named.unionByName(bare).withColumnsRenamed({k: f"found_{k}" for k in key})
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"found_{k}"))
+    return hints.select(*key).join(found, same, "left").select(*key, "anchor")
+
+
+def app_entries(symbols: DataFrame, hints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where programs start: (file, anchor, via) of marked methods, and (file, via) of hints that name no method.
+
+    A method named main starts a program by itself; of several hints the first
+    by name counts.
+    """
+    hit = entry_hints(symbols, hints)
+    own = symbols.where("name = 'main'").select("file", "anchor", F.lit("main").alias("via"), F.lit(1).alias("rank"))
+    marked = hit.where("anchor IS NOT NULL").select("file", "anchor", "via", F.lit(0).alias("rank")).unionByName(own)
+    entries = marked.groupBy("file", "anchor").agg(F.min_by("via", F.struct("rank", "via")).alias("via"))
+    return entries, hit.where("anchor IS NULL").select("file", "via").distinct()
 
 
 def who_calls(keys: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
@@ -219,3 +245,17 @@ def language_shares(files: DataFrame, least: float = 0.05) -> DataFrame:
     """(repo, lang, n, share) of the languages with at least that share of a repository's source files."""
     n = files.groupBy("repo", "lang").agg(F.count("*").alias("n"))
     return n.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("repo"))).where(F.col("share") >= least)
+
+
+def detect_languages(files: DataFrame, manifests: DataFrame, least: float = 0.05) -> DataFrame:
+    """(repo, lang): languages by share of the files, and those a manifest names."""
+    return language_shares(files, least).select("repo", "lang").union(manifests.select("repo", "lang")).distinct()
+
+
+def top_modules(index: DataFrame, by: str = "methods", k: int = 20) -> DataFrame:
+    """The k containers with most methods, entries or tests."""
+    return index.orderBy(F.desc(by), "container").limit(k)
+
+
+def top_module_edges(medges: DataFrame, k: int = 20) -> DataFrame:
+    return medges.orderBy(F.desc("calls"), "a", "b").limit(k)

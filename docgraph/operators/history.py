@@ -3,10 +3,8 @@
 A text is tiled by units: fenced blocks or runs of prose, each with the blank
 lines after it. A unit's key is its ``#id`` or ``@`` and 8 digits of its body's
 SHA-256, and ``~n`` for the n-th further one. A revision keeps the operations
-that turn the next newer text into its own; the tip is kept whole.
-
-Documents are independent, so chains are replayed in one group a document; a
-chain's texts are carried forward once.
+that turn the next newer text into its own; the tip is kept whole, and so is a
+revision every now and then, at which chains are cut for rebuilding.
 """
 
 from __future__ import annotations
@@ -70,15 +68,21 @@ def in_order(positions: list[int]) -> set[int]:
     return out
 
 
-def diff(new: str, old: str) -> list[tuple[str, str, str | None, str | None]]:
+#: Anchors of an insert or move besides the key that it stands after.
+START, END = "at-start", "at-end"
+
+Op = tuple[str, str | None, str | None, str | None]
+
+
+def diff(new: str, old: str) -> list[Op]:
     """(kind, key, anchor, payload): operations that turn the new text into the old."""
     a, b = tile(new), tile(old)
     where = {k: i for i, (k, _) in enumerate(a)}
     matched = [(j, where[k]) for j, (k, _) in enumerate(b) if k in where]
     kept = {matched[i][0]: matched[i][1] for i in in_order([p for _, p in matched])}
     stay = set(kept.values())
-    ops = [("delete", k, None, None) for i, (k, _) in enumerate(a) if i not in stay]
-    previous = None
+    ops: list[Op] = [("delete", k, None, None) for i, (k, _) in enumerate(a) if i not in stay]
+    previous = START
     for j, (k, full) in enumerate(b):
         if j not in kept:
             ops.append(("insert", k, previous, full))
@@ -88,58 +92,145 @@ def diff(new: str, old: str) -> list[tuple[str, str, str | None, str | None]]:
     return ops
 
 
-def patch(new: str, ops: list[tuple[str, str, str | None, str | None]]) -> str:
+class BadHistory(ValueError):
+    """An operation names a unit that isn't there."""
+
+
+def place_of(live: list[list[str]], anchor: str | None) -> int:
+    if anchor in (None, START):
+        return 0
+    if anchor == END:
+        return len(live)
+    for i, u in enumerate(live):
+        if u[0] == anchor:
+            return i + 1
+    raise BadHistory(f"unit {anchor} not found")
+
+
+def relabelled(live: list[list[str]]) -> list[list[str]]:
+    """The units of the text as it now stands, keyed anew."""
+    return [list(u) for u in tile("".join(full for _, full in live))]
+
+
+def patch(new: str, ops: list[Op]) -> str:
+    """The text that the operations make of the new one.
+
+    Deletes and replacements name units of the new text; inserts and moves come
+    after them and name units of the text as it stands then. An insert without a
+    key, as history files have it, is keyed by what it brings.
+    """
     units = tile(new)
+    known = {k for k, _ in units}
+    missing = next((k for kind, k, _, _ in ops if kind in ("delete", "replace") and k not in known), None)
+    if missing is not None:
+        raise BadHistory(f"unit {missing} not found")
     gone = {k for kind, k, _, _ in ops if kind == "delete"}
     swap = {k: p for kind, k, _, p in ops if kind == "replace"}
     live = [[k, swap.get(k, full)] for k, full in units if k not in gone]
+    if any(kind == "move" or kind == "insert" and k is None for kind, k, _, _ in ops):
+        live = relabelled(live)
     for kind, k, anchor, payload in ops:
         if kind == "insert":
-            at = 0 if anchor is None else next(i for i, u in enumerate(live) if u[0] == anchor) + 1
-            live.insert(at, [k, payload])
+            live.insert(place_of(live, anchor), [k, payload])
+            if k is None:
+                live = relabelled(live)
+        elif kind == "move":
+            unit = live.pop(place_of(live, k) - 1)
+            live.insert(place_of(live, anchor), unit)
+            live = relabelled(live)
     return "".join(full for _, full in live)
 
 
 OPS = "doc string, rev long, hash string, op_seq int, kind string, key string, anchor string, payload string"
+#: Revisions between two that are kept whole.
+KEYFRAMES = 32
 
 
-def commit_chain(revisions: DataFrame) -> DataFrame:
-    """Operations of each revision (doc, rev, text): those that rebuild it from the next newer one; the newest is kept whole (kind 'tip').
+def _operations(pairs: DataFrame) -> DataFrame:
+    """OPS rows from (doc, rev, text, newer): a revision without ``newer`` is kept whole, as kind ``whole``.
 
     A difference that doesn't give its revision back exactly is refused.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rev", ascending=False)
-        rows, newer = [], None
-        for rev, text in zip(pdf["rev"], pdf["text"], strict=True):
-            ops = [("tip", None, None, text)] if newer is None else diff(newer, text)
-            if newer is not None and patch(newer, ops) != text:
-                raise ValueError(f"revision {rev} doesn't round-trip")
-            for i, op in enumerate(ops or [("same", None, None, None)]):
-                rows.append((pdf["doc"].iloc[0], rev, sha(text), i, *op))
-            newer = text
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in OPS.split(", ")])
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for doc, rev, text, newer, whole in zip(pdf["doc"], pdf["rev"], pdf["text"], pdf["newer"], pdf["whole"], strict=True):
+                text = text or ""
+                if whole is not None:
+                    ops = [(whole, None, None, text)]
+                else:
+                    ops = diff(newer or "", text)
+                    if patch(newer or "", ops) != text:
+                        raise ValueError(f"revision {rev} of {doc} doesn't round-trip")
+                rows += [(doc, rev, sha(text), i, *op) for i, op in enumerate(ops or [("same", None, None, None)])]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in OPS.split(", ")])
+
+    return pairs.select("doc", "rev", "text", "newer", "whole").mapInPandas(run, OPS)
+
+
+def commit_chain(revisions: DataFrame, keyframes: int = KEYFRAMES) -> DataFrame:
+    """Operations of each revision (doc, rev, text): those that rebuild it from the next newer one; the newest is kept whole (kind 'tip'), and of the others every so many (kind 'keyframe').
+
+    Each pair of neighbours is compared by itself; a document's revisions are never held together.
+    """
+    r = revisions.select(F.col("doc").cast("string").alias("doc"), F.col("rev").cast("long").alias("rev"), "text")
+    w = W.partitionBy("doc").orderBy(F.desc("rev"))
+    nr = F.row_number().over(w) - 1
+    whole = F.when(F.col("nr") == 0, "tip").when(F.col("nr") % keyframes == 0, "keyframe")
+    return _operations(r.withColumn("newer", F.lag("text").over(w)).withColumn("nr", nr).withColumn("whole", whole))
+
+
+def commit(history: DataFrame, working: DataFrame) -> DataFrame:
+    """The history (OPS rows) with a revision for each document (doc, rev, text) whose text isn't its tip's.
 
-    return revisions.select(F.col("doc").cast("string").alias("doc"), F.col("rev").cast("long").alias("rev"), "text").groupBy("doc").applyInPandas(run, OPS)
+    The tip before becomes operations on the new one, unless it is a keyframe's
+    turn; a document without a history begins one. Other documents stay as they are.
+    """
+    tips = history.where("kind = 'tip'").select("doc", F.col("rev").alias("old_rev"), F.col("payload").alias("old"), F.col("hash").alias("old_hash"))
+    since = history.where("kind IN ('tip', 'keyframe')").groupBy("doc").agg(F.max(F.when(F.col("kind") == "keyframe", F.col("rev"))).alias("frame"))
+    met = working.select(F.col("doc").cast("string").alias("doc"), F.col("rev").cast("long").alias("rev"), "text").join(tips, "doc", "left").where("old IS NULL OR sha2(text, 256) <> old_hash")
+    behind = history.select("doc", "rev").distinct().join(since, "doc").where("frame IS NULL OR rev > frame").groupBy("doc").agg(F.count("*").alias("behind"))
+    met = met.join(behind, "doc", "left")
+    none = F.lit(None).cast("string")
+    fresh = met.select("doc", "rev", "text", none.alias("newer"), F.lit("tip").alias("whole"))
+    frame = F.when(F.col("behind") >= KEYFRAMES, "keyframe")
+    demoted = met.where("old IS NOT NULL").select("doc", F.col("old_rev").alias("rev"), F.col("old").alias("text"), F.col("text").alias("newer"), frame.alias("whole"))
+    changed = met.where("old IS NOT NULL").select("doc", F.col("old_rev").alias("rev"))
+    return history.join(changed, ["doc", "rev"], "left_anti").unionByName(_operations(fresh.unionByName(demoted)))
+
+
+def numbered_blobs(history: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(operations with ``blob`` in place of their payload, blobs (doc, blob, payload)): b1, b2, ... in a document, oldest revision first, so that later commits never reuse a number."""
+    has = F.col("kind").isin("insert", "replace")
+    nr = F.row_number().over(W.partitionBy("doc", has).orderBy("rev", "op_seq"))
+    h = history.withColumn("blob", F.when(has, F.concat(F.lit("b"), nr)))
+    return h.drop("payload"), h.where("blob IS NOT NULL").select("doc", "blob", "payload")
 
 
 def reconstruct(history: DataFrame) -> DataFrame:
-    """(doc, rev, text, ok): every revision rebuilt from the tip; ok if its hash agrees."""
+    """(doc, rev, text, ok): every revision rebuilt from the next whole one; ok if its hash agrees.
+
+    A group is what lies between two whole revisions, so its size is bounded.
+    """
+    heads = history.groupBy("doc", "rev").agg(F.max(F.col("kind").isin("tip", "keyframe").cast("int")).alias("whole"))
+    segment = F.sum("whole").over(W.partitionBy("doc").orderBy(F.desc("rev")).rowsBetween(W.unboundedPreceding, 0))
+    cut = history.join(heads.select("doc", "rev", segment.alias("segment")), ["doc", "rev"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, text = [], None
         for rev, g in pdf.sort_values("rev", ascending=False).groupby("rev", sort=False):
             g = g.sort_values("op_seq")
-            ops = list(zip(g["kind"], g["key"], g["anchor"].where(g["anchor"].notna(), None), g["payload"], strict=True))
+            clean = [g[c].astype(object).where(g[c].notna(), None) for c in ("kind", "key", "anchor", "payload")]
+            ops = list(zip(*clean, strict=True))
             try:
-                text = ops[0][3] if ops[0][0] == "tip" else text if ops[0][0] == "same" else patch(text, ops)
-            except (StopIteration, TypeError):
+                text = ops[0][3] if ops[0][0] in ("tip", "keyframe") else text if ops[0][0] == "same" else patch(text, ops) if text is not None else None
+            except BadHistory:
                 text = None
             rows.append((pdf["doc"].iloc[0], rev, text, text is not None and sha(text) == g["hash"].iloc[0]))
         return pd.DataFrame(rows, columns=["doc", "rev", "text", "ok"])
 
-    return history.groupBy("doc").applyInPandas(run, "doc string, rev long, text string, ok boolean")
+    return cut.groupBy("doc", "segment").applyInPandas(run, "doc string, rev long, text string, ok boolean")
 
 
 def verify(history: DataFrame) -> DataFrame:
@@ -165,7 +256,7 @@ def revision_log(revisions: DataFrame) -> DataFrame:
 
 
 def chain_faults(revisions: DataFrame) -> DataFrame:
-    """(doc, rev, fault): a parent that doesn't exist, or isn't older."""
+    """(doc, rev, fault): a parent that doesn't exist, or isn't older. Revisions are numbers or ids that begin with their time, so both are ordered."""
     p = revisions.select("doc", F.col("rev").alias("parent"), F.lit(True).alias("known"))
     j = revisions.where("parent IS NOT NULL").join(p, ["doc", "parent"], "left")
     fault = F.when(F.col("known").isNull(), "missing parent").when(F.col("parent") >= F.col("rev"), "cycle")

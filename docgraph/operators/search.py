@@ -17,20 +17,24 @@ def name_lookup(symbols: DataFrame) -> DataFrame:
 def search_names(lookup: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
     """(q, anchor, score, total): exact 0, prefix 1, prefix of the last part 2, substring 3; the best k of each query.
 
-    The queries are the small side of the match, checked for size here: a
-    substring has no key to meet by.
+    Names and queries meet by the query's first three characters (or two, if it
+    has no more), which a name that holds the query holds too.
     """
-    if queries.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 queries at once")
-    q = queries.select(F.lower(F.trim("q")).alias("q")).where(F.length("q") >= 2).distinct()
-    name = F.lower("name")
-    met = lookup.join(F.broadcast(q), name.contains(F.col("q")))
-    score = F.when(name == F.col("q"), 0).when(name.startswith(F.col("q")), 1).when(last_part(name).startswith(F.col("q")), 2).otherwise(3)
+    q = queries.select(F.lower(F.trim("q")).alias("q")).where(F.length("q") >= 2).distinct().withColumn("gram", F.substring("q", 1, 3))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - (n - 1), F.lit(1))), lambda i: F.substring(F.col("low"), i, F.lit(n)))
+    names = lookup.withColumn("low", F.lower("name")).withColumn("gram", F.explode(F.array_distinct(F.concat(grams(2), grams(3)))))
+    low = F.col("low")
+    met = names.join(q, "gram").where(low.contains(F.col("q")))
+    score = F.when(low == F.col("q"), 0).when(low.startswith(F.col("q")), 1).when(last_part(low).startswith(F.col("q")), 2).otherwise(3)
     best = met.groupBy("q", "anchor").agg(F.min(F.struct(score.alias("score"), "name")).alias("b")).select("q", "anchor", "b.score", "b.name")
     order = W.partitionBy("q").orderBy("score", "name", "anchor")
     ranked = best.withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= k)
-    totals = best.groupBy("q").agg(F.count("*").alias("total"))
-    return ranked.join(F.broadcast(totals), "q").select("q", "anchor", "score", "total")
+    return ranked.join(best.groupBy("q").agg(F.count("*").alias("total")), "q").select("q", "anchor", "score", "total")
+
+
+def find_names(symbols: DataFrame, text: str) -> DataFrame:
+    """(name, anchor, file) of symbols whose name holds the text, in the order of their names."""
+    return symbols.where(F.lower("name").contains(text.strip().lower())).select("name", "anchor", "file").orderBy("name", "anchor")
 
 
 def ambiguous_names(lookup: DataFrame) -> DataFrame:

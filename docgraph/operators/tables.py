@@ -66,16 +66,12 @@ def compute(df: DataFrame, formulas: str, keys: list[str] | None = None) -> Data
     """Computed columns of a wide table whose columns are numbers (null where a cell is no number).
 
     ``keys`` name the table a row belongs to, so that an aggregate in a row
-    formula is that table's. Without keys the whole frame is one table: its
-    aggregates are taken once and joined as a single row, not by a window.
-    A result that isn't finite leaves an existing cell as it was.
+    formula is that table's. Aggregates are added up apart and joined back, a row
+    a table, so that a large table isn't gathered. A result that isn't finite
+    leaves an existing cell as it was.
     """
-    own = [c for c in df.columns if c not in (keys or [])]
-    if keys:
-        over = W.partitionBy(*keys)
-        for f in translate(formulas, own, lambda c: c.over(over)):
-            df = put(df, f.name, f.column)
-        return df
+    keys = keys or []
+    own = [c for c in df.columns if c not in keys]
     for i, (name, expr) in enumerate((f.name, e) for f, e in zip(translate(formulas, own), _sources(formulas), strict=True)):
         parts: list[Column] = []
 
@@ -83,8 +79,14 @@ def compute(df: DataFrame, formulas: str, keys: list[str] | None = None) -> Data
             parts.append(c.alias(f"__agg_{i}_{len(parts)}"))
             return F.col(f"__agg_{i}_{len(parts) - 1}")
 
-        column = translate(f"{name} = {expr}", [c for c in df.columns if not c.startswith("__")], once)[0].column
-        if parts:
+        column = translate(f"{name} = {expr}", [c for c in df.columns if not c.startswith("__") and c not in keys], once)[0].column
+        if parts and keys:
+            sums = df.groupBy(*keys).agg(*parts).withColumnsRenamed({k: f"__key_{k}" for k in keys})
+            same = F.lit(True)
+            for k in keys:
+                same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"`__key_{k}`"))
+            df = df.join(sums, same).drop(*[f"__key_{k}" for k in keys])
+        elif parts:
             df = df.join(F.broadcast(df.agg(*parts)), F.lit(True))  # one row
         df = put(df, name, column)
     return df.drop(*[c for c in df.columns if c.startswith("__agg_")])
@@ -148,6 +150,20 @@ def sort_table(df: DataFrame, column: str, descending: bool = False) -> DataFram
     return df.orderBy(*[k.desc() if descending and i else k.asc() for i, k in enumerate(keys)])
 
 
+def places(df: DataFrame, column: str, ties: list[str]) -> DataFrame:
+    """Adds ``place``, each row's number in the order of ``sort_table``: numbered within range partitions, which are counted first."""
+    from docgraph.storage import written
+
+    num = cell_number(F.col(column))
+    keyed = df.withColumn("__text", num.isNull()).withColumn("__num", num)
+    order = ["__text", "__num", column, *ties]
+    part = written(keyed.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "places")
+    n = part.groupBy("__part").agg(F.count("*").alias("n"))
+    before = n.select("__part", (F.sum("n").over(W.orderBy("__part")) - F.col("n")).alias("__before"))  # a row a partition
+    nr = F.row_number().over(W.partitionBy("__part").orderBy(*order))
+    return part.join(F.broadcast(before), "__part").withColumn("place", F.col("__before") + nr).drop("__part", "__before", "__text", "__num")
+
+
 def filter_rows(df: DataFrame, query: str) -> DataFrame:
     """Rows whose text has the query, upper and lower case alike."""
     return df.where(F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in df.columns])).contains(query.strip().lower()))

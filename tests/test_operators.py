@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docgraph.operators import corpus, history, intervals, walk
+from docgraph.sources.canonical import canonical
+from docgraph.sources.markdown import convert
 from docgraph.sources.scan import interpolate, references, scan_document
 from docgraph.streaming.changes import debounce
 
@@ -32,14 +34,47 @@ def test_scan():
     rows = scan_document("d", DOC)
     of = lambda tag: [r for r in rows if r["tag"] == tag]
     assert [(r["kind"], r.get("type")) for r in of("block")] == [
-        ("block", "meta"), ("heading", None), ("paragraph", None), ("block", "note"), ("paragraph", None), ("block", "code"), ("heading", None), ("list", None), ("footnote", None), ("block", "odd"),
+        ("block", "meta"), ("heading", None), ("paragraph", None), ("block", "note"), ("paragraph", None), ("block", "code"), ("heading", None), ("list", None), ("footnote", "note"), ("block", "odd"),
     ]
-    assert {r["id"] for r in of("id")} == {"top", "a", "deep", "sub", "fn:n"}
-    assert {(r["ref_kind"], r.get("target_doc"), r["anchor"]) for r in of("ref")} == {("autoref", None, "a"), ("cross", "b.mk", "c"), ("footnote", None, "fn:n")}
+    assert {r["id"] for r in of("id")} == {"top", "a", "deep", "sub", "n"}
+    assert {(r["ref_kind"], r.get("target_doc"), r["anchor"]) for r in of("ref")} == {("autoref", None, "a"), ("cross", "b.mk", "c"), ("footnote", None, "n")}
     assert {r["code"] for r in of("diagnostic")} == {"unknown-key", "unterminated", "unknown-type"}
+    assert next(r["text"] for r in of("block") if r["kind"] == "paragraph").endswith("for X.")
     assert scan_document("e", "") == [] and scan_document("e", None) == []
 
 
+@pytest.mark.parametrize(
+    ("text", "kinds"),
+    [
+        ("+ a\n1) b\n===note\nx", ["paragraph"]), ("* a\n- b\n1. c\n\n2. d\ne", ["list", "list", "paragraph"]), ("=== text {#t}\n[[#x]]\n===", ["block", "paragraph"]),
+        ("=== note {#a}\n=== code\nx\n===\ny\n=== #a", ["block", "block", "paragraph"]), ("==== note\n=== note\nx\n===\n====\ny", ["block", "block", "paragraph", "paragraph"]),
+        ("a\n%% h\nb", ["paragraph", "hidden", "paragraph"]), ("a\n[^f]: b", ["paragraph"]), ("#no\n# yes", ["paragraph", "heading"]), ("  - a\n    - b\n - c", ["list"]), ("=== code\n==== \n===", ["block"]),
+    ],
+)
+def test_lines_that_begin_blocks(text, kinds):
+    assert [r["kind"] for r in scan_document("d", text) if r["tag"] == "block"] == kinds
+
+
+def test_normal_form_is_its_own():
+    r = random.Random(3)
+    parts = [
+        "# A {{k}} {#x .c key=1.50 b=\"q w\" flag}", "## B `c` D", "para\nline {{no}} \\{{k}}", "=== note {#n}\ninner {{k}}\n\n- a\n  - b\n\n- c\n===", "==== note\n=== code {lang=x}\n=\n===\n====",
+        "=== meta\nk = 1.0\nv = \"true\"\nw = \"a b\"\n===", "- [ ] t\n- [x] u\n  1. q\n  2. w\n3. r", "1. a\n1. b", "%% hidden", "[^f]: foot {{w}}", "=== odd\nxx", "", "* s\n\n\n* t\nend", "=== text\n===",
+    ]
+    shape = lambda t: [(x["tag"], x.get("kind"), x.get("type"), x.get("id"), x.get("ref_kind"), x.get("anchor")) for x in scan_document("d", t) if x["tag"] in ("block", "item", "ref")]
+    for _ in range(500):
+        text = "\n".join(r.choice(parts) for _ in range(r.randrange(7)))
+        once = canonical(text)
+        assert canonical(once) == once and shape(once) == shape(text)
+
+
+def test_conversion_keeps_what_markdown_says():
+    text, notes = convert("---\na: b c\n- x\n---\nT\n===\n\n---\n> q {{a}}\n\n```mermaid\nx\n```\n# `a` b\n[^1]: foot\n  more\n")
+    assert text == "=== meta\na=\"b c\"\n===\n\n# T\n\n=== note {#note-1}\nq \\{{a}}\n===\n\n=== diagram {#diagram-1 format=mermaid}\nx\n===\n# `a` b {#a-b}\n=== note {#1}\nfoot\nmore\n===\n"
+    assert notes == ["frontmatter line not converted: - x", "dropped thematic break at line 8"]
+    assert convert("") == ("\n", []) and convert(None) == ("\n", [])
+
+
 def test_references_and_variables():
     assert list(references("[a](http://x) [b](#c) [d](e)")) == [("internal", None, "c"), ("cross", "e", None)]
     assert interpolate("{{a}} `{{a}}` \\{{a}} {{b}}", {"a": "{{b}}"}) == ("{{b}} `{{a}}` \\{{a}} {{b}}", ["b"])
@@ -67,6 +102,26 @@ def test_history_round_trip():
         assert history.patch(new, history.diff(new, old)) == old
 
 
+def test_moves_and_anchors():
+    text = "=== note {#a}\nA\n===\n\nB.\n\nC.\n"
+    b, c = (k for k, _ in history.tile(text)[1:])
+    assert history.patch(text, [("move", "#a", c, None)]) == "B.\n\nC.\n=== note {#a}\nA\n===\n\n"
+    assert history.patch(text, [("insert", None, "at-end", "D."), ("move", b, "at-start", None)]) == "B.\n\n=== note {#a}\nA\n===\n\nC.\nD."
+    for bad in ([("delete", "#x", None, None)], [("move", "#x", "at-end", None)], [("insert", None, "#x", "y")]):
+        with pytest.raises(history.BadHistory):
+            history.patch(text, bad)
+
+
+@pytest.mark.parametrize("frames", [2, 32])
+def test_commits(spark, frames):
+    text = lambda i: "\n\n".join(f"p{j * (i % 3)}" for j in range(i + 1))
+    revs = spark.createDataFrame([("d", i, text(i)) for i in range(6)] + [("e", 0, "x")], "doc string, rev long, text string")
+    h = history.commit_chain(revs, keyframes=frames)
+    h = history.commit(h, spark.createDataFrame([("d", 6, text(6)), ("e", 1, "x"), ("new", 0, "y")], "doc string, rev long, text string"))
+    out = {(r.doc, r.rev): (r.text, r.ok) for r in history.reconstruct(h).collect()}
+    assert out == {("d", i): (text(i), True) for i in range(7)} | {("e", 0): ("x", True), ("new", 0): ("y", True)}
+
+
 def test_history_notices_changes(spark):
     revs = spark.createDataFrame([("d", i, "\n\n".join(f"p{j}" for j in range(i + 1))) for i in range(4)], "doc string, rev long, text string")
     h = history.commit_chain(revs)

@@ -17,8 +17,9 @@ def test_check_stream(spark, tmp_path):
 def test_append_versions(spark, tmp_path):
     schema = "doc string, n int, text string"
     one = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("b", 1, "y")], schema)
-    two = spark.createDataFrame([("a", 3, "x"), ("a", 4, "z")], schema)
-    for batch in (one, two):
-        append_versions(batch, f"{tmp_path}/history")
-    got = sorted((r.doc, r.text) for r in spark.read.parquet(f"{tmp_path}/history").select("doc", F.col("text")).collect())
-    assert got == [("a", "x"), ("a", "z"), ("b", "y")]
+    two = spark.createDataFrame([("a", 3, "x"), ("a", 4, "z"), ("a", 5, "x")], schema)
+    three = spark.createDataFrame([("a", 6, "x"), ("a", 7, "z"), ("b", 1, "y"), ("c", 1, "x")], schema)
+    for batch in (one, two, three, three):
+        append_versions(batch, f"{tmp_path}/history", "n")
+    got = sorted((r.doc, r.n, r.text) for r in spark.read.parquet(f"{tmp_path}/history").select("doc", "n", F.col("text")).collect())
+    assert got == [("a", 1, "x"), ("a", 4, "z"), ("a", 5, "x"), ("a", 7, "z"), ("b", 1, "y"), ("c", 1, "x")]
