@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgraph.storage import written
+
 #: What separates words in the white-space word rule, as a Java and Python regex class.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
 #: The same six characters, for ``translate``.
@@ -25,36 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: the cluster's ``spark.checkpoint.dir``.
-
-    Only where that is unset: a temporary folder in local mode, the warehouse on
-    a cluster (never a machine-local folder there).
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-        found = tempfile.mkdtemp(prefix="spark-llm-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder as Parquet and read back.
-
-    Cuts the lineage: lost executors cost a re-read, not a recomputation. The
-    folder is the caller's to clear, as with any checkpoint directory.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Bytes of text that a Python worker turns into objects at a time.
 PIECE_BYTES = 1 << 20
 
 Batches = Iterator[pa.RecordBatch]
+#: A table written once to the shared folder and read back.
+materialize = written
 
 
 def in_pieces(batches: Batches, column: int, most: int = PIECE_BYTES) -> Batches:

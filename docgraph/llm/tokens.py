@@ -33,7 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Batches, frugal, in_pieces, materialize, shared_dir
+from docgraph.storage import shared_dir
+
+from .common import Batches, frugal, in_pieces, materialize
 
 MAGIC = b"TKR1"
 END_ID = 1
