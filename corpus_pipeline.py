@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgraph.llm import decontaminate, minhash, mixing, quality_cnn, sharding
-from docgraph.llm.common import broadcast_if_small, materialize, shared_dir, table
+from docgraph.llm.common import broadcast_if_small, materialize, table
+from docgraph.storage import shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
