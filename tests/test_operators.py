@@ -151,6 +151,38 @@ def test_intervals(spark):
     assert asof["r2"] == "inner2" and "r4" not in asof
 
 
+def test_occurrences_of_generated_files(spark):
+    """A component's generated file: a method, a generated helper, a call from the template, one from nowhere."""
+    from docgraph.sources.exchange import from_occurrences
+
+    occ = [
+        ("gen.ts", "p/A#save().", "definition", 10, 10, 14), ("gen.ts", "p/$$render().", "definition", 1, 1, 40), ("b.ts", "p/b/run().", "definition", 1, 1, 9), ("b.ts", "p/B#x.", "definition", 20, 20, 20),
+        ("gen.ts", "p/b/run().", "reference", 12, None, None), ("gen.ts", "p/A#save().", "reference", 30, None, None), ("gen.ts", "p/A#save().", "reference", 35, None, None), ("gen.ts", "p/__VLS_f().", "reference", 13, None, None),
+        ("b.ts", "q/C#`<constructor>`().", "reference", 3, None, None), ("b.ts", "p/A#save().", "reference", 4, None, None), ("b.ts", "p/B#x.", "reference", 5, None, None), ("b.ts", "p/b/run().", "reference", 6, None, None),
+    ]
+    o = spark.createDataFrame(occ, "file string, symbol string, role string, line int, start int, end int")
+    lines = spark.createDataFrame([("gen.ts", g, "A.vue", n) for g, n in ((10, 3), (12, 5), (13, 6), (14, 7), (30, 22), (35, 40))], "file string, line int, orig_file string, orig_line int")
+    regions = spark.createDataFrame([("A.vue", 20, 30, "A")], "file string, start int, end int, component string")
+    rels = spark.createDataFrame([("p/b/run().", "p/A#save().")], "symbol string, target string")
+    symbols, edges = from_occurrences(o, rels, lines, regions)
+    assert {(r.anchor, r.name, r.file, r.line_start, r.line_end) for r in symbols.where("kind = 'Function'").collect()} == {
+        ("p/A#save().", "A.save", "A.vue", 3, 7), ("p/b/run().", "run", "b.ts", 1, 9), ("sfc:A.vue#template", "A.template", "A.vue", 20, 30),
+    }
+    assert {(r["from"], r["to"], r.to_text, r.confidence, r.site.file, r.site.line) for r in edges.collect()} == {
+        ("p/A#save().", "p/b/run().", None, "high", "A.vue", 5), ("sfc:A.vue#template", "p/A#save().", None, "medium", "A.vue", 22),
+        ("p/b/run().", None, "C.new", "low", "b.ts", 3), ("p/b/run().", "p/A#save().", None, "medium", "b.ts", 4),
+    }
+
+
+def test_occurrences_without_spans(spark):
+    from docgraph.sources.exchange import from_occurrences
+
+    occ = [("f", "p/a().", "definition", 1, 1, 1), ("f", "p/b().", "definition", 300, 300, 300), ("f", "p/b().", "reference", 299, None, None), ("f", "p/a().", "reference", 700, None, None)]
+    o = spark.createDataFrame(occ, "file string, symbol string, role string, line int, start int, end int")
+    _, edges = from_occurrences(o, spark.createDataFrame([], "symbol string, target string"))
+    assert {(r["from"], r["to"]) for r in edges.collect()} == {("p/a().", "p/b()."), ("p/b().", "p/a().")}
+
+
 def test_debounce_stream(spark, tmp_path):
     rows = [("r", f"2024-01-01 00:00:{s:02d}") for s in (0, 10, 20)] + [("r", "2024-01-01 00:05:00"), ("r", "2024-01-01 02:00:00")]
     spark.createDataFrame(rows, "repo string, t string").select("repo", F.col("t").cast("timestamp").alias("ts")).write.parquet(f"{tmp_path}/in")
