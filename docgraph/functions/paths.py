@@ -64,6 +64,15 @@ def excluded(path: Column, globs: list[str]) -> Column:
     return out
 
 
+def exclude_paths(df: DataFrame, column: str, globs: list[str], ignored: DataFrame | None = None) -> DataFrame:
+    """Rows whose path matches no glob and isn't among the ``ignored`` ones (path)."""
+    kept = df.where(~excluded(F.col(column), globs) | F.col(column).isNull())
+    if ignored is None:
+        return kept
+    gone = ignored.select(F.col("path").alias("__ignored")).distinct()
+    return kept.join(gone, F.col(column) == F.col("__ignored"), "left_anti")
+
+
 def is_test(path: Column) -> Column:
     p = F.replace(path, F.lit("\\"), F.lit("/"))
     return p.rlike(TEST_DIR) | base(p).rlike(TEST_FILE)

@@ -174,6 +174,18 @@ def a12_render_table(spark, d):
     return tables.render_csv(cells).select("doc", "body")
 
 
+@query(
+    "a12_render_pipe",
+    """SELECT n_regionkey AS doc, '| key | name |' || chr(10) || '| ---: | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || replace(n_name, 'A', chr(92) || '|') || ' |', chr(10) ORDER BY n_nationkey) AS body FROM nation GROUP BY 1""",
+)
+def a12_render_pipe(spark, d):
+    """Nations of a region as a pipe table; names with pipes in place of A are escaped."""
+    cell = lambda nr, name, align, text: F.struct(F.lit(nr).alias("col"), F.lit(name).alias("name"), F.lit(align).alias("align"), text.alias("text"))
+    name = F.translate("n_name", "A", "|")
+    cells = read(spark, d, "nation").select(F.col("n_regionkey").alias("doc"), F.lit(1).alias("table_id"), F.col("n_nationkey").alias("row"), F.inline(F.array(cell(0, "key", "right", F.col("n_nationkey").cast("string")), cell(1, "name", "none", name))))
+    return tables.render_pipe(cells).select("doc", "body")
+
+
 @query(
     "a4_inline_src",
     """SELECT doc_id, source AS src, CASE WHEN lang = 'fr' THEN NULL ELSE length(text) END AS n, lang = 'fr' AS external FROM documents""",
@@ -201,6 +213,27 @@ def d17b_chart_points(spark, d):
     return charts.chart_points(e, "chart", "event_id", "ts", ["cell"], "event_type").select("chart", "pt", "series", "y")
 
 
+@query(
+    "d17b_chart_scopes",
+    """WITH p AS (SELECT p_brand AS chart, p_partkey AS pt, CAST(p_size AS DOUBLE) AS y FROM part), s AS (SELECT chart, -1 AS pt, sum(y) AS y FROM p WHERE chart <> 'Brand#11' GROUP BY 1)
+  SELECT 'all' AS scope, chart, pt, y, NULL AS message FROM p UNION ALL SELECT 'all', chart, pt, y, NULL FROM s UNION ALL SELECT 'summary', chart, pt, y, NULL FROM s
+  UNION ALL SELECT DISTINCT 'all', chart, NULL, NULL, 'chart: rows=all but the table has no summary row; using data rows' FROM p WHERE chart = 'Brand#11'
+  UNION ALL SELECT DISTINCT 'summary', chart, NULL, NULL, 'chart: rows=summary but the table has no summary row' FROM p WHERE chart = 'Brand#11'""",
+)
+def d17b_chart_scopes(spark, d):
+    """Points of a chart's data and summary rows, and what charts without a summary row raise."""
+    t = read(spark, d, "part").select(F.col("p_brand").alias("chart"), F.col("p_partkey").alias("pt"), F.lit("x").alias("x"), F.col("p_size").alias("y"))
+    foot = tables.summary_row(t.where("chart <> 'Brand#11'"), "y = sum(y)", ["chart"]).withColumn("pt", F.lit(-1)).withColumn("x", F.lit("x"))
+    both = tables.with_summary(t.withColumn("y", F.col("y").cast("double")), foot)
+    out = None
+    for scope in ("all", "summary"):
+        points = charts.chart_points(both, "chart", "pt", "x", ["y"], rows=scope).select("chart", F.col("pt").cast(L).alias("pt"), "y")
+        faults = charts.chart_faults(both, "chart", ["y"], rows=scope).select("chart", "message")
+        own = points.unionByName(faults, allowMissingColumns=True).withColumn("scope", F.lit(scope))
+        out = own if out is None else out.unionByName(own)
+    return out.select("scope", "chart", "pt", "y", "message")
+
+
 TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -678,10 +711,12 @@ def b17_language_of(spark, d):
     return symbols(spark, d).select("id", paths.language(F.concat(F.lit("src/a.b/"), "name", ext)).alias("lang"))
 
 
-@query("b15_exclude_paths", "SELECT p_partkey FROM part WHERE p_type NOT IN ('ECONOMY') AND p_brand <> 'Brand#4'")
+@query("b15_exclude_paths", "SELECT p_partkey FROM part WHERE p_type NOT IN ('ECONOMY') AND p_brand <> 'Brand#4' AND NOT (p_type = 'STANDARD' AND p_brand = 'Brand#2')")
 def b15_exclude_paths(spark, d):
     f = F.concat(F.lit("src/"), F.lower("p_type"), F.lit("/"), F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit("/x.js"))
-    return read(spark, d, "part").where(~paths.excluded(f, ["**/economy/**", "src/*/Brand-4/*.js"])).select("p_partkey")
+    ignored = spark.createDataFrame([("src/standard/Brand-2/x.js",), ("src/no/such.js",)], "path string")
+    t = read(spark, d, "part").select("p_partkey", f.alias("file"))
+    return paths.exclude_paths(t, "file", ["**/economy/**", "src/*/Brand-4/*.js"], ignored).select("p_partkey")
 
 
 @query("b15b_confine_paths", "SELECT p_partkey FROM part WHERE p_size % 4 NOT IN (1, 2)")
@@ -898,3 +933,29 @@ def k2_needs_refresh(spark, d):
     commits = e.select(F.col("user_id").alias("repo"), F.col("event_id").alias("tip"), f.alias("files"))
     built = e.where("event_type = 'signup'").groupBy(F.col("user_id").alias("repo")).agg(F.max("event_id").alias("built_tip"))
     return needs_refresh(commits, built).select(F.col("tip").alias("event_id"))
+
+
+@query("k3_stream_check", """SELECT 'c' || c_custkey || '.mk' AS doc, 13 AS line, 'error' AS severity, 'unresolved' AS code FROM customer WHERE c_custkey % 2 = 1 AND c_custkey % 3 <> 0""")
+def k3_stream_check(spark, d):
+    """The check of arriving documents, here all at once; every third document's missing id is known from elsewhere."""
+    from docgraph.jobs.corpus_queries import markup
+    from docgraph.streaming.changes import check_stream
+
+    k = F.col("c_custkey")
+    ids = read(spark, d, "customer").select(F.concat(F.lit("c"), k, F.lit(".mk")).alias("doc"), F.explode(F.concat(F.array(F.concat(F.lit("c-"), k)), F.when(k % 3 == 0, F.array(F.concat(F.lit("c-"), k - 1))).otherwise(F.array().cast("array<string>")))).alias("id"))
+    return check_stream(markup(spark, d), ids)
+
+
+@query("k4_stream_history", """SELECT conv_id AS doc, turn AS ts, role AS text FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NULL OR before <> role""")
+def k4_stream_history(spark, d):
+    """The role of each turn as a version, appended in three batches: one for each change, a return to an earlier one included."""
+    import uuid
+
+    from docgraph.storage import shared_dir
+    from docgraph.streaming.changes import append_versions
+
+    path = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("ts"), F.col("role").alias("text"))
+    for batch in (c.where("ts < 2"), c.where("ts BETWEEN 2 AND 3"), c.where("ts > 3")):
+        append_versions(batch, path)
+    return spark.read.parquet(path).select("doc", "ts", "text")

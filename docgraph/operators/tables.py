@@ -179,6 +179,22 @@ def render_csv(cells: DataFrame) -> DataFrame:
     return lines.groupBy("doc", "table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("body"))
 
 
+def render_pipe(cells: DataFrame) -> DataFrame:
+    """(doc, table_id, body): cells of doc, table_id, row, col, name, align, text as a pipe table with its header and alignment row.
+
+    Pipes are escaped and line ends become blanks; a summary is the row that comes last.
+    """
+    clean = lambda c: F.regexp_replace(F.regexp_replace(F.col(c), "\n", " "), r"\|", r"\\\\|")
+    mark = F.col("align")
+    rule = F.when(mark == "center", ":--:").when(mark == "right", "---:").when(mark == "left", ":---").otherwise("---")
+    line = lambda cell: F.concat(F.lit("| "), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", cell.alias("cell")))), lambda x: x["cell"]), " | "), F.lit(" |"))
+    head = cells.groupBy("doc", "table_id", "col").agg(F.first("name").alias("name"), F.first("align").alias("align"))
+    head = head.groupBy("doc", "table_id").agg(F.concat(line(clean("name")), F.lit("\n"), line(rule)).alias("head"))
+    rows = cells.groupBy("doc", "table_id", "row").agg(line(clean("text")).alias("line"))
+    body = rows.groupBy("doc", "table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    return body.join(head, ["doc", "table_id"]).select("doc", "table_id", F.concat("head", F.lit("\n"), "body").alias("body"))
+
+
 def inline_src(tables: DataFrame, files: DataFrame) -> DataFrame:
     """Attaches the file a table names; a missing, HTML or JSON file leaves it external."""
     start = F.ltrim(F.col("content"))
