@@ -183,8 +183,8 @@ def roots_of(classified: DataFrame, edges: DataFrame) -> DataFrame:
     uncalled = classified.join(called, "anchor", "left_anti").select("anchor")
     every = classified.where("entry").select("anchor").union(uncalled).distinct()
     r = every.join(classified.select("anchor", "container", "leaf"), "anchor")
-    all_leaves = F.min(F.col("leaf").cast("int")).over(W.partitionBy("container")) == 1
-    return r.withColumn("all_leaves", all_leaves).where(~F.col("leaf") | F.col("all_leaves")).select("container", "anchor")
+    all_leaves = r.groupBy(F.col("container").alias("c")).agg(F.min(F.col("leaf").cast("int")).alias("all_leaves")).where("all_leaves = 1")
+    return r.join(all_leaves, F.col("container").eqNullSafe(F.col("c")), "left").where(~F.col("leaf") | F.col("all_leaves").isNotNull()).select("container", "anchor")
 
 
 def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -139,8 +139,9 @@ def column_agg(cells: DataFrame, fn: str, keys: list[str], text: str = "text") -
 
 def until_first_bad(df: DataFrame, table: str, row: str, value: Column, name: str) -> DataFrame:
     """A formula stops at its table's first row without a value: rows before keep theirs, later ones get none."""
-    bad = F.min(F.when(value.isNull(), F.col(row))).over(W.partitionBy(table))
-    return df.withColumn(name, F.when(F.col(row) < F.coalesce(bad, F.lit(1 << 62)), value))
+    bad = df.where(value.isNull()).groupBy(F.col(table).alias("__table")).agg(F.min(row).alias("__bad"))
+    met = df.join(bad, F.col(table).eqNullSafe(F.col("__table")), "left")
+    return met.withColumn(name, F.when(F.col(row) < F.coalesce("__bad", F.lit(1 << 62)), value)).drop("__table", "__bad")
 
 
 def sort_table(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
@@ -171,9 +172,11 @@ def filter_rows(df: DataFrame, query: str) -> DataFrame:
 
 def render_csv(cells: DataFrame) -> DataFrame:
     """(doc, table_id, body): cells of doc, table_id, row, col, text as delimited lines with columns padded to their widest cell."""
-    wide = F.max(F.length("text")).over(W.partitionBy("doc", "table_id", "col"))
-    last = F.max("col").over(W.partitionBy("doc", "table_id"))
-    padded = cells.withColumn("cell", F.when(F.col("col") == last, F.col("text")).otherwise(F.rpad(F.concat("text", F.lit(",")), wide + 1, " ")))
+    wide = F.col("wide")
+    widths = cells.groupBy("doc", "table_id", "col").agg(F.max(F.length("text")).alias("wide"))
+    ends = widths.groupBy("doc", "table_id").agg(F.max("col").alias("last"))
+    last = F.col("last")
+    padded = cells.join(widths, ["doc", "table_id", "col"]).join(ends, ["doc", "table_id"]).withColumn("cell", F.when(F.col("col") == last, F.col("text")).otherwise(F.rpad(F.concat("text", F.lit(",")), wide + 1, " ")))
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "cell"))), lambda x: x["cell"]), " ")
     lines = padded.groupBy("doc", "table_id", "row").agg(line.alias("line"))
     return lines.groupBy("doc", "table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("body"))
@@ -184,7 +187,7 @@ def render_pipe(cells: DataFrame) -> DataFrame:
 
     Pipes are escaped and line ends become blanks; a summary is the row that comes last.
     """
-    clean = lambda c: F.regexp_replace(F.regexp_replace(F.col(c), "\n", " "), r"\|", r"\\\\|")
+    clean = lambda c: F.replace(F.replace(F.col(c), F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("\\|"))
     mark = F.col("align")
     rule = F.when(mark == "center", ":--:").when(mark == "right", "---:").when(mark == "left", ":---").otherwise("---")
     line = lambda cell: F.concat(F.lit("| "), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", cell.alias("cell")))), lambda x: x["cell"]), " | "), F.lit(" |"))
