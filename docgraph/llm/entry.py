@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, minhash, mixing, oracles, quality_cnn, quality_rules, sharding, suffix_dedup, tokens, url_rules
+from . import decontaminate, fim, langid, minhash, mixing, oracles, quality_cnn, quality_rules, reversed_search, sharding, suffix_dedup, tokens, url_rules, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,20 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op11_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reversed_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transform(table(spark, sf_dir, "documents"))
+    restored = F.sha2(fim.restored(F.col("form"), F.col("output")), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), restored.alias("restored_sha256"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,10 +92,19 @@ def queries() -> dict[str, Query]:
         "op8_token_ids": op8_token_ids,
         "op9_url_rules": op9_url_rules,
         "op10_minhash": op10_minhash,
+        "op11_reversed_search": op11_reversed_search,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_warc": op13_warc,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The others depend on hashes, trained models or byte strings that SQL can't express; tests hold them against plain versions."""
-    return {"op5_decontamination": oracles.DECONTAMINATION, "op10_minhash": oracles.NEAR_DUPLICATES}
+    return {
+        "op5_decontamination": oracles.DECONTAMINATION,
+        "op10_minhash": oracles.NEAR_DUPLICATES,
+        "op11_reversed_search": oracles.SEARCH,
+        "op12_fill_in_middle": oracles.FILL_IN_MIDDLE,
+        "op13_warc": oracles.WARC,
+    }
