@@ -65,8 +65,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each record of the mix goes: shard and slot. Of equal records, which gets which slot isn't fixed."""
-    return sharding.assign(docs)
+    """Where each record of the mix goes: shard and slot, in the order in which the mix's files are read, so that copies lie as far apart as the mix has put them."""
+    docs = materialize(docs.withColumn("record", F.monotonically_increasing_id()), "pipeline-mix")
+    return sharding.assign(docs, order="record")
 
 
 STAGES = [

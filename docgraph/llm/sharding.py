@@ -1,6 +1,7 @@
 """Sharding by sampled splitters.
 
-Records are ordered by a key under which equal texts are neighbours. A sample
+Records are ordered by a key under which equal texts are neighbours, or by a
+number that the caller gives, so that an order made before stays. A sample
 in which a document appears in proportion to its size gives quantile
 boundaries, records are partitioned into the ranges between them, and ranges
 that came out overfull are subdivided. The exact bytes of the ranges then cut
@@ -33,16 +34,17 @@ RECORD_BYTES = 16
 COPY_BITS = 20
 
 
-def keyed(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, text_crc32 and the order key: the text's hash, then bits of the document's."""
+def keyed(documents: DataFrame, keep: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32 and the order key: the column ``order``, or the text's hash, then bits of the document's."""
     text = F.coalesce("text", F.lit(""))
     low = F.lit((1 << COPY_BITS) - 1).cast("long")
     copy = F.xxhash64("doc_id", F.lit("copy"))
+    key = F.col(order).cast("long") if order else F.xxhash64(text).bitwiseAND(F.bitwise_not(low)).bitwiseOR(copy.bitwiseAND(low))
     return documents.select(
         "doc_id",
         (F.octet_length(text) + RECORD_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).bitwiseAND(F.bitwise_not(low)).bitwiseOR(copy.bitwiseAND(low)).alias("key"),
+        key.alias("key"),
         copy.alias("copy"), *keep,
     )
 
@@ -64,10 +66,13 @@ def splitters(records: DataFrame, total: int, ranges: int, per_range: int) -> np
     return np.unique(drawn["key"].to_numpy()[np.minimum(at, len(drawn) - 1)])
 
 
-def assign(documents: DataFrame, shards: int = SHARDS, ranges: int | None = None, per_range: int = KEYS_PER_RANGE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot (gapless in the shard), range, part, copy_part, and the columns ``keep`` as they are."""
+def assign(documents: DataFrame, shards: int = SHARDS, ranges: int | None = None, per_range: int = KEYS_PER_RANGE, keep: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot (gapless in the shard), range, part, copy_part, and the columns ``keep`` as they are.
+
+    With ``order``, a column of distinct whole numbers, shards and slots follow it.
+    """
     spark = documents.sparkSession
-    records = materialize(keyed(documents, keep), "shard-records")
+    records = materialize(keyed(documents, keep, order), "shard-records")
     head = records.agg(F.count("*").alias("rows"), F.sum("size").alias("total")).first()
     rows, total = head["rows"], int(head["total"] or 0)
     ranges = ranges or max(FEWEST_RANGES, min(MOST_RANGES, rows // ROWS_PER_RANGE))
@@ -80,11 +85,12 @@ def assign(documents: DataFrame, shards: int = SHARDS, ranges: int | None = None
     ranged = materialize(records.withColumn("range", range_of("key")), "shard-ranges")
     cuts.destroy()
     most = min(MOST_ROWS, max(1000, OVERFULL * rows // ranges))
-    sizes = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", "n", F.ceil(F.col("n") / most).cast("int").alias("parts"))
-    # within an overfull range the parts follow the copy hash, so that even one text's copies are spread
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).withColumn("parts", F.ceil(F.col("n") / most).cast("int"))
+    # within an overfull range the parts follow the copy hash, so that even one text's copies are spread, or a given order
+    along = F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low") + 1.0) * F.col("parts"))
     placed = ranged.join(F.broadcast(sizes), "range").withColumn(
-        "part", F.when(F.col("parts") > 1, F.pmod("copy", F.col("parts"))).otherwise(F.lit(0)).cast("int")
-    )
+        "part", F.when(F.col("parts") > 1, along if order else F.pmod("copy", F.col("parts"))).otherwise(F.lit(0)).cast("int")
+    ).drop("low", "high")
     # rows that repeat one document have one key and one copy hash; they are interchangeable, so any number parts them
     hot = placed.where("parts > 1").groupBy("key", "copy").agg(F.count("*").alias("same")).where(F.col("same") > most // 2)
     hot = materialize(hot.select("key", "copy", F.ceil(F.col("same") / most + 1).cast("int").alias("copy_parts")), "shard-copies")

@@ -61,6 +61,32 @@ def test_mix_is_in_the_order_of_the_schedule(spark, tmp_path):
         assert max(b - a for a, b in zip([-1, *own], [*own, len(out)], strict=True)) < 30
 
 
+def test_shards_keep_the_order_of_the_mix(spark, tmp_path):
+    """Copies that the mix makes of a document lie apart, and the sources of every shard are mixed."""
+    rows = [(i, f"{i} " + " ".join(["w"] * 50), "en", "abc"[0 if i < 60 else 1 if i < 500 else 2], 0) for i in range(1000)]
+    pipeline.mixed(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).write.parquet(str(tmp_path / "mix"))
+    mix = spark.read.parquet(str(tmp_path / "mix"))
+    out = pipeline.sharded(spark, mix, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in mix.collect())
+    line = sorted(out, key=lambda r: (r.shard, r.slot))
+    places = {}
+    for k, r in enumerate(line):
+        places.setdefault(r.doc_id, []).append(k)
+    repeated = [p for p in places.values() if len(p) > 1]
+    assert len(repeated) > 30
+    assert sum(any(b - a == 1 for a, b in zip(p, p[1:], strict=False)) for p in repeated) <= len(repeated) // 10
+    sizes = Counter(r.shard for r in out)
+    assert sorted(sizes) == list(range(40)) and all({r.slot for r in out if r.shard == s} == set(range(n)) for s, n in sizes.items())
+
+
+def test_shards_follow_a_given_order(spark):
+    from docgraph.llm import sharding
+
+    d = spark.range(4000).selectExpr("id AS doc_id", "'the same text' AS text", "if(id < 3000, id, id * 1000000) AS at").repartition(5)
+    out = sorted(sharding.assign(d, shards=8, ranges=16, keep=("at",), order="at").collect(), key=lambda r: (r.shard, r.slot))
+    assert [r.doc_id for r in out] == list(range(4000))
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("tables")
