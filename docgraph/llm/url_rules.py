@@ -1,19 +1,19 @@
 """URL filters by association rules.
 
 A page list of hand-written host and path rules labels the pages it covers.
-Spark's FP-growth mines token combinations of all URLs, with the label on those
-the list blocks; rules "tokens -> block" that pass the support, confidence, lift
-and size limits and hold on several hosts are kept, and of nested ones the
-shorter. Pages the list doesn't cover count as not blocked, as a list of few
-hosts shows too little of what else has a token. Such a page is blocked if a
-mined rule matches: each rule is indexed under its rarest token, so a page meets
-only rules that share it. ``held_out`` measures the rules on hosts that they
-weren't mined from.
+Spark's FP-growth mines token combinations of these pages' URLs with their
+labels; rules "tokens -> block" that pass the limits of support, confidence and
+lift and hold on several hosts are kept. A page that the list doesn't cover is
+unknown, neither allowed nor blocked; but the pages with a rule's tokens must be
+covered to a good part, or the list would say too little of them. Of nested
+rules the shorter stay. An unlisted page is blocked if a mined rule matches:
+each rule is indexed under its rarest token, so a page meets only rules that
+share it. ``held_out`` measures the rules on hosts that they weren't mined from.
 
 Nulls and edge cases: a null url, or one without ``://``, has an empty host and
 path, is covered by no rule and has no tokens, so it is allowed; repeated rows
-each get a row; an empty table or one without blocked pages mines no rule;
-other columns are ignored.
+each get a row; an empty table, one without blocked pages or one where the list
+blocks nearly all that it covers mines no rule; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +29,12 @@ RULES = (
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
     ("block", "net", "/es/"), ("block", "net", "/fr/"),
 )
-#: A mined rule holds for this share of all pages, and the list blocks this share of those with its tokens.
+#: A mined rule holds for this share of the listed pages, and the list blocks this share of those with its tokens.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.95
-#: Times that this share is of the blocked pages' share of all, and hosts whose blocked pages a rule matches, at least.
+#: Times that this share is of the blocked pages' share of the listed, and hosts whose blocked pages a rule matches, at least.
 MIN_LIFT, MIN_HOSTS = 1.5, 3
-#: Most tokens of a rule.
-MAX_TOKENS = 3
+#: Share of all pages with a rule's tokens that the list covers, at least.
+MIN_COVERAGE = 0.25
 BLOCKED = "label=block"
 
 
@@ -63,43 +63,47 @@ def tokens_of(host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(labels, segments), lambda x: F.length(x) > 2))
 
 
-def mine(pages: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_hosts: int = MIN_HOSTS) -> DataFrame:
-    """(rule_id, tokens, confidence, support, lift, hosts) from rows of row, host, tokens and blocked, one for every page, covered by the list or not.
+RULE = "rule_id long, tokens array<string>, confidence double, support double, lift double, hosts long, coverage double"
+
+
+def mine(
+    pages: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_hosts: int = MIN_HOSTS, min_coverage: float = MIN_COVERAGE
+) -> DataFrame:
+    """RULE from rows of row, host, tokens and blocked (null: the list doesn't cover the page).
 
     A token set that is too rare can't reach the support, so tokens are pruned first.
     """
     spark = pages.sparkSession
-    n = pages.count()
-    frequent = pages.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= max(1.0, min_support * n))
+    known = pages.where("blocked IS NOT NULL")
+    head = known.agg(F.count("*").alias("n"), F.avg(F.col("blocked").cast("int")).alias("base")).first()
+    n, base = head["n"], max(head["base"] or 0.0, 1e-12)
+    frequent = known.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= max(1.0, min_support * n))
     kept = materialize(
-        pages.select("row", "blocked", F.explode("tokens").alias("token"))
+        known.select("row", "blocked", F.explode("tokens").alias("token"))
         .join(frequent.select("token"), "token", "left_semi")
         .groupBy("row", "blocked").agg(F.collect_set("token").alias("items"))
         .select(F.when(F.col("blocked"), F.array_append("items", F.lit(BLOCKED))).otherwise(F.col("items")).alias("items")),
         "url-transactions",
     )
     if not kept.limit(1).count():
-        return spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double, lift double, hosts long")
+        return spark.createDataFrame([], RULE)
     # pages whose tokens are all rare are left out of the transactions, not of the support
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, min_support * n / kept.count()), minConfidence=min_confidence).fit(kept)
-    to_block = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED) & (F.size("antecedent") <= MAX_TOKENS))
-    base = pages.agg(F.avg(F.col("blocked").cast("int"))).first()[0]
+    to_block = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED))
     rules = (
-        to_block.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support", (F.col("confidence") / F.lit(max(base or 0.0, 1e-12))).alias("lift"))
+        to_block.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support", (F.col("confidence") / F.lit(base)).alias("lift"))
         .where(F.col("lift") >= min_lift)
         .orderBy(F.desc("support"), F.desc("confidence"), F.array_join("tokens", " "))
     )
     rules = materialize(rules.withColumn("rule_id", F.monotonically_increasing_id()), "url-rules")
-    # what is blocked on few hosts says more of the host than of the tokens
-    blocked = pages.where("blocked").select("row", "host", "tokens")
-    met = matches(blocked, rules, token_counts(pages)).join(blocked.select("row", "host"), "row").groupBy("rule_id").agg(F.countDistinct("host").alias("hosts"))
-    rules = materialize(rules.join(met.where(F.col("hosts") >= min_hosts), "rule_id"), "url-rules-of-hosts")
-    # a rule that another one's tokens imply adds nothing; a rule looks up its own parts of one and two tokens
-    one = F.transform("tokens", lambda x: F.array(x))
-    two = F.flatten(F.transform("tokens", lambda x: F.transform(F.filter("tokens", lambda y: y > x), lambda y: F.array(x, y))))
-    parts = rules.select("rule_id", F.col("tokens").alias("wide"), F.explode(F.concat(one, two)).alias("tokens")).where(F.size("tokens") < F.size("wide"))
-    implied = parts.join(rules.select("tokens"), "tokens", "left_semi")
-    return rules.join(implied.select("rule_id").distinct(), "rule_id", "left_anti")
+    # what is blocked on few hosts says more of the host than of the tokens, and what is mostly uncovered isn't known
+    met = matches(pages.select("row", "tokens"), rules, token_counts(pages)).join(pages.select("row", "host", "blocked"), "row")
+    met = met.groupBy("rule_id").agg(F.countDistinct(F.when(F.col("blocked"), F.col("host"))).alias("hosts"), F.avg(F.col("blocked").isNotNull().cast("int")).alias("coverage"))
+    rules = materialize(rules.join(met.where((F.col("hosts") >= min_hosts) & (F.col("coverage") >= min_coverage)), "rule_id"), "url-rules-of-hosts")
+    # a rule that holds another one's tokens adds nothing: rules are looked up as pages are
+    as_pages = rules.select(F.col("rule_id").alias("row"), "tokens")
+    implied = matches(as_pages, rules, token_counts(rules)).where("row <> rule_id").select(F.col("row").alias("rule_id")).distinct()
+    return rules.join(implied, "rule_id", "left_anti")
 
 
 def token_counts(pages: DataFrame) -> DataFrame:
@@ -122,7 +126,7 @@ def prepared(pages: DataFrame, rules: tuple) -> DataFrame:
 
 
 def labelled(rows: DataFrame) -> DataFrame:
-    return rows.select("row", "host", "tokens", F.col("listed").eqNullSafe("block").alias("blocked"))
+    return rows.select("row", "host", "tokens", (F.col("listed") == "block").alias("blocked"))
 
 
 def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
