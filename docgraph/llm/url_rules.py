@@ -3,7 +3,7 @@
 A page list of hand-written host and path rules labels the pages it covers.
 Spark's FP-growth mines token combinations of these pages' URLs with their
 labels; rules "tokens -> block" that pass the limits of support, confidence and
-lift and hold on several hosts are kept. A page that the list doesn't cover is
+conviction and hold on several hosts are kept. A page that the list doesn't cover is
 unknown, neither allowed nor blocked; but the pages with a rule's tokens must be
 covered to a good part, or the list would say too little of them. Of nested
 rules the shorter stay. An unlisted page is blocked if a mined rule matches:
@@ -31,8 +31,8 @@ RULES = (
 )
 #: A mined rule holds for this share of the listed pages, and the list blocks this share of those with its tokens.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.95
-#: Times that this share is of the blocked pages' share of the listed, and hosts whose blocked pages a rule matches, at least.
-MIN_LIFT, MIN_HOSTS = 1.5, 3
+#: Times that a rule errs less often than "block all" would, with its errors taken as (allowed + 1) / (listed + 2); hosts whose blocked pages it matches.
+MIN_CONVICTION, MIN_HOSTS = 3, 3
 #: Share of all pages with a rule's tokens that the list covers, at least.
 MIN_COVERAGE = 0.25
 BLOCKED = "label=block"
@@ -63,11 +63,11 @@ def tokens_of(host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(labels, segments), lambda x: F.length(x) > 2))
 
 
-RULE = "rule_id long, tokens array<string>, confidence double, support double, lift double, hosts long, coverage double"
+RULE = "rule_id long, tokens array<string>, confidence double, support double, conviction double, hosts long, coverage double"
 
 
 def mine(
-    pages: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_hosts: int = MIN_HOSTS, min_coverage: float = MIN_COVERAGE
+    pages: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_conviction: float = MIN_CONVICTION, min_hosts: int = MIN_HOSTS, min_coverage: float = MIN_COVERAGE
 ) -> DataFrame:
     """RULE from rows of row, host, tokens and blocked (null: the list doesn't cover the page).
 
@@ -76,7 +76,7 @@ def mine(
     spark = pages.sparkSession
     known = pages.where("blocked IS NOT NULL")
     head = known.agg(F.count("*").alias("n"), F.avg(F.col("blocked").cast("int")).alias("base")).first()
-    n, base = head["n"], max(head["base"] or 0.0, 1e-12)
+    n, base = head["n"], head["base"] or 0.0
     frequent = known.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= max(1.0, min_support * n))
     kept = materialize(
         known.select("row", "blocked", F.explode("tokens").alias("token"))
@@ -90,16 +90,16 @@ def mine(
     # pages whose tokens are all rare are left out of the transactions, not of the support
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, min_support * n / kept.count()), minConfidence=min_confidence).fit(kept)
     to_block = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED))
-    rules = (
-        to_block.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support", (F.col("confidence") / F.lit(base)).alias("lift"))
-        .where(F.col("lift") >= min_lift)
-        .orderBy(F.desc("support"), F.desc("confidence"), F.array_join("tokens", " "))
-    )
+    rules = to_block.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").orderBy(F.desc("support"), F.desc("confidence"), F.array_join("tokens", " "))
     rules = materialize(rules.withColumn("rule_id", F.monotonically_increasing_id()), "url-rules")
     # what is blocked on few hosts says more of the host than of the tokens, and what is mostly uncovered isn't known
     met = matches(pages.select("row", "tokens"), rules, token_counts(pages)).join(pages.select("row", "host", "blocked"), "row")
-    met = met.groupBy("rule_id").agg(F.countDistinct(F.when(F.col("blocked"), F.col("host"))).alias("hosts"), F.avg(F.col("blocked").isNotNull().cast("int")).alias("coverage"))
-    rules = materialize(rules.join(met.where((F.col("hosts") >= min_hosts) & (F.col("coverage") >= min_coverage)), "rule_id"), "url-rules-of-hosts")
+    errors = (F.sum((~F.col("blocked")).cast("int")) + 1) / (F.count("blocked") + 2)
+    met = met.groupBy("rule_id").agg(
+        ((1 - F.lit(base)) / errors).alias("conviction"), F.countDistinct(F.when(F.col("blocked"), F.col("host"))).alias("hosts"), F.avg(F.col("blocked").isNotNull().cast("int")).alias("coverage")
+    )
+    good = (F.col("conviction") >= min_conviction) & (F.col("hosts") >= min_hosts) & (F.col("coverage") >= min_coverage)
+    rules = materialize(rules.join(met.where(good), "rule_id"), "url-rules-of-hosts")
     # a rule that holds another one's tokens adds nothing: rules are looked up as pages are
     as_pages = rules.select(F.col("rule_id").alias("row"), "tokens")
     implied = matches(as_pages, rules, token_counts(rules)).where("row <> rule_id").select(F.col("row").alias("rule_id")).distinct()

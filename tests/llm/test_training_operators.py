@@ -389,7 +389,7 @@ def mined_plainly(urls, listed):
             known = [i for i in have if listed[i] is not None]
             blocked = [i for i in have if listed[i] == "block"]
             if len(blocked) >= url_rules.MIN_SUPPORT * n and known and len(blocked) >= url_rules.MIN_CONFIDENCE * len(known) and len(known) >= url_rules.MIN_COVERAGE * len(have):
-                if len(blocked) / len(known) >= url_rules.MIN_LIFT * base and len({tokens[i][0] for i in blocked}) >= url_rules.MIN_HOSTS:
+                if (1 - base) * (len(known) + 2) >= url_rules.MIN_CONVICTION * (len(known) - len(blocked) + 1) and len({tokens[i][0] for i in blocked}) >= url_rules.MIN_HOSTS:
                     found.add(c)
     found = {c for c in found if not any(set(d) < set(c) for d in found)}
     return [any(t.issuperset(c) for c in found) for _, t in tokens]
