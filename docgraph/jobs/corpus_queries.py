@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docgraph.jobs.inputs import read
 from docgraph.jobs.queries import L, query
-from docgraph.operators import corpus, tables
+from docgraph.operators import corpus, graph, tables
 from docgraph.sources.canonical import canonicalize
 from docgraph.sources.scan import scan_corpus
 from docgraph.storage import written
@@ -268,3 +268,46 @@ def g4_rejected_patches(spark, d):
     p = customers(spark, d).where("k % 10 = 0").select("doc", text("c-", F.col("k")).alias("id"), F.lit("gone\n").alias("body"))
     before = written(scan_corpus(m), "scan")
     return corpus.rejected_patches(before, scan_corpus(corpus.apply_patches(m, before, p)))
+
+
+@query(
+    "g7_compare_models",
+    """SELECT 'o' || o_orderkey AS doc, o_orderkey % 4 = 0 AS equal, CAST(CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS BIGINT) AS added, CAST(CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS BIGINT) AS removed,
+  CAST(0 AS BIGINT) AS errors_before, CAST(CASE WHEN o_orderkey % 4 = 2 THEN 1 ELSE 0 END AS BIGINT) AS errors_after, CAST(CASE WHEN o_orderkey % 4 = 3 THEN 1 ELSE 0 END AS BIGINT) AS warnings_before, CAST(0 AS BIGINT) AS warnings_after, o_orderkey % 4 = 2 AS grown FROM orders""",
+)
+def g7_compare_models(spark, d):
+    """Two builds of a corpus: equal but for blank lines, one paragraph changed, worse by an error, and better by a warning with two blocks changed."""
+    k = F.col("o_orderkey")
+    o = read(spark, d, "orders").select(k, F.concat(F.lit("o"), k).alias("doc"), k.cast("string").alias("t"))
+    first = text("# Order {#top}\n\n=== ", F.when(k % 4 == 3, "odd").otherwise("note"), " {#a}\nA\n===\n\nfirst ", F.col("t"), "\n")
+    second = (
+        F.when(k % 4 == 0, text("# Order {#top}\n\n\n=== note {#a}\nA\n===\n\n\n\nfirst ", F.col("t"), "\n\n")).when(k % 4 == 1, text("# Order {#top}\n\n=== note {#a}\nA\n===\n\nsecond ", F.col("t"), "\n"))
+        .when(k % 4 == 2, text("# Order {#top}\n\n=== note {#a}\nA\n\nfirst ", F.col("t"), "\n")).otherwise(text("# Order {#top}\n\n=== note {#a}\nA\n===\n\nother ", F.col("t"), "\n"))
+    )
+    before, after = (written(scan_corpus(o.select("doc", x.alias("text"))), "scan") for x in (first, second))
+    return graph.compare_models(before, after)
+
+
+@query(
+    "c9_verify_corpus",
+    """WITH p AS (SELECT s_suppkey AS k, s_suppkey % 8 AS m FROM supplier), c(place, j) AS (VALUES ('#calls row 1 from', 0), ('#calls row 1 to', 1), ('#called-by row 1 from', 2), ('#called-by row 1 to', 3), ('meta entry', 4), ('meta entry', 5))
+  SELECT 'a/b/s' || k || '.mk' AS doc, place, CASE j WHEN 0 THEN '#f' WHEN 1 THEN CASE m WHEN 0 THEN '' WHEN 1 THEN 'nothing' WHEN 2 THEN '../c/none.mk#f' WHEN 3 THEN '#gone' WHEN 4 THEN '../../../out.mk#f' WHEN 5 THEN 'sub/../s' || k || '.mk#g.member' ELSE 's' || k || '.mk#f' END
+    WHEN 2 THEN './s' || k || '.mk#g' WHEN 3 THEN '#f' WHEN 4 THEN '#f' ELSE CASE WHEN m = 6 THEN 'bare' WHEN m = 7 THEN '#none' ELSE '#g' END END AS cell,
+    CASE WHEN j = 1 THEN CASE m WHEN 0 THEN 'empty cell' WHEN 1 THEN 'no #' WHEN 2 THEN 'missing doc' WHEN 3 THEN 'missing id' WHEN 4 THEN 'missing doc' END WHEN j = 5 AND m = 6 THEN 'no #' WHEN j = 5 AND m = 7 THEN 'missing id' END AS reason FROM p, c""",
+)
+def c9_verify_corpus(spark, d):
+    """A container document a supplier: cells of calls and called-by and its entries, taken relative to the document, with each fault planted."""
+    k = F.col("s_suppkey")
+    m = k % 8
+    to = (
+        F.when(m == 0, "").when(m == 1, "nothing").when(m == 2, "../c/none.mk#f").when(m == 3, "#gone").when(m == 4, "../../../out.mk#f")
+        .when(m == 5, text("sub/../s", k, ".mk#g.member")).otherwise(text("s", k, ".mk#f"))
+    )
+    more = F.when(m == 6, "bare").when(m == 7, "#none").otherwise("#g")
+    body = text(
+        "=== meta\nentry = #f  ", more, "\n===\n\n=== code {#f}\n===\n\n=== code {#g}\n===\n\n=== table {#calls format=csv header=1}\nfrom,to,kind,confidence\n#f,", to, ",call,\n===\n\n",
+        "=== table {#called-by format=csv header=1}\nfrom,to,kind,site\n./s", k, ".mk#g,#f,call,\n===\n",
+    )
+    docs = read(spark, d, "supplier").select(text("a/b/s", k, ".mk").alias("doc"), body.alias("text"))
+    s = written(scan_corpus(docs), "scan")
+    return graph.verify_edges(graph.reference_cells(s), corpus.list_ids(s), docs)

@@ -71,16 +71,35 @@ def a9_changed_rows(spark, d):
     return exchange.changed_rows(cur, prior).select("doc", "p_name")
 
 
-@query("a10_container_tables", f"WITH {EDGES} SELECT s.container, count(*) FILTER (e.\"to\" IS NOT NULL) AS calls, count(DISTINCT e.\"from\" || ' ' || e.to_text) AS unresolved FROM edges e JOIN symbols s ON s.anchor = e.\"from\" GROUP BY 1")
+@query(
+    "a10_container_tables",
+    f"""WITH {EDGES}, m AS (SELECT DISTINCT member FROM impls) SELECT 'calls' AS tbl, s.container, l.kind, CASE WHEN l.kind = 'call' AND m.member IS NOT NULL THEN 'medium' ELSE '' END AS detail, count(*) AS n FROM links l JOIN symbols s ON s.anchor = l."from" LEFT JOIN m ON m.member = l."to" GROUP BY 1, 2, 3, 4
+  UNION ALL SELECT 'called_by', s.container, l.kind, site_file || ':' || site_line, count(*) FROM links l JOIN symbols s ON s.anchor = l."to" GROUP BY 1, 2, 3, 4
+  UNION ALL SELECT 'unresolved', container, '', '', count(*) FROM (SELECT DISTINCT s.container, e."from", e.to_text FROM edges e JOIN symbols s ON s.anchor = e."from" WHERE e.kind = 'calls' AND e."to" IS NULL) GROUP BY 1, 2
+  UNION ALL SELECT 'modules', container, '', count(*) FILTER (entry) || '/' || count(*) FILTER (test), count(*) FROM classified GROUP BY 1, 2
+  UNION ALL SELECT 'module_edges', a.container, '', b.container, count(*) FROM edges e JOIN symbols a ON a.anchor = e."from" JOIN symbols b ON b.anchor = e."to" WHERE e.kind = 'calls' AND a.container <> b.container GROUP BY 1, 2, 4""",
+)
 def a10_container_tables(spark, d):
-    """Container tables written to the shared folder by container, and counted from there."""
+    """Container tables, modules and module edges written to the shared folder, and counted from there."""
     import uuid
 
     path = f"{shared_dir(spark)}/containers-{uuid.uuid4().hex}"
-    exchange.write_container_tables(edges(spark, d), symbols(spark, d), path)
-    n = lambda t: spark.read.parquet(f"{path}/{t}").groupBy("container").agg(F.count("*").alias(t))
-    j = n("calls").join(n("unresolved"), "container", "full_outer")
-    return j.select("container", F.coalesce("calls", F.lit(0)).cast(L).alias("calls"), F.coalesce("unresolved", F.lit(0)).cast(L).alias("unresolved"))
+    s, e = symbols(spark, d), written(edges(spark, d), "edges")
+    exchange.write_container_tables(e, s, path, graph.classify(s, e))
+    empty = F.lit("")
+
+    def table(name: str, container: str = "container", kind=empty, detail=empty, n=None):
+        t = spark.read.parquet(f"{path}/{name}")
+        t = t.select(F.lit(name).alias("tbl"), F.col(container).alias("container"), kind.alias("kind"), detail.alias("detail"), (F.lit(1) if n is None else F.col(n)).alias("n"))
+        return t.groupBy("tbl", "container", "kind", "detail").agg(F.sum("n").alias("n"))
+
+    kind = F.col("kind")
+    parts = [table("calls", kind=kind, detail=F.col("confidence")), table("called_by", kind=kind, detail=F.col("site")), table("unresolved")]
+    parts += [table("modules", detail=F.concat("entries", F.lit("/"), "tests"), n="methods"), table("module_edges", "a", detail=F.col("b"), n="calls")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query(
@@ -187,10 +206,10 @@ def f5_order_exchange(spark, d):
     return s.join(F.broadcast(first), "part").select("anchor", (F.col("before") + F.row_number().over(W.partitionBy("part").orderBy("anchor"))).cast(L).alias("place"))
 
 
-@query("f6_cap_slice", f"WITH {EDGES}, {ALL_ROOTS}, {_levels(6, 5)}")
+@query("f6_cap_slice", f"SELECT root, node, depth, total, total > 5 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS k, count(*) OVER (PARTITION BY root) AS total FROM (WITH {EDGES}, {ALL_ROOTS}, {_levels(6, 4000)})) WHERE k <= 5")
 def f6_cap_slice(spark, d):
-    """Slices of at most five nodes: the cap is the feature."""
-    return walk.walk(edges(spark, d), _every_root(spark, d), cap=5).withColumn("depth", F.col("depth").cast(L))
+    """The first five nodes of every root's slice, and how many there were: the cap is the feature."""
+    return walk.cap_slice(walk.walk(edges(spark, d), _every_root(spark, d)), 5).withColumn("depth", F.col("depth").cast(L))
 
 
 @query("g2_module_roots", "SELECT DISTINCT p_type || '/' || p_brand AS root FROM part UNION SELECT DISTINCT n_name FROM nation UNION SELECT r_name FROM region")
@@ -199,8 +218,8 @@ def g2_module_roots(spark, d):
     return exchange.module_roots(m, read(spark, d, "nation").select(F.col("n_name").alias("root")), read(spark, d, "region").select(F.col("r_name").alias("root")))
 
 
-@query("g7_compare_models", f"WITH {SYMBOLS} SELECT anchor, 'added' AS change FROM symbols WHERE id % 9 = 0 UNION ALL SELECT anchor, 'removed' FROM symbols WHERE id % 9 = 1")
-def g7_compare_models(spark, d):
+@query("g7_compare_symbols", f"WITH {SYMBOLS} SELECT anchor, 'added' AS change FROM symbols WHERE id % 9 = 0 UNION ALL SELECT anchor, 'removed' FROM symbols WHERE id % 9 = 1")
+def g7_compare_symbols(spark, d):
     s = symbols(spark, d).select("anchor", "id")
     return graph.diff_edges(s.where("id % 9 <> 0").select("anchor"), s.where("id % 9 <> 1").select("anchor"))
 
@@ -239,11 +258,11 @@ def h18s_source_markers(spark, d):
 @query("i4_hide_accessors", f"WITH {EDGES}, {ALL_ROOTS}, ok AS (SELECT e.* FROM e JOIN symbols s ON s.anchor = e.\"to\" WHERE s.name NOT LIKE 'small%'), {_levels(6, 4000, 'ok')}")
 def i4_hide_accessors(spark, d):
     """A walk from every root that doesn't cross hidden symbols (here those named small...)."""
-    shown, _ = walk.hide_accessors(edges(spark, d), symbols(spark, d).where(F.col("name").startswith("small")))
+    shown, _ = walk.hide_accessors(graph.links(edges(spark, d)), symbols(spark, d).where(F.col("name").startswith("small")))
     return walk.walk(shown, _every_root(spark, d)).withColumn("depth", F.col("depth").cast(L))
 
 
-@query("i4_hidden_counts", f"WITH {EDGES} SELECT e.\"from\", count(*) AS hidden FROM edges e JOIN symbols s ON s.anchor = e.\"to\" WHERE s.name LIKE 'small%' GROUP BY 1")
+@query("i4_hidden_counts", f"WITH {EDGES} SELECT e.\"from\", count(*) AS hidden FROM links e JOIN symbols s ON s.anchor = e.\"to\" WHERE s.name LIKE 'small%' GROUP BY 1")
 def i4_hidden_counts(spark, d):
     """How many edges each caller has to hidden symbols."""
-    return walk.hide_accessors(edges(spark, d), symbols(spark, d).where(F.col("name").startswith("small")))[1]
+    return walk.hide_accessors(graph.links(edges(spark, d)), symbols(spark, d).where(F.col("name").startswith("small")))[1]

@@ -289,11 +289,6 @@ def d7_degrees(spark, d):
     return graph.degrees(edges(spark, d), symbols(spark, d))
 
 
-@query("d8_classify_symbols", f"WITH {EDGES} SELECT anchor, leaf, leaf AND regexp_matches(name, '^(get|set|is)([^a-z]|$)') AS accessor, test, entry FROM classified")
-def d8_classify_symbols(spark, d):
-    return graph.classify(symbols(spark, d), edges(spark, d)).select("anchor", "leaf", "accessor", "test", "entry")
-
-
 @query("d9_module_index", f"WITH {EDGES} SELECT container, count(*) AS methods, count(*) FILTER (entry) AS entries, count(*) FILTER (test) AS tests FROM classified GROUP BY 1")
 def d9_module_index(spark, d):
     return graph.module_index(graph.classify(symbols(spark, d), edges(spark, d)))
@@ -307,9 +302,35 @@ def d10_module_edges(spark, d):
     return graph.module_edges(edges(spark, d), symbols(spark, d))
 
 
-@query("d11_rollup_modules", f"WITH {EDGES}, {MODULE_EDGES} SELECT substr(a, 1, 7) AS a, substr(b, 1, 7) AS b, CAST(sum(calls) AS BIGINT) AS calls FROM medges WHERE substr(a, 1, 7) <> substr(b, 1, 7) GROUP BY 1, 2")
+MODS = """mods AS (SELECT anchor, path, split_part(path, '/', 1) AS seg, start FROM (SELECT 'p:' || p_partkey AS anchor, CASE WHEN p_size = 50 THEN 'solo' WHEN p_size = 49 THEN 'economy' ELSE lower(replace(p_type, ' ', '/')) END AS path, p_size = 1 AND p_retailprice > 1500 AS start FROM part)),
+tops AS (SELECT seg, CASE WHEN count(DISTINCT path) = 1 AND bool_or(path = seg) THEN seg ELSE 'g:' || seg END AS key, bool_or(start) AS start FROM mods GROUP BY 1),
+pm AS (SELECT a.path AS a, b.path AS b, a.seg AS sa, b.seg AS sb, count(*) AS calls FROM edges e JOIN mods a ON a.anchor = e."from" JOIN mods b ON b.anchor = e."to" WHERE e.kind = 'calls' AND a.path <> b.path GROUP BY 1, 2, 3, 4),
+shown AS (SELECT '' AS view, x.key AS "from", y.key AS "to", calls FROM pm JOIN tops x ON x.seg = sa JOIN tops y ON y.seg = sb UNION ALL SELECT sa, a, CASE WHEN sb = sa THEN b ELSE 'x:' || sb END, calls FROM pm UNION ALL SELECT sb, 'x:' || sa, b, calls FROM pm WHERE sa <> sb),
+rolled AS (SELECT view, "from", "to", CAST(sum(calls) AS BIGINT) AS calls FROM shown WHERE "from" <> "to" GROUP BY 1, 2, 3),
+nodes AS (SELECT '' AS view, key AS node, seg AS label, false AS external, start FROM tops UNION ALL SELECT seg, path, CASE WHEN path = seg THEN seg ELSE substr(path, length(seg) + 2) END, false, bool_or(start) FROM mods GROUP BY seg, path
+  UNION ALL SELECT DISTINCT view, node, substr(node, 3), true, false FROM (SELECT view, "from" AS node FROM rolled UNION ALL SELECT view, "to" FROM rolled) WHERE view <> '' AND node LIKE 'x:%'),
+rooted AS (SELECT *, start OR (NOT external AND NOT EXISTS (SELECT 1 FROM rolled r WHERE r.view = nodes.view AND r."to" = nodes.node)) AS own FROM nodes)"""
+
+
+def _modules(spark, d):
+    """Part types as a tree of modules; sizes 50 and 49 lie in a module that is all of its segment, and in one beside others of it."""
+    p, size = read(spark, d, "part"), F.col("p_size")
+    path = F.when(size == 50, "solo").when(size == 49, "economy").otherwise(F.lower(F.replace("p_type", F.lit(" "), F.lit("/"))))
+    own = p.select(F.concat(F.lit("p:"), "p_partkey").alias("anchor"), path.alias("container"), ((size == 1) & (F.col("p_retailprice") > 1500)).alias("start"))
+    modules = own.groupBy(F.lit("r").alias("repo"), F.col("container").alias("path")).agg(F.max("start").alias("start"))
+    return graph.rollup_modules(modules, graph.module_edges(edges(spark, d), own).withColumn("repo", F.lit("r")))
+
+
+@query("d11_rollup_modules", f"WITH {EDGES}, {MODS} SELECT view, \"from\", \"to\", calls FROM rolled")
 def d11_rollup_modules(spark, d):
-    return graph.rollup_modules(graph.module_edges(edges(spark, d), symbols(spark, d)), F.substring("a", 1, 7), F.substring("b", 1, 7))
+    """Module edges of both tiers."""
+    return _modules(spark, d)[1].drop("repo")
+
+
+@query("d11_rollup_nodes", f"WITH {EDGES}, {MODS} SELECT view, node, label, external, start, own OR NOT bool_or(own) OVER (PARTITION BY view) AS root FROM rooted")
+def d11_rollup_nodes(spark, d):
+    """Modules of both tiers, stubs of other segments, and roots."""
+    return _modules(spark, d)[0].drop("repo")
 
 
 @query("d12_unresolved_by_symbol", f"WITH {EDGES} SELECT DISTINCT \"from\", to_text FROM edges WHERE \"to\" IS NULL")
@@ -415,7 +436,7 @@ def d15_detect_languages(spark, d):
 
 @query(
     "g5_roots_of",
-    f"""WITH {EDGES}, u AS (SELECT * FROM classified WHERE entry OR anchor NOT IN (SELECT "to" FROM edges WHERE kind = 'calls' AND "to" IS NOT NULL)),
+    f"""WITH {EDGES}, u AS (SELECT * FROM classified WHERE entry OR anchor NOT IN (SELECT "to" FROM links)),
   a AS (SELECT *, bool_and(leaf) OVER (PARTITION BY container) AS all_leaves FROM u) SELECT container, anchor FROM a WHERE NOT leaf OR all_leaves""",
 )
 def g5_roots_of(spark, d):
@@ -423,6 +444,18 @@ def g5_roots_of(spark, d):
     return graph.roots_of(graph.classify(s, e), e)
 
 
+@query(
+    "g6_connected_roots",
+    f"""WITH {EDGES}, s AS (SELECT s.anchor, s.container AS slice FROM symbols s), t AS (SELECT s.slice, s.anchor, EXISTS (SELECT 1 FROM links l JOIN s a ON a.anchor = l."from" WHERE a.slice = s.slice AND s.slice < 'Brand#3' AND s.anchor IN (l."from", l."to")) AS touched FROM s WHERE s.anchor LIKE '%7'),
+  m AS (SELECT *, bool_or(touched) OVER (PARTITION BY slice) AS hit FROM t) SELECT slice, anchor FROM m WHERE touched OR NOT hit""",
+)
+def g6_connected_roots(spark, d):
+    """A slice a container, of the calls of its symbols; containers after Brand#3 have no calls, so all their roots stay."""
+    s = symbols(spark, d).select("anchor", F.col("container").alias("slice"))
+    calls = graph.links(edges(spark, d)).join(s.select(F.col("anchor").alias("from"), "slice"), "from").where("slice < 'Brand#3'")
+    return graph.connected_roots(s.where(F.col("anchor").endswith("7")), calls)
+
+
 @query("g6_isolated", f"WITH {EDGES} SELECT anchor FROM symbols WHERE anchor NOT IN (SELECT \"from\" FROM edges) AND anchor NOT IN (SELECT \"to\" FROM edges WHERE \"to\" IS NOT NULL)")
 def g6_isolated(spark, d):
     return graph.isolated(symbols(spark, d).select("anchor"), edges(spark, d))
@@ -487,6 +520,19 @@ def c12_entry_hints(spark, d):
     return graph.entry_hints(s, _hints(s))
 
 
+@query(
+    "d8_classify_symbols",
+    f"""WITH {EDGES}, {HINTS}, named AS (SELECT c.*, CASE WHEN s.id % 5 = 0 THEN 'get' || c.name WHEN s.id % 5 = 1 THEN 'is.' || c.name ELSE c.name END AS n FROM classified c JOIN symbols s USING (anchor))
+  SELECT anchor, leaf, leaf AND regexp_matches(n, '^(get|set|is)([^a-z]|$)') AS accessor, test, entry OR anchor IN (SELECT anchor FROM hit WHERE anchor IS NOT NULL) AS entry FROM named""",
+)
+def d8_classify_symbols(spark, d):
+    """Calls to members reach their implementations, hints mark program starts; some symbols are named as accessors are."""
+    s = symbols(spark, d)
+    starts, _ = graph.app_entries(s, _hints(s))
+    named = s.withColumn("name", F.when(F.col("id") % 5 == 0, F.concat(F.lit("get"), "name")).when(F.col("id") % 5 == 1, F.concat(F.lit("is."), "name")).otherwise(F.col("name")))
+    return graph.classify(named, edges(spark, d), starts).select("anchor", "leaf", "accessor", "test", "entry")
+
+
 @query(
     "d8b_app_entries",
     f"""WITH {SYMBOLS}, {HINTS}, m AS (SELECT file, anchor, via FROM hit WHERE anchor IS NOT NULL) SELECT file, anchor, min(via) AS via FROM m GROUP BY 1, 2
@@ -501,12 +547,20 @@ def d8b_app_entries(spark, d):
 
 @query(
     "c13_who_calls",
-    f"""WITH {EDGES}, k AS (SELECT 'p:' || (c_custkey * 3) AS anchor FROM customer) SELECT k.anchor, s.anchor IS NOT NULL AS found, e."from" AS caller, count(*) AS n
-  FROM k LEFT JOIN symbols s ON s.anchor = k.anchor LEFT JOIN edges e ON e.kind = 'calls' AND e."to" = k.anchor GROUP BY 1, 2, 3""",
+    f"""WITH {EDGES}, k AS (SELECT 'p:' || (c_custkey * 3) AS anchor FROM customer) SELECT k.anchor, s.anchor IS NOT NULL AS found, e."from" AS caller, e.kind, e.site_file || ':' || e.site_line AS site, count(*) AS n
+  FROM k LEFT JOIN symbols s ON s.anchor = k.anchor LEFT JOIN links e ON e."to" = k.anchor GROUP BY 1, 2, 3, 4, 5""",
 )
 def c13_who_calls(spark, d):
+    """Callers of many symbols at once, with the place of each call; some symbols don't exist."""
+    k = read(spark, d, "customer").select(F.concat(F.lit("p:"), F.col("c_custkey") * 3).alias("anchor"))
+    site = F.concat("site.file", F.lit(":"), "site.line").alias("site")
+    return graph.who_calls(k, symbols(spark, d), edges(spark, d)).groupBy("anchor", "found", "caller", "kind", site).agg(F.count("*").alias("n"))
+
+
+@query("c13_open_symbol", f"WITH {SYMBOLS}, k AS (SELECT 'p:' || (c_custkey * 3) AS anchor FROM customer) SELECT k.anchor, s.name, s.file, s.line_start, s.anchor IS NOT NULL AS found FROM k LEFT JOIN symbols s ON s.anchor = k.anchor")
+def c13_open_symbol(spark, d):
     k = read(spark, d, "customer").select(F.concat(F.lit("p:"), F.col("c_custkey") * 3).alias("anchor"))
-    return graph.who_calls(k, symbols(spark, d), edges(spark, d)).groupBy("anchor", "found", "caller").agg(F.count("*").alias("n"))
+    return graph.open_symbol(k, symbols(spark, d)).select("anchor", "name", "file", "line_start", "found")
 
 
 @query(
@@ -614,8 +668,8 @@ def _roots(spark, d):
     return read(spark, d, "part").where("p_size = 7").select(F.concat(F.lit("p:"), F.col("p_partkey")).alias("root"))
 
 
-ALL_ROOTS = """calledc AS (SELECT DISTINCT "to" AS anchor FROM edges WHERE kind = 'calls' AND "to" IS NOT NULL), candidates AS (SELECT c.* FROM classified c LEFT JOIN calledc t USING (anchor) WHERE c.entry OR t.anchor IS NULL),
-every AS (SELECT *, bool_and(leaf) OVER (PARTITION BY container) AS all_leaves FROM candidates), roots AS (SELECT anchor AS root FROM every WHERE NOT leaf OR all_leaves), e AS (SELECT DISTINCT "from", "to" FROM edges WHERE "to" IS NOT NULL)"""
+ALL_ROOTS = """calledc AS (SELECT DISTINCT "to" AS anchor FROM links), candidates AS (SELECT c.* FROM classified c LEFT JOIN calledc t USING (anchor) WHERE c.entry OR t.anchor IS NULL),
+every AS (SELECT *, bool_and(leaf) OVER (PARTITION BY container) AS all_leaves FROM candidates), roots AS (SELECT anchor AS root FROM every WHERE NOT leaf OR all_leaves), e AS (SELECT DISTINCT "from", "to" FROM links)"""
 
 
 def _levels(depth: int, cap: int, e: str = "e") -> str:
@@ -633,15 +687,21 @@ def i1_callees(spark, d):
     return walk.walk(edges(spark, d), _every_root(spark, d)).withColumn("depth", F.col("depth").cast(L))
 
 
-@query("i2_callers")
+@query(
+    "i2_callers",
+    f"""WITH RECURSIVE {EDGES}, roots AS (SELECT 'p:' || (s_suppkey * 5) AS root FROM supplier), e AS (SELECT DISTINCT "from", "to" FROM links),
+  w(root, node, depth) USING KEY (root, node) AS (SELECT root, root, 0 FROM roots UNION SELECT w.root, e."from", min(w.depth) + 1 FROM w JOIN e ON e."to" = w.node LEFT JOIN recurring.w AS k ON k.root = w.root AND k.node = e."from" WHERE k.root IS NULL AND w.depth < 99 GROUP BY 1, 2),
+  r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS nr FROM w) SELECT root, node, CAST(depth AS BIGINT) AS depth FROM r WHERE nr <= 4000""",
+)
 def i2_callers(spark, d):
-    """Of every symbol (an uncalled one has no callers), with the operator's own depth and cap."""
-    return walk.callers(edges(spark, d), symbols(spark, d).select(F.col("anchor").alias("root"))).withColumn("depth", F.col("depth").cast(L))
+    """Of the symbols asked for, one a supplier, with the operator's own depth and cap; a symbol that doesn't exist has no callers."""
+    asked = read(spark, d, "supplier").select(F.concat(F.lit("p:"), F.col("s_suppkey") * 5).alias("root"))
+    return walk.callers(edges(spark, d), asked).withColumn("depth", F.col("depth").cast(L))
 
 
 @query(
     "i5_impact",
-    f"""WITH RECURSIVE {EDGES}, {ROOTS}, w AS (SELECT root AS node FROM roots UNION SELECT e."from" FROM w JOIN edges e ON e."to" = w.node) SELECT node FROM w""",
+    f"""WITH RECURSIVE {EDGES}, {ROOTS}, w AS (SELECT root AS node FROM roots UNION SELECT e."from" FROM w JOIN links e ON e."to" = w.node) SELECT node FROM w""",
 )
 def i5_impact(spark, d):
     return walk.impact(edges(spark, d), _roots(spark, d))

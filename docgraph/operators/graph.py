@@ -61,40 +61,69 @@ def resolve_edges(raw: DataFrame, symbols: DataFrame) -> DataFrame:
     e = raw.withColumn("kind", map_kind(F.col("kind"))).where("kind IS NOT NULL")
     e = e.join(known.withColumnRenamed("anchor", "from"), "from", "left_semi")
     e = e.join(known.select(F.col("anchor").alias("target"), F.lit(True).alias("known")), "target", "left")
+    more = [c for c in raw.columns if c not in ("kind", "from", "target")]
     return e.select(
         "kind", "from", F.when(F.col("known"), F.col("target")).alias("to"),
-        F.when(F.col("known").isNull(), F.regexp_extract("target", r"([^/]*)$", 1)).alias("to_text"),
+        F.when(F.col("known").isNull(), F.regexp_extract("target", r"([^/]*)$", 1)).alias("to_text"), *more,
     )
 
 
 def dispatch(edges: DataFrame, impls: DataFrame) -> DataFrame:
-    """A call to an interface member gets its implementations (member, impl) as candidates and confidence medium."""
+    """A call to an interface member gets its implementations (member, impl) as candidates and confidence medium.
+
+    Edges without a target, often most of them, take no part in the join.
+    """
     found = impls.groupBy(F.col("member").alias("to")).agg(F.sort_array(F.collect_set("impl")).alias("candidates"))
-    return edges.join(found, "to", "left").withColumn("confidence", F.when(F.col("candidates").isNotNull(), "medium").otherwise(F.lit("high")))
+    met = edges.where("to IS NOT NULL").join(found, "to", "left").unionByName(edges.where("to IS NULL"), allowMissingColumns=True)
+    return met.withColumn("confidence", F.when(F.col("candidates").isNotNull(), "medium").otherwise(F.lit("high")))
+
+
+def links(edges: DataFrame) -> DataFrame:
+    """(from, to, kind) and the call's ``site`` and ``confidence``, if there: one table of what a call may reach.
+
+    A resolved call is a row of kind ``call``; each of its candidates is one of
+    kind ``candidate``. Other kinds of edges and unresolved calls have none. A
+    frame of (from, to) alone, or links themselves, are taken as they are.
+    """
+    keep = [c for c in ("site", "confidence") if c in edges.columns]
+    if "kind" not in edges.columns:
+        return edges.where("to IS NOT NULL").select("from", "to", F.lit("call").alias("kind"), *keep)
+    calls = edges.where("to IS NOT NULL AND kind IN ('calls', 'call', 'candidate')")
+    if "candidates" not in edges.columns:
+        return calls.select("from", "to", F.when(F.col("kind") == "candidate", "candidate").otherwise("call").alias("kind"), *keep)
+    end = lambda to, kind: F.struct(to.alias("to"), F.lit(kind).alias("kind"))
+    ends = F.concat(F.array(end(F.col("to"), "call")), F.transform(F.coalesce("candidates", F.array().cast("array<string>")), lambda c: end(c, "candidate")))
+    return calls.select("from", *keep, F.inline(ends)).select("from", "to", "kind", *keep)
 
 
 def degrees(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """anchor, out_degree (unresolved calls included), in_degree."""
+    """anchor, out_degree (calls, unresolved ones included), in_degree (calls and candidates)."""
     out = edges.where("kind = 'calls'").groupBy(F.col("from").alias("anchor")).agg(F.count("*").alias("out_degree"))
-    into = edges.where("kind = 'calls' AND to IS NOT NULL").groupBy(F.col("to").alias("anchor")).agg(F.count("*").alias("in_degree"))
+    into = links(edges).groupBy(F.col("to").alias("anchor")).agg(F.count("*").alias("in_degree"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return symbols.select("anchor").join(out, "anchor", "left").join(into, "anchor", "left").select("anchor", zero("out_degree"), zero("in_degree"))
 
 
-def classify(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """anchor with the flags leaf, accessor, test and entry (called from another container, or a program start)."""
+def classify(symbols: DataFrame, edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """anchor with the flags leaf, accessor, test and entry (called from another container, be it as a candidate, or a program start).
+
+    ``starts`` (anchor) are the program's starts as ``app_entries`` finds them;
+    without it those are the symbols named main. Only functions and tests are leaves.
+    """
     where = symbols.select("anchor", "container")
-    calls = edges.where("kind = 'calls' AND to IS NOT NULL")
     crossing = (
-        calls.join(where.select(F.col("anchor").alias("from"), F.col("container").alias("a")), "from")
+        links(edges).join(where.select(F.col("anchor").alias("from"), F.col("container").alias("a")), "from")
         .join(where.select(F.col("anchor").alias("to"), F.col("container").alias("b")), "to")
         .groupBy(F.col("to").alias("anchor")).agg(F.max((F.col("a") != F.col("b")).cast("int")).alias("crossed"))
     )
-    d = symbols.join(degrees(edges, symbols), "anchor").join(crossing, "anchor", "left")
-    leaf = (F.col("out_degree") == 0) & (F.col("in_degree") >= 1)
+    if starts is None:
+        starts = symbols.where("name = 'main'")
+    starts = starts.select("anchor", F.lit(True).alias("starts")).where("anchor IS NOT NULL").distinct()
+    d = symbols.join(degrees(edges, symbols), "anchor").join(crossing, "anchor", "left").join(starts, "anchor", "left")
+    leaf = F.coalesce(F.col("kind").isin("Function", "Test"), F.lit(False)) & (F.col("out_degree") == 0) & (F.col("in_degree") >= 1)
     return d.select(
         "anchor", "container", leaf.alias("leaf"), (leaf & F.col("name").rlike(ACCESSOR)).alias("accessor"), (F.col("kind") == "Test").alias("test"),
-        ((F.coalesce("crossed", F.lit(0)) == 1) | (F.col("name") == "main")).alias("entry"), "out_degree", "in_degree",
+        ((F.coalesce("crossed", F.lit(0)) == 1) | F.col("starts").isNotNull()).alias("entry"), "out_degree", "in_degree",
     )
 
 
@@ -114,9 +143,48 @@ def module_edges(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return ends.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("calls"))
 
 
-def rollup_modules(medges: DataFrame, top: Column, other: Column) -> DataFrame:
-    """Module edges by first path segment; ``top`` and ``other`` give those of a and b."""
-    return medges.groupBy(top.alias("a"), other.alias("b")).agg(F.sum("calls").alias("calls")).where("a <> b")
+#: Key of a first segment that holds several modules, and of one seen from another.
+GROUP, OUTSIDE = "g:", "x:"
+
+
+def rollup_modules(modules: DataFrame, medges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A module overview in two tiers: (nodes, edges) of modules (repo, path, start) and their edges (repo, a, b, calls).
+
+    View '' has a node for each first segment of the paths (a module that is all
+    of its segment stands for itself); the view of a segment has its modules and,
+    for what calls cross its border, a stub for each other segment. An edge is
+    exploded to the views that show it and summed up once. Nodes are (repo, view,
+    node, label, external, start, root): roots hold a program start or have no
+    edge into them; a view without such a node has all of them as roots.
+    """
+    seg = lambda p: F.substring_index(p, "/", 1)
+    m = modules.select("repo", "path", F.coalesce("start", F.lit(False)).alias("start"), seg("path").alias("seg")).distinct()
+    tops = m.groupBy("repo", "seg").agg(F.count("*").alias("n"), F.max((F.col("path") == F.col("seg")).cast("int")).alias("whole"), F.max("start").alias("start"))
+    tops = tops.withColumn("key", F.when((F.col("n") == 1) & (F.col("whole") == 1), F.col("seg")).otherwise(F.concat(F.lit(GROUP), "seg")))
+    key_of = lambda end: tops.select("repo", F.col("seg").alias(f"{end}_seg"), F.col("key").alias(f"{end}_key"))
+    e = medges.select("repo", "a", "b", "calls", seg("a").alias("a_seg"), seg("b").alias("b_seg")).join(key_of("a"), ["repo", "a_seg"]).join(key_of("b"), ["repo", "b_seg"])
+    shown = lambda view, end: F.when(F.col(f"{end}_seg") == F.col(view), F.col(end)).otherwise(F.concat(F.lit(OUTSIDE), f"{end}_seg"))
+    view = lambda view, a, b: F.struct(view.alias("view"), a.alias("from"), b.alias("to"))
+    views = F.array_distinct(F.array(view(F.lit(""), F.col("a_key"), F.col("b_key")), *[view(F.col(v), shown(v, "a"), shown(v, "b")) for v in ("a_seg", "b_seg")]))
+    edges = e.select("repo", F.inline(views), "calls").where("from <> to").groupBy("repo", "view", "from", "to").agg(F.sum("calls").alias("calls"))
+    nodes = tops.select("repo", F.lit("").alias("view"), F.col("key").alias("node"), F.col("seg").alias("label"), F.lit(False).alias("external"), "start")
+    inner = F.when(F.col("path") == F.col("seg"), F.col("seg")).otherwise(F.expr("substring(path, length(seg) + 2)"))
+    nodes = nodes.unionByName(m.select("repo", F.col("seg").alias("view"), F.col("path").alias("node"), inner.alias("label"), F.lit(False).alias("external"), "start"))
+    ends = edges.select("repo", "view", F.col("from").alias("node")).union(edges.select("repo", "view", "to")).where((F.col("view") != "") & F.col("node").startswith(OUTSIDE)).distinct()
+    nodes = nodes.unionByName(ends.select("repo", "view", "node", F.expr(f"substring(node, {len(OUTSIDE) + 1})").alias("label"), F.lit(True).alias("external"), F.lit(False).alias("start")))
+    called = edges.select("repo", "view", F.col("to").alias("node"), F.lit(True).alias("called")).distinct()
+    nodes = nodes.join(called, ["repo", "view", "node"], "left").withColumn("root", F.col("start") | (F.col("called").isNull() & ~F.col("external")))
+    some = nodes.groupBy("repo", "view").agg(F.max("root").alias("some"))
+    nodes = nodes.join(some, ["repo", "view"]).select("repo", "view", "node", "label", "external", "start", (F.col("root") | ~F.col("some")).alias("root"))
+    return nodes, edges
+
+
+def home_view(modules: DataFrame) -> DataFrame:
+    """(repo, view): the view a repository opens with, that of its only first segment where there is one with several modules, else ''."""
+    seg = F.substring_index("path", "/", 1)
+    m = modules.select("repo", "path").distinct().groupBy("repo").agg(F.count_distinct(seg).alias("n"), F.min(seg).alias("seg"), F.count("*").alias("modules"), F.min("path").alias("path"))
+    alone = (F.col("modules") == 1) & (F.col("path") == F.col("seg"))
+    return m.select("repo", F.when((F.col("n") == 1) & ~alone, F.col("seg")).otherwise("").alias("view"))
 
 
 def unresolved_by_symbol(edges: DataFrame) -> DataFrame:
@@ -143,15 +211,45 @@ def flow_criticality(flows: DataFrame, least: float = 0.6) -> DataFrame:
 
 
 def verify_edges(refs: DataFrame, ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(cell, reason): why a ``doc#id`` cell doesn't resolve; null where it does. A ``.member`` suffix of the id is ignored."""
-    cut = refs.withColumn("d", F.substring_index("cell", "#", 1)).withColumn("i", F.regexp_replace(F.regexp_extract("cell", "#(.*)$", 1), r"\..*$", ""))
-    known = docs.select(F.col("doc").alias("d"), F.lit(True).alias("has_doc")).distinct()
-    found = ids.select(F.col("doc").alias("d"), F.col("id").alias("i"), F.lit(True).alias("has_id")).distinct()
+    """The rows of ``refs`` with the ``reason`` why their cell doesn't resolve; null where it does.
+
+    A cell is ``path#id``, the path relative to the row's ``doc`` (without that
+    column, to the root), or ``#id`` of the document itself; a ``.member`` suffix
+    of the id is ignored. A path out of the root resolves to no document.
+    """
+    from docgraph.functions.paths import escapes_root
+    from docgraph.operators.corpus import relative_target
+
+    cell = F.trim(F.coalesce("cell", F.lit("")))
+    written = F.substring_index(cell, "#", 1)
+    target = relative_target(F.col("doc"), written) if "doc" in refs.columns else written
+    own = F.col("doc") if "doc" in refs.columns else F.lit("")
+    cut = refs.withColumn("__d", F.when(~cell.contains("#"), F.lit("")).when(written == "", own).when(~escapes_root(target), target).otherwise(""))
+    cut = cut.withColumn("__i", F.substring_index(F.regexp_extract(cell, "#(.*)$", 1), ".", 1))
+    known = docs.select(F.col("doc").alias("__d"), F.lit(True).alias("__doc")).distinct()
+    found = ids.select(F.col("doc").alias("__d"), F.col("id").alias("__i"), F.lit(True).alias("__id")).distinct()
     reason = (
-        F.when(F.coalesce("cell", F.lit("")) == "", "empty cell").when(~F.col("cell").contains("#"), "no #")
-        .when(F.col("has_doc").isNull(), "missing doc").when(F.col("has_id").isNull(), "missing id")
+        F.when(cell == "", "empty cell").when(~cell.contains("#"), "no #")
+        .when(F.col("__doc").isNull(), "missing doc").when(F.col("__id").isNull(), "missing id")
     )
-    return cut.join(known, "d", "left").join(found, ["d", "i"], "left").select("cell", reason.alias("reason"))
+    return cut.join(known, "__d", "left").join(found, ["__d", "__i"], "left").select(*refs.columns, reason.alias("reason"))
+
+
+#: Tables whose from and to cells are references.
+REFERENCE_TABLES = ("calls", "called-by", "ref-by")
+
+
+def reference_cells(scanned: DataFrame) -> DataFrame:
+    """(doc, place, cell) of a scanned corpus: from and to of the tables of references, and each reference of a meta ``entry``."""
+    from docgraph.operators.corpus import tagged
+    from docgraph.operators.tables import read_delimited
+
+    t = tagged(scanned, "block").where(F.col("type") == "table").where(F.col("id").isin(*REFERENCE_TABLES))
+    cells = read_delimited(t.select("doc", F.col("id").alias("table_id"), F.col("text").alias("body")))
+    place = F.concat(F.lit("#"), "table_id", F.lit(" row "), F.col("row") + 1, F.lit(" "), "name")
+    rows = cells.where("name IN ('from', 'to')").select("doc", place.alias("place"), F.col("text").alias("cell"))
+    entry = tagged(scanned, "meta").where("id = 'entry'").select("doc", F.lit("meta entry").alias("place"), F.explode(F.split(F.trim("text"), r"\s+")).alias("cell"))
+    return rows.unionByName(entry.where("cell <> ''"))
 
 
 def block_ids(symbols: DataFrame) -> DataFrame:
@@ -177,10 +275,14 @@ def doc_names(containers: DataFrame) -> DataFrame:
     return containers.withColumn("doc_name", F.when(nr == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), nr)))
 
 
+#: Fixed value: anchors of methods that compilers make up; they are never roots of their own.
+SYNTHETIC = r"<(init|clinit|lambda)>|<unresolvedSignature>"
+
+
 def roots_of(classified: DataFrame, edges: DataFrame) -> DataFrame:
-    """Entries and uncalled symbols that aren't leaves; where a container has only leaves, those."""
-    called = edges.where("kind = 'calls' AND to IS NOT NULL").select(F.col("to").alias("anchor")).distinct()
-    uncalled = classified.join(called, "anchor", "left_anti").select("anchor")
+    """Entries, and symbols that neither a call nor a candidate reaches and no compiler made up; leaves only where a container has nothing else."""
+    called = links(edges).select(F.col("to").alias("anchor")).distinct()
+    uncalled = classified.join(called, "anchor", "left_anti").where(~F.col("anchor").rlike(SYNTHETIC)).select("anchor")
     every = classified.where("entry").select("anchor").union(uncalled).distinct()
     r = every.join(classified.select("anchor", "container", "leaf"), "anchor")
     all_leaves = r.groupBy(F.col("container").alias("c")).agg(F.min(F.col("leaf").cast("int")).alias("all_leaves")).where("all_leaves = 1")
@@ -193,6 +295,44 @@ def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, "anchor", "left_anti")
 
 
+def connected_roots(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """Roots (slice, anchor) that touch an edge of their slice (slice, from, to); all of a slice's roots where none does."""
+    ends = edges.select("slice", F.col("from").alias("anchor")).union(edges.select("slice", "to")).distinct().withColumn("touched", F.lit(True))
+    met = roots.join(ends, ["slice", "anchor"], "left")
+    some = met.where("touched").select("slice").distinct().withColumn("some", F.lit(True))
+    return met.join(some, "slice", "left").where("touched OR some IS NULL").select("slice", "anchor")
+
+
+def compare_models(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(doc, equal, added, removed, errors_before, errors_after, warnings_before, warnings_after, grown) of two scans of a corpus.
+
+    Documents are told by digests of their blocks that don't depend on order of
+    rows or lines of text; blocks are compared with each other only within
+    documents that differ; one whose blocks only moved has none added or removed.
+    ``grown``: it has more errors or warnings than before.
+    """
+    from docgraph.operators.corpus import tagged
+
+    attrs = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("attrs"))))
+    parts = [F.col("depth").cast("string"), "kind", "type", F.col("level").cast("string"), "id", F.array_join(F.array_sort("classes"), " "), attrs, F.rtrim("text")]
+    block = F.concat_ws("\x01", *[F.coalesce(x, F.lit("\x02")) for x in parts])
+    blocks = lambda s: tagged(s, "block").select("doc", "seq", "parent", block.alias("block"))
+    digest = lambda b: b.groupBy("doc").agg(F.sum(F.xxhash64("seq", "parent", "block").cast("decimal(20,0)")).alias("digest"), F.count("*").alias("n"))
+    a, b = blocks(before), blocks(after)
+    known = lambda d: F.struct(d["digest"], d["n"])
+    da, db = digest(a), digest(b)
+    met = da.select("doc", known(da).alias("a")).join(db.select("doc", known(db).alias("b")), "doc", "full_outer").select("doc", F.col("a").eqNullSafe(F.col("b")).alias("equal"))
+    unlike = met.where("NOT equal").select("doc")
+    a, b = (x.join(unlike, "doc", "left_semi").select("doc", "block") for x in (a, b))
+    changed = b.exceptAll(a).select("doc", F.lit(1).alias("added"), F.lit(0).alias("removed")).union(a.exceptAll(b).select("doc", F.lit(0), F.lit(1)))
+    changed = changed.groupBy("doc").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"))
+    count = lambda s, when: tagged(s, "diagnostic").groupBy("doc").agg(*[F.sum((F.col("severity") == k).cast("long")).alias(f"{k}s_{when}") for k in ("error", "warning")])
+    out = met.join(changed, "doc", "left").join(count(before, "before").join(count(after, "after"), "doc", "full_outer"), "doc", "left")
+    numbers = ("added", "removed", "errors_before", "errors_after", "warnings_before", "warnings_after")
+    out = out.select("doc", "equal", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in numbers])
+    return out.withColumn("grown", F.expr("errors_after > errors_before OR warnings_after > warnings_before"))
+
+
 def diff_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.exceptAll(old).withColumn("change", F.lit("added")).unionByName(old.exceptAll(new).withColumn("change", F.lit("removed")))
 
@@ -228,10 +368,16 @@ def app_entries(symbols: DataFrame, hints: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def who_calls(keys: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """(anchor, found, caller): callers of each key; a missing key isn't one without callers."""
+    """(anchor, found, caller, kind) and the site of the call, if edges have it: callers of each key, directly or as a candidate; a missing key isn't one without callers."""
     known = symbols.select("anchor", F.lit(True).alias("found"))
-    calls = edges.where("kind = 'calls'").select(F.col("to").alias("anchor"), F.col("from").alias("caller"))
-    return keys.join(known, "anchor", "left").join(calls, "anchor", "left").select("anchor", F.coalesce("found", F.lit(False)).alias("found"), "caller")
+    calls = links(edges).withColumnsRenamed({"to": "anchor", "from": "caller"})
+    more = [c for c in ("site",) if c in calls.columns]
+    return keys.join(known, "anchor", "left").join(calls, "anchor", "left").select("anchor", F.coalesce("found", F.lit(False)).alias("found"), "caller", "kind", *more)
+
+
+def open_symbol(keys: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The symbol of each key (anchor), with ``found``; a missing one has nothing else."""
+    return keys.select("anchor").join(symbols.withColumn("found", F.lit(True)), "anchor", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def changed_docs(prev: DataFrame, cur: DataFrame) -> DataFrame:
