@@ -193,6 +193,10 @@ RULES = [
     (CHARTED % " type=bar x=b y=a rows=all", 6, "warning", "chart", "chart: rows=all but the table has no summary row; using data rows"),
     (CHARTED % " type=bar x=b y=a size=a", 6, "warning", "chart", "chart: `size` is ignored for type `bar`"),
     (CHARTED % ' type=pie x=b y="a,b"', 6, "warning", "chart", "chart: pie uses a single `y`; extra columns ignored"),
+    (CHARTED % " type=pie x=b y=a series=b", 6, "warning", "chart", "chart: `series` is ignored for type `pie`"),
+    (CHARTED % ' type=bar x=b y=","', 6, "error", "chart", "chart: `y` lists no columns"),
+    (CHARTED % " type=scatter x=b y=a size=zz", 6, "error", "chart", "chart: column `zz` not found in table"),
+    (CHARTED % " type=scatter x=b y=a size=b", 6, "error", "chart", "chart: non-numeric value in a y column"),
     ("=== diagram {format=x-chart}\n===", 1, "error", "chart-data", "x-chart: missing `data=#id`"),
     ("# A {#a}\n=== diagram {format=x-chart data=#a}\n===", 2, "error", "chart-data", "x-chart: data target `#a` is not a table"),
     ("=== diagram {format=x-chart data=#a}\n===", 1, "error", "chart-data", "x-chart: unresolved reference `#a`"),

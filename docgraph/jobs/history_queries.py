@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docgraph.jobs.inputs import read
@@ -121,10 +122,63 @@ def e8_last_distinct_version(spark, d):
     return history.last_distinct_version(u.select("doc", "rev", "key", "full"))
 
 
-@query("j6_chain", "SELECT DISTINCT conv_id AS doc, turn AS rev, CASE WHEN turn = 2 THEN 'missing parent' ELSE 'cycle' END AS fault FROM conversations WHERE turn IN (2, 3)")
+#: Planted histories by a conversation's number modulo 6, whose ids don't follow time: (revision, parent, steps back, fault); '' is current, and all but one have the chain z, a, m.
+PLANTED = {
+    0: [("z", "a", 0, None), ("a", "m", 1, None), ("m", None, 2, None)],
+    1: [("z", "a", 0, None), ("a", "m", 1, "cycle"), ("m", "q", 2, "cycle"), ("q", "a", 3, "cycle"), ("b", "z", None, "branch")],
+    2: [("z", "a", 0, None), ("a", "m", 1, None), ("m", None, 2, None), ("b", "a", None, "branch"), ("c", "b", None, "branch"), ("o", "p", None, "orphan"), ("p", None, None, "orphan")],
+    3: [("z", "a", 0, None), ("a", "m", 1, None), ("m", "gone", 2, "missing parent"), ("s", "s", None, "cycle"), ("t", "s", None, "orphan")],
+    4: [("z", "z", 0, "cycle"), ("a", None, None, "orphan")],
+    5: [("a", "m", None, "orphan"), ("m", None, None, "orphan")],
+}
+CHAIN_ROWS = ", ".join(f"({j}, '{r}', {'NULL' if b is None else b}, {'NULL' if f is None else repr(f)})" for j, rows in PLANTED.items() for r, _, b, f in [*rows, *([("z", None, None, "missing current")] if j == 5 else [])])
+
+
+def planted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(doc, rev, parent) and (doc, current), a planted history a conversation."""
+    c = read(spark, sf_dir, "conversations").select("conv_id").distinct()
+    doc = F.concat(F.lit("d"), "conv_id").alias("doc")
+    cases = F.array(*[F.array(*[F.struct(F.lit(r).alias("rev"), F.lit(p).cast("string").alias("parent")) for r, p, _, _ in rows]) for rows in PLANTED.values()])
+    return c.select(doc, F.inline(F.get(cases, (F.col("conv_id") % 6).cast("int")))), c.select(doc, F.lit("z").alias("current"))
+
+
+@query("j6_chain", f"WITH p(j, rev, back, fault) AS (VALUES {CHAIN_ROWS}) SELECT 'd' || conv_id AS doc, rev, CAST(back AS BIGINT) AS back, fault FROM (SELECT DISTINCT conv_id FROM conversations) c JOIN p ON p.j = conv_id % 6")
 def j6_chain(spark, d):
-    r = revisions(spark, d).select("doc", "rev", F.when(F.col("rev") == 2, F.lit(99)).when(F.col("rev") == 3, F.lit(3)).otherwise(F.col("parent")).cast(L).alias("parent"))
-    return history.chain_faults(r)
+    """Chains from current under ids that don't follow time: cycles of one and three, a missing parent, branches, orphans, no current."""
+    return history.chains(*planted(spark, d))
+
+
+@query(
+    "j6_long_chain",
+    """WITH l AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderkey DESC) - 1 AS back FROM orders) SELECT 'c' || (o_custkey % 3) AS doc, md5(CAST(o_orderkey AS VARCHAR)) AS rev, back, CAST(NULL AS VARCHAR) AS fault FROM l""",
+)
+def j6_long_chain(spark, d):
+    """Three long chains, a revision an order, under ids without order."""
+    o = read(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey") % 3).alias("doc"), "o_orderkey")
+    w = W.partitionBy("doc").orderBy("o_orderkey")
+    name = lambda c: F.md5(c.cast("string").cast("binary"))
+    r = o.select("doc", name(F.col("o_orderkey")).alias("rev"), name(F.lag("o_orderkey").over(w)).alias("parent"))
+    return history.chains(r, o.groupBy("doc").agg(name(F.max("o_orderkey")).alias("current")))
+
+
+@query(
+    "j5_verify_chains",
+    f"""WITH {REVS}, m AS (SELECT doc, max(rev) AS tip FROM revs GROUP BY 1), n AS (SELECT r.doc, r.rev, tip, md5('x' || r.rev) AS id FROM revs r JOIN m USING (doc)) SELECT CAST(doc AS VARCHAR) AS doc, id AS rev, 'error' AS severity, 'hash differs' AS fault FROM n WHERE doc % 4 = 1 AND rev = 0
+  UNION ALL SELECT CAST(doc AS VARCHAR), id, 'error', 'missing parent' FROM n WHERE doc % 4 = 2 AND rev = 0
+  UNION ALL SELECT CAST(doc AS VARCHAR), id, 'warning', 'uncommitted changes' FROM n WHERE doc % 4 = 3 AND rev = tip""",
+)
+def j5_verify_chains(spark, d):
+    """Histories under ids without order; of every four one is whole, one has a tampered hash, one no parent for its first revision, one an edited live text."""
+    r = revisions(spark, d)
+    name = lambda c: F.md5(F.concat(F.lit("x"), c).cast("binary"))
+    doc = F.col("doc").cast("string").alias("doc")
+    n = F.col("doc").cast("long") % 4
+    ops = written(history.commit_chain(r), "ops").withColumn("hash", F.when((n == 1) & (F.col("rev") == 0), F.lit("0")).otherwise(F.col("hash")))
+    parent = F.when((n == 2) & (F.col("rev") == 0), "gone").otherwise(name(F.col("parent")))
+    revs = r.select(doc, name(F.col("rev")).alias("rev"), parent.alias("parent"))
+    heads = r.groupBy("doc").agg(name(F.max("rev")).alias("current")).select(doc, "current")
+    live = r.groupBy("doc").agg(F.max_by("text", "rev").alias("text")).select(doc, F.concat("text", F.when(n == 3, "!").otherwise("")).alias("text"))
+    return history.verify_history(ops.withColumn("rev", name(F.col("rev"))), revs, heads, live)
 
 
 @query(

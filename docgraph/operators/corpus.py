@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docgraph.functions.paths import directory, normalize
+from docgraph.storage import written
 
 
 def read_corpus(spark, path: str) -> DataFrame:
@@ -109,7 +110,8 @@ def check_corpus(scanned: DataFrame, docs: DataFrame | None = None) -> DataFrame
         message = F.when(c("reason") == "cannot resolve document", gone).otherwise(text("unresolved reference `", c("written"), "#", c("anchor"), "`"))
         found = found.unionByName(row(cross.where("ref_kind <> 'embed'"), "error", "unresolved-cross", message))
         found = found.unionByName(row(cross.where("ref_kind = 'embed'"), "warning", "graph-src", text("code graph: ", gone)))
-    return found.unionByName(checks.table_findings(scanned)).unionByName(checks.chart_checks(scanned))
+    facts = written(checks.table_facts(scanned), "table-facts")
+    return found.unionByName(checks.table_findings(facts)).unionByName(checks.chart_checks(scanned, facts))
 
 
 def pipe_table(body: Column, sep: Column) -> Column:

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docgraph.storage import written
+
 FENCE = re.compile(r"^(={3,})\s*[A-Za-z][\w-]*.*$")
 IDENT = re.compile(r"\{[^{}]*#([\w.-]+)[^{}]*\}\s*$")
 
@@ -209,7 +211,7 @@ def numbered_blobs(history: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def reconstruct(history: DataFrame) -> DataFrame:
-    """(doc, rev, text, ok): every revision rebuilt from the next whole one; ok if its hash agrees.
+    """(doc, rev, text, ok, fault): every revision rebuilt from the next whole one; ok if its hash agrees, else why not.
 
     A group is what lies between two whole revisions, so its size is bounded.
     """
@@ -217,20 +219,30 @@ def reconstruct(history: DataFrame) -> DataFrame:
     segment = F.sum("whole").over(W.partitionBy("doc").orderBy(F.desc("rev")).rowsBetween(W.unboundedPreceding, 0))
     cut = history.join(heads.select("doc", "rev", segment.alias("segment")), ["doc", "rev"])
 
+    def rebuilt(text: str | None, ops: list[Op]) -> str:
+        if ops[0][0] in ("tip", "keyframe"):
+            return ops[0][3]
+        if text is None:
+            raise BadHistory("no whole revision to rebuild from")
+        if any(kind in ("insert", "replace") and payload is None for kind, _, _, payload in ops):
+            raise BadHistory("blob not found")
+        return text if ops[0][0] == "same" else patch(text, ops)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, text = [], None
         for rev, g in pdf.sort_values("rev", ascending=False).groupby("rev", sort=False):
             g = g.sort_values("op_seq")
             clean = [g[c].astype(object).where(g[c].notna(), None) for c in ("kind", "key", "anchor", "payload")]
-            ops = list(zip(*clean, strict=True))
+            fault = None
             try:
-                text = ops[0][3] if ops[0][0] in ("tip", "keyframe") else text if ops[0][0] == "same" else patch(text, ops) if text is not None else None
-            except BadHistory:
-                text = None
-            rows.append((pdf["doc"].iloc[0], rev, text, text is not None and sha(text) == g["hash"].iloc[0]))
-        return pd.DataFrame(rows, columns=["doc", "rev", "text", "ok"])
+                text = rebuilt(text, list(zip(*clean, strict=True)))
+                fault = None if sha(text) == g["hash"].iloc[0] else "hash differs"
+            except BadHistory as x:
+                text, fault = None, str(x)
+            rows.append((pdf["doc"].iloc[0], rev, text, fault is None, fault))
+        return pd.DataFrame(rows, columns=["doc", "rev", "text", "ok", "fault"])
 
-    return cut.groupBy("doc", "segment").applyInPandas(run, "doc string, rev long, text string, ok boolean")
+    return cut.groupBy("doc", "segment").applyInPandas(run, "doc string, rev long, text string, ok boolean, fault string")
 
 
 def verify(history: DataFrame) -> DataFrame:
@@ -238,6 +250,28 @@ def verify(history: DataFrame) -> DataFrame:
     return reconstruct(history).groupBy("doc").agg(F.count("*").alias("checked"), F.sum((~F.col("ok")).cast("long")).alias("bad"))
 
 
+def verify_history(history: DataFrame, revisions: DataFrame, heads: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    """(doc, rev, severity, fault) of all that is wrong with histories whose revision ids may be anything.
+
+    ``history`` has the operations by id (OPS with a text ``rev``), ``revisions``
+    (doc, rev, parent), ``heads`` (doc, current), ``live`` (doc, text) the texts
+    as they are now. Errors: faults of the chains, and revisions that can't be
+    rebuilt or whose hash differs; a live text that isn't the current revision's
+    is a warning.
+    """
+    c = written(chains(revisions, heads), "chains")
+    wrong = c.where("fault IS NOT NULL").select("doc", "rev", F.lit("error").alias("severity"), "fault")
+    placed = c.where("back IS NOT NULL").select("doc", F.col("rev").alias("id"), (-F.col("back")).alias("rev"))
+    ops = history.withColumnRenamed("rev", "id").join(placed, ["doc", "id"]).drop("id")
+    broken = reconstruct(ops.select(*[x.split()[0] for x in OPS.split(", ")])).where("NOT ok").join(placed, ["doc", "rev"])
+    wrong = wrong.unionByName(broken.select("doc", F.col("id").alias("rev"), F.lit("error").alias("severity"), "fault"))
+    if live is not None:
+        tips = c.where("back = 0").select("doc", "rev").join(history.select("doc", "rev", "hash").distinct(), ["doc", "rev"])
+        dirty = live.select("doc", F.sha2("text", 256).alias("now")).join(tips, "doc").where("now <> hash")
+        wrong = wrong.unionByName(dirty.select("doc", "rev", F.lit("warning").alias("severity"), F.lit("uncommitted changes").alias("fault")))
+    return wrong
+
+
 def tile_units(revisions: DataFrame) -> DataFrame:
     """(doc, rev, pos, key, full): units of each text."""
 
@@ -255,12 +289,55 @@ def revision_log(revisions: DataFrame) -> DataFrame:
     return revisions.withColumn("offset", (1 - nr).cast("long")).withColumn("current", nr == 1)
 
 
-def chain_faults(revisions: DataFrame) -> DataFrame:
-    """(doc, rev, fault): a parent that doesn't exist, or isn't older. Revisions are numbers or ids that begin with their time, so both are ordered."""
-    p = revisions.select("doc", F.col("rev").alias("parent"), F.lit(True).alias("known"))
-    j = revisions.where("parent IS NOT NULL").join(p, ["doc", "parent"], "left")
-    fault = F.when(F.col("known").isNull(), "missing parent").when(F.col("parent") >= F.col("rev"), "cycle")
-    return j.select("doc", "rev", fault.alias("fault")).where("fault IS NOT NULL")
+def chains(revisions: DataFrame, heads: DataFrame) -> DataFrame:
+    """(doc, rev, back, fault): how many steps a revision lies behind ``current``, and what is wrong with it.
+
+    From ``revisions`` (doc, rev, parent) and ``heads`` (doc, current), whatever
+    the ids look like. ``back`` is null off the chain. Faults: ``missing parent``,
+    ``cycle`` (on one, not behind it), ``branch`` (off the chain, but behind it
+    comes one that is on it), ``orphan`` (off it, and so is all behind it), and,
+    as a row of its own, ``missing current``. Ids are distinct in a document.
+
+    Pointers are doubled: after k rounds a revision knows its ancestor 2^k steps
+    back, the furthest and the least within that, and the chain is known for 2^k
+    steps. Only pointers that still lead somewhere are joined, so a round costs
+    one join, and there are as many as the longest history has binary digits.
+    """
+    r = revisions.select("doc", "rev", "parent")
+    known = r.select("doc", F.col("rev").alias("parent"), F.lit(True).alias("known"))
+    here = r.join(known, ["doc", "parent"], "left")
+    jump = F.when(F.col("known"), F.col("parent"))
+    table = written(here.select("doc", "rev", jump.alias("jump"), F.col("rev").alias("far"), F.col("rev").alias("least"), (F.col("parent").isNotNull() & F.col("known").isNull()).alias("lost")), "chain")
+    heads = heads.select("doc", "current")
+    front = heads.join(r.select("doc", F.col("rev").alias("current")), ["doc", "current"], "left_semi").select("doc", F.col("current").alias("rev"), F.lit(0).cast("long").alias("back"))
+    reach = written(front, "chain-reach")
+    longest = r.groupBy("doc").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    step = 1
+    while step <= longest:
+        ahead = table.where("jump IS NOT NULL")
+        more = reach.join(ahead.select("doc", "rev", "jump"), ["doc", "rev"]).select("doc", F.col("jump").alias("rev"), (F.col("back") + step).alias("back"))
+        reach = written(reach.unionByName(more).groupBy("doc", "rev").agg(F.min("back").alias("back")), "chain-reach")
+        then = table.select("doc", F.col("rev").alias("jump"), F.col("jump").alias("next"), F.col("far").alias("next_far"), F.col("least").alias("next_least"))
+        met = ahead.join(then, ["doc", "jump"]).select("doc", "rev", F.col("next").alias("jump"), F.col("next_far").alias("far"), F.least("least", "next_least").alias("least"), "lost")
+        table = written(met.unionByName(table.where("jump IS NULL")), "chain")
+        step *= 2
+    # whoever still has a pointer runs into a cycle, and where such pointers lead is on it
+    on = table.where("jump IS NOT NULL").select("doc", F.col("jump").alias("rev")).distinct().withColumn("cycle", F.lit(True))
+    least = table.select("doc", F.col("rev").alias("jump"), F.col("least").alias("ring"))
+    ends = table.join(least, ["doc", "jump"], "left").select("doc", "rev", "lost", F.when(F.col("jump").isNull(), F.struct(F.lit(0), "far")).otherwise(F.struct(F.lit(1), "ring")).alias("end"))
+    head_end = front.select("doc", "rev").join(ends, ["doc", "rev"]).select("doc", F.col("end").alias("head_end"))
+    out = ends.join(on, ["doc", "rev"], "left").join(reach, ["doc", "rev"], "left").join(head_end, "doc", "left")
+    fault = (
+        F.when(F.col("lost"), "missing parent").when(F.col("cycle"), "cycle")
+        .when(F.col("back").isNull() & F.col("end").eqNullSafe(F.col("head_end")), "branch").when(F.col("back").isNull(), "orphan")
+    )
+    gone = heads.join(front.select("doc"), "doc", "left_anti").select("doc", F.col("current").alias("rev"), F.lit(None).cast("long").alias("back"), F.lit("missing current").alias("fault"))
+    return out.select("doc", "rev", "back", fault.alias("fault")).unionByName(gone)
+
+
+def chain_faults(revisions: DataFrame, heads: DataFrame) -> DataFrame:
+    """(doc, rev, fault) of ``chains``."""
+    return chains(revisions, heads).where("fault IS NOT NULL").select("doc", "rev", "fault")
 
 
 def resolve_selector(log: DataFrame, selectors: DataFrame) -> DataFrame:
