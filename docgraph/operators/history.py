@@ -324,7 +324,7 @@ def chains(revisions: DataFrame, heads: DataFrame) -> DataFrame:
     # whoever still has a pointer runs into a cycle, and where such pointers lead is on it
     on = table.where("jump IS NOT NULL").select("doc", F.col("jump").alias("rev")).distinct().withColumn("cycle", F.lit(True))
     least = table.select("doc", F.col("rev").alias("jump"), F.col("least").alias("ring"))
-    ends = table.join(least, ["doc", "jump"], "left").select("doc", "rev", "lost", F.when(F.col("jump").isNull(), F.struct(F.lit(0), "far")).otherwise(F.struct(F.lit(1), "ring")).alias("end"))
+    ends = table.join(least, ["doc", "jump"], "left").select("doc", "rev", "lost", F.struct(F.col("jump").isNotNull().alias("ring"), F.when(F.col("jump").isNull(), F.col("far")).otherwise(F.col("ring")).alias("at")).alias("end"))
     head_end = front.select("doc", "rev").join(ends, ["doc", "rev"]).select("doc", F.col("end").alias("head_end"))
     out = ends.join(on, ["doc", "rev"], "left").join(reach, ["doc", "rev"], "left").join(head_end, "doc", "left")
     fault = (
