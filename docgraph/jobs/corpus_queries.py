@@ -265,6 +265,23 @@ def b22_apply_patches(spark, d):
     return corpus.apply_patches(m, scan_corpus(m), p)
 
 
+@query(
+    "b22_guarded_patches",
+    f"""WITH {C} SELECT doc, CAST(NULL AS VARCHAR) AS id, 'taken' AS reason, {HEAD} || '## new {{#c-' || k || '}}' || {NL} || 'Patched.' || {NL} || {NL} || {NOTES} AS text FROM c WHERE k % 8 = 0
+  UNION ALL SELECT doc, CASE k % 8 WHEN 3 THEN 'top' WHEN 4 THEN 'nope' ELSE 'c-' || k END, CASE k % 8 WHEN 1 THEN 'target lost' WHEN 2 THEN 'errors' WHEN 3 THEN 'id lost' ELSE 'no block' END, NULL FROM c WHERE k % 8 BETWEEN 1 AND 4""",
+)
+def b22_guarded_patches(spark, d):
+    """Of every eight documents one is patched well, and one each loses the patched id, gets a second id, loses others' ids, and has no such block."""
+    k = F.col("k")
+    own = text("c-", k)
+    ident = F.when(k % 8 == 3, "top").when(k % 8 == 4, "nope").otherwise(own)
+    body = F.when(k % 8 == 1, "gone\n").when(k % 8 == 2, text("## new {#", own, "}\n\n# Again {#top}\n")).when(k % 8 == 3, "# All {#top}\n").otherwise(text("## new {#", own, "}\nPatched.\n"))
+    m = markup(spark, d)
+    texts, refused = corpus.guarded_patches(m, written(scan_corpus(m), "scan"), customers(spark, d).where("k % 8 <= 4").select("doc", ident.alias("id"), body.alias("body")))
+    none = F.lit(None).cast("string")
+    return texts.select("doc", none.alias("id"), F.lit("taken").alias("reason"), "text").unionByName(refused.withColumn("text", none))
+
+
 @query("g4_rejected_patches", f"WITH {C} SELECT doc, 'c-' || k AS id FROM c WHERE k % 10 = 0")
 def g4_rejected_patches(spark, d):
     """Patches that leave out their block's id drop it: those documents are refused."""

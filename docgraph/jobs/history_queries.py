@@ -241,3 +241,97 @@ def j8_revert_blocks(spark, d):
     now = r.groupBy("doc").agg(F.max_by("text", "rev").alias("text"))
     keys = r.groupBy("doc").agg(F.min("rev").alias("rev")).withColumn("id", F.lit("a"))
     return history.revert_blocks(now, scan_corpus(now), history.reconstruct(history.commit_chain(r)), keys)
+
+
+@query(
+    "j8_revert_changed",
+    """WITH m AS (SELECT conv_id, max(turn) AS tip FROM conversations GROUP BY 1), n AS (SELECT conv_id, CASE WHEN tip >= 2 THEN tip // 2 * 2 - 2 ELSE 0 END AS turn FROM m)
+  SELECT CAST(conv_id AS VARCHAR) AS doc, '=== note {#a}' || chr(10) || replace(text, chr(10), ' ') || chr(10) || '===' || chr(10) || chr(10) || 'end' AS text FROM conversations JOIN n USING (conv_id, turn)""",
+)
+def j8_revert_changed(spark, d):
+    """A block that changes every second revision, put back to its version before the current one; where it never changed, it stays."""
+    from docgraph.sources.scan import scan_corpus
+
+    c = read(spark, d, "conversations")
+    said = c.select("conv_id", F.col("turn").alias("at"), "text")
+    r = c.select("conv_id", F.col("turn").alias("rev"), (F.col("turn") - F.col("turn") % 2).alias("at")).join(said, ["conv_id", "at"])
+    body = F.concat(F.lit("=== note {#a}\n"), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n===\n\nend"))
+    r = r.select(F.col("conv_id").cast("string").alias("doc"), "rev", body.alias("text"))
+    now = r.groupBy("doc").agg(F.max_by("text", "rev").alias("text"))
+    return history.revert_changed(now, scan_corpus(now), r, now.select("doc", F.lit("a").alias("id")))
+
+
+@query(
+    "e8_last_changes",
+    "WITH t AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS was FROM conversations), m AS (SELECT conv_id, max(turn) AS tip FROM conversations GROUP BY 1) SELECT conv_id AS doc, 'k' AS key, max(turn) - 1 AS rev FROM t WHERE role <> was GROUP BY 1",
+)
+def e8_last_changes(spark, d):
+    """A unit whose text is the turn's role."""
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.lit("k").alias("key"), F.col("turn").alias("rev"), F.col("role").alias("full"))
+    return history.last_changes(c)
+
+
+@query(
+    "j9_roll_back",
+    f"""WITH {REVS}, m AS (SELECT doc, max(rev) AS tip FROM revs GROUP BY 1) SELECT CAST(doc AS VARCHAR) AS doc, rev, sha256(text) AS hash, true AS ok, NULL AS refused FROM revs JOIN m USING (doc) WHERE doc % 4 <> 0 OR tip < 1 OR rev <= 1
+  UNION ALL SELECT CAST(doc AS VARCHAR), CASE WHEN doc % 4 = 3 THEN 99 ELSE 1 END, NULL, NULL, CASE WHEN doc % 4 = 3 OR tip < 1 THEN 'no such revision' ELSE 'uncommitted changes' END FROM m WHERE doc % 4 IN (2, 3) OR doc % 4 = 0 AND tip < 1""",
+)
+def j9_roll_back(spark, d):
+    """Every fourth history is cut after revision 1 and rebuilt; of the others one isn't asked for, one has an edited live text, and one lacks the revision."""
+    r = written(revisions(spark, d), "revisions")
+    h = written(history.commit_chain(r, keyframes=2), "history")
+    n = F.col("doc").cast("long") % 4
+    docs = r.select(F.col("doc").cast("string").alias("doc")).distinct()
+    keep = docs.where(n != 1).withColumn("rev", F.when(n == 3, F.lit(99)).otherwise(F.lit(1)).cast(L))
+    live = r.groupBy(F.col("doc").cast("string").alias("doc")).agg(F.max_by("text", "rev").alias("text")).select("doc", F.when(n == 2, F.lit("edited")).otherwise(F.col("text")).alias("text"))
+    cut, refused = history.roll_back(h, keep, live)
+    none = F.lit(None)
+    rebuilt = history.reconstruct(cut).select("doc", "rev", F.sha2("text", 256).alias("hash"), "ok", none.cast("string").alias("refused"))
+    return rebuilt.unionByName(refused.select("doc", "rev", none.cast("string").alias("hash"), none.cast("boolean").alias("ok"), F.col("reason").alias("refused")))
+
+
+@query(
+    "j10_author_counts",
+    """WITH t AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nr FROM (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY 1, 2))
+  SELECT CAST(conv_id AS VARCHAR) AS doc, CAST(NULL AS VARCHAR) AS key, role AS author, count(*) AS revisions FROM t GROUP BY 1, 3 UNION ALL SELECT CAST(conv_id AS VARCHAR), '#a', role, count(*) FROM t WHERE nr > 1 GROUP BY 1, 3""",
+)
+def j10_author_counts(spark, d):
+    """A block that every revision changes, whose author is the turn's role."""
+    c = read(spark, d, "conversations")
+    r = c.groupBy(F.col("conv_id").cast("string").alias("doc"), F.col("turn").alias("rev")).agg(F.min("role").alias("author"))
+    text = F.concat(F.lit("=== note {#a}\n"), "rev", F.lit("\n==="))
+    return history.author_counts(history.commit_chain(r.withColumn("text", text)), r)
+
+
+@query(
+    "j3_commit_revisions",
+    f"""WITH {REVS}, m AS (SELECT doc, max(rev) AS tip FROM revs GROUP BY 1), x AS (SELECT r.doc, r.rev, tip, sha256(r.text) AS hash, TIMESTAMP '2024-01-01' + to_seconds(r.rev) AS made FROM revs r JOIN m USING (doc)),
+  i AS (SELECT *, strftime(made, '%Y%m%dT%H%M%SZ') || '-' || substr(hash, 1, 8) AS id FROM x)
+  SELECT CAST(doc AS VARCHAR) AS doc, rev, id, lag(id) OVER (PARTITION BY doc ORDER BY rev) AS parent, 'a' || (rev % 2) AS author, 's' || rev AS summary, hash, CAST(true AS BOOLEAN) AS ok, CASE WHEN rev > 0 THEN 'b' || rev END AS newest_blob FROM i WHERE doc % 3 <> 1 OR rev < tip OR tip = 0
+  UNION ALL SELECT CAST(doc AS VARCHAR), NULL, lag_id, NULL, 'a' || (tip % 2), NULL, NULL, false, NULL FROM (SELECT doc, tip, rev, lag(id) OVER (PARTITION BY doc ORDER BY rev) AS lag_id FROM i) WHERE doc % 3 = 1 AND rev = tip AND tip > 0""",
+)
+def j3_commit_revisions(spark, d):
+    """Revisions committed in three rounds with author, summary, time and parent; in the last a third of the documents has an outdated base and is refused.
+
+    Each revision but the first has one blob more, the block that it changed: the newest of a document's numbers is shown.
+    """
+    r = written(revisions(spark, d).select(F.col("doc").cast("string").alias("doc"), "rev", "text"), "revisions")
+    tips = r.groupBy("doc").agg(F.max("rev").alias("tip"))
+    r = written(r.join(tips, "doc"), "revisions")
+    ops, revs = spark.createDataFrame([], history.OPS + ", blob string"), spark.createDataFrame([], history.REVISION)
+    refused = None
+    last = r.agg(F.max("rev")).first()[0]
+    for k in range(last + 1):  # rounds of commits, as they come in over time
+        base = revs.groupBy("doc").agg(F.max_by("id", "rev").alias("base"))
+        work = r.where(F.col("rev") == k).join(base, "doc", "left")
+        late = (F.col("rev") == F.col("tip")) & (F.col("tip") > 0) & (F.col("doc").cast("long") % 3 == 1)
+        at = F.timestamp_seconds(F.lit(1704067200) + F.col("rev"))
+        work = work.select("doc", "text", F.concat(F.lit("a"), F.col("rev") % 2).alias("author"), F.concat(F.lit("s"), "rev").alias("summary"), at.alias("at"), F.when(late, "outdated").otherwise(F.col("base")).alias("base"))
+        ops, revs, no = history.commit_revisions(ops, revs, work)
+        ops, revs, no = written(ops, "ops"), written(revs, "revs"), written(no, "refused")
+        refused = no if refused is None else refused.unionByName(no)
+    rebuilt = history.reconstruct(ops.drop("blob")).select("doc", "rev", "ok")
+    blobs = ops.where("blob IS NOT NULL").groupBy("doc", (F.col("rev") + 1).alias("rev")).agg(F.max(F.expr("CAST(substring(blob, 2) AS INT)")).alias("b"))
+    out = revs.join(rebuilt, ["doc", "rev"]).join(blobs, ["doc", "rev"], "left").select("doc", "rev", "id", "parent", "author", "summary", "hash", "ok", F.concat(F.lit("b"), "b").alias("newest_blob"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return out.unionByName(refused.select("doc", none(L).alias("rev"), F.col("tip").alias("id"), none("string").alias("parent"), "author", none("string").alias("summary"), none("string").alias("hash"), F.lit(False).alias("ok"), none("string").alias("newest_blob")))

@@ -191,3 +191,31 @@ def rejected_patches(before: DataFrame, after: DataFrame) -> DataFrame:
     """(doc, id): ids that an edit dropped; such documents' patches aren't taken."""
     ids = lambda s: tagged(s, "id").select("doc", "id").distinct()
     return ids(before).join(ids(after), ["doc", "id"], "left_anti")
+
+
+def guarded_patches(corpus: DataFrame, scanned: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts (doc, text), refused (doc, id, reason)): patches (doc, id, body) taken a document at a time, or not at all.
+
+    Refused are the patches of a document that has no block of one's id (``no
+    block``), whose new text has errors by any rule (``errors``), or that loses
+    the id of a patch (``target lost``) or of another block (``id lost``).
+    ``scanned`` is that of the whole corpus, as cross references look in it.
+    """
+    from docgraph.sources.scan import scan_corpus
+
+    ids = lambda s: tagged(s, "id").select("doc", "id").distinct()
+    docs = patches.select("doc").distinct()
+    before = written(scanned.join(docs, "doc", "left_semi"), "scan-before")
+    texts = written(apply_patches(corpus.join(docs, "doc", "left_semi"), before, patches), "patched")
+    after = written(scan_corpus(texts), "scan-after")
+    others = tagged(scanned, "id").join(docs, "doc", "left_anti")
+    found = check_corpus(written(after.unionByName(others), "scan-patched"), corpus).join(docs, "doc", "left_semi")
+    lost = ids(before).join(ids(after), ["doc", "id"], "left_anti")
+    aimed = patches.select("doc", "id").distinct()
+    fault = lambda d, order, reason: d.select("doc", F.struct(F.lit(order).alias("order"), F.lit(reason).alias("reason")).alias("fault"))
+    faults = (
+        fault(aimed.join(ids(before), ["doc", "id"], "left_anti"), 0, "no block").unionByName(fault(found.where("severity = 'error'"), 1, "errors"))
+        .unionByName(fault(lost.join(aimed, ["doc", "id"], "left_semi"), 2, "target lost")).unionByName(fault(lost.join(aimed, ["doc", "id"], "left_anti"), 3, "id lost"))
+    )
+    first = written(faults.groupBy("doc").agg(F.min("fault").alias("fault")), "patch-faults")
+    return texts.join(first, "doc", "left_anti"), aimed.join(first, "doc").select("doc", "id", F.col("fault.reason").alias("reason"))

@@ -202,6 +202,41 @@ def commit(history: DataFrame, working: DataFrame) -> DataFrame:
     return history.join(changed, ["doc", "rev"], "left_anti").unionByName(_operations(fresh.unionByName(demoted)))
 
 
+#: A revision besides its operations; ``id`` is made of its time and hash, ``base`` is what a writer has seen as the tip.
+REVISION = "doc string, rev long, id string, parent string, author string, summary string, at timestamp, hash string"
+
+
+def commit_revisions(history: DataFrame, revisions: DataFrame, working: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(history, revisions, refused) after committing ``working`` (doc, text, author, summary, at, base).
+
+    ``history`` has OPS and ``blob``, ``revisions`` REVISION. A text that is its
+    tip's is no revision. One whose ``base`` isn't the tip's id (null: no history
+    yet) is refused, and so are all but the earliest where a document comes more
+    than once: the rows of ``refused``, with the tip they ran into. New blobs
+    continue a document's numbers, so none is used twice.
+    """
+    from docgraph.functions.values import revision_id
+
+    tips = revisions.groupBy("doc").agg(F.max(F.struct("rev", "id", "hash")).alias("tip"))
+    nr = F.row_number().over(W.partitionBy("doc").orderBy("at", "hash"))
+    met = working.select("doc", "text", "author", "summary", "at", "base", F.sha2("text", 256).alias("hash")).withColumn("nr", nr).join(tips, "doc", "left")
+    met = met.where("tip IS NULL OR hash <> tip.hash")
+    good = F.col("base").eqNullSafe(F.col("tip.id")) & (F.col("nr") == 1)
+    taken = written(met.where(good).withColumn("rev", F.coalesce(F.col("tip.rev") + 1, F.lit(0).cast("long"))), "commit")
+    fresh = taken.select("doc", "rev", revision_id(F.col("at"), F.col("hash")).alias("id"), F.col("tip.id").alias("parent"), "author", "summary", "at", "hash")
+    numbered = history.select("doc", F.expr("try_cast(substring(blob, 2) AS long)").alias("n")).groupBy("doc").agg(F.max("n").alias("used"))
+    changed = commit(history.drop("blob"), taken.select("doc", "rev", "text"))
+    ops = ["doc", "rev", "op_seq"]
+    kept = changed.join(history.select(*ops, "blob", F.col("kind").alias("was")), ops, "left")
+    same = F.col("was").eqNullSafe(F.col("kind"))
+    has = F.col("kind").isin("insert", "replace") & ~same
+    nth = F.row_number().over(W.partitionBy("doc", has).orderBy("rev", "op_seq"))
+    kept = kept.withColumn("nth", nth).join(numbered, "doc", "left")
+    blob = F.when(same, F.col("blob")).when(has, F.concat(F.lit("b"), F.coalesce("used", F.lit(0)) + F.col("nth")))
+    refused = met.where(~good).select("doc", "base", F.col("tip.id").alias("tip"), "author", "at")
+    return kept.select(*[c for c in history.columns if c != "blob"], blob.alias("blob")), revisions.unionByName(fresh), refused
+
+
 def numbered_blobs(history: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(operations with ``blob`` in place of their payload, blobs (doc, blob, payload)): b1, b2, ... in a document, oldest revision first, so that later commits never reuse a number."""
     has = F.col("kind").isin("insert", "replace")
@@ -361,11 +396,60 @@ def truncate_to(history: DataFrame, keep: DataFrame) -> DataFrame:
     return history.join(keep.select("doc", F.col("rev").alias("last")), "doc", "left").where("last IS NULL OR rev <= last").drop("last")
 
 
+def roll_back(history: DataFrame, keep: DataFrame, live: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(history, refused): histories cut after ``keep`` (doc, rev), whose revision becomes the tip, kept whole.
+
+    Refused are documents without that revision (``no such revision``), those
+    where it can't be rebuilt (``broken``), and, unless ``live`` is left out,
+    those whose live text (doc, text) isn't the tip's (``uncommitted changes``).
+    """
+    asked = history.join(keep.select("doc"), "doc", "left_semi")
+    found = reconstruct(asked).join(keep.select("doc", "rev"), ["doc", "rev"]).select("doc", "rev", "text", "ok")
+    tips = asked.where("kind = 'tip'").select("doc", F.col("hash").alias("tip_hash"))
+    now = live.select("doc", F.sha2("text", 256).alias("now")) if live is not None else tips.select("doc", F.col("tip_hash").alias("now"))
+    reason = F.when(F.col("ok").isNull(), "no such revision").when(~F.col("ok"), "broken").when(F.col("now") != F.col("tip_hash"), "uncommitted changes")
+    met = keep.select("doc", "rev").join(found, ["doc", "rev"], "left").join(tips, "doc", "left").join(now, "doc", "left")
+    met = written(met.select("doc", "rev", "text", reason.alias("reason")), "roll-back")
+    cut = met.where("reason IS NULL")
+    older = history.join(cut.select("doc", F.col("rev").alias("last")), "doc", "left").where("last IS NULL OR rev < last").drop("last")
+    none = F.lit(None).cast("string")
+    tip = cut.select("doc", "rev", F.sha2("text", 256).alias("hash"), F.lit(0).alias("op_seq"), F.lit("tip").alias("kind"), none.alias("key"), none.alias("anchor"), F.col("text").alias("payload"))
+    return older.unionByName(tip, allowMissingColumns=True), met.where("reason IS NOT NULL").select("doc", "rev", "reason")
+
+
+def last_changes(units: DataFrame) -> DataFrame:
+    """(doc, key, rev): the last revision before a current unit's text became what it is, of all units at once; from (doc, rev, key, full).
+
+    Runs of equal texts are islands over the revisions that have the unit; what
+    came last before the current island is the unit's previous version. Units
+    that never changed, or aren't in the newest revision, have no row.
+    """
+    tips = units.groupBy("doc").agg(F.max("rev").alias("tip"))
+    w = W.partitionBy("doc", "key").orderBy("rev")
+    u = units.select("doc", "key", "rev", F.xxhash64("full").alias("h"), F.length("full").alias("n"))
+    u = u.withColumn("before", F.lag("rev").over(w)).withColumn("changed", F.lag(F.struct("h", "n")).over(w) != F.struct("h", "n"))
+    last = u.groupBy("doc", "key").agg(F.max("rev").alias("newest"), F.max(F.when(F.col("changed"), F.struct("rev", "before"))).alias("change"))
+    return last.join(tips, "doc").where("newest = tip AND change IS NOT NULL").select("doc", "key", F.col("change.before").alias("rev"))
+
+
 def change_frequency(history: DataFrame) -> DataFrame:
     """(doc, key, revisions): how many revisions touched a unit."""
     return history.where("key IS NOT NULL").groupBy("doc", "key").agg(F.countDistinct("rev").alias("revisions"))
 
 
+def author_counts(history: DataFrame, revisions: DataFrame) -> DataFrame:
+    """(doc, key, author, revisions): how many revisions of each author touched a unit, and, with a null key, the document.
+
+    A revision's operations say what the next newer one changed, so they are that one's.
+    """
+    newer = F.lead("author").over(W.partitionBy("doc").orderBy("rev"))
+    after = revisions.select("doc", "rev", newer.alias("author"), F.lead("rev").over(W.partitionBy("doc").orderBy("rev")).alias("by"))
+    touched = history.where("key IS NOT NULL").select("doc", "rev", "key").distinct().join(after.where("by IS NOT NULL"), ["doc", "rev"])
+    units = touched.groupBy("doc", "key", "author").agg(F.countDistinct("by").alias("revisions"))
+    whole = revisions.groupBy("doc", "author").agg(F.countDistinct("rev").alias("revisions")).withColumn("key", F.lit(None).cast("string"))
+    return units.unionByName(whole)
+
+
 def parse_history(scanned: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(revisions, ops, blobs, keyframes) of scanned history files: blocks of those types, one operation a line."""
     from docgraph.operators.corpus import tagged
@@ -388,3 +472,15 @@ def revert_blocks(corpus: DataFrame, scanned: DataFrame, rebuilt: DataFrame, key
 
     units = tile_units(rebuilt).select("doc", "rev", F.substring("key", 2, 1 << 20).alias("id"), F.regexp_replace("full", r"\n+$", "").alias("body"))
     return apply_patches(corpus, scanned, keys.join(units, ["doc", "rev", "id"]).select("doc", "id", "body"))
+
+
+def revert_changed(corpus: DataFrame, scanned: DataFrame, rebuilt: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc, text): the blocks (doc, id) of ``keys`` put back to what they were before their last change; those that never changed stay.
+
+    The live text counts as the newest revision, so changes that aren't committed are the first to go.
+    """
+    r = rebuilt.select("doc", "rev", "text")
+    live = corpus.join(r.groupBy("doc").agg((F.max("rev") + 1).alias("rev")), "doc").select("doc", "rev", "text")
+    changes = last_changes(tile_units(r.unionByName(live)))
+    asked = keys.select("doc", "id").join(changes.select("doc", F.expr("substring(key, 2)").alias("id"), "rev"), ["doc", "id"])
+    return revert_blocks(corpus, scanned, r, asked)

@@ -35,3 +35,48 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Conflict(RuntimeError):
+    """Someone else has published the version that was to be written."""
+
+
+def _versions(spark: SparkSession, path: str) -> tuple:
+    """The file system of ``path`` and its version files by number."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {int(f.getPath().getName()): f for f in fs.listStatus(folder) if f.getPath().getName().isdigit()} if fs.exists(folder) else {}
+    return fs, found
+
+
+def publish(df: DataFrame, path: str, base: int) -> int:
+    """``df`` as the version after ``base`` of the table at ``path`` (0: there is none yet); Conflict if another writer was first.
+
+    Rows are staged in a folder of their own; one small file, made only if it
+    isn't there, then names them, so that readers see all of a version or none.
+    The store must make files exclusively, as HDFS does.
+    """
+    spark = df.sparkSession
+    staged = f"{path}/data/{uuid.uuid4().hex}"
+    df.write.parquet(staged)
+    fs, found = _versions(spark, path)
+    if max(found, default=0) != base:
+        raise Conflict(f"version {max(found, default=0)} of {path} was published meanwhile")
+    try:
+        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions/{base + 1:010d}"), False)
+    except Exception as e:
+        raise Conflict(f"version {base + 1} of {path} was published meanwhile") from e
+    out.write(staged.encode())
+    out.close()
+    return base + 1
+
+
+def published(spark: SparkSession, path: str) -> tuple[int, DataFrame | None]:
+    """(version, rows) of the newest version; a writer that was lost before it named its rows leaves a version with those before it. (0, None) without any."""
+    fs, found = _versions(spark, path)
+    for number in sorted(found, reverse=True):
+        if found[number].getLen():
+            name = spark.read.text(found[number].getPath().toString()).first()[0]
+            return max(found), spark.read.parquet(name)
+    return max(found, default=0), None
