@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgraph.jobs.inputs import read
-from docgraph.jobs.queries import L, query
+from docgraph.jobs.queries import SQL, L, query
 from docgraph.operators import corpus, graph, tables
 from docgraph.sources.canonical import canonicalize
 from docgraph.sources.scan import scan_corpus
@@ -221,6 +221,9 @@ def m_rules(spark, d):
     return found.where("doc <> 'base.mk'")
 
 
+SQL["k3_checks_with_memory"] = SQL["m_check_corpus"]
+
+
 @query("m_unchecked_cross", f"WITH {C} SELECT doc, 13 AS line, 'warning' AS severity, 'cross-document reference `c' || next || '.mk#c-' || far || '` not checked (no document resolver)' AS message FROM c")
 def m_unchecked_cross(spark, d):
     """Without a corpus to look in, cross references are only warned of."""

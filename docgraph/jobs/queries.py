@@ -1006,16 +1006,62 @@ def k3_stream_check(spark, d):
     return check_stream(markup(spark, d), ids)
 
 
-@query("k4_stream_history", """SELECT conv_id AS doc, turn AS ts, role AS text FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NULL OR before <> role""")
+@query("k4_stream_history", """SELECT CAST(conv_id AS VARCHAR) AS doc, turn AS ts, role AS text FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NULL OR before <> role""")
 def k4_stream_history(spark, d):
     """The role of each turn as a version, appended in three batches: one for each change, a return to an earlier one included."""
     import uuid
 
     from docgraph.storage import shared_dir
-    from docgraph.streaming.changes import append_versions
+    from docgraph.streaming.arrivals import Recorder
 
-    path = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+    recorder = Recorder(spark, f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}", buckets=16)
     c = read(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("ts"), F.col("role").alias("text"))
     for batch in (c.where("ts < 2"), c.where("ts BETWEEN 2 AND 3"), c.where("ts > 3")):
-        append_versions(batch, path)
-    return spark.read.parquet(path).select("doc", "ts", "text")
+        recorder.append_batch(batch)
+    return recorder.versions().select("doc", F.col("at").alias("ts"), "text")
+
+
+@query("k3_checks_with_memory", None)
+def k3_checks_with_memory(spark, d):
+    """The corpus in three batches, a third of it first in a faulty form: what stands in the end is what a check of the whole corpus finds."""
+    import uuid
+
+    from docgraph.jobs.corpus_queries import markup
+    from docgraph.storage import shared_dir
+    from docgraph.streaming.arrivals import Checker
+
+    checker = Checker(spark, f"{shared_dir(spark)}/checked-{uuid.uuid4().hex}", buckets=16)
+    part = F.pmod(F.xxhash64("doc"), F.lit(3))
+    m = markup(spark, d).withColumn("ts", F.lit(1))
+    faulty = m.where(part == 1).withColumn("text", F.concat(F.lit("# Other {#o}\n\n[[#gone]] {{none}}\n\n"), F.regexp_replace("text", "#top", "#else")))
+    for batch in (m.where(part == 0).unionByName(faulty), m.where(part == 2), m.where(part == 1)):
+        written(checker.check_batch(batch), "findings")
+    return checker.findings.read().select("doc", "line", "severity", "code", "message")
+
+
+@query("k4_late_versions", SQL["k4_stream_history"])
+def k4_late_versions(spark, d):
+    """The role of each turn as a version; odd turns arrive first, then the even ones, which are late, and all of them once more."""
+    import uuid
+
+    from docgraph.storage import shared_dir
+    from docgraph.streaming.arrivals import Recorder
+
+    recorder = Recorder(spark, f"{shared_dir(spark)}/recorded-{uuid.uuid4().hex}", buckets=16, keyframes=2)
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("ts"), F.col("role").alias("text"))
+    for batch in (c.where("ts % 2 = 1"), c.where("ts % 2 = 0"), c):
+        recorder.append_batch(batch)
+    return recorder.versions().select("doc", F.col("at").alias("ts"), "text")
+
+
+@query(
+    "k1_filtered_changes",
+    SESSIONS.replace("FROM events", "FROM (SELECT * FROM events WHERE event_id % 5 IN (0, 1))"),
+)
+def k1_filtered_changes(spark, d):
+    """Of every five changes two count: one of a source, and one that no path is known of; the others are of a skipped folder, a hidden one, and no source."""
+    from docgraph.streaming.changes import debounce
+
+    paths = F.array(F.lit("src/a.py"), F.lit(None).cast("string"), F.lit("lib/node_modules/b.js"), F.lit(".cache/c.py"), F.lit("README.md"))
+    e = read(spark, d, "events")
+    return debounce(e.select(F.col("user_id").alias("repo"), "ts", F.get(paths, (F.col("event_id") % 5).cast("int")).alias("path")), "30 minutes")

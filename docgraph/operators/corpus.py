@@ -50,10 +50,23 @@ def unresolved_cross(scanned: DataFrame, docs: DataFrame) -> DataFrame:
     refs = tagged(scanned, "ref").where("target_doc IS NOT NULL").select(
         "doc", "line", "ref_kind", F.col("target_doc").alias("written"), relative_target(F.col("doc"), F.col("target_doc")).alias("target"), "anchor"
     )
-    reason = F.when(F.col("has_doc").isNull(), "cannot resolve document").when(F.col("anchor").isNotNull() & F.col("has_id").isNull(), "unresolved reference")
+    reason = F.when(F.col("has_doc").isNull(), NO_DOCUMENT).when(F.col("anchor").isNotNull() & F.col("has_id").isNull(), "unresolved reference")
     return refs.join(known, "target", "left").join(ids, ["target", "anchor"], "left").select("doc", "line", "ref_kind", "written", "target", "anchor", reason.alias("reason")).where("reason IS NOT NULL")
 
 
+NO_DOCUMENT = "cannot resolve document"
+
+
+def cross_findings(cross: DataFrame, *keep: str) -> DataFrame:
+    """Diagnostics of the rows of ``unresolved_cross``: a code graph that isn't found is a warning, all else an error."""
+    embed = F.col("ref_kind") == "embed"
+    gone = F.concat(F.lit(NO_DOCUMENT + " `"), "written", F.lit("`"))
+    message = F.when(embed, F.concat(F.lit("code graph: "), gone)).when(F.col("reason") == NO_DOCUMENT, gone).otherwise(F.concat(F.lit("unresolved reference `"), "written", F.lit("#"), "anchor", F.lit("`")))
+    return cross.select(
+        "doc", "line", F.when(embed, "warning").otherwise("error").alias("severity"), F.when(embed, "graph-src").otherwise("unresolved-cross").alias("code"), message.alias("message"), *keep
+    )
+
+
 def backlinks(scanned: DataFrame) -> DataFrame:
     """(target, id, doc, line): who refers to an id; rows, never a list."""
     ids = list_ids(scanned).select(F.col("doc").alias("target"), "id")
@@ -105,11 +118,7 @@ def check_corpus(scanned: DataFrame, docs: DataFrame | None = None) -> DataFrame
         message = text("cross-document reference `", F.concat_ws("#", "target_doc", "anchor"), "` not checked (no document resolver)")
         found = found.unionByName(row(cross, "warning", "unchecked-cross", message))
     else:
-        cross = unresolved_cross(scanned, docs)
-        gone = text("cannot resolve document `", c("written"), "`")
-        message = F.when(c("reason") == "cannot resolve document", gone).otherwise(text("unresolved reference `", c("written"), "#", c("anchor"), "`"))
-        found = found.unionByName(row(cross.where("ref_kind <> 'embed'"), "error", "unresolved-cross", message))
-        found = found.unionByName(row(cross.where("ref_kind = 'embed'"), "warning", "graph-src", text("code graph: ", gone)))
+        found = found.unionByName(cross_findings(unresolved_cross(scanned, docs)))
     facts = written(checks.table_facts(scanned), "table-facts")
     return found.unionByName(checks.table_findings(facts)).unionByName(checks.chart_checks(scanned, facts))
 

@@ -50,16 +50,8 @@ def _versions(spark: SparkSession, path: str) -> tuple:
     return fs, found
 
 
-def publish(df: DataFrame, path: str, base: int) -> int:
-    """``df`` as the version after ``base`` of the table at ``path`` (0: there is none yet); Conflict if another writer was first.
-
-    Rows are staged in a folder of their own; one small file, made only if it
-    isn't there, then names them, so that readers see all of a version or none.
-    The store must make files exclusively, as HDFS does.
-    """
-    spark = df.sparkSession
-    staged = f"{path}/data/{uuid.uuid4().hex}"
-    df.write.parquet(staged)
+def name_version(spark: SparkSession, path: str, base: int, text: str) -> int:
+    """Makes the version after ``base`` of what lies at ``path``: a small file that says ``text``, made only if it isn't there; else Conflict."""
     fs, found = _versions(spark, path)
     if max(found, default=0) != base:
         raise Conflict(f"version {max(found, default=0)} of {path} was published meanwhile")
@@ -67,16 +59,33 @@ def publish(df: DataFrame, path: str, base: int) -> int:
         out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions/{base + 1:010d}"), False)
     except Exception as e:
         raise Conflict(f"version {base + 1} of {path} was published meanwhile") from e
-    out.write(staged.encode())
+    out.write(text.encode())
     out.close()
     return base + 1
 
 
-def published(spark: SparkSession, path: str) -> tuple[int, DataFrame | None]:
-    """(version, rows) of the newest version; a writer that was lost before it named its rows leaves a version with those before it. (0, None) without any."""
+def named(spark: SparkSession, path: str) -> tuple[int, str]:
+    """(newest version, its text); a writer that was lost while it named a version leaves one that says what the version before it does."""
     fs, found = _versions(spark, path)
     for number in sorted(found, reverse=True):
         if found[number].getLen():
-            name = spark.read.text(found[number].getPath().toString()).first()[0]
-            return max(found), spark.read.parquet(name)
-    return max(found, default=0), None
+            return max(found), spark.read.text(found[number].getPath().toString(), wholetext=True).first()[0]
+    return max(found, default=0), ""
+
+
+def publish(df: DataFrame, path: str, base: int) -> int:
+    """``df`` as the version after ``base`` of the table at ``path`` (0: there is none yet); Conflict if another writer was first.
+
+    Rows are staged in a folder of their own, which a small file then names, so
+    that readers see all of a version or none. The store must make files
+    exclusively, as HDFS does.
+    """
+    staged = f"{path}/data/{uuid.uuid4().hex}"
+    df.write.parquet(staged)
+    return name_version(df.sparkSession, path, base, staged)
+
+
+def published(spark: SparkSession, path: str) -> tuple[int, DataFrame | None]:
+    """(version, rows) of the newest version; (0, None) without any."""
+    version, folder = named(spark, path)
+    return version, spark.read.parquet(folder) if folder else None
