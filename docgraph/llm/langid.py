@@ -2,10 +2,10 @@
 
 Counts come from every learnable document: each task adds up its n-grams by
 language and bucket, and Spark sums the rows of all tasks. The smoothed
-log-probability matrix (buckets x languages) is broadcast; its size is bounded
-by taking fewer buckets where there are very many languages. Documents are
-scored in batches: the n-grams of a batch are one sparse matrix of counts
-(document, bucket), which is multiplied with the matrix in numpy.
+log-probability matrix (buckets x languages) is broadcast, in blocks of
+languages where there are very many; the buckets are the same for any number.
+Documents are scored in batches: the n-grams of a batch are one sparse matrix of
+counts (document, bucket), which is multiplied with the matrix in numpy.
 
 Nulls and edge cases: a text that is null or has no letter (no character of
 Unicode's category L) is ``und`` with score 0; null languages are not learned
@@ -16,18 +16,21 @@ null (their fold is that of the empty string); other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, frugal, in_pieces
+from .common import Batches, frugal, in_pieces, materialize
 
-#: Most bits of a bucket, least ones, and cells of the matrix that is broadcast (32 MB of floats).
-BITS, LEAST_BITS, CELLS = 15, 8, 1 << 23
+#: Bits of a bucket, and languages whose log-probabilities are broadcast together (32 MB of floats).
+BITS, BLOCK_LANGUAGES = 15, 256
 #: Characters hashed at a time, bytes of text scored at a time, and languages whose counts a task holds.
 CHUNK, SCORED_BYTES, HELD = 1 << 19, 1 << 17, 64
 ALNUM = re.compile(r"[^\W\d_]")
@@ -39,15 +42,7 @@ def has_letter(text: str) -> bool:
     return any(m[0].isalpha() for m in ALNUM.finditer(text))
 
 
-def bits_for(languages: int) -> int:
-    """The most bits whose matrix fits."""
-    bits = BITS
-    while bits > LEAST_BITS and languages << bits > CELLS:
-        bits -= 1
-    return bits
-
-
-def buckets(text: str, bits: int = BITS) -> np.ndarray:
+def buckets(text: str) -> np.ndarray:
     """Buckets of the 2- and 3-grams of a lower-cased piece of text."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     two = c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA77)
@@ -55,7 +50,7 @@ def buckets(text: str, bits: int = BITS) -> np.ndarray:
     h = np.concatenate([two, three])
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
-    return (h >> np.uint32(32 - bits)).astype(np.intp)
+    return (h >> np.uint32(32 - BITS)).astype(np.intp)
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -65,55 +60,59 @@ def pieces(text: str) -> Iterator[str]:
         yield whole[at : at + CHUNK + 2]
 
 
-def grams_by_language(bits: int):
-    def count_grams(batches: Batches) -> Batches:
-        counts: dict[str, np.ndarray] = {}
+def count_grams(batches: Batches) -> Batches:
+    """(lang, bucket, n) of rows of lang and text."""
+    counts: dict[str, np.ndarray] = {}
 
-        def rows() -> Batches:
-            for lang, n in counts.items():
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
-            counts.clear()
+    def rows() -> Batches:
+        for lang, n in counts.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
+        counts.clear()
 
-        for batch in in_pieces(batches, 1):
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if lang not in counts:
-                    if len(counts) >= HELD:
-                        yield from rows()
-                    counts[lang] = np.zeros(1 << bits, np.int64)
-                for p in pieces(text):
-                    counts[lang] += np.bincount(buckets(p, bits), minlength=1 << bits)
-        yield from rows()
+    for batch in in_pieces(batches, 1):
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if lang not in counts:
+                if len(counts) >= HELD:
+                    yield from rows()
+                counts[lang] = np.zeros(1 << BITS, np.int64)
+            for p in pieces(text):
+                counts[lang] += np.bincount(buckets(p), minlength=1 << BITS)
+    yield from rows()
 
-    return frugal(count_grams)
 
+#: Languages, log-probabilities by bucket and language, log-priors.
+Model = tuple[list[str], np.ndarray, np.ndarray]
 
-def train(documents: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, log-probabilities by bucket and language, log-priors) from (lang, text) rows.
 
-    A language reaches the driver as one row of packed arrays.
-    """
+def train(documents: DataFrame) -> Iterator[Model]:
+    """The model in blocks of about BLOCK_LANGUAGES languages, from (lang, text) rows; each block reaches the driver as a packed row a language."""
     docs = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    seen = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
-    if not seen:
-        return [], np.zeros((1 << BITS, 0), np.float32), np.zeros(0)
-    bits = bits_for(len(seen))
-    at = {r["lang"]: i for i, r in enumerate(seen)}
-    per = docs.mapInArrow(grams_by_language(bits), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    packed = per.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))  # at most 2**bits cells a language
-    counts = np.ones((1 << bits, len(seen)))
-    table = packed.select("lang", "cells.bucket", "cells.n").toArrow()
-    for lang, own, n in zip(*(table.column(k) for k in range(3)), strict=True):
-        counts[own.values.to_numpy(), at[lang.as_py()]] += n.values.to_numpy()
-    docs_of = np.array([r["n"] for r in seen], float)
-    matrix = np.log(counts / counts.sum(axis=0))
-    # what all languages share of a bucket doesn't count; without it, sums of floats stay precise
-    return [r["lang"] for r in seen], (matrix - matrix.mean(axis=1, keepdims=True)).astype(np.float32), np.log(docs_of / docs_of.sum())
+    seen = materialize(docs.groupBy("lang").agg(F.count("*").alias("docs")), "languages")
+    head = seen.agg(F.count("*").alias("languages"), F.sum("docs").alias("docs")).first()
+    if not head["languages"]:
+        return
+    blocks = math.ceil(head["languages"] / BLOCK_LANGUAGES)
+    block = F.pmod(F.xxhash64("lang"), F.lit(blocks))
+    per = docs.mapInArrow(frugal(count_grams), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    packed = per.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))  # at most 2**BITS cells a language
+    packed = materialize(packed.join(seen, "lang"), "language-grams")
+    shared = None
+    for k in range(blocks):
+        table = packed.where(block == k).orderBy("lang").select("lang", "cells.bucket", "cells.n", "docs").toArrow().combine_chunks()
+        if not table.num_rows:
+            continue
+        counts = np.ones((1 << BITS, table.num_rows))
+        for i, (own, n) in enumerate(zip(table.column(1), table.column(2), strict=True)):
+            counts[own.values.to_numpy(), i] += n.values.to_numpy()
+        matrix = np.log(counts / counts.sum(axis=0))
+        if shared is None:  # what is taken from all languages alike doesn't count; without what they share, sums of floats stay precise
+            shared = matrix.mean(axis=1, keepdims=True)
+        yield table.column(0).to_pylist(), (matrix - shared).astype(np.float32), np.log(table.column(3).to_numpy() / head["docs"])
 
 
 def sums(texts: list[str], matrix: np.ndarray) -> np.ndarray:
     """For each text and language, the sum of its n-grams' log-probabilities: a sparse product, in blocks of bounded size."""
-    bits = len(matrix).bit_length() - 1
     out = np.zeros((len(texts), matrix.shape[1]))
     held: list[np.ndarray] = []
     owner: list[int] = []
@@ -129,7 +128,7 @@ def sums(texts: list[str], matrix: np.ndarray) -> np.ndarray:
     size = 0
     for i, text in enumerate(texts):
         for p in pieces(text):
-            h = buckets(p, bits)
+            h = buckets(p)
             if len(h):
                 held.append(h)
                 owner.append(i)
@@ -142,25 +141,54 @@ def sums(texts: list[str], matrix: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, held_out, lang_pred, score from rows of doc_id, held_out, text."""
+def likeliest(documents: DataFrame, key: str, model: Model) -> DataFrame:
+    """(key, lang, top, spread) from rows of ``key`` and text: the block's likeliest language, its log-likelihood, and the log of the sum of all beside it.
+
+    Documents without a letter have none, and neither have any if the model is empty.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Batches) -> Batches:
         langs, matrix, prior = shared.value
-        for batch in in_pieces(batches, 2):
-            texts = batch.column(2).to_pylist()
-            names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        for batch in in_pieces(batches, 1):
+            texts = batch.column(1).to_pylist()
+            names = np.full(len(texts), None, object)
+            top, spread = np.zeros(len(texts)), np.zeros(len(texts))
             read = [i for i, t in enumerate(texts) if langs and t is not None and has_letter(t)]
             if read:
                 total = sums([texts[i] for i in read], matrix) + prior
-                best = total.argmax(axis=1)
-                names[read] = [langs[b] for b in best]
-                scores[read] = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+                names[read] = [langs[b] for b in total.argmax(axis=1)]
+                top[read] = total.max(axis=1)
+                spread[read] = np.log(np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(top), pa.array(spread)], [key, "lang", "top", "spread"])
 
-    kind = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", "held_out", "text").mapInArrow(frugal(score), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return documents.select(key, "text").mapInArrow(frugal(score), f"{key} {dict(documents.select(key).dtypes)[key]}, lang string, top double, spread double")
+
+
+def labelled(found: DataFrame) -> DataFrame:
+    return found.select("doc.doc_id", "doc.held_out", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang_pred"), F.when(F.col("lang").isNull(), 0.0).otherwise(F.exp(-F.col("spread"))).alias("score"))
+
+
+def predict(documents: DataFrame, models: Iterator[Model]) -> DataFrame:
+    """doc_id, held_out, lang_pred, score from rows of doc_id, held_out, text.
+
+    One block scores the documents as they are read. With several, documents are
+    written with a number, each block scores them, and the best of all blocks
+    counts; what the likelihoods sum up to is put together from the blocks' sums.
+    """
+    own = documents.select(F.struct("doc_id", "held_out").alias("doc"), "text")
+    first = next(models, ([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0)))
+    second = next(models, None)
+    if second is None:
+        return labelled(likeliest(own, "doc", first))
+    rows = materialize(own.withColumn("row", F.monotonically_increasing_id()), "language-documents")
+    each = [materialize(likeliest(rows, "row", m), "language-scores") for m in chain([first, second], models)]
+    best = reduce(DataFrame.unionByName, each).where("lang IS NOT NULL").groupBy("row").agg(F.collect_list(F.struct("top", "spread", "lang")).alias("all"))  # an entry a block
+    top = F.array_max(F.transform("all", lambda x: x["top"]))
+    name = F.array_min(F.transform(F.filter("all", lambda x: x["top"] == F.col("most")), lambda x: x["lang"]))
+    total = F.log(F.aggregate("all", F.lit(0.0), lambda acc, x: acc + F.exp(x["top"] - F.col("most") + x["spread"])))
+    best = best.withColumn("most", top).select("row", name.alias("lang"), total.alias("spread"))
+    return labelled(rows.select("row", "doc").join(best, "row", "left"))
 
 
 def identify(documents: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:

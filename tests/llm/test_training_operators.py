@@ -551,22 +551,22 @@ def test_language_id(spark, nothing):
     assert langid.identify(nothing).count() == 0
 
 
-def plain_bayes(learn, text, bits=langid.BITS):
+def plain_bayes(learn, text):
     """Log-probabilities (language to sum) of multinomial naive Bayes over the same buckets, one n-gram after the other."""
     counts, docs_ = {}, Counter()
     for t, lang in learn:
         if t is None or lang is None:
             continue
         docs_[lang] += 1
-        c = counts.setdefault(lang, np.ones(1 << bits))
-        for b in langid.buckets(f" {t.lower()} ", bits):
+        c = counts.setdefault(lang, np.ones(1 << langid.BITS))
+        for b in langid.buckets(f" {t.lower()} "):
             c[b] += 1
-    return {x: np.log(docs_[x] / sum(docs_.values())) + sum(np.log(c[b] / c.sum()) for b in langid.buckets(f" {text.lower()} ", bits)) for x, c in counts.items()}
+    return {x: np.log(docs_[x] / sum(docs_.values())) + sum(np.log(c[b] / c.sum()) for b in langid.buckets(f" {text.lower()} ")) for x, c in counts.items()}
 
 
-@pytest.mark.parametrize("cells", [langid.CELLS, 3 << 10])
-def test_language_id_against_plain_bayes(spark, cells, monkeypatch):
-    monkeypatch.setattr(langid, "CELLS", cells)
+@pytest.mark.parametrize("block", [langid.BLOCK_LANGUAGES, 2, 1])
+def test_language_id_against_plain_bayes(spark, block, monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK_LANGUAGES", block)
     monkeypatch.setattr(langid, "SCORED_BYTES", 300)
     r = random.Random(12)
     of = {"en": "the and thing over would", "de": "und nicht schon über wäre", "fr": "les des une dans été"}
@@ -575,15 +575,13 @@ def test_language_id_against_plain_bayes(spark, cells, monkeypatch):
     d = spark.createDataFrame([(*x, "s", 1, True) for x in rows_], "doc_id long, text string, lang string, lang_pred string, score int, held_out boolean")
     out = langid.identify(d).collect()
     learn = [(t, x) for i, t, x in rows_ if zlib.crc32(("" if i is None else str(i)).encode()) % 4 != 2]
-    bits = langid.bits_for(3)
-    assert bits == (langid.BITS if cells > 1 << 20 else 10)
     by = Counter((x.doc_id, x.lang_pred, round(x.score, 4)) for x in out)
     expect = Counter()
     for i, t, _ in rows_:
         if not any(c.isalpha() for c in t):
             expect[i, "und", 0.0] += 1
             continue
-        p = plain_bayes(learn, t, bits)
+        p = plain_bayes(learn, t)
         best = max(sorted(p), key=p.get)
         expect[i, best, round(float(1 / sum(np.exp(v - p[best]) for v in p.values())), 4)] += 1
     assert by == expect
