@@ -434,6 +434,17 @@ def d15_detect_languages(spark, d):
     return graph.detect_languages(docs, docs.where("doc_id % 50 = 0"), 0.2)
 
 
+@query(
+    "d15_manifest_languages",
+    """WITH f AS (SELECT source AS repo, doc_id % 40 AS j FROM documents) SELECT DISTINCT repo, CASE j WHEN 0 THEN 'rust' WHEN 1 THEN 'java' WHEN 2 THEN 'go' ELSE 'typescript' END AS lang FROM f WHERE j BETWEEN 0 AND 3""",
+)
+def d15_manifest_languages(spark, d):
+    """Files of repositories, some of them manifests, or named nearly like one."""
+    names = F.array(*[F.lit(x) for x in ("Cargo.toml", "a/build.gradle.kts", "go.mod", "web/app/tsconfig.json", "cargo.toml", "tsconfig.json.bak", "src/main.rs", "pom.xml/x.py")])
+    files = read(spark, d, "documents").select(F.col("source").alias("repo"), F.coalesce(F.get(names, (F.col("doc_id") % 40).cast("int")), F.lit("README.md")).alias("path"))
+    return graph.manifest_languages(files)
+
+
 @query(
     "g5_roots_of",
     f"""WITH {EDGES}, u AS (SELECT * FROM classified WHERE entry OR anchor NOT IN (SELECT "to" FROM links)),
@@ -824,6 +835,19 @@ def h13s_display_path(spark, d):
     return paths.display_paths(p, ["com"], [("src/main/*", "main")]).select("module", "path", "display")
 
 
+@query(
+    "h13s_display_clashes",
+    """WITH p AS (SELECT DISTINCT p_brand AS module, p_type AS t FROM part), two AS (SELECT module, t, u.path FROM p CROSS JOIN LATERAL (SELECT unnest(CASE WHEN t LIKE 'ECONOMY%' THEN ['src/main/java/com/' || t, 'src/main/java/' || t] ELSE ['src/test/java/com/' || t] END) AS path) u)
+  SELECT module, path, CASE WHEN t LIKE 'ECONOMY%' THEN path ELSE 'test/' || module || '/' || t END AS display FROM two""",
+)
+def h13s_display_clashes(spark, d):
+    """Two folders that fold to one path keep theirs; others are folded, tests under test."""
+    p = read(spark, d, "part").select(F.col("p_brand").alias("module"), F.col("p_type").alias("t")).distinct()
+    path = lambda root: F.concat(F.lit(root), "t")
+    own = F.when(F.col("t").startswith("ECONOMY"), F.array(path("src/main/java/com/"), path("src/main/java/"))).otherwise(F.array(path("src/test/java/com/")))
+    return paths.display_paths(p.select("module", F.explode(own).alias("path")), ["com"], [("src/main/*", "main"), ("src/test/*", "test")]).select("module", "path", "display")
+
+
 # ---- scalar text functions ---------------------------------------------------------------------
 
 
@@ -960,6 +984,36 @@ def d17_score_outputs(spark, d):
     return s.select("model", "condition", *[F.round(c, 4).alias(c) for c in ("clean", "feature", "both_ok")], "n")
 
 
+def _scored(spark, d):
+    """Documents as runs; every third has an error, every fourth two warnings, every eleventh broke its reader."""
+    k = F.col("doc_id")
+    runs = read(spark, d, "documents").select(k.alias("run"), F.col("lang").alias("model"), F.col("source").alias("condition"), "text", F.array(F.lit(",")).alias("expect"), (k % 11 == 0).alias("threw"))
+    said = lambda severity, message: F.struct(F.lit(severity).alias("severity"), message.alias("message"))
+    error = said("error", F.when(k % 2 == 0, "duplicate id `#a` (first defined at line 1)").otherwise("unresolved reference `#b`"))
+    warning = said("warning", F.lit("unknown block type `x`; body kept as raw"))
+    every = F.array_compact(F.array(F.when(k % 3 == 0, error), F.when(k % 4 == 0, warning), F.when(k % 4 == 0, warning)))
+    return runs, read(spark, d, "documents").select(k.alias("run"), F.inline(every))
+
+
+@query(
+    "d17_scored_runs",
+    """SELECT lang AS model, source AS condition, round(100.0 * avg(CASE WHEN doc_id % 3 <> 0 AND doc_id % 11 <> 0 THEN 1 ELSE 0 END), 4) AS clean, round(100.0 * avg(CASE WHEN contains(text, ',') THEN 1 ELSE 0 END), 4) AS feature,
+  round(100.0 * avg(CASE WHEN doc_id % 3 <> 0 AND doc_id % 11 <> 0 AND contains(text, ',') THEN 1 ELSE 0 END), 4) AS both_ok, count(*) AS n, CAST(sum(CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 0 END) AS BIGINT) AS warnings FROM documents GROUP BY 1, 2""",
+)
+def d17_scored_runs(spark, d):
+    from docgraph.operators.score import score_runs
+
+    s = score_runs(*_scored(spark, d))
+    return s.select("model", "condition", *[F.round(c, 4).alias(c) for c in ("clean", "feature", "both_ok")], "n", "warnings")
+
+
+@query("d17_error_histogram", "SELECT CASE WHEN doc_id % 2 = 0 THEN 'duplicate id' ELSE 'unresolved ref/footnote' END AS category, count(*) AS n FROM documents WHERE doc_id % 3 = 0 GROUP BY 1 ORDER BY 2 DESC, 1")
+def d17_error_histogram(spark, d):
+    from docgraph.operators.score import error_histogram
+
+    return error_histogram(_scored(spark, d)[1])
+
+
 @query(
     "d16_diagnostic_summary",
     """SELECT l_suppkey AS doc, l_returnflag AS severity, count(*) AS n, CAST(grouping(l_suppkey) * 2 + grouping(l_returnflag) AS BIGINT) AS level FROM lineitem GROUP BY GROUPING SETS ((l_suppkey, l_returnflag), (l_suppkey), (l_returnflag), ())""",

@@ -94,9 +94,12 @@ def get_blocks(corpus: DataFrame, scanned: DataFrame, keys: DataFrame, head: boo
     heads = section_spans(scanned).select("doc", "id", "start", "stop")
     others = tagged(scanned, "block").where("kind <> 'heading' AND id IS NOT NULL").select("doc", "id", F.col("line").alias("start"), (F.col("end_line") + 1).alias("stop"))
     spans = heads.unionByName(others).groupBy("doc", "id").agg(F.min(F.struct("start", "stop")).alias("s")).select("doc", "id", "s.*")
-    lines = F.split("text", "\n")
-    n = F.lit(1) if head else F.coalesce(F.col("stop") - F.col("start"), F.size(lines))
-    return keys.join(spans, ["doc", "id"]).join(corpus, "doc").select("doc", "id", F.array_join(F.slice(lines, F.col("start"), n), "\n").alias("body"))
+    # a document's spans first, so that its text is joined and cut into lines once, however many ids are asked for
+    asked = keys.select("doc", "id").join(spans, ["doc", "id"]).groupBy("doc").agg(F.collect_list(F.struct("id", "start", "stop")).alias("asked"))
+    cut = corpus.join(asked, "doc").select("doc", F.split("text", "\n").alias("lines"), "asked")
+    n = lambda s: F.lit(1) if head else F.coalesce(s["stop"] - s["start"], F.size("lines"))
+    bodies = F.transform("asked", lambda s: F.struct(s["id"].alias("id"), F.array_join(F.slice("lines", s["start"], n(s)), "\n").alias("body")))
+    return cut.select("doc", F.inline(bodies))
 
 
 def check_corpus(scanned: DataFrame, docs: DataFrame | None = None) -> DataFrame:

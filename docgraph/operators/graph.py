@@ -393,6 +393,18 @@ def language_shares(files: DataFrame, least: float = 0.05) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("repo"))).where(F.col("share") >= least)
 
 
+#: What a file by that name says of its repository's language.
+MANIFESTS = {"tsconfig.json": "typescript", "Cargo.toml": "rust", "pom.xml": "java", "build.gradle": "java", "build.gradle.kts": "java", "go.mod": "go"}
+
+
+def manifest_languages(files: DataFrame) -> DataFrame:
+    """(repo, lang) that the manifests among the files (repo, path) name."""
+    from docgraph.functions.paths import base
+
+    names = F.create_map(*[F.lit(x) for kv in MANIFESTS.items() for x in kv])
+    return files.select("repo", F.try_element_at(names, base(F.col("path"))).alias("lang")).where("lang IS NOT NULL").distinct()
+
+
 def detect_languages(files: DataFrame, manifests: DataFrame, least: float = 0.05) -> DataFrame:
     """(repo, lang): languages by share of the files, and those a manifest names."""
     return language_shares(files, least).select("repo", "lang").union(manifests.select("repo", "lang")).distinct()

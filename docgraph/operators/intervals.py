@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 def attribute_calls(occ: DataFrame, defs: DataFrame, block: int = 256) -> DataFrame:
     """Each occurrence (file, line, ref) with the innermost definition (file, start, end, symbol) around it.
 
-    Both sides meet by file and block of lines: a definition is repeated for
-    the blocks it spans, so a file with very many occurrences is spread and
-    only nearby pairs are made. Equal spans: the later start, then the symbol.
+    What encloses a line is found once for all occurrences on it. Lines and
+    definitions meet by file and block of lines, a definition repeated for the
+    blocks it spans, so only nearby pairs are made, at most ``block`` lines with
+    the definitions of a block. Equal spans: the later start, then the symbol.
     """
     d = defs.select("file", "start", "end", "symbol", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.col("end") / block))).alias("block"))
-    o = occ.withColumn("block", F.floor(F.col("line") / block))
-    met = o.join(d, ["file", "block"]).where(F.col("line").between(F.col("start"), F.col("end")))
+    lines = occ.select("file", "line").distinct().withColumn("block", F.floor(F.col("line") / block))
+    met = lines.join(d, ["file", "block"]).where(F.col("line").between(F.col("start"), F.col("end")))
     best = F.min_by("symbol", F.struct(F.col("end") - F.col("start"), -F.col("start"), "symbol"))
-    return met.groupBy("file", "line", "ref").agg(best.alias("symbol")).where(F.col("symbol") != F.col("ref"))
+    around = met.groupBy("file", "line").agg(best.alias("symbol"))
+    return occ.select("file", "line", "ref").distinct().join(around, ["file", "line"]).where(F.col("symbol") != F.col("ref"))
 
 
 def attribute_calls_asof(occ: DataFrame, defs: DataFrame, block: int = 256) -> DataFrame:
