@@ -21,7 +21,7 @@ def _hung(edges: DataFrame, larger: bool) -> DataFrame:
     hung = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not larger:
         hung = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return hung.where("u <> v").distinct()
+    return hung.where("u <> v")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if stars(edges):
             break
-        edges = materialize(_hung(_hung(edges, True), False), "cc-edges")
+        edges = materialize(_hung(_hung(edges, True), False).distinct(), "cc-edges")
     else:
         raise RuntimeError("components did not converge")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

@@ -262,9 +262,12 @@ def links(documents: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     large = placed.where("parts > 3")  # up to three parts, the overlaps hold every pair
     if not large.limit(1).count():
         return found
-    label = large.select(F.col("component").alias("g"), "node").join(components(found), "node", "left").select("g", "node", F.coalesce("component", "node").alias("label"))
+    # what hangs together so far is handed on as stars, so that its components aren't searched for again
+    stars = materialize(components(found), "near-stars-of-links")
+    label = large.select(F.col("component").alias("g"), "node").join(stars, "node", "left").select("g", "node", F.coalesce("component", "node").alias("label"))
     rest = across_labels(materialize(label, "near-region-members"))
-    return found.unionByName(materialize(compared(rest.join(whole, "node")), "near-links"))
+    more = materialize(compared(rest.join(whole, "node")), "near-links")
+    return stars.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
 
 
 def near_duplicates(documents: DataFrame, words: int = 5) -> DataFrame:
