@@ -41,6 +41,23 @@ def j2_diff_revisions(spark, d):
     return history.commit_chain(revisions(spark, d)).drop("payload")
 
 
+@query(
+    "j2_planted_differences",
+    """WITH o AS (SELECT 'o' || o_orderkey AS doc, o_orderkey % 5 AS j, 'k' || o_orderkey AS v FROM orders), c(j, op_seq, kind, key, anchor) AS (VALUES (0, 0, 'same', NULL, NULL), (1, 0, 'replace', '#b', NULL), (2, 0, 'delete', '#c', NULL), (3, 0, 'insert', '#x', '#a'), (4, 0, 'delete', '#b', NULL), (4, 1, 'insert', '#b', 'at-start'))
+  SELECT doc, CAST(0 AS BIGINT) AS rev, op_seq, kind, key, anchor FROM o JOIN c USING (j) UNION ALL SELECT doc, 1, 0, 'tip', NULL, NULL FROM o""",
+)
+def j2_planted_differences(spark, d):
+    """Two revisions an order: equal, a block with another text, one more, one less, two in another order."""
+    k = F.col("o_orderkey")
+    o = read(spark, d, "orders").select(F.concat(F.lit("o"), k).alias("doc"), (k % 5).alias("j"), F.concat(F.lit("k"), k).alias("v"))
+    block = lambda name, body: F.concat(F.lit(f"=== note {{#{name}}}\n"), body, F.lit("\n===\n\n"))
+    a, b, c, end, nothing, j = block("a", F.col("v")), block("b", F.lit("B")), block("c", F.lit("C")), F.lit("end"), F.lit(""), F.col("j")
+    new = F.concat(a, b, F.when(j == 2, c).otherwise(nothing), end)
+    old = F.when(j == 4, F.concat(b, a, end)).otherwise(F.concat(a, F.when(j == 3, block("x", F.col("v"))).otherwise(nothing), F.when(j == 1, block("b", F.lit("B was"))).otherwise(b), end))
+    revs = o.select("doc", F.lit(1).alias("rev"), new.alias("text")).unionByName(o.select("doc", F.lit(0).alias("rev"), old.alias("text")))
+    return history.commit_chain(revs).select("doc", "rev", "op_seq", "kind", "key", "anchor")
+
+
 @query(
     "j2_moved_units",
     f"""SELECT conv_id AS doc, turn AS rev, 'C.' || chr(10) || chr(10) || 'A ' || turn || '.' || chr(10) || chr(10) || 'B.' || chr(10) || chr(10) || 'end' AS text FROM conversations""",
