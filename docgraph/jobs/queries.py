@@ -698,6 +698,13 @@ def i1_callees(spark, d):
     return walk.walk(edges(spark, d), _every_root(spark, d)).withColumn("depth", F.col("depth").cast(L))
 
 
+@query("i1_callees_asked", f"""WITH {EDGES}, roots AS (SELECT 'p:' || (s_suppkey * 5) AS root FROM supplier), e AS (SELECT DISTINCT "from", "to" FROM links), {_levels(6, 4000)}""")
+def i1_callees_asked(spark, d):
+    """What the symbols asked for, one a supplier, lead to, with the walk's own depth and cap."""
+    asked = read(spark, d, "supplier").select(F.concat(F.lit("p:"), F.col("s_suppkey") * 5).alias("root"))
+    return walk.walk(edges(spark, d), asked).withColumn("depth", F.col("depth").cast(L))
+
+
 @query(
     "i2_callers",
     f"""WITH RECURSIVE {EDGES}, roots AS (SELECT 'p:' || (s_suppkey * 5) AS root FROM supplier), e AS (SELECT DISTINCT "from", "to" FROM links),
