@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -120,6 +121,28 @@ def test_stages_on_odd_rows(spark, folder):
     assert len(s) == len(rows + odd) and Counter(r.doc_id for r in s)[None] == 2
 
 
+def test_run_on_odd_rows(spark, folder, tmp_path):
+    """The whole pipeline over nulls, repeated rows, near copies, a benchmark passage and an id with several texts."""
+    import shutil
+
+    d, texts, word = folder
+    shutil.copytree(d, tmp_path / "t")
+    item = spark.read.parquet(f"{d}/benchmark.parquet").first().text
+    good = [" ".join(word() for _ in range(120)) for _ in range(60)]
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in texts.items()] + [(1000 + i, t, "fr", f"s{i % 3}", 0) for i, t in enumerate(good)]
+    rows += [(2000 + i, f"{t} {word()}", None, None, None) for i, t in enumerate(good[:10])]  # near copies
+    rows += [(3000, f"{good[11]} {item}", "en", "s1", 0), (None, None, None, None, None), (None, " ".join(word() for _ in range(90)), "en", "s2", 0), (4000, "", "en", "s0", 0)]
+    rows += [(5000, " ".join(word() for _ in range(90)), "en", "s0", 0), rows[0], (5000, " ".join(word() for _ in range(90)), "en", "s1", 0)]
+    spark.createDataFrame(rows, SCHEMA).withColumn("slot", F.lit("a column of that name")).write.parquet(str(tmp_path / "t/documents.parquet"))
+    out = pipeline.run(spark, str(tmp_path / "t")).collect()
+    ids = {r.doc_id for r in out}
+    assert not any("#" in texts.get(i, "") for i in ids) and not ids & {3000, *range(2000, 2010)}
+    assert ids >= {None, 5000} and len(ids & set(range(1000, 1060))) > 30
+    for s in {r.shard for r in out}:
+        own = sorted(r.slot for r in out if r.shard == s)
+        assert own == list(range(len(own)))
+
+
 def test_stages_on_empty_tables(spark, folder):
     nothing = spark.createDataFrame([], SCHEMA)
     for name, stage in pipeline.STAGES:
