@@ -121,18 +121,16 @@ class Recorder:
 
     def _compared(self, chain: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(operations of all but the newest, the newest) of revisions (doc, at, text, rev or null, since)."""
-        w = W.partitionBy("doc").orderBy("at", F.asc_nulls_last("rev"), F.sha2("text", 256))
         at_once = W.partitionBy("doc", "at").orderBy(F.asc_nulls_last("rev"), F.sha2("text", 256))
-        nth = F.row_number().over(at_once) - 1
-        taken = F.max(F.col("rev") % TIES + 1).over(W.partitionBy("doc", "at"))
-        after_taken = F.coalesce(taken, F.lit(0)) + nth - F.count("rev").over(W.partitionBy("doc", "at"))
-        number = F.coalesce("rev", F.col("at") * TIES + after_taken)
-        c = chain.withColumn("number", F.when(number <= F.col("at") * TIES + TIES - 1, number).otherwise(F.raise_error("too many versions of a document at one time").cast("long")))
-        c = c.withColumn("rev", F.col("number")).drop("number")
-        c = c.withColumn("newer", F.lead("text").over(W.partitionBy("doc").orderBy("rev"))).withColumn("n", F.row_number().over(W.partitionBy("doc").orderBy("rev")))
-        c = c.withColumn("since", F.first("since").over(W.partitionBy("doc").orderBy("rev")) + F.col("n") - 1)
+        together = W.partitionBy("doc", "at")
+        taken = F.coalesce(F.max(F.col("rev") % TIES + 1).over(together), F.lit(0))
+        nth = F.row_number().over(at_once) - 1 - F.count("rev").over(together)
+        number = F.coalesce("rev", F.col("at") * TIES + taken + nth)
+        too_many = F.raise_error("too many versions of a document at one time").cast("long")
+        c = chain.withColumn("rev", F.when(number < (F.col("at") + 1) * TIES, number).otherwise(too_many))
+        line = W.partitionBy("doc").orderBy("rev")
+        c = c.withColumn("newer", F.lead("text").over(line)).withColumn("since", F.first("since").over(line) + F.row_number().over(line) - 1)
         c = written(c.select("doc", "rev", "text", "newer", "since"), "compared")
-        del w
         whole = F.when((F.col("since") > 0) & (F.col("since") % self.keyframes == 0), "keyframe")
         ops = history._operations(c.where("newer IS NOT NULL").withColumn("whole", whole))
         tip = c.where("newer IS NULL").select("doc", "rev", "text", F.sha2("text", 256).alias("hash"), F.col("since").cast("int").alias("since"))
