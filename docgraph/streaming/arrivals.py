@@ -35,6 +35,7 @@ class Checker:
         Of several rows of a document the last by ``order`` counts, of equal ones
         the greater text. A document that comes again replaces itself: what isn't
         found any more is ``resolved``, be it its own or in documents that refer to it.
+        A batch may be run again; a change is told once, ``findings`` has what stands.
         """
         last = batch.groupBy("doc").agg(F.max(F.struct(order, "text")).alias("last")).select("doc", F.col("last.text").alias("text"))
         s = written(scan_corpus(last), "arrived")
@@ -46,10 +47,11 @@ class Checker:
         targets = written(self.refs.read(docs).select("target").union(refs.select("target")).distinct(), "arrived-targets")
         stale = written(self.incoming.read(targets).join(docs, "doc", "left_anti"), "arrived-incoming")
         own_ids = corpus.tagged(s, "id").select("doc", "id").distinct()
+        # what refers where goes last but one, as it tells a batch that is run again which targets it has left
+        self.incoming.write(stale.unionByName(refs), targets)
         # a document without ids is known by a row without one
         self.ids.write(docs.join(own_ids, "doc", "left").select("doc", "id"), docs)
         self.refs.write(refs, docs)
-        self.incoming.write(stale.unionByName(refs), targets)
 
         here = docs.withColumnRenamed("doc", "target")
         met = written(refs.unionByName(self.incoming.read(here).join(docs, "doc", "left_anti")), "arrived-met")
@@ -84,7 +86,8 @@ class Recorder:
     order of its hash or arrival; one that repeats its neighbour costs no text.
     A row that was seen before, with its time and text, is no arrival. Versions
     that come in order are compared with the tip alone; a document with a late
-    version is rebuilt, put in order and compared again.
+    version is rebuilt, put in order and compared again. A batch may be run
+    again: operations that its tips don't know of yet don't count.
     """
 
     def __init__(self, spark, path: str, buckets: int = 64, keyframes: int = history.KEYFRAMES):
@@ -139,8 +142,10 @@ class Recorder:
     def history(self, docs: DataFrame | None = None) -> DataFrame:
         """OPS rows, of all documents or of ``docs``."""
         none = F.lit(None).cast("string")
-        tips = self.tips.read(docs).select("doc", "rev", "hash", F.lit(0).alias("op_seq"), F.lit("tip").alias("kind"), none.alias("key"), none.alias("anchor"), F.col("text").alias("payload"))
-        return self.ops.read(docs).unionByName(tips)
+        tips = self.tips.read(docs)
+        behind = self.ops.read(docs).join(tips.select("doc", F.col("rev").alias("tip")), "doc").where("rev < tip").drop("tip").dropDuplicates(["doc", "rev", "op_seq"])
+        whole = tips.select("doc", "rev", "hash", F.lit(0).alias("op_seq"), F.lit("tip").alias("kind"), none.alias("key"), none.alias("anchor"), F.col("text").alias("payload"))
+        return behind.unionByName(whole)
 
     def versions(self, docs: DataFrame | None = None) -> DataFrame:
         """(doc, at, text): the revisions whose text isn't that of the one before, in time."""

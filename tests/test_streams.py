@@ -79,6 +79,23 @@ def test_late_and_tied_versions(spark, tmp_path):
     assert [r.text for r in recorder.versions(spark.createDataFrame([("c",)], "doc string")).collect()] == ["z"]
 
 
+def test_a_batch_that_is_run_again(spark, tmp_path, monkeypatch):
+    """The driver is lost after the operations are written, before the tips are: the batch, run again, gives what it would have given."""
+    recorder = Recorder(spark, f"{tmp_path}/h", buckets=2)
+    of = lambda *rows: spark.createDataFrame(list(rows), "doc string, ts long, text string")
+    recorder.append_batch(of(("a", 1, "one\n\nx"), ("b", 1, "y")))
+    batch = of(("a", 2, "two\n\nx"), ("a", 3, "three"), ("c", 1, "z"))
+    keep = recorder.tips.write
+    monkeypatch.setattr(recorder.tips, "write", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        recorder.append_batch(batch)
+    seen = lambda: sorted((r.doc, r["at"], r.text) for r in recorder.versions().collect())
+    assert seen() == [("a", 1, "one\n\nx"), ("b", 1, "y")]
+    monkeypatch.setattr(recorder.tips, "write", keep)
+    recorder.append_batch(batch)
+    assert seen() == [("a", 1, "one\n\nx"), ("a", 2, "two\n\nx"), ("a", 3, "three"), ("b", 1, "y"), ("c", 1, "z")]
+
+
 def test_debounced_stream_counts_sources_only(spark, tmp_path):
     rows = [("r", f"2024-01-01 00:00:{s:02}", p) for s, p in enumerate(["a.py", None, "node_modules/b.py", ".git/c.py", "README.md", "x\\target\\d.py", "src/e.rs"])]
     rows += [("q", "2024-01-01 00:00:00", "README.md"), ("r", "2024-01-01 00:05:00", ""), ("r", "2024-01-01 02:00:00", "a.py")]
