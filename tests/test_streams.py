@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docgraph.storage import Conflict, name_version, publish, published
+from docgraph.storage import Conflict, name_version, publish, published, scratch, shared_dir, written
 from docgraph.streaming.arrivals import Checker, Recorder
 from docgraph.streaming.changes import check_stream, debounce
 from docgraph.streaming.keyed import KeyedTable
@@ -140,3 +140,16 @@ def test_keyed_table(spark, tmp_path):
     assert got(t.read()) == sorted([(f"d{i}", i) for i in range(3, 20)] + [("d0", 0), ("d1", 5), ("new", 7)])
     t.write(of(), t.read())
     assert got(t.read()) == []
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    there = lambda: {n for n in os.listdir(shared_dir(spark)) if n.startswith("scratch-")}
+    kept = written(spark.range(3).toDF("x"), "scratch-kept")
+    with scratch(spark):
+        one = written(kept, "scratch-one")
+        with scratch(spark):
+            assert written(one, "scratch-two").count() == 3
+        assert len(there()) == 2 and one.count() == 3
+    assert len(there()) == 1 and kept.count() == 3
