@@ -1,16 +1,15 @@
 """Plans and tasks that only larger tables need."""
 
-from docgraph.operators import search
+import re
 
+from pyspark.sql import functions as F
 
-def plan_of(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+from docgraph.operators import search
+from docgraph.sources import scan
 
 
 def broadcast_rows(spark, run) -> int:
     """Most rows of a table that is broadcast while ``run`` works."""
-    import re
-
     store = spark._jsparkSession.sharedState().statusStore()
     before = store.executionsCount()
     run()
@@ -36,3 +35,12 @@ def test_search_broadcasts_queries_and_not_the_grams_of_names(spark):
     found = []
     assert broadcast_rows(spark, lambda: found.extend(search.search_names(lookup, queries, 3).collect())) <= 2
     assert sorted((r.q, r.score, r.total) for r in found) == [("am", 3, 400)] * 3 + [("ring", 2, 400)] * 3
+
+
+def test_a_compact_corpus_is_scanned_in_many_tasks(spark):
+    docs = spark.range(64).selectExpr("concat('d', id) AS doc", "'# A {#a .b k=v}\n\nsee [[#c]]' AS text").coalesce(1)
+    rows = scan.scan_corpus(docs).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in rows}) > 1
+    heads = [r for r in rows if r.tag == "block" and r.kind == "heading"]
+    assert len(heads) == 64 and all((r.attrs, r.classes, r.level, r.target_doc) == ({"k": "v"}, ["b"], 1, None) for r in heads)
+    assert sum(r.tag == "ref" and r.attrs is None and r.anchor == "c" for r in rows) == 64
