@@ -44,3 +44,12 @@ def test_a_compact_corpus_is_scanned_in_many_tasks(spark):
     heads = [r for r in rows if r.tag == "block" and r.kind == "heading"]
     assert len(heads) == 64 and all((r.attrs, r.classes, r.level, r.target_doc) == ({"k": "v"}, ["b"], 1, None) for r in heads)
     assert sum(r.tag == "ref" and r.attrs is None and r.anchor == "c" for r in rows) == 64
+
+
+def test_nested_blocks_do_not_repeat_their_text_for_checks():
+    deep = "".join("=" * (100 - i) + " note\n" for i in range(90)) + "=== table {format=csv}\na\n===\n" + "".join("=" * (100 - i) + "\n" for i in reversed(range(90)))
+    full, lean = (scan.scan_document("d", deep, flow_texts=x) for x in (True, False))
+    size = lambda rows: sum(len(r.get("text") or "") for r in rows)
+    assert size(full) > 5 * len(deep) and size(lean) < 10
+    bare = lambda rows: [{k: v for k, v in r.items() if k != "text"} for r in rows]
+    assert bare(full) == bare(lean) and [r["text"] for r in lean if r.get("type") == "table"] == ["a"]
