@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from docgraph.operators import search
+from docgraph.operators import search, walk
 from docgraph.sources import scan
 
 
@@ -53,3 +53,18 @@ def test_nested_blocks_do_not_repeat_their_text_for_checks():
     assert size(full) > 5 * len(deep) and size(lean) < 10
     bare = lambda rows: [{k: v for k, v in r.items() if k != "text"} for r in rows]
     assert bare(full) == bare(lean) and [r["text"] for r in lean if r.get("type") == "table"] == ["a"]
+
+
+def test_walks_keep_lists_and_not_a_row_a_node(spark, monkeypatch):
+    pairs = [("r", f"n{i:04d}") for i in range(600)] + [("n0003", "z"), ("z", "r"), ("q", "r")]
+    e = spark.createDataFrame(pairs, "from string, to string")
+    roots = spark.createDataFrame([("r",), ("q",), ("alone",), (None,)], "root string")
+    s = walk.slices(e, roots, cap=None)
+    assert sorted((r.depth, len(r.nodes)) for r in s.named(s.levels, "root").where("root = 'r'").collect()) == [(0, 1), (1, 88), (1, 256), (1, 256), (2, 1)]
+    leaves = [f"n{i:04d}" for i in range(600)]
+    below = {"r": [("r", 0), *((n, 1) for n in leaves), ("z", 2)], "q": [("q", 0), ("r", 1), *((n, 2) for n in leaves), ("z", 3)], "alone": [("alone", 0)]}
+    for name, value in (("MERGED", 100), ("NAME_BYTES", 1000), ("NAME_BLOCKS", 2)):
+        monkeypatch.setattr(walk, name, value)
+        for cap in (None, 300) if name == "MERGED" else (300,):
+            got = sorted((r.root, r.node, r.depth) for r in walk.walk(e, roots, cap=cap).where("root IS NOT NULL").collect())
+            assert got == sorted((root, n, d) for root, rows in below.items() for n, d in sorted(rows, key=lambda x: x[::-1])[:cap])
