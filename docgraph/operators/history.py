@@ -11,9 +11,12 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -146,6 +149,9 @@ def patch(new: str, ops: list[Op]) -> str:
 OPS = "doc string, rev long, hash string, op_seq int, kind string, key string, anchor string, payload string"
 #: Revisions between two that are kept whole.
 KEYFRAMES = 32
+#: Rows that a worker turns into objects at a time.
+PIECE = 256
+REBUILT = {"doc": pa.string(), "rev": pa.int64(), "text": pa.string(), "ok": pa.bool_(), "fault": pa.string()}
 
 
 def _operations(pairs: DataFrame) -> DataFrame:
@@ -248,7 +254,8 @@ def numbered_blobs(history: DataFrame) -> tuple[DataFrame, DataFrame]:
 def reconstruct(history: DataFrame) -> DataFrame:
     """(doc, rev, text, ok, fault): every revision rebuilt from the next whole one; ok if its hash agrees, else why not.
 
-    A group is what lies between two whole revisions, so its size is bounded.
+    A run of rows is what lies between two whole revisions; a task reads its runs
+    one row after the other, as a table for each would cost far more than its texts.
     """
     heads = history.groupBy("doc", "rev").agg(F.max(F.col("kind").isin("tip", "keyframe").cast("int")).alias("whole"))
     segment = F.sum("whole").over(W.partitionBy("doc").orderBy(F.desc("rev")).rowsBetween(W.unboundedPreceding, 0))
@@ -263,21 +270,27 @@ def reconstruct(history: DataFrame) -> DataFrame:
             raise BadHistory("blob not found")
         return text if ops[0][0] == "same" else patch(text, ops)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, text = [], None
-        for rev, g in pdf.sort_values("rev", ascending=False).groupby("rev", sort=False):
-            g = g.sort_values("op_seq")
-            clean = [g[c].astype(object).where(g[c].notna(), None) for c in ("kind", "key", "anchor", "payload")]
-            fault = None
+    def rebuild(rows: Iterator[tuple]) -> Iterator[tuple]:
+        text, before = None, None
+        for (doc, segment, rev), own in itertools.groupby(rows, key=lambda r: r[:3]):
+            text = text if (doc, segment) == before else None
+            before, ops, fault = (doc, segment), list(own), None
             try:
-                text = rebuilt(text, list(zip(*clean, strict=True)))
-                fault = None if sha(text) == g["hash"].iloc[0] else "hash differs"
+                text = rebuilt(text, [r[4:] for r in ops])
+                fault = None if sha(text) == ops[0][3] else "hash differs"
             except BadHistory as x:
                 text, fault = None, str(x)
-            rows.append((pdf["doc"].iloc[0], rev, text, fault is None, fault))
-        return pd.DataFrame(rows, columns=["doc", "rev", "text", "ok", "fault"])
+            yield doc, rev, text, fault is None, fault
 
-    return cut.groupBy("doc", "segment").applyInPandas(run, "doc string, rev long, text string, ok boolean, fault string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = (b.slice(at, PIECE) for b in batches for at in range(0, b.num_rows, PIECE))
+        rows = rebuild(row for piece in pieces for row in zip(*(c.to_pylist() for c in piece.columns), strict=True))
+        while part := list(itertools.islice(rows, PIECE)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), REBUILT.values(), strict=True)], list(REBUILT))
+
+    cut = cut.select("doc", "segment", F.col("rev").cast("long").alias("rev"), "hash", "kind", "key", "anchor", "payload", "op_seq")
+    ranged = cut.repartition("doc", "segment").sortWithinPartitions("doc", "segment", F.desc("rev"), "op_seq").drop("op_seq")
+    return ranged.mapInArrow(run, "doc string, rev long, text string, ok boolean, fault string")
 
 
 def verify(history: DataFrame) -> DataFrame:

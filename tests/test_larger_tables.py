@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from docgraph.operators import search, walk
+from docgraph.operators import history, search, walk
 from docgraph.sources import scan
 
 
@@ -68,3 +68,15 @@ def test_walks_keep_lists_and_not_a_row_a_node(spark, monkeypatch):
         for cap in (None, 300) if name == "MERGED" else (300,):
             got = sorted((r.root, r.node, r.depth) for r in walk.walk(e, roots, cap=cap).where("root IS NOT NULL").collect())
             assert got == sorted((root, n, d) for root, rows in below.items() for n, d in sorted(rows, key=lambda x: x[::-1])[:cap])
+
+
+def test_histories_are_rebuilt_without_a_table_for_each(spark):
+    """Runs go on over the rows that a worker takes at a time, and end where a document or a whole revision begins."""
+    r = spark.range(900).selectExpr("concat('d', id % 3) AS doc", "id div 3 AS rev", "concat('a', id, '\n\nb') AS text")
+    h = history.commit_chain(r, keyframes=290)
+    h = h.where("NOT (doc = 'd1' AND kind IN ('tip', 'keyframe'))").withColumn("hash", F.when(F.expr("doc = 'd2' AND rev = 7"), "0").otherwise(F.col("hash")))
+    out = history.reconstruct(h)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    rows = {(x.doc, x.rev): (x.text, x.fault) for x in out.collect()}
+    assert all(rows["d0", k] == (f"a{3 * k}\n\nb", None) and rows["d2", k] == (f"a{3 * k + 2}\n\nb", "hash differs" if k == 7 else None) for k in range(300))
+    assert {x[1] for (doc, _), x in rows.items() if doc == "d1"} == {"no whole revision to rebuild from"} and len(rows) == 898
