@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docgraph.operators import history, search, walk
 from docgraph.sources import scan
+from docgraph.streaming import changes
 
 
 def broadcast_rows(spark, run) -> int:
@@ -80,3 +81,12 @@ def test_histories_are_rebuilt_without_a_table_for_each(spark):
     rows = {(x.doc, x.rev): (x.text, x.fault) for x in out.collect()}
     assert all(rows["d0", k] == (f"a{3 * k}\n\nb", None) and rows["d2", k] == (f"a{3 * k + 2}\n\nb", "hash differs" if k == 7 else None) for k in range(300))
     assert {x[1] for (doc, _), x in rows.items() if doc == "d1"} == {"no whole revision to rebuild from"} and len(rows) == 898
+
+
+def test_a_stream_check_scans_once(spark):
+    docs = spark.createDataFrame([("a", "# A {#x}\n\nsee [[#x]] and [[#y]]\n"), ("b", "=== code\nopen"), ("c", None)], "doc string, text string")
+    out = changes.check_stream(docs, spark.createDataFrame([("a", "x"), ("a", "x"), ("b", None)], "doc string, id string"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    s = scan.scan_corpus(docs)
+    found = sorted((r.doc, r.line, r.severity, r.code) for r in s.where("tag = 'diagnostic'").collect())
+    assert found and sorted(tuple(r) for r in out.collect()) == sorted([*found, ("a", 3, "error", "unresolved")])
