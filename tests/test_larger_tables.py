@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from docgraph import storage
 from docgraph.operators import history, search, walk
 from docgraph.sources import scan
 from docgraph.streaming import changes
@@ -90,3 +91,23 @@ def test_a_stream_check_scans_once(spark):
     s = scan.scan_corpus(docs)
     found = sorted((r.doc, r.line, r.severity, r.code) for r in s.where("tag = 'diagnostic'").collect())
     assert found and sorted(tuple(r) for r in out.collect()) == sorted([*found, ("a", 3, "error", "unresolved")])
+
+
+def test_exchange_rows_are_dealt_over_more_tasks_as_they_grow(spark, monkeypatch):
+    import os
+
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        return
+    monkeypatch.setattr(storage, "DEALT", 10_000, raising=False)
+    out = entry.queries()["a5_read_exchange"](spark, sf)
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS FROM '{sf}/{t}.parquet'")
+    key = lambda row: tuple(map(str, row))
+    assert sorted(map(key, out.collect())) == sorted(map(key, con.execute(entry.oracle_sql()["a5_read_exchange"]).fetchall()))
+    assert out.rdd.getNumPartitions() > 20
