@@ -111,3 +111,24 @@ def test_exchange_rows_are_dealt_over_more_tasks_as_they_grow(spark, monkeypatch
     key = lambda row: tuple(map(str, row))
     assert sorted(map(key, out.collect())) == sorted(map(key, con.execute(entry.oracle_sql()["a5_read_exchange"]).fetchall()))
     assert out.rdd.getNumPartitions() > 20
+
+
+def test_layers_are_laid_out_of_lists_and_not_a_pandas_table_a_root(spark, monkeypatch):
+    """Hubs beyond twice the cap, cycles, loops, roots without edges; against the layers of rows."""
+    import random
+
+    rnd = random.Random(5)
+    pairs = {(f"n{rnd.randrange(60):02d}", f"n{rnd.randrange(60):02d}") for _ in range(110)} | {("hub", f"n{i:02d}") for i in range(60)} | {("n07", "hub"), ("self", "self"), ("hub", "zz"), ("zz", "hub")}
+    e = spark.createDataFrame(sorted(pairs), "from string, to string")
+    roots = spark.createDataFrame([(f"n{i:02d}",) for i in range(20)] + [("hub",), ("self",), ("alone",)], "root string")
+    monkeypatch.setattr(walk, "CHUNK", 4)
+    for cap, depth, merged in ((10, 3, 50), (None, 4, 1 << 20)):
+        monkeypatch.setattr(walk, "MERGED", merged)
+        out = walk.walk_layers(e, roots, depth, cap)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+        nodes = walk.walk(e, roots, depth, cap)
+        s = walk.slice_edges(e, nodes, depth).where("NOT more").select("root", "from", "to")
+        rows = walk.layers(s.join(nodes.select("root", F.col("node").alias("to")), ["root", "to"], "left_semi"))
+        got = sorted(tuple(r) for r in out.collect())
+        assert got == sorted(tuple(r) for r in rows.collect()) and ("self", "self", 0) in got
+        assert {r[0] for r in got}.isdisjoint({"alone"})
