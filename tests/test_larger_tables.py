@@ -181,3 +181,34 @@ def test_long_chains_are_contracted_and_not_moved_whole_in_each_round(spark, mon
         counted.clear()
         assert sorted(map(key, history.chains(r, heads).collect())) == sorted(map(key, expected))
         assert sum(counted) < 10 * len(rows)
+
+
+def test_neighbours_are_moved_once_a_group_and_not_once_a_root(spark, monkeypatch):
+    """400 roots reach the same 600 nodes over a hub; groups that may reach too much are walked by joins and give the same."""
+    pairs = [(f"r{i:03d}", "hub") for i in range(400)] + [("hub", f"n{i:03d}") for i in range(600)] + [("n007", "r000"), ("hub", "hub")]
+    e, roots = spark.createDataFrame(pairs, "from string, to string"), spark.createDataFrame([(f"r{i:03d}",) for i in range(400)], "root string")
+    expected = []
+    for i in range(400):
+        below = [(f"r{i:03d}", 0), ("hub", 1), *((f"n{k:03d}", 2) for k in range(600)), *([("r000", 3)] if i else [])]
+        expected += [(f"r{i:03d}", n, d) for n, d in below]
+    counted, real = [], walk.written
+
+    def counting(df, name):
+        out = real(df, name)
+        lists = [c for c, t in out.dtypes if t.startswith("array")]
+        counted.append(out.agg(F.sum(sum((F.size(c) for c in lists), F.lit(0)))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(walk, "written", counting)
+    heads, layers = [], []
+    for held in (1 << 24, 620):
+        monkeypatch.setattr(walk, "HELD", held, raising=False)
+        counted.clear()
+        got = sorted(tuple(r) for r in walk.walk(e, roots, cap=None).collect())
+        assert got == sorted(expected)
+        if held > 620:
+            assert sum(counted) < 30_000 < len(got)
+        heads.append(sorted(tuple(r) for r in walk.cap_walk(e, roots, 3, cap=300).collect()))
+        layers.append(sorted(tuple(r) for r in walk.walk_layers(e, roots.limit(40), cap=300).collect()))
+    assert heads[0] == heads[1] == sorted((f"r{i:03d}", n, d, 300, True) for i in range(400) for n, d in [(f"r{i:03d}", 0), ("hub", 1), ("n000", 2)])
+    assert layers[0] == layers[1] and len(layers[0]) == 40 * 300
