@@ -153,3 +153,33 @@ def test_scratch_tables_go(spark):
             assert written(one, "scratch-two").count() == 3
         assert len(there()) == 2 and one.count() == 3
     assert len(there()) == 1 and kept.count() == 3
+
+
+def test_a_stream_is_checked_by_all_rules(spark, tmp_path):
+    """Each rule's document on a stream: its own ids, duplicates, tables and charts, references to other documents; the corpus check finds the same."""
+    from docgraph.jobs.corpus_queries import RULES
+    from docgraph.operators.corpus import check_corpus
+    from docgraph.sources.scan import scan_corpus, scan_document
+
+    more = [
+        "# A {#a}\n=== note {#a}\nx\n===\n[[#a]] [[#b]] [x](base.mk) [y](/base.mk#a) [z](base.mk#a.b)", "# A {#a}\n# B {#a}\n# C {#a}",
+        "=== table {#t src=a.csv}\n===\n=== diagram {format=x-chart data=#t}\n===", "=== table {#t format=csv summary=\"a = 'x'\"}\na,b\n1,2\n===\n=== diagram {format=x-chart data=t type=bar x=b y=a rows=all}\n===",
+        "=== diagram {format=x-chart data=#t type=pie x=a y=\" , b\" series=}\n===\n=== table {#t}\n| a | b |\n|---|---|\n| x | y |\n===\n=== table {#t}\n===",
+    ]
+    rows = [(f"r{j}.mk", text) for j, text in enumerate([*(r[0] for r in RULES), *more])] + [("base.mk", "# A {#a}"), ("none", None)]
+    docs = spark.createDataFrame(rows, "doc string, text string")
+    docs.write.parquet(f"{tmp_path}/in")
+    ids = spark.createDataFrame([("base.mk", "a"), ("none", None)], "doc string, id string")
+    stream = spark.readStream.schema("doc string, text string").parquet(f"{tmp_path}/in")
+    q = check_stream(stream, ids).writeStream.format("memory").queryName("by_rules").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(200)
+    scanned = written(scan_corpus(docs), "scan-rules")
+    found = check_corpus(scanned, docs).collect()
+    key = lambda r: (r.doc, r.line, r.severity, r.code)
+    assert sorted(map(key, spark.table("by_rules").collect())) == sorted(map(key, found))
+
+    from docgraph.operators.checks import found_alone
+
+    alone = sorted((r["doc"], r["line"], r["severity"], r["code"], r["text"]) for d, t in rows for r in found_alone(scan_document(d, t)) if r["tag"] == "diagnostic")
+    others = ("unresolved", "unresolved-cross")
+    assert alone == sorted(tuple(r) for r in found if r.code not in others and not r.message.startswith("code graph:"))
